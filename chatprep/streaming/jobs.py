@@ -42,14 +42,16 @@ def build_unseen(
     build: Callable[[DataFrame], DataFrame],
     key: str = "id",
 ) -> StreamingQuery:
-    """Run ``build`` on records whose key is not in the sink yet.
+    """Run ``build`` on records whose key is not in the sink yet; records without a
+    key get the md5 of their content.
 
     A batch that is retried after a failure finds its own rows in the sink and
     skips them.
     """
 
     def step(batch: DataFrame, _: int) -> None:
-        fresh = batch.filter(F.col(key).isNotNull()).dropDuplicates([key])
+        made = F.md5(F.to_json(F.struct("conversations", "text")))
+        fresh = batch.withColumn(key, F.coalesce(F.col(key), made)).dropDuplicates([key])
         if exists(spark, sink):
             fresh = fresh.join(spark.read.parquet(sink).select(key), key, "left_anti")
         build(fresh).write.mode("append").parquet(sink)
