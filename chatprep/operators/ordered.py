@@ -1,11 +1,10 @@
-"""Order-aware operators that never put one whole group into one task.
-
-A window over ``(key, order)`` sends every row of a key to one task.  Here a key
-is cut into blocks of at most ``block`` consecutive order values; windows run per
-``(key, block)`` and only one summary row per block crosses block borders.  Keys
-that fit into one block (nearly all of them) pay nothing for the second step: the
-summaries are built for keys that own an order value beyond the first block, and
-that filter reaches the Parquet statistics.
+"""Order-aware operators that never put an unbounded group into one task.
+
+A window over ``(key, order)`` sends every row of a key to one task.  That is fine
+when keys are proven to be short: one count of order values beyond the first block,
+answered by the Parquet statistics, tells.  If there are longer keys, a key is cut
+into blocks of at most ``block`` consecutive order values; windows run per
+``(key, block)`` and only one summary row per block crosses block borders.
 """
 
 from __future__ import annotations
@@ -24,9 +23,21 @@ def _block(order: str, block: int) -> Column:
     return F.floor(F.col(order) / F.lit(block))
 
 
+def _beyond(order: str, block: int) -> Column:
+    return (F.col(order) >= block) | (F.col(order) < 0)
+
+
+def short_keys(df: DataFrame, order: str, block: int = BLOCK) -> bool:
+    """True when no key has more than ``block`` rows (order values are unique per key).
+
+    Reads the order column only, and only row groups whose statistics reach beyond
+    the first block.
+    """
+    return df.select(order).filter(_beyond(order, block)).count() == 0
+
+
 def _long_keys(df: DataFrame, keys: Sequence[str], order: str, block: int) -> DataFrame:
-    beyond = (F.col(order) >= block) | (F.col(order) < 0)
-    return df.filter(beyond).select(*keys).distinct()
+    return df.filter(_beyond(order, block)).select(*keys).distinct()
 
 
 def scan_groups(
@@ -37,15 +48,25 @@ def scan_groups(
     sums: Mapping[str, Column] | None = None,
     inclusive: bool = False,
     block: int = BLOCK,
+    short: bool | None = None,
 ) -> DataFrame:
     """Add look-back columns per key: preceding values and running totals.
 
     ``lags`` maps a new column to the column whose preceding value it takes,
     ``sums`` maps a new column to an expression that is summed over the earlier rows
     (over this row too when ``inclusive``; null counts as 0; bigint).  ``order``
-    must be an integer column, unique within a key.
+    must be an integer column, unique within a key.  ``short`` is the result of
+    :func:`short_keys` when the caller has it already.
     """
     keys, lags, sums = list(keys), dict(lags or {}), dict(sums or {})
+    if short_keys(df, order, block) if short is None else short:
+        rows = Window.partitionBy(*keys).orderBy(order)
+        upto = rows.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        return df.withColumns(
+            {new: F.lag(col).over(rows) for new, col in lags.items()}
+            | {new: F.coalesce(F.sum(e).over(upto), F.lit(0)).cast("bigint") for new, e in sums.items()}
+        )
+
     blocked = df.withColumn(_BLK, _block(order, block))
 
     rows = Window.partitionBy(*keys, _BLK).orderBy(order)
@@ -103,6 +124,12 @@ def gather(
     block find the block in which the limit is reached, later blocks are dropped.
     """
     keys = list(keys)
+    item = F.struct(F.col(order).alias("__o"), *[F.col(f) for f in fields])
+    arranged = F.slice(F.array_sort(F.collect_list(item)), 1, max_items)
+    arranged = F.transform(arranged, lambda m: F.struct(*[m[f].alias(f) for f in fields]))
+    if short_keys(df, order, block):
+        return df.groupBy(*keys).agg(arranged.alias(name))
+
     narrow = df.select(*keys, order)
     before = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
     cut = (
@@ -114,13 +141,9 @@ def gather(
         .groupBy(*keys)
         .agg(F.min(_BLK).alias("__cut"))
     )
-    item = F.struct(F.col(order).alias("__o"), *[F.col(f) for f in fields])
     kept = (
         df.withColumn(_BLK, _block(order, block))
         .join(cut, keys, "left")
         .filter(F.col("__cut").isNull() | (F.col(_BLK) < F.col("__cut")))
     )
-    arranged = F.slice(F.array_sort(F.collect_list(item)), 1, max_items)
-    return kept.groupBy(*keys).agg(
-        F.transform(arranged, lambda m: F.struct(*[m[f].alias(f) for f in fields])).alias(name)
-    )
+    return kept.groupBy(*keys).agg(arranged.alias(name))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatprep.operators.ordered import scan_groups
+from chatprep.operators.ordered import scan_groups, short_keys
 
 # Who may precede whom.
 BEFORE_TOOL = ["assistant", "tool"]
@@ -85,12 +85,14 @@ def prepare(df: DataFrame, template_prompt: str | None, column: str = "conversat
 # --- long form ------------------------------------------------------------------
 
 
-def flag_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role") -> DataFrame:
+def flag_turns(
+    turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", short: bool | None = None
+) -> DataFrame:
     """Add ``position`` within the conversation and ``misplaced``.
 
     A leading system message is allowed; the message after it counts as the first.
     """
-    seen = scan_groups(turns, [key], order, lags={"__prev": role}, sums={"position": F.lit(1)})
+    seen = scan_groups(turns, [key], order, lags={"__prev": role}, sums={"position": F.lit(1)}, short=short)
     this, prev, pos = F.col(role), F.col("__prev"), F.col("position")
     leads = (pos == 0) & (this == "system")
     first = (pos == 0) | ((pos == 1) & (prev == "system"))
@@ -100,9 +102,10 @@ def flag_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn", role
 
 def valid_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role") -> DataFrame:
     """Messages before the first misplaced one of their conversation."""
-    flagged = flag_turns(turns, key, order, role)
+    short = short_keys(turns, order)
+    flagged = flag_turns(turns, key, order, role, short)
     bad = {"__bad": F.col("misplaced").cast("bigint")}
-    counted = scan_groups(flagged, [key], order, sums=bad, inclusive=True)
+    counted = scan_groups(flagged, [key], order, sums=bad, inclusive=True, short=short)
     return counted.filter(F.col("__bad") == 0).drop("__bad", "misplaced", "position")
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatprep.operators.ordered import scan_groups
+from chatprep.operators.ordered import scan_groups, short_keys
 from chatprep.operators.templates import ChatTemplate, render_message, role_header
 from chatprep.operators.tokens import token_count, tokens
 from chatprep.operators.turns import flag_turns
@@ -32,12 +32,12 @@ def placed_messages(
 ) -> DataFrame:
     """Valid messages with ``rendered``, ``n_tokens`` and ``start``, the number of
     tokens before the message in the rendered conversation."""
-    flagged = flag_turns(turns, key, order, role).withColumn(
-        "rendered", render_message(F.col(role), F.col(text), template)
-    )
+    short = short_keys(turns, order)
+    flagged = flag_turns(turns, key, order, role, short)
+    rendered = render_message(F.col(role), F.col(text), template)
     leads = (F.col("position") == 0) & (F.col(role) == "system")
     flagged = flagged.withColumns(
-        {"n_tokens": token_count(F.col("rendered")), "__leads": leads.cast("bigint")}
+        {"rendered": rendered, "n_tokens": token_count(rendered), "__leads": leads.cast("bigint")}
     )
     placed = scan_groups(
         flagged,
@@ -48,6 +48,7 @@ def placed_messages(
             "start": F.col("n_tokens"),
             "__system": F.col("__leads"),
         },
+        short=short,
     )
     placed = placed.filter((F.col("__bad") == 0) & ~F.col("misplaced"))
     if template.system_prompt:
