@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it as a variable.
+
+    A column that is captured by a lambda may be inlined there and evaluated for
+    every element; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def prefix_sums(values: Column) -> Column:
+    """Totals before each entry and, last, of all of them (for short arrays)."""
+    start = F.array(F.lit(0))
+    return F.aggregate(
+        values, start, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
+    )
+
+
 def zeros(n: Column) -> Column:
     return F.array_repeat(F.lit(0), F.greatest(n, F.lit(0)).cast("int"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatprep.functions.arrays import (
+    let,
     ones,
     pad_right,
     round_up,
@@ -78,13 +79,10 @@ def sequence_shards(
     Position ids are the contiguous range of the piece's ring group.
     """
     ulysses = max(1, shards // ring)
-    out = df.withColumns(
-        {
-            "__ids": truncate(F.col(ids), max_length),
-            "__mask": trim_mask(F.col(mask), max_length),
-            "shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1))),
-        }
+    cut = df.withColumns(
+        {"__ids": truncate(F.col(ids), max_length), "__mask": trim_mask(F.col(mask), max_length)}
     )
+    out = cut.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     n = F.size("__ids")
     chunk = F.ceil(n / shards).cast("int")
     out = out.withColumns({"chunk": chunk, "__local": chunk + overlap, "__from": F.col("shard") * chunk})
@@ -142,23 +140,25 @@ def anchors(df: DataFrame, key: str, block_size: int, num_anchors: int, seed: in
     A valid position leaves room for a block.  The draw sorts a position's seeded
     hash inside the row: samples are bounded by their own length, nothing shuffles.
     """
-    m = F.col(mask)
-    last = F.greatest(F.size(m) - block_size, F.lit(0))
-    valid = F.filter(
-        F.sequence(F.lit(0), F.least(last, F.size(m) - 1)), lambda p: F.get(m, p) == 1
-    )
-    valid = F.when(F.size(m) > 0, valid).otherwise(F.array().cast("array<int>"))
-    drawn = F.array_sort(
-        F.transform(
-            "__valid",
-            lambda p: F.struct(seeded_key(seed, F.col(key), p).alias("h"), p.alias("p")),
+
+    def draw(valid: Column, sample: Column) -> Column:
+        drawn = F.array_sort(
+            F.transform(
+                valid, lambda p: F.struct(seeded_key(seed, sample, p).alias("h"), p.alias("p"))
+            )
         )
+        count = F.greatest(F.least(F.lit(num_anchors), F.size(valid) - 1), F.lit(0))
+        return F.array_sort(F.transform(F.slice(drawn, F.lit(1), count), lambda x: x["p"]))
+
+    def positions(m: Column) -> Column:
+        last = F.least(F.greatest(F.size(m) - block_size, F.lit(0)), F.size(m) - 1)
+        return F.filter(F.sequence(F.lit(0), last), lambda p: F.get(m, p) == 1)
+
+    picked = let(
+        F.col(mask), lambda m: let(positions(m), lambda valid: draw(valid, F.col(key)))
     )
-    count = F.least(F.lit(num_anchors), F.size("__valid") - 1)
-    picked = F.transform(F.slice(drawn, F.lit(1), F.greatest(count, F.lit(0))), lambda x: x["p"])
-    return (
-        df.withColumn("__valid", valid).withColumn("anchors", F.array_sort(picked)).drop("__valid")
-    )
+    empty = F.array().cast("array<int>")
+    return df.withColumn("anchors", F.when(F.size(mask) > 0, picked).otherwise(empty))
 
 
 def require_anchors(df: DataFrame, column: str = "anchors") -> DataFrame:
@@ -214,11 +214,12 @@ def noise_input(ids: Column, block_size: int, mask_id: int) -> Column:
 
 def noise_input_by_block(ids: Column, block_ids: Column, mask_id: int) -> Column:
     """Same, where a block starts whenever the block id changes."""
-    return F.transform(
-        ids,
-        lambda x, i: F.when(
-            (i == 0) | (F.get(block_ids, i) != F.get(block_ids, i - 1)), x
-        ).otherwise(mask_id),
+    return let(
+        block_ids,
+        lambda b: F.transform(
+            ids,
+            lambda x, i: F.when((i == 0) | (F.get(b, i) != F.get(b, i - 1)), x).otherwise(mask_id),
+        ),
     )
 
 

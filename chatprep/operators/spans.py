@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatprep.functions.arrays import ones, zeros
+from chatprep.functions.arrays import let, ones, prefix_sums, zeros
 from chatprep.functions.text import quote_regex
 from chatprep.operators.templates import ChatTemplate
 from chatprep.operators.tokens import hashed_ids, joins_at, token_count, tokens
@@ -145,52 +145,55 @@ def token_ranges(text: Column, spans: Column, how: str = "prefix") -> Column:
     """
     if how not in ("prefix", "containment", "overlap"):
         raise ValueError(f"unknown mapping {how!r}")
-    length = F.length(text)
-    borders = F.flatten(F.transform(spans, lambda s: F.array(s["start"], s["end"])))
-    cuts = F.concat(F.array(F.lit(0)), borders)
-
-    # Number of tokens that start in each piece; a token running over the left
-    # border started in an earlier piece.
-    begun = F.transform(
-        cuts,
-        lambda c, i: F.when(
-            F.coalesce(F.get(cuts, i + 1), length) > c,
-            token_count(F.substring(text, c + 1, F.coalesce(F.get(cuts, i + 1), length) - c))
-            - joins_at(text, c).cast("int"),
-        ).otherwise(0),
-    )
-
-    def before(k: Column) -> Column:
-        return F.aggregate(F.slice(begun, F.lit(1), k), F.lit(0), lambda acc, x: acc + x)
 
-    def rng(s: Column, i: Column) -> Column:
-        lo, hi = before(2 * i + 1), before(2 * i + 2)
-        if how == "containment":
-            hi = hi - joins_at(text, s["end"]).cast("int")
-        elif how == "overlap":
-            lo = lo - joins_at(text, s["start"]).cast("int")
-            starts_at_end = (s["end"] < length) & ~joins_at(text, s["end"])
-            hi = hi + starts_at_end.cast("int")
-        return F.struct(lo.cast("int").alias("start"), hi.cast("int").alias("end"))
+    def ranges(tx: Column, sp: Column) -> Column:
+        length = F.length(tx)
+        cuts = F.concat(F.array(F.lit(0)), F.flatten(F.transform(sp, lambda s: F.array(s["start"], s["end"]))))
+
+        def begun(c: Column, stop: Column) -> Column:
+            # Tokens starting in a piece; one that runs over the left border does not.
+            counted = token_count(F.substring(tx, c + 1, stop - c)) - joins_at(tx, c).cast("int")
+            return F.when(stop > c, counted).otherwise(0)
+
+        def per_piece(cs: Column) -> Column:
+            return F.transform(cs, lambda c, i: begun(c, F.coalesce(F.get(cs, i + 1), length)))
+
+        def rng(s: Column, i: Column, sums: Column) -> Column:
+            lo, hi = F.get(sums, 2 * i + 1), F.get(sums, 2 * i + 2)
+            if how == "containment":
+                hi = hi - joins_at(tx, s["end"]).cast("int")
+            elif how == "overlap":
+                lo = lo - joins_at(tx, s["start"]).cast("int")
+                hi = hi + ((s["end"] < length) & ~joins_at(tx, s["end"])).cast("int")
+            return F.struct(lo.cast("int").alias("start"), hi.cast("int").alias("end"))
+
+        return let(
+            cuts,
+            lambda cs: let(
+                prefix_sums(per_piece(cs)),
+                lambda sums: F.transform(sp, lambda s, i: rng(s, i, sums)),
+            ),
+        )
 
-    return F.transform(spans, rng)
+    return let(text, lambda tx: let(spans, lambda sp: ranges(tx, sp)))
 
 
 def ranges_to_mask(ranges: Column, n: Column) -> Column:
     """0/1 array of length ``n`` from sorted index ranges; ends are clipped."""
 
-    def piece(r: Column, i: Column) -> Column:
-        done = F.least(F.coalesce(F.when(i > 0, F.get(ranges, i - 1)["end"]), F.lit(0)), n)
-        lo = F.least(F.greatest(r["start"], done), n)
-        hi = F.least(F.greatest(r["end"], lo), n)
-        return F.concat(zeros(lo - done), ones(hi - lo))
+    def build(rs: Column, size: Column) -> Column:
+        def piece(r: Column, i: Column) -> Column:
+            done = F.least(F.coalesce(F.when(i > 0, F.get(rs, i - 1)["end"]), F.lit(0)), size)
+            lo = F.least(F.greatest(r["start"], done), size)
+            hi = F.least(F.greatest(r["end"], lo), size)
+            return F.concat(zeros(lo - done), ones(hi - lo))
 
-    def reach(r: Column) -> Column:
-        return F.greatest(r["start"], r["end"])
+        reach = F.array_max(F.transform(rs, lambda r: F.greatest(r["start"], r["end"])))
+        end = F.least(F.coalesce(reach, F.lit(0)), size)
+        mask = F.concat(F.flatten(F.transform(rs, piece)), zeros(size - end))
+        return F.when(F.size(rs) > 0, mask).otherwise(zeros(size))
 
-    end = F.least(F.coalesce(F.array_max(F.transform(ranges, reach)), F.lit(0)), n)
-    mask = F.concat(F.flatten(F.transform(ranges, piece)), zeros(n - end))
-    return F.when(F.size(ranges) > 0, mask).otherwise(zeros(n))
+    return let(ranges, lambda rs: let(n, lambda size: build(rs, size)))
 
 
 def span_mask(text: Column, spans: Column, n: Column, how: str = "prefix") -> Column:
@@ -246,14 +249,14 @@ def offset_mask(starts: Column, ends: Column, spans: Column, how: str = "contain
     ``prefix`` counts a token once it starts inside the span.
     """
 
-    def inside(a: Column, b: Column) -> Column:
+    def inside(sp: Column, a: Column, b: Column) -> Column:
         if how == "prefix":
-            return F.exists(spans, lambda s: (a >= s["start"]) & (a < s["end"]))
+            return F.exists(sp, lambda s: (a >= s["start"]) & (a < s["end"]))
         if how == "containment":
-            return F.exists(spans, lambda s: (a >= s["start"]) & (b <= s["end"]))
-        return F.exists(spans, lambda s: (b > s["start"]) & (a <= s["end"]))
+            return F.exists(sp, lambda s: (a >= s["start"]) & (b <= s["end"]))
+        return F.exists(sp, lambda s: (b > s["start"]) & (a <= s["end"]))
 
-    return F.zip_with(starts, ends, lambda a, b: inside(a, b).cast("int"))
+    return let(spans, lambda sp: F.zip_with(starts, ends, lambda a, b: inside(sp, a, b).cast("int")))
 
 
 # --- reading masks ------------------------------------------------------------------
@@ -264,27 +267,27 @@ def mask_runs(df: DataFrame, key: str, token_texts: str, mask: str) -> DataFrame
 
     Row-local: run borders are positions whose mask differs from the one before.
     """
-    m = F.col(mask)
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size(m) - 1),
-        lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1)),
-    )
-    base = df.filter(F.size(m) > 0).withColumn("__starts", starts)
-    runs = base.select(
-        key,
-        F.posexplode(
-            F.transform(
-                "__starts",
-                lambda s, i: F.struct(
-                    F.get(m, s).alias("mask"),
-                    F.array_join(
-                        F.slice(
-                            F.col(token_texts), s + 1, F.coalesce(F.get("__starts", i + 1), F.size(m)) - s
-                        ),
-                        "",
-                    ).alias("text"),
-                ),
-            )
-        ).alias("run", "segment"),
+
+    def segments(m: Column, toks: Column, starts: Column) -> Column:
+        return F.transform(
+            starts,
+            lambda s, i: F.struct(
+                F.get(m, s).alias("mask"),
+                F.array_join(
+                    F.slice(toks, s + 1, F.coalesce(F.get(starts, i + 1), F.size(m)) - s), ""
+                ).alias("text"),
+            ),
+        )
+
+    def borders(m: Column) -> Column:
+        return F.filter(
+            F.sequence(F.lit(0), F.size(m) - 1),
+            lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1)),
+        )
+
+    cut = let(
+        F.col(mask),
+        lambda m: let(F.col(token_texts), lambda toks: let(borders(m), lambda b: segments(m, toks, b))),
     )
+    runs = df.filter(F.size(mask) > 0).select(key, F.posexplode(cut).alias("run", "segment"))
     return runs.select(key, "run", "segment.mask", "segment.text")

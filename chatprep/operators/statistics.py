@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatprep.functions.arrays import let
 from chatprep.functions.text import word_count
 
 EPS = 1e-6
@@ -76,9 +77,12 @@ def block_loss(df: DataFrame, by: Sequence[str], loss: Column, weight: Column) -
 
 def log_softmax(logits: Column) -> Column:
     """Row-local, stabilised by the maximum."""
-    top = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x.cast("double") - top))
-    return F.transform(logits, lambda x: x.cast("double") - top - F.log(total))
+
+    def shifted(xs: Column, top: Column) -> Column:
+        total = F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + F.exp(x.cast("double") - top))
+        return let(F.log(total), lambda t: F.transform(xs, lambda x: x.cast("double") - top - t))
+
+    return let(logits, lambda xs: let(F.array_max(xs).cast("double"), lambda top: shifted(xs, top)))
 
 
 def softmax(logits: Column) -> Column:

@@ -251,6 +251,7 @@ HARMONY_CHANNELS = {
     "assistant_final": "final",
 }
 DEFAULT_EFFORT = "low"
+HARMONY_ROLES = ("system", "assistant_reasoning_effort", "user", *HARMONY_CHANNELS)
 
 
 def harmony_message(role: Column, content: Column) -> Column:
@@ -283,12 +284,13 @@ def harmony_conversation(conversation: Column) -> Column:
     tail = F.slice(conversation, start.cast("int"), F.size(conversation))
     parts = F.transform(tail, lambda m: harmony_message(m["role"], m["content"]))
     preamble = harmony_message(F.lit("assistant_reasoning_effort"), F.lit(DEFAULT_EFFORT))
-    checked = F.forall(
-        conversation,
-        lambda m: F.length(harmony_message(m["role"], F.lit(""))) > 0,
+    strange = F.filter(
+        F.slice(conversation, F.lit(1), start.cast("int") - 1), lambda m: ~m["role"].isin(*HARMONY_ROLES)
     )
     text = F.concat(F.when(from_end > 0, F.lit("")).otherwise(preamble), F.array_join(parts, ""))
-    return F.when(checked, text)
+    return F.when(F.size(strange) <= 0, text).otherwise(
+        F.raise_error(F.concat(F.lit("Unknown role: "), F.get(strange, F.lit(0))["role"]))
+    )
 
 
 def harmony_segments(content: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatprep.functions.arrays import let
 from chatprep.operators.ordered import scan_groups, short_keys
 
 # Who may precede whom.
@@ -53,18 +54,21 @@ def body(conversation: Column) -> Column:
 
 def first_violation(messages: Column) -> Column:
     """Zero-based index of the first misplaced message, or the length."""
-    roles = F.transform(messages, lambda m: m["role"])
-    bad = F.transform(
-        roles,
-        lambda role, i: F.coalesce(breaks_order(role, F.get(roles, i - 1), i == 0), F.lit(True)),
-    )
-    hit = F.array_position(bad, F.lit(True))
-    return F.when(hit > 0, hit - 1).otherwise(F.size(messages)).cast("int")
+
+    def scan(roles: Column) -> Column:
+        bad = F.transform(
+            roles,
+            lambda role, i: F.coalesce(breaks_order(role, F.get(roles, i - 1), i == 0), F.lit(True)),
+        )
+        hit = F.array_position(bad, F.lit(True))
+        return F.when(hit > 0, hit - 1).otherwise(F.size(roles)).cast("int")
+
+    return let(F.transform(messages, lambda m: m["role"]), scan)
 
 
 def valid_prefix(messages: Column) -> Column:
     """The messages before the first violation."""
-    return F.slice(messages, F.lit(1), first_violation(messages))
+    return let(messages, lambda ms: F.slice(ms, F.lit(1), first_violation(ms)))
 
 
 def system_prompt(conversation: Column, template_prompt: str | None) -> Column:
