@@ -60,8 +60,10 @@ def rank_by_key(
     """
     probs = [i / buckets for i in range(1, buckets)]
     borders = df.agg(F.percentile_approx(key, probs, 10000)).scalar()
-    bucketed = df.withColumn("__b", F.size(F.filter(borders, lambda b: b < F.col(key))).cast("bigint"))
-    return _lift(bucketed, [key], name, within)
+    bucketed = df.withColumn("__q", borders).withColumn(
+        "__b", F.size(F.filter("__q", lambda b: b < F.col(key))).cast("bigint")
+    )
+    return _lift(bucketed.drop("__q"), [key], name, within)
 
 
 def _lift(df: DataFrame, order: Sequence[str], name: str, within: Sequence[str]) -> DataFrame:

@@ -168,3 +168,27 @@ def token_rows_sql(source: str, key: str = "doc_id", name: str = "toks") -> str:
 
 
 HASH_ID_SQL = "('0x' || md5({0})[1:4])::INT"
+
+
+# --- token samples -----------------------------------------------------------------------------
+
+SAMPLES = f"""samples AS (
+  SELECT doc_id, list_transform(tk, lambda x: {HASH_ID_SQL.format("x")}) AS ids,
+    list_transform(tk, lambda x, i: (((i - 1) // 8 + doc_id) % 2)::INT) AS mask
+  FROM (SELECT doc_id, {TOKENS_SQL} AS tk FROM documents)),
+positions AS (
+  SELECT doc_id, unnest(range(len(ids))) AS i, unnest(ids) AS id, unnest(mask) AS m, len(ids) AS n FROM samples)"""
+
+
+def samples(t) -> DataFrame:
+    """``documents`` as token samples; the mask changes every eight tokens."""
+    from chatprep.operators.tokens import hashed_ids, tokens
+
+    tk = tokens(F.col("text"))
+    base = t.documents.select("doc_id", tk.alias("tk"))
+    mask = F.transform("tk", lambda x, i: ((F.floor(i / 8) + F.col("doc_id")) % 2).cast("int"))
+    return base.select("doc_id", hashed_ids(F.col("tk")).alias("input_ids"), mask.alias("loss_mask"))
+
+
+def joined(column, sep: str = ",") -> Column:
+    return F.array_join(column, sep)
