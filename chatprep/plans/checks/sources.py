@@ -117,9 +117,10 @@ mapped AS (SELECT *, CASE WHEN who = 'human' THEN 'user' WHEN who IN ('gpt', 'bi
 )
 def from_value(t):
     df = N.from_value(speaker_chats(t))
-    return record(df).withColumn("skipped", F.lit(0)).drop("skipped").join(
-        df.select("id", F.col("skipped").cast("bigint").alias("skipped")), "id"
+    flat = F.array_join(
+        F.transform("conversations", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|"
     )
+    return df.select("id", flat.alias("messages"), F.col("skipped").cast("bigint").alias("skipped"))
 
 
 @query(
