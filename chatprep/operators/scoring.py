@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chatprep.functions import answers as A
 from chatprep.functions import prompts as P
-from chatprep.operators.templates import RESPECTFUL
+from chatprep.operators.templates import RESPECTFUL, literal_table
 
 # --- accuracy ------------------------------------------------------------------------------
 
@@ -106,8 +106,8 @@ def benchmark_names() -> list[str]:
 def benchmark_table(spark: SparkSession) -> DataFrame:
     """Suffix, system prompt, stop texts and token cap per benchmark."""
     rows = [(n, b.suffix, b.system_prompt, list(b.stop), b.max_tokens) for n, b in _BENCHMARKS.items()]
-    return spark.createDataFrame(
-        rows, "bench string, suffix string, system_prompt string, stop array<string>, max_tokens int"
+    return literal_table(
+        spark, rows, "bench string, suffix string, system_prompt string, stop array<string>, max_tokens int"
     )
 
 

@@ -138,6 +138,15 @@ def template_names() -> list[str]:
     return list(_REGISTRY)
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of constants, built in the JVM."""
+    names = [part.strip().split(" ") for part in schema.split(",")]
+    structs = [
+        F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, names)]) for row in rows
+    ]
+    return spark.range(1, numPartitions=1).select(F.inline(F.array(*structs)))
+
+
 TEMPLATE_SCHEMA = (
     "name string, assistant_header string, user_header string, system_prompt string, "
     "end_of_turn_token string, parser_type string, assistant_pattern_type string, "
@@ -151,7 +160,7 @@ def templates_table(spark: SparkSession) -> DataFrame:
         (name, *[list(v) if isinstance(v, tuple) else v for v in dataclasses.astuple(t)])
         for name, t in _REGISTRY.items()
     ]
-    return spark.createDataFrame(rows, TEMPLATE_SCHEMA)
+    return literal_table(spark, rows, TEMPLATE_SCHEMA)
 
 
 def with_template(df: DataFrame, name_column: str) -> DataFrame:
