@@ -99,7 +99,7 @@ def speaker_chats(t):
     return t.documents.select(
         d.cast("string").alias("id"),
         "source",
-        F.concat(F.lit("img/"), (d % 40).cast("string"), F.lit(".png")).alias("image"),
+        F.concat(F.lit("img/"), d.cast("string"), F.lit(".png")).alias("image"),
         F.transform(F.split("text", "\n", -1), speaker).alias("conversations"),
     )
 
@@ -134,13 +134,13 @@ def skipped_messages(t):
 
 
 @query(
-    f"""WITH {_SPEAKER_SQL} SELECT doc_id::VARCHAR AS id, 'pages/img/' || (doc_id % 40) || '.png' AS image,
+    f"""WITH {_SPEAKER_SQL} SELECT doc_id::VARCHAR AS id, 'pages/img/' || doc_id || '.png' AS image,
   coalesce(string_agg(role || ':' || CASE WHEN role = 'user' THEN replace(v, '<image>' || chr(10), '') ELSE v END, '|' ORDER BY i) FILTER (WHERE role IS NOT NULL), '') AS messages
-FROM mapped WHERE doc_id % 40 IN (SELECT page_id % 120 FROM pages WHERE page_id % 3 = 0) GROUP BY doc_id"""
+FROM mapped WHERE doc_id IN (SELECT page_id * 3 FROM pages) GROUP BY doc_id"""
 )
 def image_records(t):
-    files = t.pages.filter("page_id % 3 = 0").select(
-        F.concat(F.lit("pages/img/"), (F.col("page_id") % 120).cast("string"), F.lit(".png")).alias("path")
+    files = t.pages.select(
+        F.concat(F.lit("pages/img/"), (F.col("page_id") * 3).cast("string"), F.lit(".png")).alias("path")
     )
     df = N.with_image(speaker_chats(t), images=files, root="pages")
     flat = F.array_join(

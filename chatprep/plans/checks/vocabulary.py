@@ -104,19 +104,18 @@ def target_to_draft(t):
     return V.target_to_draft(t.spark, best(t), TARGET)
 
 
-PAD = 3000
+PAD = 70000  # more than there are hashed ids, so padding always happens
 
 
 @query(
-    f"""WITH {IDS_SQL}, small AS (SELECT * FROM idfreq WHERE token < 4000), missing AS (
+    f"""WITH {IDS_SQL}, missing AS (
   SELECT i AS token, row_number() OVER (ORDER BY i) AS k FROM (SELECT unnest(range({PAD})) AS i)
-  WHERE i NOT IN (SELECT token FROM small))
-SELECT token::BIGINT AS token, n FROM small UNION ALL
-SELECT token::BIGINT, 0 FROM missing WHERE k <= {PAD} - (SELECT count(*) FROM small)"""
+  WHERE i NOT IN (SELECT token FROM idfreq))
+SELECT token::BIGINT AS token, n FROM idfreq UNION ALL
+SELECT token::BIGINT, 0 FROM missing WHERE k <= {PAD} - (SELECT count(*) FROM idfreq)"""
 )
 def padded_frequency(t):
-    few = id_freq(t).filter("token < 4000")
-    return V.pad_frequency(few, PAD).select(F.col("token").cast("bigint").alias("token"), "n")
+    return V.pad_frequency(id_freq(t), PAD).select(F.col("token").cast("bigint").alias("token"), "n")
 
 
 def _positions(t):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -30,3 +32,17 @@ def local_session(name: str = "chatprep", cpus: int | None = None) -> SparkSessi
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate tables, on storage all executors share.
+
+    It lies below ``spark.checkpoint.dir``.  Only a local session without that
+    setting may use a temporary folder of the machine.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="chatprep-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
