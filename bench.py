@@ -1,4 +1,4 @@
-"""Headline queries on local cores; prints one JSON line."""
+"""Headline queries on local cores, better of two runs; prints one JSON line."""
 
 from __future__ import annotations
 
@@ -42,9 +42,12 @@ def main() -> None:
     spark.range(1000).selectExpr("sum(id)").collect()  # start the executors
     times: dict[str, float] = {}
     for name in HEADLINE:
-        start = time.perf_counter()
-        queries[name](spark, folder).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - start, 3)
+        runs = []
+        for _ in range(2):  # the first run also loads and compiles classes
+            start = time.perf_counter()
+            queries[name](spark, folder).write.format("noop").mode("overwrite").save()
+            runs.append(time.perf_counter() - start)
+        times[name] = round(min(runs), 3)
     print(
         json.dumps(
             {

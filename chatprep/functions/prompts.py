@@ -34,7 +34,7 @@ def few_shot_prefix(df: DataFrame, order: str, question: str, answer: str, k: in
     """The first ``k`` rows with their answers, as one scalar."""
     first = df.orderBy(order).limit(k)
     shown = F.struct(F.col(order), F.concat(example(F.col(question), F.col(answer)), F.lit("\n\n")).alias("t"))
-    texts = F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["t"])
+    texts = F.transform(F.sort_array(F.collect_list(shown)), lambda x: x["t"])
     return first.agg(F.array_join(texts, "")).scalar()
 
 

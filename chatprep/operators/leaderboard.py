@@ -99,8 +99,8 @@ def as_maps(entries: DataFrame) -> DataFrame:
     base = F.struct(F.col("benchmark"), F.struct(*[F.col(f"base_{v}").alias(v) for v in VALUES]).alias("v"))
     has_base = F.coalesce(*[F.col(f"base_{v}") for v in VALUES]).isNotNull()
     return entries.groupBy("target", "draft", "config").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(item))).alias("metrics"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(has_base, base)))).alias("baseline"),
+        F.map_from_entries(F.sort_array(F.collect_list(item))).alias("metrics"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(has_base, base)))).alias("baseline"),
     )
 
 

@@ -125,7 +125,7 @@ def gather(
     """
     keys = list(keys)
     item = F.struct(F.col(order).alias("__o"), *[F.col(f) for f in fields])
-    arranged = F.slice(F.array_sort(F.collect_list(item)), 1, max_items)
+    arranged = F.slice(F.sort_array(F.collect_list(item)), 1, max_items)
     arranged = F.transform(arranged, lambda m: F.struct(*[m[f].alias(f) for f in fields]))
     if short_keys(df, order, block):
         return df.groupBy(*keys).agg(arranged.alias(name))

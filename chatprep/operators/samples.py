@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatprep.functions.arrays import (
@@ -19,6 +19,7 @@ from chatprep.functions.arrays import (
     zeros,
 )
 from chatprep.functions.hashing import seeded_key
+from chatprep.operators.common import pin
 
 IDS, MASK = "input_ids", "loss_mask"
 
@@ -117,13 +118,14 @@ def pad_batches(
 ) -> DataFrame:
     """Right-pad every array to its batch's longest, rounded up to ``multiple``.
 
-    Batches are as small as the caller's batch size; the longest length is found
-    by an aggregate that combines before the shuffle, so arrays are not sorted.
+    A batch is as small as the caller's batch size, so it is a bounded window: one
+    shuffle by batch, and the arrays are computed once.
     """
     batch = list(batch)
-    lengths = df.groupBy(*batch).agg(F.max(F.size(columns[0])).alias("__max"))
+    longest = F.max(F.size(columns[0])).over(Window.partitionBy(*batch))
+    sized = df.withColumn("__max", longest)
     width = round_up(F.col("__max"), multiple)
-    padded = df.join(lengths, batch).withColumns(
+    padded = sized.withColumns(
         {c: pad_right(F.col(c), width) for c in columns} | {"padded_length": width}
     )
     if position_ids:
@@ -142,13 +144,13 @@ def anchors(df: DataFrame, key: str, block_size: int, num_anchors: int, seed: in
     """
 
     def draw(valid: Column, sample: Column) -> Column:
-        drawn = F.array_sort(
+        drawn = F.sort_array(
             F.transform(
                 valid, lambda p: F.struct(seeded_key(seed, sample, p).alias("h"), p.alias("p"))
             )
         )
         count = F.greatest(F.least(F.lit(num_anchors), F.size(valid) - 1), F.lit(0))
-        return F.array_sort(F.transform(F.slice(drawn, F.lit(1), count), lambda x: x["p"]))
+        return F.sort_array(F.transform(F.slice(drawn, F.lit(1), count), lambda x: x["p"]))
 
     def positions(m: Column) -> Column:
         last = F.least(F.greatest(F.size(m) - block_size, F.lit(0)), F.size(m) - 1)
@@ -158,7 +160,7 @@ def anchors(df: DataFrame, key: str, block_size: int, num_anchors: int, seed: in
         F.col(mask), lambda m: let(positions(m), lambda valid: draw(valid, F.col(key)))
     )
     empty = F.array().cast("array<int>")
-    return df.withColumn("anchors", F.when(F.size(mask) > 0, picked).otherwise(empty))
+    return pin(df, anchors=F.when(F.size(mask) > 0, picked).otherwise(empty))
 
 
 def require_anchors(df: DataFrame, column: str = "anchors") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chatprep.functions import answers as A
 from chatprep.functions import prompts as P
+from chatprep.operators.common import pin
 from chatprep.operators.templates import RESPECTFUL, literal_table
 
 # --- accuracy ------------------------------------------------------------------------------
@@ -125,7 +126,7 @@ def build_requests(questions: DataFrame, bench: str = "bench", question: str = "
 def score(replies: DataFrame, bench: str, by: Sequence[str] = (), reply: str = "reply", label: str = "label") -> DataFrame:
     """Extract and score the replies of one benchmark."""
     b = get_benchmark(bench)
-    found = replies.withColumn("prediction", b.extract(F.col(reply)))
+    found = pin(replies, prediction=b.extract(F.col(reply)))
     if b.over is None:
         return found.groupBy(*by).agg(
             F.lit(None).cast("double").alias("accuracy"),

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from chatprep.functions.arrays import let, ones, prefix_sums, zeros
 from chatprep.functions.text import quote_regex
+from chatprep.operators.common import pin
 from chatprep.operators.templates import ChatTemplate
 from chatprep.operators.tokens import hashed_ids, joins_at, token_count, tokens
 
@@ -228,15 +229,11 @@ def masked_sample(
         how = "containment"
     source = F.col(text)
     spans = find_spans(source, rule)
-    out = df.withColumn("__tokens", tokens(source)).withColumn(
-        "__spans", last_span(spans) if last_only else spans
-    )
+    out = pin(df, __tokens=tokens(source), __spans=last_span(spans) if last_only else spans)
     mask = span_mask(source, F.col("__spans"), F.size("__tokens"), how)
     mask = clear_literals(mask, source, template.ignore_token)
     ids = hashed_ids(F.col("__tokens") if max_length is None else F.slice("__tokens", 1, max_length))
-    out = out.withColumns(
-        {"input_ids": ids, "loss_mask": mask if max_length is None else F.slice(mask, 1, max_length)}
-    )
+    out = pin(out, input_ids=ids, loss_mask=mask if max_length is None else F.slice(mask, 1, max_length))
     return out.withColumn("attention_mask", ones(F.size("input_ids"))).drop("__tokens", "__spans")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatprep.functions.arrays import let
+from chatprep.operators.common import pin
 from chatprep.operators.ordered import scan_groups, short_keys
 
 # Who may precede whom.
@@ -81,8 +82,10 @@ def system_prompt(conversation: Column, template_prompt: str | None) -> Column:
 def prepare(df: DataFrame, template_prompt: str | None, column: str = "conversations") -> DataFrame:
     """Non-empty records with ``system`` and ``messages`` resolved."""
     conv = F.col(column)
-    return non_empty(df, column).withColumns(
-        {"system": system_prompt(conv, template_prompt), "messages": valid_prefix(body(conv))}
+    return pin(
+        non_empty(df, column),
+        system=system_prompt(conv, template_prompt),
+        messages=valid_prefix(body(conv)),
     )
 
 

@@ -8,6 +8,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chatprep.session import spread
+
+# Tables whose rows cost much more to process than to move.
+HEAVY = {"documents", "lineitem"}
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 _SCHEMAS: dict = {}
@@ -24,7 +29,8 @@ class Tables:
         path = f"{self.folder}/{name}.parquet"
         if path not in _SCHEMAS:
             _SCHEMAS[path] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+        df = self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+        return spread(df) if name in HEAVY else df
 
 
 def query(sql: str | None = None, name: str | None = None):

@@ -4,6 +4,7 @@ from chatprep.functions import answers as A
 from chatprep.functions import prompts as P
 from chatprep.functions.text import SPACE_CHARS
 from chatprep.operators import scoring
+from chatprep.operators.common import pin
 from chatprep.plans import standins as S
 from chatprep.plans.catalog import query
 
@@ -89,7 +90,7 @@ _LABEL_SQL = "CASE WHEN l_partkey % 4 = 0 THEN NULL WHEN l_partkey % 4 = 1 THEN
 
 
 def labelled(t, extract):
-    df = replies(t).withColumn("answer", extract(F.col("reply")))
+    df = pin(replies(t), answer=extract(F.col("reply")))
     p = F.col("l_partkey") % 4
     label = F.when(p == 1, F.concat(F.lit("+0"), F.col("l_linenumber").cast("string"))).when(p > 1, F.col("answer"))
     return df.withColumn("label", label)

@@ -54,7 +54,7 @@ def documents(t):
     metric = F.struct(name.alias("Name"), thr.alias("output_throughput"), F.col("acc").alias("accept_length"))
 
     def ordered(key, value):
-        return F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), value.alias("v")))), lambda x: x["v"])
+        return F.transform(F.sort_array(F.collect_list(F.struct(key.alias("k"), value.alias("v")))), lambda x: x["v"])
 
     per_result = rows.groupBy("target", "b", "r").agg(ordered(order, metric).alias("metrics"))
     zero = F.col("r") == 0
@@ -70,7 +70,7 @@ def documents(t):
         F.concat(F.lit("k"), F.col("b").cast("string")).alias("key"),
         F.struct(F.get(names, F.col("b")).alias("benchmark_name"), "results").alias("value"),
     )
-    per_target = per_bench.groupBy("target").agg(F.map_from_entries(F.array_sort(F.collect_list(part))).alias("m"))
+    per_target = per_bench.groupBy("target").agg(F.map_from_entries(F.sort_array(F.collect_list(part))).alias("m"))
     whole = per_target.agg(F.map_from_entries(F.collect_list(F.struct("target", "m"))).alias("d"))
     return RS.parse_documents(whole.select(F.to_json("d").alias("value")))
 

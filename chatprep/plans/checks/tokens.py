@@ -4,7 +4,7 @@ from chatprep.functions import arrays as A
 from chatprep.operators import spans as P
 from chatprep.operators import templates as R
 from chatprep.operators import tokens as T
-from chatprep.operators import turns as C
+from chatprep.operators.common import pin
 from chatprep.plans import standins as S
 from chatprep.plans.catalog import query
 from chatprep.plans.checks.turns import _HARMONY_SQL, harmony_chats, rendered
@@ -121,7 +121,8 @@ _HARMONY_TEXT = f"{_HARMONY_SQL}, chat_text AS (SELECT doc_id, text FROM harmony
 
 
 def harmony_text(t):
-    return harmony_chats(t).select("doc_id", R.harmony_conversation(F.col("conversations")).alias("text"))
+    text = R.harmony_conversation(F.col("conversations"))
+    return pin(harmony_chats(t), text=text).select("doc_id", "text")
 
 
 QWEN_TEXT = S.rendered_sql(QWEN)
@@ -147,12 +148,12 @@ for _case, (_sql, _texts, _tpl, _style, _head, _stop, _in, _how) in _CASES.items
 
     def _find(t, texts=_texts, tpl=_tpl, style=_style):
         found = P.find_spans(F.col("text"), P.span_rule(tpl, style))
-        df = texts(t).select("doc_id", found.alias("sp"))
+        df = pin(texts(t), sp=found)
         return df.filter(F.size("sp") > 0).select("doc_id", span_list(F.col("sp")).alias("spans"))
 
     def _mask(t, texts=_texts, tpl=_tpl, style=_style, how=_how):
         df = texts(t).filter("text <> ''")
-        df = df.withColumn("sp", P.find_spans(F.col("text"), P.span_rule(tpl, style)))
+        df = pin(df, sp=P.find_spans(F.col("text"), P.span_rule(tpl, style)))
         mask = P.span_mask(F.col("text"), F.col("sp"), T.token_count(F.col("text")), how)
         return df.select("doc_id", text(mask).alias("mask"))
 
@@ -170,7 +171,7 @@ for _case, (_sql, _texts, _tpl, _style, _head, _stop, _in, _how) in _CASES.items
 def mask_last_reply(t):
     df = rendered(t, QWEN).filter("text <> ''")
     sp = P.last_span(P.find_spans(F.col("text"), P.span_rule(QWEN)))
-    df = df.withColumn("sp", sp)
+    df = pin(df, sp=sp)
     return df.select(
         "doc_id", text(P.span_mask(F.col("text"), F.col("sp"), T.token_count(F.col("text")))).alias("mask")
     )
@@ -247,8 +248,8 @@ SELECT doc_id, run::BIGINT AS run, any_value(m)::BIGINT AS mask, string_agg(tok,
 )
 def mask_runs(t):
     df = rendered(t, QWEN).filter("text <> ''")
-    df = df.withColumns({"tok": T.tokens(F.col("text")), "sp": P.find_spans(F.col("text"), P.span_rule(QWEN))})
-    df = df.withColumn("mask", P.span_mask(F.col("text"), F.col("sp"), F.size("tok")))
+    df = pin(df, tok=T.tokens(F.col("text")), sp=P.find_spans(F.col("text"), P.span_rule(QWEN)))
+    df = pin(df, mask=P.span_mask(F.col("text"), F.col("sp"), F.size("tok")))
     runs = P.mask_runs(df, "doc_id", "tok", "mask")
     return runs.withColumns({c: F.col(c).cast("bigint") for c in ("run", "mask")})
 

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from chatprep.operators import templates as R
 from chatprep.operators import turns as C
+from chatprep.operators.common import pin
 from chatprep.plans import standins as S
 from chatprep.plans.catalog import query
 from chatprep.sources import normalise as N
@@ -68,7 +69,8 @@ def record_system_prompts(t):
 
 def rendered(t, template):
     df = C.prepare(S.doc_chats(t), template.system_prompt)
-    return df.select("doc_id", R.render_conversation(F.col("system"), F.col("messages"), template).alias("text"))
+    text = R.render_conversation(F.col("system"), F.col("messages"), template)
+    return pin(df, text=text).select("doc_id", "text")
 
 
 for _name in ("qwen", "llama3", "ling-flash-2.0", "longcat"):

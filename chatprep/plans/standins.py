@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatprep.operators.common import pin
 from chatprep.operators.templates import ChatTemplate, role_header
 from chatprep.operators.tokens import TOKEN_PATTERN
 
@@ -124,7 +125,7 @@ def doc_conversation() -> Column:
 
 
 def doc_chats(t) -> DataFrame:
-    return t.documents.select("doc_id", doc_conversation().alias("conversations"))
+    return pin(t.documents.select("doc_id", "text"), conversations=doc_conversation()).drop("text")
 
 
 # --- rendering in SQL ----------------------------------------------------------------------
@@ -185,9 +186,9 @@ def samples(t) -> DataFrame:
     from chatprep.operators.tokens import hashed_ids, tokens
 
     tk = tokens(F.col("text"))
-    base = t.documents.select("doc_id", tk.alias("tk"))
+    base = pin(t.documents.select("doc_id", "text"), tk=tk).drop("text")
     mask = F.transform("tk", lambda x, i: ((F.floor(i / 8) + F.col("doc_id")) % 2).cast("int"))
-    return base.select("doc_id", hashed_ids(F.col("tk")).alias("input_ids"), mask.alias("loss_mask"))
+    return pin(base, input_ids=hashed_ids(F.col("tk")), loss_mask=mask).drop("tk")
 
 
 def joined(column, sep: str = ",") -> Column:

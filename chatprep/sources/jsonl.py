@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatprep.functions.text import strip
+from chatprep.operators.common import pin
 
 MESSAGE_FIELDS = ("role", "content", "tool_calls", "reasoning_content")
 
@@ -31,12 +32,17 @@ def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     Columns: ``id, text, conversations, tools, reason, line``.  Works on batch and
     streaming frames alike.
     """
-    trimmed = strip(F.col(line))
-    parsed = lines.select(F.col(line).alias("line"), F.try_parse_json(trimmed).alias("v"), trimmed.alias("t"))
+    trimmed = strip(F.col("line"))
+    parsed = pin(lines.select(F.col(line).alias("line")), v=F.try_parse_json(trimmed), t=trimmed)
     parsed = parsed.filter(F.col("t") != "")
     conv = F.try_variant_get("v", "$.conversations", "variant")
-    is_list = _kind(conv) == "ARRAY"
-    absent = conv.isNull() | F.is_variant_null(conv)
+    parsed = pin(
+        parsed,
+        conv_kind=F.when(F.is_variant_null(conv), F.lit(None)).otherwise(_kind(conv)),
+        tools=F.try_variant_get("v", "$.tools", "variant"),
+    )
+    is_list = F.coalesce(F.col("conv_kind") == "ARRAY", F.lit(False))
+    absent = F.col("conv_kind").isNull()
     reason = (
         F.when(F.col("v").isNull(), "not JSON")
         .when(_kind(F.col("v")) != "OBJECT", "not an object")
@@ -52,7 +58,7 @@ def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     empty = F.array().cast(
         "array<struct<role:string,content:string,tool_calls:string,reasoning_content:string>>"
     )
-    tools = F.try_variant_get("v", "$.tools", "variant")
+    tools = F.col("tools")
     text = F.try_variant_get(tools, "$", "string")
     inner = F.when(_kind(tools) == "STRING", F.try_parse_json(text))
     as_json = (

@@ -124,7 +124,7 @@ def shuffled_options(df: DataFrame, seed: int | str = 42, key: Column | None = N
     """
     key = F.col("question") if key is None else key
     answers = F.array("distractor3", "distractor1", "distractor2", "correct_answer")
-    drawn = F.array_sort(
+    drawn = F.sort_array(
         F.transform(answers, lambda x, i: F.struct(seeded_key(seed, key, i).alias("h"), x.alias("x")))
     )
     shuffled = F.transform(drawn, lambda s: s["x"])
