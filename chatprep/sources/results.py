@@ -16,23 +16,25 @@ def result_documents(runs: DataFrame, model: str = "model", benchmark: str = "be
     A row is one benchmark at one configuration with its array of run metrics.  The
     number of rows per model is configurations times benchmarks: a report, not data.
     """
-    entry = F.struct("batch_size", "steps", "topk", "num_draft_tokens", "metrics", "num_samples")
-    per_bench = runs.groupBy(model, benchmark).agg(F.array_sort(F.collect_list(entry), _by_config).alias("results"))
-    whole = per_bench.groupBy(model).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(benchmark, "results")), _by_name)).alias("benchmarks")
+    entry = F.struct(*CONFIG, "metrics", "num_samples")
+    per_bench = runs.groupBy(model, benchmark).agg(
+        F.array_sort(F.collect_list(entry), _by(*CONFIG)).alias("results")
     )
+    listed = F.array_sort(F.collect_list(F.struct(F.col(benchmark).alias("name"), "results")), _by("name"))
+    whole = per_bench.groupBy(model).agg(F.map_from_entries(listed).alias("benchmarks"))
     return whole.select(F.to_json(F.struct(F.col(model).alias("model"), "benchmarks")).alias("value"))
 
 
-def _by_config(a, b):
-    def key(x):
-        return F.struct(x["batch_size"], x["steps"], x["topk"], x["num_draft_tokens"])
+CONFIG = ("batch_size", "steps", "topk", "num_draft_tokens")
+
 
-    return F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0)
+def _by(*fields: str):
+    """Comparator on some fields (the others may have no order)."""
 
+    def key(x):
+        return F.struct(*[x[f].alias(f) for f in fields])
 
-def _by_name(a, b):
-    return F.when(a[0] < b[0], -1).when(a[0] > b[0], 1).otherwise(0)
+    return lambda a, b: F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0)
 
 
 def write_results(runs: DataFrame, path: str, name: str = "") -> str:
