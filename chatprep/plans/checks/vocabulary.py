@@ -5,7 +5,7 @@ from chatprep.operators.templates import get_template, render_message, role_head
 from chatprep.operators.tokens import TOKEN_PATTERN, hashed_id
 from chatprep.plans import standins as S
 from chatprep.plans.catalog import query
-from chatprep.plans.draft_vocabulary import draft_coverage, placed_messages, supervised_words
+from chatprep.plans.draft_vocabulary import draft_coverage, placed_messages, supervised_words, training_samples as build_samples
 
 QWEN = get_template("qwen")
 MAX_LENGTH, DRAFT = 512, 200
@@ -162,3 +162,14 @@ SELECT sum(loss_mask)::BIGINT AS supervised, sum(pm)::BIGINT AS trainable,
 def trainable_share(t):
     t2d = V.target_to_draft(t.spark, best(t), TARGET)
     return V.kept_share(V.position_mask(_positions(t), t2d)).withColumn("share", F.round("share", 6))
+
+
+@query(
+    f"""WITH {WORDS_SQL}, m AS (
+  SELECT t.conv_id, t.i, t.tok, (CASE WHEN EXISTS (SELECT 1 FROM spans p WHERE p.conv_id = t.conv_id AND t.s >= p.s AND t.s < p.e) THEN 1 ELSE 0 END) AS m
+  FROM toks t WHERE t.i < {MAX_LENGTH})
+SELECT conv_id, string_agg({S.HASH_ID_SQL.format("tok")}::VARCHAR, ',' ORDER BY i) AS ids, string_agg(m::VARCHAR, '' ORDER BY i) AS mask FROM m GROUP BY conv_id"""
+)
+def training_samples(t):
+    out = build_samples(S.turns(t), QWEN, MAX_LENGTH)
+    return out.select("conv_id", F.array_join("input_ids", ",").alias("ids"), F.array_join("loss_mask", "").alias("mask"))

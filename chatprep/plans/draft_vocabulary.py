@@ -12,17 +12,18 @@ whole rendered text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatprep.functions.arrays import ones, zeros
 from chatprep.operators.ordered import scan_groups, short_keys
 from chatprep.operators.templates import ChatTemplate, render_message, role_header
-from chatprep.operators.tokens import token_count, tokens
+from chatprep.operators.tokens import hashed_ids, token_count, tokens
 from chatprep.operators.turns import flag_turns
 from chatprep.operators.vocabulary import coverage, frequency
 
 
-def placed_messages(
+def place_messages(
     turns: DataFrame,
     template: ChatTemplate,
     key: str = "conv_id",
@@ -30,8 +31,9 @@ def placed_messages(
     role: str = "role",
     text: str = "text",
 ) -> DataFrame:
-    """Valid messages with ``rendered``, ``n_tokens`` and ``start``, the number of
-    tokens before the message in the rendered conversation."""
+    """Every message with ``rendered``, ``n_tokens``, ``kept`` (it stands before the
+    first misplaced one), ``own_system`` (the record leads with a system message, seen
+    from this message on) and ``start``, the number of tokens before it."""
     short = short_keys(turns, order)
     flagged = flag_turns(turns, key, order, role, short)
     rendered = render_message(F.col(role), F.col(text), template)
@@ -50,14 +52,60 @@ def placed_messages(
         },
         short=short,
     )
-    placed = placed.filter((F.col("__bad") == 0) & ~F.col("misplaced"))
+    placed = placed.withColumns(
+        {
+            "kept": (F.col("__bad") == 0) & ~F.col("misplaced"),
+            "own_system": (F.col("__system") > 0) | (F.col("__leads") > 0),
+        }
+    )
     if template.system_prompt:
-        own = token_count(render_message(F.lit("system"), F.lit(template.system_prompt), template))
-        given = (F.col("__system") > 0) | (F.col("__leads") > 0)
-        placed = placed.withColumn("start", F.col("start") + F.when(given, 0).otherwise(own))
+        own = token_count(system_text(template))
+        placed = placed.withColumn("start", F.col("start") + F.when(F.col("own_system"), 0).otherwise(own))
     return placed.drop("__bad", "__system", "__leads", "misplaced", "position")
 
 
+def system_text(template: ChatTemplate) -> Column:
+    """The template's own system message, rendered."""
+    return render_message(F.lit("system"), F.lit(template.system_prompt), template)
+
+
+def placed_messages(turns: DataFrame, template: ChatTemplate, **columns: str) -> DataFrame:
+    """The kept messages with their place."""
+    return place_messages(turns, template, **columns).filter("kept").drop("kept", "own_system")
+
+
+def training_samples(
+    turns: DataFrame, template: ChatTemplate, max_length: int = 2048, key: str = "conv_id", role: str = "role", **columns: str
+) -> DataFrame:
+    """``(key, input_ids, loss_mask)`` per conversation, at most ``max_length`` long.
+
+    A message is at least one token, so no more than ``max_length`` parts of a key are
+    collected; the others are left out before the shuffle, which carries one partial
+    row per key and task.
+    """
+    placed = place_messages(turns, template, key=key, role=role, **columns)
+    n_head = token_count(F.lit(role_header(template, "assistant")))
+    reply = F.col(role) == "assistant"
+    size = F.col("n_tokens")
+    mask = F.when(reply, F.concat(zeros(n_head), ones(size - n_head))).otherwise(zeros(size))
+    room = F.greatest(F.lit(max_length) - F.col("start"), F.lit(0)).cast("int")
+    part = F.struct(
+        F.col("start"),
+        F.slice(hashed_ids(tokens(F.col("rendered"))), F.lit(1), room).alias("ids"),
+        F.slice(mask, F.lit(1), room).alias("mask"),
+    )
+    parts = F.sort_array(F.collect_list(F.when(F.col("kept") & (room > 0), part)))
+    grouped = placed.groupBy(key).agg(parts.alias("parts"), F.max("own_system").alias("own"))
+    ids = F.flatten(F.transform("parts", lambda p: p["ids"]))
+    masks = F.flatten(F.transform("parts", lambda p: p["mask"]))
+    if template.system_prompt:
+        head = F.slice(hashed_ids(tokens(system_text(template))), 1, max_length)
+        none = F.array().cast("array<int>")
+        ids = F.concat(F.when(F.col("own"), none).otherwise(head), ids)
+        masks = F.concat(F.when(F.col("own"), none).otherwise(zeros(F.size(head))), masks)
+    return grouped.select(key, ids.alias("input_ids"), masks.alias("loss_mask"))
+
+
 def supervised_words(
     turns: DataFrame, template: ChatTemplate, max_length: int | None = 2048, role: str = "role", **columns: str
 ) -> DataFrame:
