@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chatprep.functions.arrays import let
 from chatprep.functions.text import SPACE_CHARS, first_match, last_match, strip
 
 S = f"[{SPACE_CHARS}]"
@@ -34,8 +35,9 @@ def words(text: Column) -> Column:
 def boxed_integer(text: Column) -> Column:
     """Competition answers: the last integer in the first box (else the box), a bare
     box, "answer ...", a closing "is/equals/=", else the last integer up to 999."""
-    box = strip(first_match(text, BOXED))
-    in_box = F.coalesce(last_match(box, r"(\p{Nd}+)"), box)
+    in_box = let(
+        strip(first_match(text, BOXED)), lambda box: F.coalesce(last_match(box, r"(\p{Nd}+)"), box)
+    )
     small = F.filter(words(text), lambda w: F.regexp_like(w, F.lit(r"\A0*[0-9]{1,3}\z")))
     return F.coalesce(
         in_box,
@@ -113,7 +115,7 @@ def code_block(text: Column) -> Column:
     one, else the whole text; null when that is blank."""
     whole = strip(text)
     return F.coalesce(
-        strip(first_match(text, FENCED_CODE)),
+        strip(first_match(text, FENCED_CODE, may_be_empty=True)),
         strip(first_match(text, FUNCTION_CODE)),
         F.when(whole != "", whole),
     )

@@ -31,9 +31,15 @@ def quote_regex(literal: str) -> str:
     return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", literal)
 
 
-def first_match(text: Column, pattern: str, group: int = 1) -> Column:
-    """First match of a group, or null when the pattern does not occur."""
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.regexp_extract(text, pattern, group))
+def first_match(text: Column, pattern: str, group: int = 1, may_be_empty: bool = False) -> Column:
+    """First match of a group, or null when the pattern does not occur.
+
+    A group that cannot match the empty text needs one search, others need two.
+    """
+    found = F.regexp_extract(text, pattern, group)
+    if may_be_empty:
+        return F.when(F.regexp_like(text, F.lit(pattern)), found)
+    return F.nullif(found, F.lit(""))
 
 
 def last_match(text: Column, pattern: str, group: int = 1) -> Column:

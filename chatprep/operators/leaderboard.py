@@ -19,17 +19,28 @@ CONFIG = ("batch_size", "steps", "topk", "num_draft_tokens")
 VALUES = ("throughput", "accept_length")
 
 
-def flatten_documents(documents: DataFrame, column: str = "document") -> DataFrame:
-    """Nested documents to one row per metric, with its place in the document."""
+def flatten_documents(documents: DataFrame, baseline_name: str | None = None, column: str = "document") -> DataFrame:
+    """Nested documents to one row per metric, with its place in the document.
+
+    With ``baseline_name`` every row also gets the values of the first metric of that
+    name in the same result; they are taken from the result's own list, without a join.
+    """
     rows = documents.select(F.posexplode(column).alias("t_pos", "target", "__b"))
     rows = rows.select("target", F.posexplode("__b").alias("b_pos", "key", "__r"))
     rows = rows.select(
         "target", "b_pos", F.col("__r.benchmark_name").alias("benchmark"), F.posexplode("__r.results").alias("r_pos", "r")
     )
+    base = F.get(F.filter("r.metrics", lambda m: m["Name"] == F.lit(baseline_name)), F.lit(0))
     rows = rows.select(
-        "target", "benchmark", "b_pos", "r_pos", *[F.col(f"r.{c}").alias(c) for c in CONFIG], F.posexplode("r.metrics").alias("m_pos", "m")
+        "target",
+        "benchmark",
+        "b_pos",
+        "r_pos",
+        *[F.col(f"r.{c}").alias(c) for c in CONFIG],
+        *([base.alias("base")] if baseline_name is not None else []),
+        F.posexplode("r.metrics").alias("m_pos", "m"),
     )
-    return rows.select(
+    flat = [
         "target",
         "benchmark",
         *CONFIG,
@@ -37,29 +48,28 @@ def flatten_documents(documents: DataFrame, column: str = "document") -> DataFra
         F.col("m.Name").alias("name"),
         F.col("m.output_throughput").alias("throughput"),
         F.col("m.accept_length").alias("accept_length"),
-    )
+    ]
+    if baseline_name is not None:
+        flat += [
+            F.col("base.output_throughput").alias("base_throughput"),
+            F.col("base.accept_length").alias("base_accept_length"),
+        ]
+    return rows.select(*flat)
 
 
 def attach_baseline(metrics: DataFrame, baseline_name: str) -> DataFrame:
-    """Add the baseline values of the same result (the first one with that name).
-
-    Baselines are one row per result: they are aggregated before the join, and the
-    join is by the result's key.
-    """
-    keys = ["target", "benchmark", *CONFIG]
-    values = F.struct(*VALUES)
+    """The same for a flat table of metrics: join each row with the first baseline of
+    its result.  Baselines are reduced to one row per result before the join."""
+    keys = ["target", "__b", "__r"]
+    placed = metrics.withColumns({"__b": F.col("place.b_pos"), "__r": F.col("place.r_pos")})
     base = (
-        metrics.filter(F.col("name") == baseline_name)
+        placed.filter(F.col("name") == baseline_name)
         .groupBy(*keys)
-        .agg(F.min_by(values, F.col("place")).alias("__base"))
+        .agg(F.min_by(F.struct(*VALUES), F.col("place")).alias("__base"))
     )
-    same = None
-    left, right = metrics.alias("m"), base.alias("b")
-    for k in keys:
-        one = F.col(f"m.{k}").eqNullSafe(F.col(f"b.{k}"))
-        same = one if same is None else same & one
-    return left.join(right, same, "left").select(
-        "m.*", *[F.col(f"__base.{v}").alias(f"base_{v}") for v in VALUES]
+    joined = placed.join(base, keys, "left")
+    return joined.select(
+        *metrics.columns, *[F.col(f"__base.{v}").alias(f"base_{v}") for v in VALUES]
     )
 
 

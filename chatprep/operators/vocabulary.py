@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -36,20 +36,28 @@ def top_tokens(freq: DataFrame, draft_size: int, token: str = "token") -> DataFr
 
 
 def coverage(freq: DataFrame, draft_size: int, token: str = "token") -> DataFrame:
-    """Share of supervised tokens that the draft vocabulary covers; 0 when there are none."""
-    top = top_tokens(freq, draft_size, token).agg(
-        F.count("*").alias("draft_tokens"), F.coalesce(F.sum("n"), F.lit(0)).alias("covered")
-    )
-    whole = F.struct(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct"))
-    whole = freq.agg(whole.alias("whole")).scalar()
-    total, distinct = whole["total"], whole["distinct"]
-    return top.select(
-        "draft_tokens",
-        distinct.cast("bigint").alias("distinct_tokens"),
-        F.col("covered").cast("bigint").alias("covered"),
-        total.cast("bigint").alias("total"),
-        F.coalesce(F.try_divide("covered", total.cast("double")), F.lit(0.0)).alias("coverage"),
+    """Share of supervised tokens that the draft vocabulary covers; 0 when there are none.
+
+    The covered mass depends on the counts alone, so the frequencies are read once and
+    reduced to "how many tokens occur n times".  That table has at most
+    ``sqrt(2 * total)`` rows, which is what the unpartitioned window sees.
+    """
+    counts = freq.groupBy("n").agg(F.count(token).alias("tokens"))
+    above = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    room = F.lit(draft_size) - F.coalesce(F.sum("tokens").over(above), F.lit(0))
+    used = counts.withColumn("used", F.greatest(F.least(F.col("tokens"), room), F.lit(0)))
+
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(value), F.lit(0)).cast("bigint")
+
+    sums = used.agg(
+        total(F.col("used")).alias("draft_tokens"),
+        total(F.col("tokens")).alias("distinct_tokens"),
+        total(F.col("used") * F.col("n")).alias("covered"),
+        total(F.col("tokens") * F.col("n")).alias("total"),
     )
+    share = F.try_divide(F.col("covered").cast("double"), F.col("total").cast("double"))
+    return sums.withColumn("coverage", F.coalesce(share, F.lit(0.0)))
 
 
 def draft_to_target(top: DataFrame, token: str = "token_id") -> DataFrame:

@@ -21,8 +21,7 @@ metrics AS (
   FROM raw WHERE NOT (b_pos % 3 = 2 AND r_pos = 2 AND flag = 'A')),
 based AS (
   SELECT m.*, b.throughput AS base_throughput, b.accept_length AS base_accept_length FROM metrics m LEFT JOIN (
-    SELECT target, benchmark, batch_size, steps, topk, num_draft_tokens, arg_min(throughput, r_pos) AS throughput, arg_min(accept_length, r_pos) AS accept_length
-    FROM metrics WHERE name = '{BASE}' GROUP BY ALL) b USING (target, benchmark, batch_size, steps, topk, num_draft_tokens)),
+    SELECT target, b_pos, r_pos, throughput, accept_length FROM metrics WHERE name = '{BASE}') b USING (target, b_pos, r_pos)),
 labelled AS (
   SELECT *, CASE WHEN name = '{BASE}' THEN 'None' ELSE name END AS draft,
     CASE WHEN name = '{BASE}' THEN 'baseline' ELSE batch_size || '-' || steps || '-' || topk || '-' || num_draft_tokens END AS config FROM based),
@@ -80,7 +79,7 @@ def metrics(t):
 
 
 def entries(t):
-    return B.merge_entries(B.label_entries(B.attach_baseline(metrics(t), BASE), BASE))
+    return B.merge_entries(B.label_entries(B.flatten_documents(documents(t), BASE), BASE))
 
 
 _INTS = ("batch_size", "steps", "topk", "num_draft_tokens")
