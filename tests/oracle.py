@@ -34,6 +34,15 @@ def plain(v):
     return v
 
 
+SQL_TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "string": "VARCHAR",
+    "double": "DOUBLE",
+    "boolean": "BOOLEAN",
+}
+
+
 def table(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return [columns[i] for i in order], sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
@@ -51,7 +60,11 @@ def compare(spark, con, fn, sql, folder):
     want = table([d[0] for d in cur.description], cur.fetchall())
     t2 = time.time()
     problem = None
-    if got[0] != want[0]:
+    made = {d[0]: str(d[1]) for d in cur.description}
+    types = [(c, t, made.get(c)) for c, t in df.dtypes if SQL_TYPES.get(t, t) != made.get(c)]
+    if types:
+        problem = f"types {types}"
+    elif got[0] != want[0]:
         problem = f"columns {got[0]} != {want[0]}"
     elif len(got[1]) != len(want[1]):
         problem = f"{len(got[1])} rows != {len(want[1])}"
