@@ -12,7 +12,8 @@ _DRAFTS = {"N": "acme/Vendor-X-draft-N", "R": "vendor-x/acme//Bundle-R"}
 
 METRICS_SQL = f"""raw AS (
   SELECT 'team/t' || (l_suppkey % 4) AS target, (l_partkey % 8)::INT AS b_pos, (l_linenumber % 3)::INT AS r_pos, l_returnflag AS flag,
-    round(avg(l_extendedprice), 3) AS thr, round(avg(l_quantity), 3) AS acc FROM lineitem GROUP BY 1, 2, 3, 4),
+    (sum(round(l_extendedprice * 100)::BIGINT)::BIGINT // count(*)) / 100.0::DOUBLE AS thr,
+    (sum(l_quantity::BIGINT)::BIGINT * 1000 // count(*)) / 1000.0::DOUBLE AS acc FROM lineitem GROUP BY 1, 2, 3, 4),
 metrics AS (
   SELECT target, b_pos, r_pos, CASE flag WHEN 'A' THEN 2 WHEN 'N' THEN 0 ELSE 1 END AS m_pos, {_NAMES}[b_pos + 1] AS benchmark,
     1 AS batch_size, CASE WHEN r_pos = 0 THEN 0 ELSE 3 END AS steps, CASE WHEN r_pos = 0 THEN 0 ELSE 1 END AS topk, CASE WHEN r_pos = 0 THEN 0 ELSE 4 END AS num_draft_tokens,
@@ -43,7 +44,11 @@ def documents(t):
             (F.col("l_linenumber") % 3).cast("int").alias("r"),
             F.col("l_returnflag").alias("flag"),
         )
-        .agg(F.round(F.avg("l_extendedprice"), 3).alias("thr"), F.round(F.avg("l_quantity"), 3).alias("acc"))
+        .agg(
+            # Whole numbers until the last step, so that every engine gets the same value.
+            (F.floor(F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")) / F.count("*")) / 100.0).alias("thr"),
+            (F.floor(F.sum(F.col("l_quantity").cast("bigint")) * 1000 / F.count("*")) / 1000.0).alias("acc"),
+        )
         .filter("NOT (b % 3 = 2 AND r = 2 AND flag = 'A')")
     )
     flag = F.col("flag")
