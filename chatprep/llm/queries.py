@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatprep.llm import decontamination, token_files
+from chatprep.llm import decontamination, packing, quality_gam, quality_rules, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,6 +53,27 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination(decontamination.matches(index, table(spark, folder, "benchmark")))
 
 
+@query()
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(table(spark, folder, "documents"), tokenizer, end_id=1, capacity=4096)
+
+
+@query()
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query()
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op7_quality_gam(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_gam.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query()
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
