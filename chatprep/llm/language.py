@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatprep.llm.common import configure, groups, store
+from chatprep.llm.common import configure, groups, place, reach, store
 from chatprep.llm.learning import held_out
 
 WIDTH = 4096
@@ -121,11 +121,13 @@ def learn(docs: DataFrame) -> Model:
     total = {r.bucket: r.n for r in sums.collect()}  # WIDTH + 1 rows
     n = total.pop(-1, 0)
     idf = np.log((1 + n) / (1 + np.array([total.get(b, 0) for b in range(WIDTH)], float))) + 1
-    languages = known.select("lang").distinct().count()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("_n"))
+    languages = sizes.count()
     each = max(1, min(PER_LANGUAGE, SAMPLE // max(languages, 1)))
-    # Spark keeps only the first rows of a language on each side of the shuffle.
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= each)
+    # Rows that cannot be among the first of their language are left out before any are ranked.
+    near = known.join(F.broadcast(sizes), "lang").where(place("doc_id") < reach(each, F.col("_n")))
+    order = Window.partitionBy("lang").orderBy(place("doc_id"), "doc_id")
+    chosen = near.select("doc_id", "lang").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= each)
     chosen = store(chosen.select("doc_id").distinct(), "language-sample")  # at most SAMPLE rows or one per language
     texts = known.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
     sample = [(r.lang, np.frombuffer(r.vector, "<f4")) for r in texts.mapInArrow(_dense, "lang string, vector binary").collect()]

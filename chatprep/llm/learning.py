@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatprep.llm.common import first_rows
+
 MAX_TRAIN = 20_000  # labelled rows a quality model is fitted on, those of the smallest hashes of doc_id
 FOLDS = 5
 
@@ -16,11 +18,12 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def labelled(features: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows and labels (0 or 1) of at most ``MAX_TRAIN`` learnable rows."""
+    """Feature rows and labels (0 or 1) of at most ``MAX_TRAIN`` learnable labels."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("_label"))
     known = known.where(F.col("_label").isin(0, 1) & ~held_out())
-    rows = features.join(known, "doc_id").select("doc_id", "features", "_label")
-    taken = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "_label", "features").limit(MAX_TRAIN).collect()
+    chosen = first_rows(known, "doc_id", MAX_TRAIN)
+    taken = features.join(chosen, "doc_id").select("doc_id", "_label", "features").collect()
+    taken.sort(key=lambda r: (r.doc_id, r._label, r.features))
     width = len(taken[0].features) if taken else 0
     return np.array([r.features for r in taken], float).reshape(len(taken), width), np.array([r._label for r in taken], float)
 

@@ -103,7 +103,7 @@ def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
         left = capacity - lengths[a] - (lengths[chosen].sum(1) if chosen.shape[1] else 0)
         for back in range(2):
             last = np.searchsorted(lengths, left, "right") - 1 - back
-            ok = (last >= 0) & (left > 0) & (left - lengths[last] <= capacity * (1 - FULL))
+            ok = (last >= 0) & (left > 0) & (left - lengths[np.maximum(last, 0)] <= capacity * (1 - FULL))
             rows = np.sort(np.column_stack([a[ok], chosen[ok], last[ok]]), axis=1)[:, ::-1]
             found.append(np.pad(rows, ((0, 0), (0, 4 - rows.shape[1])), constant_values=-1))
     return np.unique(np.concatenate(found), axis=0)

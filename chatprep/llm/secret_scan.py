@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatprep.llm.common import store
+from chatprep.llm.common import first_rows, store
 from chatprep.llm.native import running_sums
 from chatprep.operators.common import pin
 
@@ -102,8 +102,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
     """Log-likelihood ratios by pair of ASCII codes (128 x 128), from the sample."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).distinct()
-    chosen = store(chosen, "secret-sample")
+    chosen = store(first_rows(rows.select("doc_id"), "doc_id", SAMPLE).distinct(), "secret-sample")
     sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi")  # at most SAMPLE ids
     cut = _marked(sample, "doc_id", "text")
     empty = F.array().cast("array<string>")
@@ -172,7 +171,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tabl
         cut = pin(rows, _cut=_cut(pattern, where))
         gaps, hits = F.col("_cut.gaps"), F.col("_cut.hits")
         swapped = F.transform(hits, lambda h: F.when(keep(h), F.lit(f"<{KINDS[kind]}>")).otherwise(h))
-        whole = F.array_join(F.zip_with(gaps, F.concat(swapped, F.array(F.lit(""))), F.concat), "")
+        whole = F.array_join(F.zip_with(gaps, F.concat(swapped, F.array(F.lit(""))), lambda g, h: F.concat(g, h)), "")
         return cut.withColumn("text", F.coalesce(whole, "text")).drop("_cut")
 
     rows = swap(low, ASSIGN, 0, marked, assigned).drop("low")

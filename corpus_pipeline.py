@@ -1,16 +1,85 @@
-"""A training corpus from raw documents: stages over Parquet tables, each one operator of chatprep.llm."""
+"""A training corpus from raw documents: stages over Parquet tables, each one operator of chatprep.llm.
+
+Every stage takes all rows its predecessor kept, all but the last return the columns of the
+documents.  Rows without a doc_id are known by a hash of their text.  Rows that share a doc_id are
+one document: the classifier keeps them when it keeps one of them, decontamination drops them when
+one of them is contaminated.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from chatprep.llm import decontamination, packing, quality_gam, secret_scan, simhash
+from chatprep.llm.common import store
+
+KEY = "_document_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(KEY, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts to be good."""
+    docs = _keyed(docs)
+    scored = quality_gam.score(docs, _table(spark, sf_dir, "labels"), id_col=KEY)
+    good = scored.where("predicted = 1").select(F.col("doc_id").alias(KEY)).distinct()
+    return docs.join(good, KEY, "left_semi").drop(KEY)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that of the smallest key, one row of it."""
+    docs = _keyed(docs)
+    found = simhash.near_duplicates(docs, id_col=KEY)
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(KEY)).distinct()
+    one = Window.partitionBy(KEY).orderBy(F.xxhash64("text"), "text")
+    kept = docs.join(first, KEY, "left_semi").withColumn("_row", F.row_number().over(one))
+    return kept.where("_row = 1").drop(KEY, "_row")
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated by benchmark items."""
+    docs = _keyed(docs)
+    index = decontamination.build_index(docs, id_col=KEY)
+    found = decontamination.contamination(decontamination.matches(index, _table(spark, sf_dir, "benchmark")))
+    bad = found.where("contaminated").select(F.col("doc_id").alias(KEY)).distinct()
+    return docs.join(bad, KEY, "left_anti").drop(KEY)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts replaced by marks and n_chars set anew."""
+    masked = secret_scan.redact(docs)
+    if "n_chars" in docs.columns:
+        count = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        masked = masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(count))
+    return masked
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all token pieces in sequences of 4096."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES = [
+    ("quality classifier", keep_good),
+    ("SimHash near-dedup", drop_copies),
+    ("benchmark decontamination", drop_benchmark),
+    ("secret scans", mask_secrets),
+    ("best-fit packing", pack_tokens),
+]
+ORACLE_SQL = None  # a learnt classifier and the tokenizer have no SQL; tests hold the stages against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the documents of a folder."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages in order over the documents of a folder; each but the last is stored."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
