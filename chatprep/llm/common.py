@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GROUP_BYTES = 1 << 20  # text that is scanned at once inside a task; a longer document stands alone
-BATCH_BYTES = 16 << 20  # largest Arrow batch sent to a Python worker
+GROUP_BYTES = 1 << 19  # text that is scanned at once inside a task; a longer document stands alone
+BATCH_BYTES = 4 << 20  # largest Arrow batch sent to a Python worker
 
 
 def configure(spark: SparkSession) -> None:

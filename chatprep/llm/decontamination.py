@@ -29,6 +29,7 @@ from chatprep.llm.common import configure, groups, lists, store
 from chatprep.llm.textscan import LOWER, WORD, keys, per_document, words
 
 WINDOW = 13
+SEGMENT_BYTES = 2 << 20  # text of a segment; a longer document is one alone
 BLOCK_WORDS = 1 << 20
 PIECE_WORDS = 1 << 14  # a longer item is cut into overlapping pieces
 BATCH_PAIRS = 1 << 20  # candidate places compared at once
@@ -52,7 +53,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, data, borders in groups(batch.column("text"), 4 << 20):
+            for low, high, data, borders in groups(batch.column("text"), SEGMENT_BYTES):
                 terms, first = _terms(data, borders)
                 order = np.argsort(terms, kind="stable").astype(np.int32)
                 found, starts = np.unique(terms[order], return_index=True)

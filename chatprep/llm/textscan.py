@@ -10,7 +10,7 @@ import numpy as np
 import xxhash
 
 SHORT = 64  # longer spans get the key of a byte hash
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 _BASE = 0x9E6C63D0876A9A47
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 

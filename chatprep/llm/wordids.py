@@ -17,7 +17,6 @@ run of letters at once, its whole pipeline takes the others.
 
 from __future__ import annotations
 
-import json
 import os
 import unicodedata
 from functools import lru_cache
@@ -30,8 +29,8 @@ from tokenizers import Tokenizer
 
 from chatprep.llm.textscan import LOWER, SHORT, keys
 
-SLOTS = 21  # a worker remembers up to 2 ** 21 units, each at the place its key names
-KEPT_IDS = 1 << 24  # beyond so many ids the memory starts anew
+SLOTS = 19  # a worker remembers up to 2 ** 19 units, each at the place its key names
+KEPT_IDS = 1 << 22  # beyond so many ids the memory starts anew
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -53,17 +52,14 @@ _SHOWN = {b: b for b in _PRINTED}
 _SHOWN |= {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
-def _kind(path: str) -> str:
-    with open(path, encoding="utf-8") as file:
-        made = json.load(file)
-    before = made.get("pre_tokenizer") or {}
-    if before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space"):
-        return "plain" if made.get("normalizer") else "bytes"
-    steps = [x["type"] for x in (made.get("normalizer") or {}).get("normalizers", [])]
-    splits = [x for x in before.get("pretokenizers", []) if x["type"] == "Split"]
-    if steps == ["NFC", "Replace", "Lowercase"] and splits and "[^\\s\\p{L}\\p{N}]+" in splits[0]["pattern"].get("Regex", ""):
-        return "words"
-    return "plain"
+def _kind(tokenizer: Tokenizer) -> str:
+    """Which of the rules above holds, read off the parts of the tokenizer."""
+    before, normal = repr(tokenizer.pre_tokenizer), repr(tokenizer.normalizer)
+    if before.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in before:
+        return "bytes" if normal == "None" else "plain"
+    words = "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in before and before.count("Split(") == 1
+    folds = normal.startswith("Sequence(normalizers=[NFC(), Replace(pattern=Regex(") and normal.endswith("Lowercase()])")
+    return "words" if words and folds and normal.count("(") == 5 else "plain"
 
 
 class WordIds:
@@ -72,14 +68,14 @@ class WordIds:
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind = _kind(path)
+        self.kind = _kind(self.tokenizer)
         self._forget()
 
     def _forget(self) -> None:
         self.known = np.zeros(1 << SLOTS, np.uint64)
         self.first = np.zeros(1 << SLOTS, np.int32)
         self.count = np.zeros(1 << SLOTS, np.int32)
-        self.ids = np.zeros(1 << 20, np.uint32)
+        self.ids = np.zeros(1 << 19, np.uint32)
         self.used = 0
 
     @staticmethod
