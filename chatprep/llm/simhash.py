@@ -13,8 +13,8 @@ each round stored in the shared folder.
 
 Nulls: a null text has no words and fingerprint zero.  Rows without a doc_id get the component of
 their fingerprint but never name one or carry links.  Repeated rows and equal texts share a
-fingerprint; rows with one doc_id count as one document.  An empty table gives no rows.  Other
-columns are ignored.
+fingerprint.  Where a doc_id is repeated with other texts, fingerprints with the same smallest
+doc_id count as one.  An empty table gives no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -237,33 +237,32 @@ def _compare(pairs: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def components(edges: DataFrame) -> DataFrame:
     """``node, root``: for each node of the edges ``(a, b)`` the smallest node it reaches."""
     edges = store(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    state = None
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = store(large, "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.inline(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))))
+        ends = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        small = large.join(least, "a").select(F.inline(ends))
         edges = store(small.where("a <> b").distinct(), "small-star")
-        new = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if new == state:
-            break
-        state = new
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node either is a root or has exactly one edge, to a root."""
+    ends = F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("leaf")), F.struct(F.col("b").alias("node"), F.lit(0).alias("leaf")))
+    seen = edges.select(F.inline(ends)).groupBy("node").agg(F.sum("leaf").alias("n"), F.min("leaf").alias("root"))
+    return seen.where("n > 1 OR (n = 1 AND root = 0)").isEmpty()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's ``doc_id, fingerprint`` (16 hex digits) and ``component_id``, the smallest doc_id reached."""
     made = store(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = store(made.groupBy("fingerprint").agg(F.min("doc_id").alias("id")), "classes")
-    # Rows that share a doc_id over several texts are links as well.
-    shared = made.where("doc_id IS NOT NULL").join(classes, "fingerprint").where("doc_id <> id AND id IS NOT NULL")
-    repeated = made.groupBy("doc_id").agg(F.count_distinct("fingerprint").alias("n")).where("n > 1").select("doc_id")
-    found = links(classes).unionByName(shared.join(repeated, "doc_id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
-    roots = components(found)
+    roots = components(links(classes))
     named = classes.join(roots, classes["id"] == roots["node"], "left").select(
         "fingerprint", F.coalesce("root", "id").alias("component_id")
     )
