@@ -1,10 +1,9 @@
 """Order-aware operators that never put an unbounded group into one task.
 
-A window over ``(key, order)`` sends every row of a key to one task.  That is fine
-when keys are proven to be short: one count of order values beyond the first block,
-answered by the Parquet statistics, tells.  If there are longer keys, a key is cut
-into blocks of at most ``block`` consecutive order values; windows run per
-``(key, block)`` and only one summary row per block crosses block borders.
+A window over ``(key, order)`` sends every row of a key to one task.  Here a key is
+always cut into blocks of at most ``block`` consecutive order values; windows run per
+``(key, block)``, and one summary row per block crosses block borders.  Order values
+are unique within a key, so a block is bounded; a repeated one is an error.
 """
 
 from __future__ import annotations
@@ -27,15 +26,6 @@ def _beyond(order: str, block: int) -> Column:
     return (F.col(order) >= block) | (F.col(order) < 0)
 
 
-def short_keys(df: DataFrame, order: str, block: int = BLOCK) -> bool:
-    """True when no key has more than ``block`` rows (order values are unique per key).
-
-    Reads the order column only, and only row groups whose statistics reach beyond
-    the first block.
-    """
-    return df.select(order).filter(_beyond(order, block)).count() == 0
-
-
 def _long_keys(df: DataFrame, keys: Sequence[str], order: str, block: int) -> DataFrame:
     return df.filter(_beyond(order, block)).select(*keys).distinct()
 
@@ -48,32 +38,28 @@ def scan_groups(
     sums: Mapping[str, Column] | None = None,
     inclusive: bool = False,
     block: int = BLOCK,
-    short: bool | None = None,
+    lasts: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Add look-back columns per key: preceding values and running totals.
 
-    ``lags`` maps a new column to the column whose preceding value it takes,
+    ``lags`` maps a new column to the column whose preceding value it takes, ``lasts``
+    to the column whose last value before this row that is not null it takes,
     ``sums`` maps a new column to an expression that is summed over the earlier rows
     (over this row too when ``inclusive``; null counts as 0; bigint).  ``order``
-    must be an integer column, unique within a key.  ``short`` is the result of
-    :func:`short_keys` when the caller has it already.
+    must be an integer column, unique within a key.
     """
-    keys, lags, sums = list(keys), dict(lags or {}), dict(sums or {})
-    if short_keys(df, order, block) if short is None else short:
-        rows = Window.partitionBy(*keys).orderBy(order)
-        upto = rows.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        return df.withColumns(
-            {new: F.lag(col).over(rows) for new, col in lags.items()}
-            | {new: F.coalesce(F.sum(e).over(upto), F.lit(0)).cast("bigint") for new, e in sums.items()}
-        )
-
+    keys, lags, sums, lasts = list(keys), dict(lags or {}), dict(sums or {}), dict(lasts or {})
     blocked = df.withColumn(_BLK, _block(order, block))
 
     rows = Window.partitionBy(*keys, _BLK).orderBy(order)
     upto = rows.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    above = rows.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.lag(order).over(rows)
+    twice = F.raise_error(F.concat(F.lit(f"repeated {order} in a key: "), before.cast("string"))).cast("boolean")
     out = blocked.withColumns(
-        {_HAS: F.row_number().over(rows) > 1}
+        {_HAS: F.when(before == F.col(order), twice).otherwise(before.isNotNull())}
         | {new: F.lag(col).over(rows) for new, col in lags.items()}
+        | {new: F.last(col, ignorenulls=True).over(above) for new, col in lasts.items()}
         | {new: F.coalesce(F.sum(e).over(upto), F.lit(0)).cast("bigint") for new, e in sums.items()}
     )
 
@@ -85,6 +71,7 @@ def scan_groups(
         .agg(
             F.lit(True).alias("__seen"),
             *[F.max_by(col, F.col(order)).alias(f"__l_{new}") for new, col in lags.items()],
+            *[F.max_by(col, F.when(F.col(col).isNotNull(), F.col(order))).alias(f"__n_{new}") for new, col in lasts.items()],
             *[F.sum(e).alias(f"__s_{new}") for new, e in sums.items()],
         )
         .select(
@@ -92,58 +79,19 @@ def scan_groups(
             _BLK,
             F.lag("__seen").over(blocks).alias("__seen"),
             *[F.lag(f"__l_{new}").over(blocks).alias(f"__c_{new}") for new in lags],
+            *[F.last(f"__n_{new}", ignorenulls=True).over(earlier).alias(f"__c_{new}") for new in lasts],
             *[F.sum(f"__s_{new}").over(earlier).alias(f"__c_{new}") for new in sums],
         )
         .filter("__seen")
     )
-    out = out.join(carry, [*keys, _BLK], "left")
+    # The filter keeps the test for repeated order values where nothing else reads it.
+    out = out.filter(F.col(_HAS).isNotNull()).join(carry, [*keys, _BLK], "left")
     out = out.withColumns(
         {new: F.when(F.col(_HAS), F.col(new)).otherwise(F.col(f"__c_{new}")) for new in lags}
+        | {new: F.coalesce(F.col(new), F.col(f"__c_{new}")) for new in lasts}
         | {
             new: (F.col(new) + F.coalesce(F.col(f"__c_{new}"), F.lit(0))).cast("bigint")
             for new in sums
         }
     )
-    return out.drop(_BLK, _HAS, "__seen", *[f"__c_{new}" for new in [*lags, *sums]])
-
-
-def gather(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    fields: Sequence[str],
-    name: str,
-    max_items: int,
-    block: int = BLOCK,
-) -> DataFrame:
-    """One row per key with its first ``max_items`` rows as an ordered array.
-
-    For consumers that provably use no more than ``max_items`` entries of a key
-    (each rendered message is at least one token, so a sample of ``n`` tokens uses
-    at most ``n`` messages).  Longer keys are cut *before* the shuffle: counts per
-    block find the block in which the limit is reached, later blocks are dropped.
-    """
-    keys = list(keys)
-    item = F.struct(F.col(order).alias("__o"), *[F.col(f) for f in fields])
-    arranged = F.slice(F.sort_array(F.collect_list(item)), 1, max_items)
-    arranged = F.transform(arranged, lambda m: F.struct(*[m[f].alias(f) for f in fields]))
-    if short_keys(df, order, block):
-        return df.groupBy(*keys).agg(arranged.alias(name))
-
-    narrow = df.select(*keys, order)
-    before = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
-    cut = (
-        narrow.join(_long_keys(narrow, keys, order, block), keys, "left_semi")
-        .groupBy(*keys, _block(order, block).alias(_BLK))
-        .count()
-        .withColumn("__before", F.sum("count").over(before))
-        .filter(F.col("__before") >= max_items)
-        .groupBy(*keys)
-        .agg(F.min(_BLK).alias("__cut"))
-    )
-    kept = (
-        df.withColumn(_BLK, _block(order, block))
-        .join(cut, keys, "left")
-        .filter(F.col("__cut").isNull() | (F.col(_BLK) < F.col("__cut")))
-    )
-    return kept.groupBy(*keys).agg(arranged.alias(name))
+    return out.drop(_BLK, _HAS, "__seen", *[f"__c_{new}" for new in [*lags, *sums, *lasts]])

@@ -115,10 +115,13 @@ def benchmark_table(spark: SparkSession) -> DataFrame:
 def build_requests(questions: DataFrame, bench: str = "bench", question: str = "question") -> DataFrame:
     """Join questions with their benchmark's settings and append the suffix.
 
-    The settings are code: their size does not depend on the data.
+    The settings are code: their size does not depend on the data.  A question of a benchmark
+    that is not registered is an error.
     """
     table = benchmark_table(questions.sparkSession).withColumnRenamed("bench", bench)
-    return questions.join(F.broadcast(table), bench).withColumn(
+    unknown = F.raise_error(F.concat(F.lit("unknown benchmark "), F.coalesce(F.col(bench), F.lit("null")))).cast("string")
+    known = questions.join(F.broadcast(table), bench, "left")
+    return known.withColumn("suffix", F.coalesce("suffix", unknown)).withColumn(
         "prompt", F.concat(F.col(question), F.col("suffix"))
     )
 

@@ -37,13 +37,20 @@ class SpanRule:
     """A reply starts after ``header`` and stops at ``terminator``.
 
     ``pattern`` is the terminator as a regular expression when it is not a plain
-    text; ``included`` says whether the terminator belongs to the reply.
+    text; ``included`` says whether the terminator belongs to the reply; ``how`` maps
+    its characters to tokens (see :func:`token_ranges`).
     """
 
     header: str
     terminator: str | None = None
     pattern: str | None = None
     included: bool = True
+    how: str = "prefix"
+
+    @property
+    def carries(self) -> bool:
+        """Whether a reply may run on beyond the end of its own message."""
+        return self.pattern is not None or not self.terminator or not self.included
 
     def stop_pattern(self) -> str | None:
         return self.pattern or (quote_regex(self.terminator) if self.terminator else None)
@@ -64,9 +71,9 @@ def span_rule(template: ChatTemplate, style: str | None = None) -> SpanRule:
     end, user = template.end_of_turn_token or "", template.user_header or ""
     assistant = template.assistant_header or ""
     if style == "harmony":
-        return SpanRule(HARMONY_ASSISTANT, HARMONY_USER, included=False)
+        return SpanRule(HARMONY_ASSISTANT, HARMONY_USER, included=False, how="containment")
     if style == "strict":
-        return SpanRule(end + assistant, end + user, included=False)
+        return SpanRule(end + assistant, end + user, included=False, how="overlap")
     if style == "round":
         return SpanRule(assistant, pattern=ROUND_MARKER)
     if style == "general":
@@ -224,13 +231,10 @@ def masked_sample(
     clipped to what is left.
     """
     rule = span_rule(template, style)
-    how = {"harmony": "containment", "strict": "overlap"}.get(style or "", "prefix")
-    if template.parser_type == "openai-harmony" and style is None:
-        how = "containment"
     source = F.col(text)
     spans = find_spans(source, rule)
     out = pin(df, __tokens=tokens(source), __spans=last_span(spans) if last_only else spans)
-    mask = span_mask(source, F.col("__spans"), F.size("__tokens"), how)
+    mask = span_mask(source, F.col("__spans"), F.size("__tokens"), rule.how)
     mask = clear_literals(mask, source, template.ignore_token)
     ids = hashed_ids(F.col("__tokens") if max_length is None else F.slice("__tokens", 1, max_length))
     out = pin(out, input_ids=ids, loss_mask=mask if max_length is None else F.slice(mask, 1, max_length))

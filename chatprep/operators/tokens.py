@@ -87,16 +87,12 @@ def tokenizer_file(path: str) -> Callable[[], Encoder]:
 # --- a vocabulary learnt from the data --------------------------------------------
 
 
-def with_vocabulary(
-    words: DataFrame, vocab: DataFrame, token: str = "token", unknown: int = 0, max_broadcast: int = 1_000_000
-) -> DataFrame:
+def with_vocabulary(words: DataFrame, vocab: DataFrame, token: str = "token", unknown: int = 0) -> DataFrame:
     """Token ids from a ``(token, token_id)`` table; missing tokens get ``unknown``.
 
-    The vocabulary is broadcast only when counting it finds at most
-    ``max_broadcast`` rows; otherwise the join strategy is left to the planner.
+    Store a learnt vocabulary first (``sources.files.keyed_stage``): the planner then knows its
+    size, and it is not learnt once more.
     """
-    within = vocab.limit(max_broadcast + 1).count() <= max_broadcast
-    side = F.broadcast(vocab) if within else vocab
-    return words.join(side.select(token, "token_id"), token, "left").withColumn(
+    return words.join(vocab.select(token, "token_id"), token, "left").withColumn(
         "token_id", F.coalesce("token_id", F.lit(unknown)).cast("int")
     )

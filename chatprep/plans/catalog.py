@@ -8,14 +8,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatprep.session import spread
+from chatprep.session import INPUT_PARTITIONS
 
 # Tables whose rows cost much more to process than to move.
 HEAVY = {"documents", "lineitem"}
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_SCHEMAS: dict = {}
 
 
 class Tables:
@@ -24,13 +23,16 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self.tables: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        path = f"{self.folder}/{name}.parquet"
-        if path not in _SCHEMAS:
-            _SCHEMAS[path] = self.spark.read.parquet(path).schema
-        df = self.spark.read.schema(_SCHEMAS[path]).parquet(path)
-        return spread(df) if name in HEAVY else df
+        if name.startswith("__"):
+            raise AttributeError(name)
+        if name not in self.tables:
+            df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            parts = self.spark.conf.get(INPUT_PARTITIONS, None)
+            self.tables[name] = df.repartition(int(parts)) if parts and name in HEAVY else df
+        return self.tables[name]
 
 
 def query(sql: str | None = None, name: str | None = None):

@@ -140,7 +140,7 @@ FROM mapped WHERE doc_id IN (SELECT page_id * 3 FROM pages) GROUP BY doc_id"""
 )
 def image_records(t):
     files = t.pages.select(
-        F.concat(F.lit("pages/img/"), (F.col("page_id") * 3).cast("string"), F.lit(".png")).alias("path")
+        F.concat(F.lit("img/"), (F.col("page_id") * 3).cast("string"), F.lit(".png")).alias("path")
     )
     df = N.with_image(speaker_chats(t), images=files, root="pages")
     flat = F.array_join(

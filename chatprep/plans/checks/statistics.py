@@ -71,7 +71,7 @@ def replay_prompts(t):
 
 def echo(messages, request):
     """A stand-in model: a pure function of what it is asked."""
-    return f"{len(messages)} {request.get('reasoning_effort')} {messages[-1]['content'][:20]}"
+    return f"{len(messages)} {request.get('reasoning_effort')} {messages[-1]['content']}"
 
 
 @query()

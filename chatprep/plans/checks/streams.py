@@ -53,3 +53,14 @@ def streaming_token_counts(t):
     for _ in range(2):
         jobs.count_tokens(t.spark, f"{folder}/in", f"{folder}/out", f"{folder}/state").awaitTermination()
     return jobs.token_totals(t.spark, f"{folder}/out").withColumn("n", F.col("n").cast("bigint"))
+
+
+@query(
+    """SELECT CASE doc_id % 9 WHEN 0 THEN 'not JSON' ELSE 'conversations is not a list' END AS reason, count(*) AS n
+FROM documents WHERE doc_id % 9 IN (0, 3) GROUP BY 1"""
+)
+def streaming_quarantine(t):
+    folder = landed(t, "reject")
+    for _ in range(2):
+        jobs.reject(t.spark, f"{folder}/in", f"{folder}/out", f"{folder}/state").awaitTermination()
+    return t.spark.read.schema("reason string, line string").json(f"{folder}/out").groupBy("reason").agg(F.count("*").alias("n"))

@@ -70,7 +70,8 @@ spans AS (
   FROM cut_sums WHERE hd <> '')"""
 
 
-SPAN_LIST = """SELECT doc_id, string_agg(s::BIGINT || '-' || e::BIGINT, ',' ORDER BY k) AS spans FROM spans GROUP BY doc_id"""
+SPAN_LIST = """SELECT c.doc_id, coalesce(string_agg(s::BIGINT || '-' || e::BIGINT, ',' ORDER BY k), '') AS spans
+FROM chat_text c LEFT JOIN spans USING (doc_id) GROUP BY c.doc_id"""
 
 HOW = {
     "prefix": "t.s >= p.s AND t.s < p.e",
@@ -85,7 +86,8 @@ def mask_sql(how: str, spans: str = "spans") -> str:
     SELECT 1 FROM {spans} p WHERE p.doc_id = t.doc_id AND {HOW[how]}) THEN 1 ELSE 0 END) AS m FROM toks t)"""
 
 
-MASK_TEXT = "SELECT doc_id, string_agg(m::VARCHAR, '' ORDER BY i) AS mask FROM masked GROUP BY doc_id"
+MASK_TEXT = """SELECT c.doc_id, coalesce(string_agg(m::VARCHAR, '' ORDER BY i), '') AS mask
+FROM chat_text c LEFT JOIN masked USING (doc_id) GROUP BY c.doc_id"""
 
 
 def span_list(column):
@@ -149,10 +151,10 @@ for _case, (_sql, _texts, _tpl, _style, _head, _stop, _in, _how) in _CASES.items
     def _find(t, texts=_texts, tpl=_tpl, style=_style):
         found = P.find_spans(F.col("text"), P.span_rule(tpl, style))
         df = pin(texts(t), sp=found)
-        return df.filter(F.size("sp") > 0).select("doc_id", span_list(F.col("sp")).alias("spans"))
+        return df.select("doc_id", span_list(F.col("sp")).alias("spans"))
 
     def _mask(t, texts=_texts, tpl=_tpl, style=_style, how=_how):
-        df = texts(t).filter("text <> ''")
+        df = texts(t)
         df = pin(df, sp=P.find_spans(F.col("text"), P.span_rule(tpl, style)))
         mask = P.span_mask(F.col("text"), F.col("sp"), T.token_count(F.col("text")), how)
         return df.select("doc_id", text(mask).alias("mask"))
@@ -169,7 +171,7 @@ for _case, (_sql, _texts, _tpl, _style, _head, _stop, _in, _how) in _CASES.items
 {mask_sql('prefix', 'last_spans')} {MASK_TEXT}"""
 )
 def mask_last_reply(t):
-    df = rendered(t, QWEN).filter("text <> ''")
+    df = rendered(t, QWEN)
     sp = P.last_span(P.find_spans(F.col("text"), P.span_rule(QWEN)))
     df = pin(df, sp=sp)
     return df.select(
@@ -226,11 +228,12 @@ def mask_without_ignored(t):
 @query(
     f"""WITH {QWEN_TEXT}, {spans_sql('chat_text', QWEN.assistant_header, quote(QWEN.end_of_turn_token), True)},
 {S.token_rows_sql('chat_text')}, {mask_sql('prefix')}
-SELECT doc_id, string_agg({S.HASH_ID_SQL.format('tok')}::VARCHAR, ',' ORDER BY i) AS ids, string_agg(m::VARCHAR, '' ORDER BY i) AS mask,
-  count(*)::BIGINT AS attended FROM masked WHERE i < 300 GROUP BY doc_id"""
+SELECT c.doc_id, coalesce(string_agg({S.HASH_ID_SQL.format('tok')}::VARCHAR, ',' ORDER BY i), '') AS ids,
+  coalesce(string_agg(m::VARCHAR, '' ORDER BY i), '') AS mask, count(i)::BIGINT AS attended
+FROM chat_text c LEFT JOIN (SELECT * FROM masked WHERE i < 300) USING (doc_id) GROUP BY c.doc_id"""
 )
 def masked_samples(t):
-    out = P.masked_sample(rendered(t, QWEN).filter("text <> ''"), QWEN, max_length=300)
+    out = P.masked_sample(rendered(t, QWEN), QWEN, max_length=300)
     return out.select(
         "doc_id",
         F.array_join("input_ids", ",").alias("ids"),
@@ -277,7 +280,7 @@ def byte_pair_samples(t):
     import public_tokenizers
 
     encode = T.tokenizer_udf(T.tokenizer_file(public_tokenizers.path("byte_bpe_50k.json")))
-    df = rendered(t, QWEN).filter("text <> ''").withColumn("e", encode("text"))
+    df = rendered(t, QWEN).withColumn("e", encode("text"))
     df = df.withColumn("sp", P.find_spans(F.col("text"), P.span_rule(QWEN)))
     mask = P.offset_mask(F.col("e.starts"), F.col("e.ends"), F.col("sp"), "prefix")
     return df.select(

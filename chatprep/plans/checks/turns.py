@@ -186,7 +186,7 @@ _NEXT = R.get_template("qwen3-thinking")
 @query(
     f"""WITH {S.PAIRS} SELECT conv_id, turn,
   {S.lit(_NEXT.user_header)} || question || {S.lit(_NEXT.end_of_turn_token)} || {S.lit(_NEXT.assistant_header)} ||
-  (CASE WHEN turn % 3 = 0 THEN '' ELSE '<think>' || chr(10) || substr(question, 1, 40) || chr(10) || '</think>' || chr(10) || chr(10) END)
+  (CASE WHEN turn % 3 = 0 THEN '' ELSE '<think>' || chr(10) || question || chr(10) || '</think>' || chr(10) || chr(10) END)
   || answer || {S.lit(_NEXT.end_of_turn_token)} AS text FROM pairs"""
 )
 def render_thinking(t):
@@ -194,7 +194,7 @@ def render_thinking(t):
         return F.struct(F.lit(role).alias("role"), text.alias("content"), thought.alias("reasoning_content"))
 
     none = F.lit(None).cast("string")
-    thought = F.when(F.col("turn") % 3 != 0, F.substring("question", 1, 40))
+    thought = F.when(F.col("turn") % 3 != 0, F.col("question"))
     messages = F.array(message("user", F.col("question"), none), message("assistant", F.col("answer"), thought))
     return S.pairs(t).select(
         "conv_id", "turn", R.render_conversation(none, messages, _NEXT, thinking=True).alias("text")

@@ -173,3 +173,107 @@ SELECT conv_id, string_agg({S.HASH_ID_SQL.format("tok")}::VARCHAR, ',' ORDER BY
 def training_samples(t):
     out = build_samples(S.turns(t), QWEN, MAX_LENGTH)
     return out.select("conv_id", F.array_join("input_ids", ",").alias("ids"), F.array_join("loss_mask", "").alias("mask"))
+
+
+# --- samples of other templates ---------------------------------------------------------------------
+
+
+def whole_text_sql(template, texts: str, last: bool = False) -> str:
+    """Samples by searching whole rendered texts; ``texts`` holds CTEs up to ``turns``."""
+    from chatprep.functions.text import quote_regex
+    from chatprep.operators.spans import span_rule
+
+    rule = span_rule(template)
+    stop = rule.stop_pattern()
+    pattern = S.lit(rf"(?s)(.*?)(?:({quote_regex(rule.header)})(.*?(?:{stop}|\n?\z))|\z)")
+    parts = ", ".join(f"regexp_extract_all(text, {pattern}, {i}) AS {c}" for i, c in enumerate("ghb", 1))
+    system = S.sql_render("'system'", S.lit(template.system_prompt), template) if template.system_prompt else "''"
+    hidden = "".join(
+        f""" AND NOT EXISTS (SELECT 1 FROM literals p WHERE p.conv_id = t.conv_id AND t.s >= p.s AND t.s < p.e)""" for _ in template.ignore_token[:1]
+    )
+    literal = template.ignore_token[0] if template.ignore_token else "\x01"
+    return f"""{texts},
+heads AS (SELECT conv_id, arg_min(role, turn) = 'system' AS own FROM turns GROUP BY conv_id),
+texts AS (
+  SELECT h.conv_id, (CASE WHEN h.own THEN '' ELSE {system} END)
+    || coalesce(string_agg({S.sql_render("v.role", "v.text", template)}, '' ORDER BY v.turn), '') AS text
+  FROM heads h LEFT JOIN valid v USING (conv_id) GROUP BY h.conv_id, h.own),
+{S.token_rows_sql("texts", "conv_id")},
+pieces AS (SELECT conv_id, {parts} FROM texts),
+piece_rows AS (
+  SELECT conv_id, unnest(range(len(g))) AS k, unnest(g) AS g, unnest(h) AS h, unnest(b) AS b FROM pieces),
+all_spans AS (
+  SELECT conv_id, k, upto - length(b) AS s, upto AS e FROM (
+    SELECT *, sum(length(g) + coalesce(length(h), 0) + coalesce(length(b), 0)) OVER (PARTITION BY conv_id ORDER BY k) AS upto
+    FROM piece_rows) WHERE h <> ''),
+spans AS (SELECT * FROM all_spans a WHERE {'k = (SELECT max(k) FROM all_spans z WHERE z.conv_id = a.conv_id)' if last else 'true'}),
+literal_parts AS (
+  SELECT conv_id, unnest(range(len(p))) AS k, length(unnest(p)) AS w, len(p) AS n
+  FROM (SELECT conv_id, string_split(text, {S.lit(literal)}) AS p FROM texts)),
+literal_ends AS (SELECT *, sum(w + {len(literal)}) OVER (PARTITION BY conv_id ORDER BY k) AS e FROM literal_parts),
+literals AS (SELECT conv_id, e - {len(literal)} AS s, e FROM literal_ends WHERE k < n - 1),
+m AS (
+  SELECT t.conv_id, t.i, t.tok, (EXISTS (SELECT 1 FROM spans p WHERE p.conv_id = t.conv_id AND t.s >= p.s AND t.s < p.e){hidden})::INT AS m
+  FROM toks t)"""
+
+
+SAMPLE_ROWS = f"""SELECT c.conv_id, coalesce(string_agg({S.HASH_ID_SQL.format("tok")}::VARCHAR, ',' ORDER BY i), '') AS ids,
+  coalesce(string_agg(m::VARCHAR, '' ORDER BY i), '') AS mask
+FROM texts c LEFT JOIN (SELECT * FROM m WHERE i < {MAX_LENGTH}) USING (conv_id) GROUP BY c.conv_id"""
+
+_THINK_BLOCK = "<think>\n\n</think>\n\n"
+# Turns with empty think blocks, with round markers, and with headers and end tokens as text.
+_VARIANTS = {
+    "think": (
+        f"CASE WHEN (conv_id + turn) % 3 = 0 THEN {S.lit(_THINK_BLOCK)} || text WHEN turn % 5 = 4 THEN text || {S.lit(_THINK_BLOCK)} ELSE text END",
+        lambda c, n, x: F.when((c + n) % 3 == 0, F.concat(F.lit(_THINK_BLOCK), x)).when(n % 5 == 4, F.concat(x, F.lit(_THINK_BLOCK))).otherwise(x),
+    ),
+    "round": (
+        "CASE WHEN (conv_id + turn) % 4 = 0 THEN '[Round ' || turn || '] USER:' || text WHEN turn % 3 = 1 THEN text || '[Round 7] USER:' ELSE text END",
+        lambda c, n, x: F.when((c + n) % 4 == 0, F.concat(F.lit("[Round "), n.cast("string"), F.lit("] USER:"), x))
+        .when(n % 3 == 1, F.concat(x, F.lit("[Round 7] USER:")))
+        .otherwise(x),
+    ),
+    "marks": (
+        f"CASE WHEN (conv_id + turn) % 4 = 0 THEN text || {S.lit(QWEN.end_of_turn_token)} || text WHEN turn % 4 = 2 THEN {S.lit(QWEN.assistant_header)} || text ELSE text END",
+        lambda c, n, x: F.when((c + n) % 4 == 0, F.concat(x, F.lit(QWEN.end_of_turn_token), x))
+        .when(n % 4 == 2, F.concat(F.lit(QWEN.assistant_header), x))
+        .otherwise(x),
+    ),
+    "plain": ("text", lambda c, n, x: x),
+}
+
+
+def _variant_sql(name: str) -> str:
+    """The turns and their valid part, with changed texts."""
+    return S.VALID.replace("SELECT conv_id, turn, text,", f"SELECT conv_id, turn, {_VARIANTS[name][0]} AS text,", 1)
+
+
+def _variant(t, name: str):
+    return S.turns(t).withColumn("text", _VARIANTS[name][1](F.col("conv_id"), F.col("turn"), F.col("text")))
+
+
+def _sample_rows(df):
+    return df.select("conv_id", F.array_join("input_ids", ",").alias("ids"), F.array_join("loss_mask", "").alias("mask"))
+
+
+for _name, _template, _texts, _last in [
+    ("qwen3_instruct", "qwen3-instruct", "think", False),
+    ("longcat", "longcat", "round", False),
+    ("deepseek_r1_distill", "deepseek-r1-distill", "plain", False),
+    ("marks_in_text", "qwen", "marks", False),
+    ("last_reply", "qwen", "plain", True),
+]:
+
+    def _samples(t, template=get_template(_template), texts=_texts, last=_last):
+        return _sample_rows(build_samples(_variant(t, texts), template, MAX_LENGTH, last_only=last))
+
+    query(f"WITH {whole_text_sql(get_template(_template), _variant_sql(_texts), _last)} {SAMPLE_ROWS}", name=f"training_samples_{_name}")(_samples)
+
+
+@query(
+    f"""WITH {whole_text_sql(get_template("qwen3-instruct"), _variant_sql("think"))}
+SELECT tok AS token, count(*) AS n FROM m WHERE m = 1 AND i < {MAX_LENGTH} GROUP BY tok"""
+)
+def token_frequency_ignored_text(t):
+    return V.frequency(supervised_words(_variant(t, "think"), get_template("qwen3-instruct"), MAX_LENGTH))

@@ -1,13 +1,18 @@
 """Which tokens should the draft vocabulary keep, and how much do they cover?
 
-Long form from end to end: a message is rendered and tokenised where it lies, and
-only its position in the conversation crosses row borders.  A conversation is never
-put into one row, so its length does not matter.
-
-Rendered messages meet at an end token, and the header of a message is a constant,
-so the number of header tokens is a constant too: the supervised tokens of a reply
-are those from that number on.  This gives the same tokens and mask as searching the
-whole rendered text.
+Long form from end to end: a message is rendered, tokenised and masked where it lies;
+only its position in the conversation, and for some templates whether a reply is still
+open, cross row borders.  A conversation is never put into one row, so its length does
+not matter.
+
+Rendered messages meet where a token ends, and no header or terminator reaches over a
+border, so this gives the tokens and the mask of a search through the whole rendered
+text: for replies that hold an end token or a header as text, for templates without an
+end token and with round markers, and with ignore texts as well.  The one exception:
+a message of an unknown role has no header, and leading white space of its text then
+makes a token of its own instead of joining the line break before it.  Channel-tagged
+templates render whole conversations (``templates.harmony_conversation``) and are
+refused here.
 """
 
 from __future__ import annotations
@@ -16,12 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatprep.functions.arrays import ones, zeros
-from chatprep.operators.ordered import scan_groups, short_keys
+from chatprep.operators.ordered import scan_groups
+from chatprep.operators.spans import SpanRule, clear_literals, find_spans, span_mask, span_rule
 from chatprep.operators.templates import ChatTemplate, render_message, role_header
 from chatprep.operators.tokens import hashed_ids, token_count, tokens
 from chatprep.operators.turns import flag_turns
 from chatprep.operators.vocabulary import coverage, frequency
 
+_MORE = "\u0000"  # stands for the text that follows a message
+
 
 def place_messages(
     turns: DataFrame,
@@ -33,14 +41,21 @@ def place_messages(
 ) -> DataFrame:
     """Every message with ``rendered``, ``n_tokens``, ``kept`` (it stands before the
     first misplaced one), ``own_system`` (the record leads with a system message, seen
-    from this message on) and ``start``, the number of tokens before it."""
-    short = short_keys(turns, order)
-    flagged = flag_turns(turns, key, order, role, short)
+    from this message on), ``start``, the number of tokens before it, and ``mask``, its
+    0/1 loss mask."""
+    rule = span_rule(template)
+    if template.parser_type == "openai-harmony":
+        raise ValueError("channel-tagged templates have no message form; render the conversation and use masked_sample")
+    flagged = flag_turns(turns, key, order, role)
     rendered = render_message(F.col(role), F.col(text), template)
     leads = (F.col("position") == 0) & (F.col(role) == "system")
     flagged = flagged.withColumns(
         {"rendered": rendered, "n_tokens": token_count(rendered), "__leads": leads.cast("bigint")}
     )
+    lasts = {}
+    if rule.carries:
+        flagged = flagged.withColumn("__state", _fixed_state(F.col("rendered"), rule))
+        lasts = {"__open": "__state"}
     placed = scan_groups(
         flagged,
         [key],
@@ -50,7 +65,7 @@ def place_messages(
             "start": F.col("n_tokens"),
             "__system": F.col("__leads"),
         },
-        short=short,
+        lasts=lasts,
     )
     placed = placed.withColumns(
         {
@@ -58,10 +73,71 @@ def place_messages(
             "own_system": (F.col("__system") > 0) | (F.col("__leads") > 0),
         }
     )
+    if rule.carries:
+        # The text ends with the last kept message, and an open reply before its final line break.
+        ends = placed.filter("kept").groupBy(key).agg(F.max(order).alias("__end"))
+        placed = placed.join(ends, key, "left").withColumn(
+            "mask",
+            _carried_mask(F.col("rendered"), F.col("n_tokens"), rule, F.coalesce("__open", F.lit(False)), F.col(order) == F.col("__end")),
+        )
+    else:
+        placed = placed.withColumn("mask", _closed_mask(F.col("rendered"), F.col("n_tokens"), rule))
+    for literal in template.ignore_token:
+        cleared = clear_literals(F.col("mask"), F.col("rendered"), (literal,))
+        placed = placed.withColumn("mask", F.when(F.contains("rendered", F.lit(literal)), cleared).otherwise(F.col("mask")))
     if template.system_prompt:
         own = token_count(system_text(template))
         placed = placed.withColumn("start", F.col("start") + F.when(F.col("own_system"), 0).otherwise(own))
-    return placed.drop("__bad", "__system", "__leads", "misplaced", "position")
+    return placed.drop("__bad", "__system", "__leads", "__state", "__open", "__end", "misplaced", "position")
+
+
+def _closed_mask(rendered: Column, size: Column, rule: SpanRule) -> Column:
+    """Mask of a message that closes its own reply.
+
+    A message with one header, at its start, and one end token, at its end, needs no
+    search: the header is a constant and so is its number of tokens.
+    """
+    head, stop = rule.header, rule.terminator or ""
+    n_head = token_count(F.lit(head))
+    opens = F.startswith(rendered, F.lit(head)) & F.lit(bool(head))
+    closes = F.locate(stop, rendered, len(head) + 1) == F.length(rendered) - len(stop) + 1
+    searched = span_mask(rendered, find_spans(rendered, rule), size, rule.how)
+    return (
+        F.when(~F.contains(rendered, F.lit(head)), zeros(size))
+        .when(opens & closes, F.concat(zeros(n_head), ones(size - n_head)))
+        .otherwise(searched)
+    )
+
+
+def _open_text(rendered: Column, rule: SpanRule, is_open: bool) -> Column:
+    return F.concat(F.lit(rule.header if is_open else ""), rendered, F.lit(_MORE))
+
+
+def _fixed_state(rendered: Column, rule: SpanRule) -> Column:
+    """Whether a reply is open after a message: true or false where that does not depend
+    on what was before it, else null."""
+
+    def after(is_open: bool) -> Column:
+        whole = _open_text(rendered, rule, is_open)
+        ends = F.transform(find_spans(whole, rule), lambda s: s["end"])
+        return F.coalesce(F.array_max(ends) == F.length(whole), F.lit(False))
+
+    return F.when(after(True) == after(False), after(True))
+
+
+def _carried_mask(rendered: Column, size: Column, rule: SpanRule, is_open: Column, last: Column) -> Column:
+    """Mask of a message whose reply may have begun before it or go on after it."""
+    head = F.when(is_open, F.lit(rule.header)).otherwise(F.lit(""))
+    whole = F.concat(head, rendered, F.when(last, F.lit("")).otherwise(F.lit(_MORE)))
+    shift = F.length(head)
+    spans = F.transform(
+        find_spans(whole, rule),
+        lambda s: F.struct(
+            (s["start"] - shift).cast("int").alias("start"),
+            F.least(s["end"] - shift, F.length(rendered)).cast("int").alias("end"),
+        ),
+    )
+    return span_mask(rendered, spans, size, rule.how)
 
 
 def system_text(template: ChatTemplate) -> Column:
@@ -74,25 +150,39 @@ def placed_messages(turns: DataFrame, template: ChatTemplate, **columns: str) ->
     return place_messages(turns, template, **columns).filter("kept").drop("kept", "own_system")
 
 
+def _only_last(placed: DataFrame, key: str, rule: SpanRule) -> DataFrame:
+    """Clear the masks of all but the last message of a key that holds a reply."""
+    replies = placed.filter(F.col("kept") & F.contains("rendered", F.lit(rule.header)))
+    last = replies.groupBy(key).agg(F.max("start").alias("__last"))
+    kept = F.when(F.col("start") == F.col("__last"), F.col("mask")).otherwise(zeros(F.col("n_tokens")))
+    return placed.join(last, key, "left").withColumn("mask", kept).drop("__last")
+
+
 def training_samples(
-    turns: DataFrame, template: ChatTemplate, max_length: int = 2048, key: str = "conv_id", role: str = "role", **columns: str
+    turns: DataFrame,
+    template: ChatTemplate,
+    max_length: int = 2048,
+    key: str = "conv_id",
+    last_only: bool = False,
+    **columns: str,
 ) -> DataFrame:
     """``(key, input_ids, loss_mask)`` per conversation, at most ``max_length`` long.
 
     A message is at least one token, so no more than ``max_length`` parts of a key are
     collected; the others are left out before the shuffle, which carries one partial
-    row per key and task.
+    row per key and task.  With ``last_only`` only the last reply is supervised, for
+    templates whose replies end with their message.
     """
-    placed = place_messages(turns, template, key=key, role=role, **columns)
-    n_head = token_count(F.lit(role_header(template, "assistant")))
-    reply = F.col(role) == "assistant"
-    size = F.col("n_tokens")
-    mask = F.when(reply, F.concat(zeros(n_head), ones(size - n_head))).otherwise(zeros(size))
+    if last_only and span_rule(template).carries:
+        raise ValueError("the last reply of this template may span messages; use masked_sample")
+    placed = place_messages(turns, template, key=key, **columns)
+    if last_only:
+        placed = _only_last(placed, key, span_rule(template))
     room = F.greatest(F.lit(max_length) - F.col("start"), F.lit(0)).cast("int")
     part = F.struct(
         F.col("start"),
         F.slice(hashed_ids(tokens(F.col("rendered"))), F.lit(1), room).alias("ids"),
-        F.slice(mask, F.lit(1), room).alias("mask"),
+        F.slice("mask", F.lit(1), room).alias("mask"),
     )
     parts = F.sort_array(F.collect_list(F.when(F.col("kept") & (room > 0), part)))
     grouped = placed.groupBy(key).agg(parts.alias("parts"), F.max("own_system").alias("own"))
@@ -107,17 +197,15 @@ def training_samples(
 
 
 def supervised_words(
-    turns: DataFrame, template: ChatTemplate, max_length: int | None = 2048, role: str = "role", **columns: str
+    turns: DataFrame, template: ChatTemplate, max_length: int | None = 2048, key: str = "conv_id", **columns: str
 ) -> DataFrame:
-    """One row per supervised token (its text) of every reply, cut at ``max_length``
-    tokens of the conversation."""
-    replies = placed_messages(turns, template, role=role, **columns).filter(F.col(role) == "assistant")
-    skip = token_count(F.lit(role_header(template, "assistant")))
-    take = F.col("n_tokens") - skip
+    """One row per supervised token (its text), cut at ``max_length`` tokens of the
+    conversation."""
+    placed = placed_messages(turns, template, key=key, **columns).filter(F.exists("mask", lambda m: m == 1))
+    words = F.arrays_zip(tokens(F.col("rendered")).alias("token"), F.col("mask").alias("m"))
     if max_length is not None:
-        take = F.least(take, F.lit(max_length) - F.col("start") - skip)
-    cut = F.slice(tokens(F.col("rendered")), skip + 1, F.greatest(take, F.lit(0)).cast("int"))
-    return replies.select(F.explode(cut).alias("token"))
+        words = F.slice(words, F.lit(1), F.greatest(F.lit(max_length) - F.col("start"), F.lit(0)).cast("int"))
+    return placed.select(F.inline(words)).filter("m = 1").select("token")
 
 
 def draft_coverage(

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+# Partitions that the costly test tables are dealt to after the scan, where it is set: small
+# tables come as one file with one row group.  Large tables have splits enough; leave it unset.
+INPUT_PARTITIONS = "spark.chatprep.inputPartitions"
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -26,6 +29,7 @@ def local_session(name: str = "chatprep", cpus: int | None = None) -> SparkSessi
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(cpus))
+        .config(INPUT_PARTITIONS, str(cpus))
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
@@ -37,25 +41,7 @@ def local_session(name: str = "chatprep", cpus: int | None = None) -> SparkSessi
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate tables, on storage all executors share.
 
-    It lies below ``spark.checkpoint.dir``.  Only a local session without that
-    setting may use a temporary folder of the machine.
+    It lies below ``spark.checkpoint.dir``, or below the warehouse where that is unset.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="chatprep-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input with fewer splits than cores.
-
-    A small table in one file, or in one row group, is read by one task however
-    costly the work on its rows is.  Large inputs have more splits than cores and
-    are left as they are: no shuffle is added to them.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)

@@ -83,20 +83,27 @@ def write_features(
     )
 
 
-def read_features(spark: SparkSession, path: str, schema: str | None = None, suffix: str = "*.parquet") -> DataFrame:
+def read_features(
+    spark: SparkSession, path: str, schema: str | None = None, suffix: str = "*.parquet", tolerant: bool = False
+) -> DataFrame:
     """All records below a directory, whatever the nesting.
 
-    Unreadable files are skipped by the reader; :func:`unreadable_files` lists them.
+    A file that cannot be read is an error.  In ``tolerant`` mode the reader goes on without what
+    it cannot read; :func:`broken_files` then tells which files that is.
     """
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", suffix)
-    reader = reader.option("ignoreCorruptFiles", "true")
+    reader = reader.option("ignoreCorruptFiles", str(tolerant).lower())
     if schema:
         reader = reader.schema(schema)
     return reader.parquet(path)
 
 
-def unreadable_files(spark: SparkSession, path: str, schema: str, suffix: str = "*.parquet") -> DataFrame:
-    """Files that are there but gave no record (broken or empty)."""
+def broken_files(spark: SparkSession, path: str, schema: str, suffix: str = "*.parquet") -> DataFrame:
+    """``(path, rows, rows_read)`` of files that do not give all the rows their footer names.
+
+    ``rows`` is null where not even the footer can be read.  Reading no column counts the rows by
+    footers, reading all columns counts what is there.
+    """
     listing = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -104,9 +111,20 @@ def unreadable_files(spark: SparkSession, path: str, schema: str, suffix: str =
         .load(path)
         .select("path")
     )
-    read = read_features(spark, path, schema, suffix).select(F.col("_metadata.file_path").alias("path")).distinct()
-    same = F.regexp_replace("path", r"^file:/+", "/")
-    return listing.select(same.alias("path")).join(read.select(same.alias("path")), "path", "left_anti")
+    records = read_features(spark, path, schema, suffix, tolerant=True)
+    named = F.col("_metadata.file_path").alias("path")
+    promised = records.select(named).groupBy("path").agg(F.count("*").alias("rows"))
+    touched = F.xxhash64(*[F.col(c) for c in records.columns])
+    # A sum that depends on all columns; a plain count would be answered by the footers again.
+    one = F.pmod(touched, F.lit(1)) + 1
+    given = records.select(named, one.alias("one")).groupBy("path").agg(F.sum("one").alias("rows_read"))
+
+    def by_path(df: DataFrame) -> DataFrame:
+        return df.withColumn("path", F.regexp_replace("path", r"^file:/+", "/"))
+
+    found = by_path(listing).join(by_path(promised), "path", "left").join(by_path(given), "path", "left")
+    found = found.select("path", "rows", F.coalesce("rows_read", F.lit(0)).cast("bigint").alias("rows_read"))
+    return found.where(F.col("rows").isNull() | (F.col("rows") > F.col("rows_read")))
 
 
 def resume(samples: DataFrame, path: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "id", index: str = "row") -> bool:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Mapping
 from pathlib import PurePosixPath
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +34,13 @@ def load_by_suffix(spark: SparkSession, path: str, schema: str | None = None) ->
 
 def exists(spark: SparkSession, path: str) -> bool:
     """True when the path exists, on whatever file system it names."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    try:
+        spark.read.format("text").load(path).schema  # noqa: B018  the path is looked up here
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 def complete(spark: SparkSession, path: str) -> bool:
@@ -87,6 +94,11 @@ def write_by_status(df: DataFrame, path: str, append: bool = False) -> None:
 
 
 def image_files(spark: SparkSession, path: str) -> DataFrame:
-    """Paths of existing files below a directory; contents are not read."""
+    """Paths of existing files below a directory, relative to it; contents are not read.
+
+    The listing names scheme and host, which the caller's root may lack, so paths are compared
+    from the root on.
+    """
+    root = re.sub(r"^\w+:(//[^/]*)?", "", path).strip("/")
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return listing.select(F.regexp_replace("path", r"^file:/+", "/").alias("path"))
+    return listing.select(F.regexp_replace("path", rf"^(\w+:)?/*([^/]+/)??{re.escape(root)}/+", "").alias("path"))

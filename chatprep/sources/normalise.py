@@ -77,12 +77,13 @@ def with_image(
     """``from/value`` records about one image each.
 
     The image mark is cut from user texts.  With ``images`` (a table of existing
-    ``path`` values) records whose image is missing are dropped.
+    ``path`` values, relative to ``root``) records whose image is missing are dropped.
     """
     path = F.concat(F.lit(root.rstrip("/") + "/" if root else ""), F.col("image"))
-    base = df.withColumn("image", path)
+    base = df
     if images is not None:
         base = base.join(images.select(F.col("path").alias("image")), "image", "left_semi")
+    base = base.withColumn("image", path)
     table = _role_map(roles or ROLES)
     known = list((roles or ROLES).keys())
 

@@ -3,10 +3,12 @@ them is looked up here."""
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,15 +91,22 @@ def concatenate(parts: Mapping[str, DataFrame], tag: str = "subset") -> DataFram
 def load_subsets(
     load: Callable[[str], DataFrame], names: Sequence[str], skip_missing: bool = False
 ) -> DataFrame:
-    """Load and concatenate subsets; with ``skip_missing`` unreadable ones are left
-    out, and it is an error when none is left."""
+    """Load and concatenate subsets.
+
+    With ``skip_missing`` those whose path is not there are left out, and named in a warning; it
+    is an error when none is left.  Any other failure is raised.
+    """
     parts: dict[str, DataFrame] = {}
+    gone = []
     for name in names:
         try:
             parts[name] = load(name)
-        except Exception:
-            if not skip_missing:
+        except AnalysisException as error:
+            if not skip_missing or error.getCondition() != "PATH_NOT_FOUND":
                 raise
+            gone.append(name)
+    if gone:
+        warnings.warn(f"subsets without data: {', '.join(gone)}", stacklevel=2)
     return concatenate(parts)
 
 

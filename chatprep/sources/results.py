@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatprep import schemas
@@ -73,16 +73,18 @@ def melt_metrics(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFram
 def last_checkpoint(names: DataFrame, column: str = "path", prefix: str = "epoch") -> DataFrame:
     """``(path, epoch, step)`` of the latest ``{prefix}_X[_step_Y]`` directory.
 
-    A missing step counts as 0; without any match the row is ``(null, 0, 0)``.
+    A missing step counts as 0; without any match the row is ``(null, 0, 0)``.  A number
+    beyond 64 bits is an error.
     """
     pattern = rf"(?:^|/){re.escape(prefix)}_(\d+)(?:_step_(\d+))?/?\z"
     c = F.col(column)
-    epoch = F.regexp_extract(c, pattern, 1)
-    step = F.regexp_extract(c, pattern, 2)
-    order = F.struct(
-        epoch.cast("bigint").alias("epoch"),
-        F.when(step == "", F.lit(0)).otherwise(F.try_to_number(step, F.lit("9999999999")).cast("bigint")).alias("step"),
-    )
+
+    def number(group: int) -> Column:
+        digits = F.regexp_extract(c, pattern, group)
+        too_long = F.raise_error(F.concat(F.lit("not a 64-bit number in checkpoint name "), c)).cast("bigint")
+        return F.when(digits == "", F.lit(0).cast("bigint")).otherwise(F.coalesce(digits.try_cast("bigint"), too_long))
+
+    order = F.struct(number(1).alias("epoch"), number(2).alias("step"))
     found = names.filter(F.regexp_like(c, F.lit(pattern))).agg(
         F.max_by(c, order).alias("path"), F.max(order).alias("at")
     )

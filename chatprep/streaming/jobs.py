@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from chatprep.operators.tokens import tokens
 from chatprep.sources.files import exists
-from chatprep.sources.jsonl import good_lines, parse_lines
+from chatprep.sources.jsonl import good_lines, parse_lines, quarantine
 
 
 def landing(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -22,8 +22,24 @@ def landing(spark: SparkSession, path: str, files_per_batch: int = 1000) -> Data
     return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
 
 
+def reject(spark: SparkSession, source: str, sink: str, checkpoint: str) -> StreamingQuery:
+    """Lines that no job can use, with the reason, as JSON lines.
+
+    A query of its own beside :func:`ingest` or :func:`count_tokens`, so that the file sink
+    writes every line once.
+    """
+    lines = quarantine(parse_lines(landing(spark, source)))
+    return (
+        lines.writeStream.format("json")
+        .option("path", sink)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def ingest(spark: SparkSession, source: str, sink: str, checkpoint: str) -> StreamingQuery:
-    """JSON lines to Parquet with the same columns as the batch scan."""
+    """JSON lines to Parquet with the same columns as the batch scan; :func:`reject` keeps the others."""
     records = good_lines(parse_lines(landing(spark, source)))
     return (
         records.writeStream.format("parquet")
@@ -41,24 +57,26 @@ def build_unseen(
     checkpoint: str,
     build: Callable[[DataFrame], DataFrame],
     key: str = "id",
+    rejected: str | None = None,
 ) -> StreamingQuery:
     """Run ``build`` on records whose key is not in the sink yet; records without a
     key get the md5 of their content.
 
-    A batch that is retried after a failure finds its own rows in the sink and
-    skips them.
+    A batch that is retried after a failure finds its own rows in the sink and skips
+    them.  With ``rejected`` the lines that cannot be used go there, one folder per batch.
     """
 
-    def step(batch: DataFrame, _: int) -> None:
+    def step(batch: DataFrame, number: int) -> None:
+        if rejected:
+            quarantine(batch).write.mode("overwrite").json(f"{rejected}/batch={number}")
         made = F.md5(F.to_json(F.struct("conversations", "text")))
-        fresh = batch.withColumn(key, F.coalesce(F.col(key), made)).dropDuplicates([key])
+        fresh = good_lines(batch).withColumn(key, F.coalesce(F.col(key), made)).dropDuplicates([key])
         if exists(spark, sink):
             fresh = fresh.join(spark.read.parquet(sink).select(key), key, "left_anti")
         build(fresh).write.mode("append").parquet(sink)
 
-    records = good_lines(parse_lines(landing(spark, source)))
     return (
-        records.writeStream.foreachBatch(step)
+        parse_lines(landing(spark, source)).writeStream.foreachBatch(step)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -71,12 +89,6 @@ def reply_tokens(records: DataFrame) -> DataFrame:
     return messages.select(F.explode(tokens(F.col("m.content"))).alias("token"))
 
 
-def running_counts(records: DataFrame) -> DataFrame:
-    """Token counts so far; partial sums are combined before the shuffle, so the
-    state per key is one number."""
-    return reply_tokens(records).groupBy("token").agg(F.count("*").alias("n"))
-
-
 def count_tokens(spark: SparkSession, source: str, sink: str, checkpoint: str) -> StreamingQuery:
     """Keep the latest token counts at ``sink``: every batch adds a file of partial
     counts; :func:`token_totals` adds them up."""

@@ -146,6 +146,4 @@ def test_real_tokenizer(spark):
 def test_learnt_vocabulary_ids(spark):
     words = spark.createDataFrame([("a",), ("a",), ("b",), ("zz",)], "token string")
     vocab = spark.createDataFrame([("a", 1), ("b", 2)], "token string, token_id int")
-    for limit in (10, 1):  # within and beyond the broadcast bound
-        got = sorted(r.token_id for r in T.with_vocabulary(words, vocab, max_broadcast=limit).collect())
-        assert got == [0, 1, 1, 2]
+    assert sorted(r.token_id for r in T.with_vocabulary(words, vocab).collect()) == [0, 1, 1, 2]

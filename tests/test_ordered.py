@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chatprep.operators.ordered import gather, scan_groups, short_keys
+from chatprep.operators.ordered import scan_groups
 from chatprep.operators.sampling import rank_by_hash, rank_by_key
 from chatprep.operators.turns import valid_turns
 
@@ -52,16 +52,23 @@ def test_scan(table, rows, block, inclusive):
 
 
 @pytest.mark.parametrize("block", [5, 4096])
-@pytest.mark.parametrize("limit", [3, 50, 1000])
-def test_gather(table, rows, block, limit):
-    out = gather(table, ["k"], "t", ["t", "v"], "items", limit, block)
-    got = {r.k: [(i.t, i.v) for i in r["items"]] for r in out.collect()}
-    assert got == {k: [(r[1], r[2]) for r in items][:limit] for k, items in groups(rows).items()}
+def test_last_values(table, rows, block):
+    marked = table.withColumn("m", F.when(F.col("t") % 7 == 3, F.col("t")))
+    out = scan_groups(marked, ["k"], "t", lasts={"seen": "m"}, block=block)
+    got = {(r.k, r.t): r.seen for r in out.collect()}
+    want = {}
+    for key, items in groups(rows).items():
+        seen = None
+        for _, t, *_ in items:
+            want[key, t] = seen
+            seen = t if t % 7 == 3 else seen
+    assert got == want
 
 
-def test_short_keys(table):
-    assert not short_keys(table, "t", 100)
-    assert short_keys(table, "t", 1000)
+def test_repeated_order_values_are_an_error(spark):
+    df = spark.createDataFrame([(1, 5, "a"), (1, 5, "b")], "k int, t int, v string")
+    with pytest.raises(Exception, match="repeated t"):
+        scan_groups(df, ["k"], "t", sums={"n": F.lit(1)}).collect()
 
 
 def naive_valid(turns):

@@ -5,8 +5,11 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from chatprep.operators.templates import get_template
+from chatprep.operators.spans import masked_sample, span_rule
+from chatprep.operators.templates import get_template, render_conversation, template_names
+from chatprep.operators.turns import prepare
 from chatprep.operators.vocabulary import frequency
 from chatprep.plans.draft_vocabulary import supervised_words, training_samples
 from chatprep.streaming import jobs
@@ -79,6 +82,46 @@ def test_training_samples(spark, rows, limit):
     assert got == {k: [m for _, m in s] for k, s in naive(rows, limit).items()}
 
 
+@pytest.mark.parametrize("name", [n for n in template_names() if n != "gpt-oss"])
+def test_message_form_equals_the_text_form(spark, name):
+    """Samples from messages against a search of the rendered conversation."""
+    template = get_template(name)
+    rng = random.Random(name)
+    head, stop = template.assistant_header or "", template.end_of_turn_token or ""
+    bits = ["ab", "c d", "é", "x.", "[Round 3] USER:", head, stop, "<think>\n\n</think>\n\n", "\n", "</think>"]
+    rows = []
+    for key in range(60):
+        roles = ["user" if i % 2 == 0 else "assistant" for i in range(rng.randint(1, 7))]
+        if rng.random() < 0.3:
+            roles.insert(0, "system")
+        if rng.random() < 0.3:
+            roles[rng.randrange(len(roles))] = rng.choice(["tool", "system", "assistant"])
+        rows += [(key, i, r, " ".join(rng.choice(bits) for _ in range(rng.randint(0, 5)))) for i, r in enumerate(roles)]
+    message = F.struct("turn", "role", F.col("text").alias("content"), F.lit(None).cast("string").alias("reasoning_content"))
+
+    def both(rows, limit, last_only=False):
+        turns = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+        chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(message)).alias("conversations"))
+        texts = prepare(chats, template.system_prompt)
+        texts = texts.withColumn("text", render_conversation(F.col("system"), F.col("messages"), template))
+        samples = masked_sample(texts, template, max_length=limit, last_only=last_only), training_samples(turns, template, limit, last_only=last_only)
+        return [{r.conv_id: (r.input_ids, r.loss_mask) for r in df.collect()} for df in samples]
+
+    for limit in (40, 4000):
+        want, got = both(rows, limit)
+        assert got == want
+    if not span_rule(template).carries:
+        # One reply per message: the last reply is that of the last message with one.
+        want, got = both([(k, i, r, x.replace(head, "") if head else x) for k, i, r, x in rows], 4000, last_only=True)
+        assert got == want
+
+
+def test_channel_tagged_templates_are_refused(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "a")], "conv_id int, turn int, role string, text string")
+    with pytest.raises(ValueError, match="channel"):
+        training_samples(turns, get_template("gpt-oss"))
+
+
 def test_streaming_counts_survive_a_retry(spark, tmp_path):
     (tmp_path / "in").mkdir()
     line = '{"id": "1", "conversations": [{"role": "assistant", "content": "a b a"}]}\n'

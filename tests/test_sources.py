@@ -142,9 +142,27 @@ def test_feature_store(spark, tmp_path):
     read = FE.read_features(spark, path, schema + ", row int")
     assert read.count() == 4
     (tmp_path / "store" / "bucket=0" / "broken.parquet").write_bytes(b"junk")
-    assert FE.read_features(spark, path, schema + ", row int").count() == 4
-    broken = [r.path for r in FE.unreadable_files(spark, path, schema).collect()]
-    assert len(broken) == 1 and broken[0].endswith("broken.parquet")
+    with pytest.raises(Exception, match="broken.parquet"):
+        FE.read_features(spark, path, schema + ", row int").collect()
+    assert FE.read_features(spark, path, schema + ", row int", tolerant=True).count() == 4
+    (broken,) = FE.broken_files(spark, path, schema).collect()
+    assert broken.path.endswith("broken.parquet") and (broken.rows, broken.rows_read) == (None, 0)
+
+
+def test_half_broken_feature_file(spark, tmp_path):
+    path = str(tmp_path / "store")
+    df = spark.range(50_000).select(F.col("id").cast("string").alias("id"), F.sha2(F.col("id").cast("string"), 512).alias("x"))
+    df.coalesce(1).write.option("parquet.block.size", 256 << 10).option("compression", "snappy").parquet(path)
+    (file,) = (tmp_path / "store").glob("*.parquet")
+    raw = bytearray(file.read_bytes())
+    middle = len(raw) // 2
+    raw[middle : middle + 200_000] = b"\xff" * 200_000
+    file.write_bytes(raw)
+    (tmp_path / "store" / f".{file.name}.crc").unlink(missing_ok=True)
+    (found,) = FE.broken_files(spark, path, "id string, x string").collect()
+    assert found.rows == 50_000 and found.rows_read < 50_000
+    with pytest.raises(Exception):
+        FE.read_features(spark, path, "id string, x string").select(F.max("x")).collect()
 
 
 def test_feature_resume(spark, tmp_path):
@@ -216,7 +234,10 @@ def test_image_files(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.png").write_bytes(b"x")
     files = FI.image_files(spark, str(tmp_path))
-    assert [r.path for r in files.collect()] == [str(tmp_path / "d" / "a.png")]
+    assert [r.path for r in files.collect()] == ["d/a.png"]
+    chat = "array<struct<from:string,value:string>>"
+    rows = spark.createDataFrame([("1", "d/a.png", []), ("2", "d/b.png", [])], f"id string, image string, conversations {chat}")
+    assert [(r.id, r.image) for r in N.with_image(rows, images=files, root="s3://b/x").collect()] == [("1", "s3://b/x/d/a.png")]
 
 
 def test_registries(spark, tmp_path):
@@ -244,11 +265,16 @@ def test_registries(spark, tmp_path):
 def test_missing_subsets(spark, tmp_path):
     def load(name):
         if name == "gone":
+            return spark.read.parquet(str(tmp_path / "gone"))
+        if name == "odd":
             raise OSError(name)
         return spark.range(2)
 
-    assert G.load_subsets(load, ["a", "gone"], skip_missing=True).count() == 2
-    with pytest.raises(OSError):
+    with pytest.warns(UserWarning, match="gone"):
+        assert G.load_subsets(load, ["a", "gone"], skip_missing=True).count() == 2
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         G.load_subsets(load, ["a", "gone"])
-    with pytest.raises(ValueError):
+    with pytest.raises(OSError):
+        G.load_subsets(load, ["a", "odd"], skip_missing=True)
+    with pytest.raises(ValueError), pytest.warns(UserWarning):
         G.load_subsets(load, ["gone"], skip_missing=True)
