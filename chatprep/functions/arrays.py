@@ -17,12 +17,39 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+SUM_CHUNK = 256
+
+
 def prefix_sums(values: Column) -> Column:
-    """Totals before each entry and, last, of all of them (for short arrays)."""
-    start = F.array(F.lit(0))
-    return F.aggregate(
-        values, start, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
-    )
+    """Totals before each entry and, last, of all of them (bigint).
+
+    An array that grows by one entry is copied each time, so the sums go by chunks: totals
+    of chunks first, then the entries of each chunk from the total before it.
+    """
+
+    def running(part: Column, base: Column) -> Column:
+        first = F.struct(base.alias("now"), F.array().cast("array<bigint>").alias("all"))
+
+        def add(acc: Column, x: Column) -> Column:
+            now = (acc["now"] + x).cast("bigint")
+            return F.struct(now.alias("now"), F.concat(acc["all"], F.array(acc["now"])).alias("all"))
+
+        return F.aggregate(part, first, add, lambda acc: acc["all"])
+
+    def sums(all_: Column) -> Column:
+        zero = F.lit(0).cast("bigint")
+        starts = F.sequence(F.lit(1), F.greatest(F.size(all_), F.lit(1)), F.lit(SUM_CHUNK))
+        parts = F.transform(starts, lambda s: F.slice(all_, s, SUM_CHUNK))
+
+        def by_chunk(ps: Column) -> Column:
+            totals = F.transform(ps, lambda p: F.aggregate(p, zero, lambda a, x: (a + x).cast("bigint")))
+            bases = running(totals, zero)
+            return F.flatten(F.zip_with(ps, bases, running))
+
+        whole = F.aggregate(all_, zero, lambda a, x: (a + x).cast("bigint"))
+        return F.concat(let(parts, by_chunk), F.array(whole))
+
+    return let(values, sums)
 
 
 def zeros(n: Column) -> Column:

@@ -189,24 +189,28 @@ def blocks(
 ) -> DataFrame:
     """One row per (sample, block, k): the label and its weight.
 
-    A label beyond the end is invalid (weight 0); k = 0 is the anchor itself.
+    A label beyond the end is invalid (weight 0); k = 0 is the anchor itself.  Only the
+    small entries are made into rows, the sample's arrays are not copied into them.
     """
-    out = df.select(
-        key, F.col(ids).alias("__ids"), F.col(mask).alias("__m"), F.posexplode(anchor_column).alias("block", "anchor")
-    ).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(block_size - 1))))
-    at = F.col("anchor") + F.col("k")
-    inside = at < F.size("__ids")
-    weight = F.when(inside & (F.col("k") > 0), F.get("__m", at)).otherwise(0)
-    return out.select(
-        key,
-        "block",
-        "anchor",
-        "k",
-        F.get("__ids", F.least(at, F.size("__ids") - 1)).alias("label_id"),
-        inside.alias("valid"),
-        weight.cast("int").alias("eval_weight"),
-        (weight * decay(F.col("k"), gamma)).cast("double").alias("loss_weight"),
-    )
+    size = F.size(ids)
+
+    def entry(block: Column, anchor: Column, k: Column) -> Column:
+        at = anchor + k
+        inside = at < size
+        return F.struct(
+            block.alias("block"),
+            anchor.alias("anchor"),
+            k.alias("k"),
+            F.get(F.col(ids), F.least(at, size - 1)).alias("label_id"),
+            inside.alias("valid"),
+            F.when(inside & (k > 0), F.get(F.col(mask), at)).otherwise(0).cast("int").alias("eval_weight"),
+        )
+
+    def block_entries(anchor: Column, block: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(block_size - 1)), lambda k: entry(block, anchor, k))
+
+    out = df.select(key, F.inline(F.flatten(F.transform(anchor_column, block_entries))))
+    return out.withColumn("loss_weight", (F.col("eval_weight") * decay(F.col("k"), gamma)).cast("double"))
 
 
 def noise_input(ids: Column, block_size: int, mask_id: int) -> Column:

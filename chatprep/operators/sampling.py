@@ -117,13 +117,28 @@ def filter_then_limit(df: DataFrame, order: Sequence[str], n: int, valid: Column
 def split_exact(
     df: DataFrame, keys: Sequence[str], test_share: float = 0.05, seed: int | str = SEED, name: str = "split"
 ) -> DataFrame:
-    """Label rows train/test; the test part has exactly ``ceil(share * n)`` rows."""
-    total = df.agg(F.count("*")).scalar()
-    test_rows = F.ceil(F.lit(test_share) * total)
-    ranked = rank_by_hash(df, keys, seed, "__rank")
-    return ranked.withColumn(
-        name, F.when(F.col("__rank") < test_rows, F.lit("test")).otherwise(F.lit("train"))
-    ).drop("__rank")
+    """Label rows train/test; the test part has exactly ``ceil(share * n)`` rows.
+
+    The last test row in hash order is found from the keys alone: counts of hash buckets tell
+    its bucket, and only that bucket is ranked.  Rows are then compared with it where they
+    lie, so none of them moves.
+    """
+    named = df.select(*keys)
+    hashed = named.withColumn("__h", seeded_key(seed, *[F.col(k) for k in keys]))
+    hashed = hashed.withColumn("__b", hex_number(F.col("__h"), HEX_DIGITS))
+    upto = Window.orderBy("__b")  # one row per bucket
+    sizes = hashed.groupBy("__b").agg(F.count("*").alias("__n")).withColumns(
+        {"__upto": F.sum("__n").over(upto), "__all": F.sum("__n").over(upto.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))}
+    )
+    wanted = F.ceil(F.lit(test_share) * F.col("__all"))
+    border = sizes.filter((F.col("__upto") >= wanted) & (F.col("__upto") - F.col("__n") < wanted)).select(
+        "__b", (wanted - F.col("__upto") + F.col("__n")).alias("__k")
+    )
+    place = F.row_number().over(Window.partitionBy("__b").orderBy("__h", *keys))
+    last = hashed.join(F.broadcast(border), "__b").withColumn("__r", place).filter("__r = __k")
+    limit = last.agg(F.max(F.struct("__h", *keys))).scalar()
+    mine = F.struct(seeded_key(seed, *[F.col(k) for k in keys]).alias("__h"), *keys)
+    return df.withColumn(name, F.when(mine <= limit, F.lit("test")).otherwise(F.lit("train")))
 
 
 def split_by_hash(

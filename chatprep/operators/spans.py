@@ -21,7 +21,7 @@ from chatprep.operators.common import pin
 from chatprep.operators.templates import ChatTemplate
 from chatprep.operators.tokens import hashed_ids, joins_at, token_count, tokens
 
-SPANS = "array<struct<start:int,end:int>>"
+CHUNK = 1024  # characters
 
 # The round marker and the tags of channel-tagged text.
 ROUND_MARKER = r"\[Round \d+\] USER:"
@@ -107,14 +107,17 @@ def find_spans(text: Column, rule: SpanRule) -> Column:
             (at > 0).alias("hit"), lead.alias("lead"), (size - cut).alias("stop"), size.alias("size")
         )
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        span = F.struct((acc["at"] + p["lead"]).alias("start"), (acc["at"] + p["stop"]).alias("end"))
-        spans = F.when(p["hit"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct((acc["at"] + p["size"]).alias("at"), spans.alias("spans"))
+    def place(ps: Column) -> Column:
+        at = F.slice(prefix_sums(F.transform(ps, lambda p: p["size"])), F.lit(1), F.size(ps))
+        placed = F.filter(F.arrays_zip(ps.alias("p"), at.alias("at")), lambda x: x["p"]["hit"])
+        return F.transform(
+            placed,
+            lambda x: F.struct(
+                (x["at"] + x["p"]["lead"]).cast("int").alias("start"), (x["at"] + x["p"]["stop"]).cast("int").alias("end")
+            ),
+        )
 
-    return F.aggregate(F.transform(pieces, measure), start, step, lambda acc: acc["spans"])
+    return let(F.transform(pieces, measure), place)
 
 
 def last_span(spans: Column) -> Column:
@@ -126,15 +129,12 @@ def literal_spans(text: Column, literal: str) -> Column:
     """Every non-overlapping occurrence of a text, left to right."""
     pieces = F.split(text, F.lit(rf"\Q{literal}\E"), F.lit(-1))
     n = len(literal)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
 
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + F.length(p)
-        span = F.struct(begin.alias("start"), (begin + n).alias("end"))
-        return F.struct((begin + n).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def place(sizes: Column) -> Column:
+        ends = F.slice(prefix_sums(F.transform(sizes, lambda w: w + n)), F.lit(2), F.size(sizes) - 1)
+        return F.transform(ends, lambda e: F.struct((e - n).cast("int").alias("start"), e.cast("int").alias("end")))
 
-    heads = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
-    return F.aggregate(heads, start, step, lambda acc: acc["spans"])
+    return let(F.transform(pieces, F.length), place)
 
 
 # --- spans to tokens -------------------------------------------------------------
@@ -148,19 +148,28 @@ def token_ranges(text: Column, spans: Column, how: str = "prefix") -> Column:
     ``containment``  tokens that lie wholly inside
     ``overlap``      tokens that touch the span; one starting right at its end counts
 
-    Only the pieces between span borders are tokenised, each once, so the cost is
-    linear in the text.
+    Only the pieces between span borders are tokenised, each once.  The text is cut into
+    chunks first and a piece taken from its own chunks, as a substring of the whole is
+    found by walking there from the start: the cost is linear in the text.
     """
     if how not in ("prefix", "containment", "overlap"):
         raise ValueError(f"unknown mapping {how!r}")
 
-    def ranges(tx: Column, sp: Column) -> Column:
-        length = F.length(tx)
+    def ranges(chunks: Column, length: Column, sp: Column) -> Column:
         cuts = F.concat(F.array(F.lit(0)), F.flatten(F.transform(sp, lambda s: F.array(s["start"], s["end"]))))
 
+        def piece(c: Column, stop: Column) -> Column:
+            first = F.floor(c / CHUNK).cast("int")
+            held = F.slice(chunks, first + 1, F.floor(stop / CHUNK).cast("int") - first + 1)
+            return F.substring(F.array_join(held, ""), c - first * CHUNK + 1, stop - c)
+
+        def joined(c: Column) -> Column:
+            pair = piece(F.greatest(c - 1, F.lit(0)), F.least(c + 1, length))
+            return (c > 0) & (c < length) & joins_at(pair, F.lit(1))
+
         def begun(c: Column, stop: Column) -> Column:
             # Tokens starting in a piece; one that runs over the left border does not.
-            counted = token_count(F.substring(tx, c + 1, stop - c)) - joins_at(tx, c).cast("int")
+            counted = token_count(piece(c, stop)) - joined(c).cast("int")
             return F.when(stop > c, counted).otherwise(0)
 
         def per_piece(cs: Column) -> Column:
@@ -169,10 +178,10 @@ def token_ranges(text: Column, spans: Column, how: str = "prefix") -> Column:
         def rng(s: Column, i: Column, sums: Column) -> Column:
             lo, hi = F.get(sums, 2 * i + 1), F.get(sums, 2 * i + 2)
             if how == "containment":
-                hi = hi - joins_at(tx, s["end"]).cast("int")
+                hi = hi - joined(s["end"]).cast("int")
             elif how == "overlap":
-                lo = lo - joins_at(tx, s["start"]).cast("int")
-                hi = hi + ((s["end"] < length) & ~joins_at(tx, s["end"])).cast("int")
+                lo = lo - joined(s["start"]).cast("int")
+                hi = hi + ((s["end"] < length) & ~joined(s["end"])).cast("int")
             return F.struct(lo.cast("int").alias("start"), hi.cast("int").alias("end"))
 
         return let(
@@ -183,7 +192,10 @@ def token_ranges(text: Column, spans: Column, how: str = "prefix") -> Column:
             ),
         )
 
-    return let(text, lambda tx: let(spans, lambda sp: ranges(tx, sp)))
+    cut = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return let(
+        cut, lambda chunks: let(F.length(text), lambda length: let(spans, lambda sp: ranges(chunks, length, sp)))
+    )
 
 
 def ranges_to_mask(ranges: Column, n: Column) -> Column:

@@ -185,8 +185,9 @@ def whole_text_sql(template, texts: str, last: bool = False) -> str:
 
     rule = span_rule(template)
     stop = rule.stop_pattern()
-    pattern = S.lit(rf"(?s)(.*?)(?:({quote_regex(rule.header)})(.*?(?:{stop}|\n?\z))|\z)")
-    parts = ", ".join(f"regexp_extract_all(text, {pattern}, {i}) AS {c}" for i, c in enumerate("ghb", 1))
+    pattern = S.lit(rf"(?s)(.*?)(?:({quote_regex(rule.header)})(.*?)({stop}|\n?\z)|\z)")
+    parts = ", ".join(f"regexp_extract_all(text, {pattern}, {i}) AS {c}" for i, c in enumerate("ghbz", 1))
+    tail = "CASE WHEN z <> chr(10) THEN length(z) ELSE 0 END" if rule.included else "0"
     system = S.sql_render("'system'", S.lit(template.system_prompt), template) if template.system_prompt else "''"
     hidden = "".join(
         f""" AND NOT EXISTS (SELECT 1 FROM literals p WHERE p.conv_id = t.conv_id AND t.s >= p.s AND t.s < p.e)""" for _ in template.ignore_token[:1]
@@ -201,10 +202,11 @@ texts AS (
 {S.token_rows_sql("texts", "conv_id")},
 pieces AS (SELECT conv_id, {parts} FROM texts),
 piece_rows AS (
-  SELECT conv_id, unnest(range(len(g))) AS k, unnest(g) AS g, unnest(h) AS h, unnest(b) AS b FROM pieces),
+  SELECT conv_id, unnest(range(len(g))) AS k, unnest(g) AS g, coalesce(unnest(h), '') AS h, coalesce(unnest(b), '') AS b, coalesce(unnest(z), '') AS z
+  FROM pieces),
 all_spans AS (
-  SELECT conv_id, k, upto - length(b) AS s, upto AS e FROM (
-    SELECT *, sum(length(g) + coalesce(length(h), 0) + coalesce(length(b), 0)) OVER (PARTITION BY conv_id ORDER BY k) AS upto
+  SELECT conv_id, k, upto - length(z) - length(b) AS s, upto - length(z) + {tail} AS e FROM (
+    SELECT *, sum(length(g) + length(h) + length(b) + length(z)) OVER (PARTITION BY conv_id ORDER BY k) AS upto
     FROM piece_rows) WHERE h <> ''),
 spans AS (SELECT * FROM all_spans a WHERE {'k = (SELECT max(k) FROM all_spans z WHERE z.conv_id = a.conv_id)' if last else 'true'}),
 literal_parts AS (

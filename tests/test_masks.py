@@ -147,3 +147,19 @@ def test_learnt_vocabulary_ids(spark):
     words = spark.createDataFrame([("a",), ("a",), ("b",), ("zz",)], "token string")
     vocab = spark.createDataFrame([("a", 1), ("b", 2)], "token string, token_id int")
     assert sorted(r.token_id for r in T.with_vocabulary(words, vocab).collect()) == [0, 1, 1, 2]
+
+
+def test_masks_take_time_in_proportion_to_the_text(spark):
+    """Ten times the replies take about ten times as long, not a hundred times."""
+    import time
+
+    template = R.get_template("qwen")
+    one = f"{template.user_header}some question{template.end_of_turn_token}{template.assistant_header}a reply, here{template.end_of_turn_token}"
+    took = {}
+    for n in (2000, 2000, 20_000):  # the first run loads classes
+        df = spark.range(1).select(F.repeat(F.lit(one), n).alias("text"))
+        start = time.perf_counter()
+        (row,) = P.masked_sample(df, template, max_length=None).select(F.size("loss_mask").alias("n"), F.aggregate("loss_mask", F.lit(0), lambda a, x: a + x).alias("ones")).collect()
+        took[n] = time.perf_counter() - start
+        assert row.ones == n * 12 and row.n % n == 0
+    assert took[20_000] < 30 * took[2000] + 2
