@@ -11,9 +11,9 @@ _NAMES = [*B.BENCHMARKS, "other"]
 _DRAFTS = {"N": "acme/Vendor-X-draft-N", "R": "vendor-x/acme//Bundle-R"}
 
 METRICS_SQL = f"""raw AS (
-  SELECT 'team/t' || (l_suppkey % 4) AS target, (l_partkey % 8)::INT AS b_pos, (l_linenumber % 3)::INT AS r_pos, l_returnflag AS flag,
+  SELECT 'team/t' || l_suppkey AS target, (l_partkey % 8)::INT AS b_pos, (l_linenumber % 3)::INT AS r_pos, l_returnflag AS flag,
     (sum(round(l_extendedprice * 100)::BIGINT)::BIGINT // count(*)) / 100.0::DOUBLE AS thr,
-    (sum(l_quantity::BIGINT)::BIGINT * 1000 // count(*)) / 1000.0::DOUBLE AS acc FROM lineitem GROUP BY 1, 2, 3, 4),
+    (sum(l_quantity::BIGINT)::BIGINT * 100 // count(*) * 10 + 3) / 1000.0::DOUBLE AS acc FROM lineitem GROUP BY 1, 2, 3, 4),
 metrics AS (
   SELECT target, b_pos, r_pos, CASE flag WHEN 'A' THEN 2 WHEN 'N' THEN 0 ELSE 1 END AS m_pos, {_NAMES}[b_pos + 1] AS benchmark,
     1 AS batch_size, CASE WHEN r_pos = 0 THEN 0 ELSE 3 END AS steps, CASE WHEN r_pos = 0 THEN 0 ELSE 1 END AS topk, CASE WHEN r_pos = 0 THEN 0 ELSE 4 END AS num_draft_tokens,
@@ -34,20 +34,21 @@ entries AS (
 
 
 def documents(t):
-    """One nested JSON document made of line items; its parts are as many as the
-    constants above allow."""
+    """A nested JSON document per supplier, made of its line items; the parts of one are
+    as many as the constants above allow."""
     names = F.array(*[F.lit(n) for n in _NAMES])
     rows = (
         t.lineitem.groupBy(
-            F.concat(F.lit("team/t"), (F.col("l_suppkey") % 4).cast("string")).alias("target"),
+            F.concat(F.lit("team/t"), F.col("l_suppkey").cast("string")).alias("target"),
             (F.col("l_partkey") % 8).cast("int").alias("b"),
             (F.col("l_linenumber") % 3).cast("int").alias("r"),
             F.col("l_returnflag").alias("flag"),
         )
         .agg(
-            # Whole numbers until the last step, so that every engine gets the same value.
+            # Whole numbers until the last step, and no half to round, so that every engine
+            # gets the same value.
             (F.floor(F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")) / F.count("*")) / 100.0).alias("thr"),
-            (F.floor(F.sum(F.col("l_quantity").cast("bigint")) * 1000 / F.count("*")) / 1000.0).alias("acc"),
+            ((F.floor(F.sum(F.col("l_quantity").cast("bigint")) * 100 / F.count("*")) * 10 + 3) / 1000.0).alias("acc"),
         )
         .filter("NOT (b % 3 = 2 AND r = 2 AND flag = 'A')")
     )
@@ -75,7 +76,7 @@ def documents(t):
         F.struct(F.get(names, F.col("b")).alias("benchmark_name"), "results").alias("value"),
     )
     per_target = per_bench.groupBy("target").agg(F.map_from_entries(F.sort_array(F.collect_list(part))).alias("m"))
-    whole = per_target.agg(F.map_from_entries(F.collect_list(F.struct("target", "m"))).alias("d"))
+    whole = per_target.select(F.create_map("target", "m").alias("d"))
     return RS.parse_documents(whole.select(F.to_json("d").alias("value")))
 
 
@@ -95,7 +96,12 @@ def longs(df):
     return df.withColumns({c: F.col(c).cast("bigint") for c in _INTS})
 
 
-@query(f"WITH {METRICS_SQL} SELECT target, benchmark, {_INT_SQL}, b_pos || '.' || r_pos || '.' || m_pos AS place, name, throughput, accept_length FROM metrics")
+# Positions of what is there: a supplier may lack some benchmarks, results or metrics.
+_PLACE = """(dense_rank() OVER (PARTITION BY target ORDER BY b_pos) - 1) || '.' || (dense_rank() OVER (PARTITION BY target, b_pos ORDER BY r_pos) - 1)
+  || '.' || (row_number() OVER (PARTITION BY target, b_pos, r_pos ORDER BY m_pos) - 1)"""
+
+
+@query(f"WITH {METRICS_SQL} SELECT target, benchmark, {_INT_SQL}, {_PLACE} AS place, name, throughput, accept_length FROM metrics")
 def flattened_documents(t):
     return longs(metrics(t)).withColumn("place", F.concat_ws(".", "place.b_pos", "place.r_pos", "place.m_pos"))
 
