@@ -40,8 +40,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(docs, id_col=KEY)
     first = found.where("doc_id = component_id").select(F.col("doc_id").alias(KEY)).distinct()
     one = Window.partitionBy(KEY).orderBy(F.xxhash64("text"), "text")
-    kept = docs.join(first, KEY, "left_semi").withColumn("_row", F.row_number().over(one))
-    return kept.where("_row = 1").drop(KEY, "_row")
+    kept = docs.join(first, KEY, "left_semi").withColumn("_document_row", F.row_number().over(one))
+    return kept.where("_document_row = 1").drop(KEY, "_document_row")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
