@@ -7,7 +7,7 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import ITEMS, edge_rows, sentence
+from cases import ITEMS, edge_rows, sentence
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 

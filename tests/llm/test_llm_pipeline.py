@@ -3,7 +3,7 @@
 import brute
 import public_tokenizers
 import pytest
-from conftest import ITEMS
+from cases import ITEMS
 from tokenizers import Tokenizer
 
 import corpus_pipeline
