@@ -96,3 +96,19 @@ def with_vocabulary(words: DataFrame, vocab: DataFrame, token: str = "token", un
     return words.join(vocab.select(token, "token_id"), token, "left").withColumn(
         "token_id", F.coalesce("token_id", F.lit(unknown)).cast("int")
     )
+
+
+def table_ids(
+    df: DataFrame, key: str, column: str, vocab: DataFrame, name: str = "input_ids", token: str = "token", unknown: int = 0
+) -> DataFrame:
+    """Replace an array of token texts by their ids from a ``(token, token_id)`` table.
+
+    Only the tokens cross the join; a row's array comes back as one group, as large as the
+    array was.  ``key`` is unique.
+    """
+    rows = df.select(key, F.posexplode(column).alias("__pos", token))
+    found = with_vocabulary(rows, vocab, token, unknown).groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("__pos", "token_id"))).alias("__found")
+    )
+    ids = F.transform(F.coalesce("__found", F.array().cast("array<struct<__pos:int,token_id:int>>")), lambda x: x["token_id"])
+    return df.join(found, key, "left").withColumn(name, ids).drop("__found", *([] if name == column else [column]))

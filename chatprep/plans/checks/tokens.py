@@ -8,6 +8,8 @@ from chatprep.operators.common import pin
 from chatprep.plans import standins as S
 from chatprep.plans.catalog import query
 from chatprep.plans.checks.turns import _HARMONY_SQL, harmony_chats, rendered
+from chatprep.session import scratch_folder
+from chatprep.sources.files import keyed_stage
 
 QWEN = R.get_template("qwen")
 
@@ -270,7 +272,8 @@ def word_level_ids(t):
     from chatprep.operators.vocabulary import frequency, learn_vocabulary
 
     w = t.documents.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
-    vocab = learn_vocabulary(frequency(w), 300).withColumn("token_id", F.col("token_id") + 1)
+    learnt = learn_vocabulary(frequency(w), 300).withColumn("token_id", F.col("token_id") + 1)
+    vocab = keyed_stage(learnt, scratch_folder(t.spark, "vocabulary"), {"size": 300})
     return T.with_vocabulary(w, vocab).groupBy(F.col("token_id").cast("bigint").alias("token_id")).agg(F.count("*").alias("n"))
 
 

@@ -6,6 +6,9 @@ from chatprep.operators.tokens import TOKEN_PATTERN, hashed_id
 from chatprep.plans import standins as S
 from chatprep.plans.catalog import query
 from chatprep.plans.draft_vocabulary import draft_coverage, placed_messages, supervised_words, training_samples as build_samples
+from chatprep.session import scratch_folder
+from chatprep.sources.files import keyed_stage
+from chatprep.sources.vocabulary import load_mapping, save_mapping
 
 QWEN = get_template("qwen")
 MAX_LENGTH, DRAFT = 512, 200
@@ -279,3 +282,30 @@ SELECT tok AS token, count(*) AS n FROM m WHERE m = 1 AND i < {MAX_LENGTH} GROUP
 )
 def token_frequency_ignored_text(t):
     return V.frequency(supervised_words(_variant(t, "think"), get_template("qwen3-instruct"), MAX_LENGTH))
+
+
+@query(
+    f"""WITH {whole_text_sql(QWEN, S.VALID)},
+vocab AS (SELECT tok, row_number() OVER (ORDER BY count(*) DESC, tok) - 1 AS token_id FROM m WHERE m = 1 AND i < {MAX_LENGTH} GROUP BY tok
+  ORDER BY count(*) DESC, tok LIMIT {DRAFT})
+SELECT c.conv_id, coalesce(string_agg(coalesce(v.token_id, {DRAFT})::VARCHAR, ',' ORDER BY i), '') AS ids,
+  coalesce(string_agg(m::VARCHAR, '' ORDER BY i), '') AS mask
+FROM texts c LEFT JOIN (SELECT * FROM m WHERE i < {MAX_LENGTH}) a USING (conv_id) LEFT JOIN vocab v ON v.tok = a.tok GROUP BY c.conv_id"""
+)
+def training_samples_with_vocabulary(t):
+    folder = scratch_folder(t.spark, "vocabulary")
+    vocab = keyed_stage(V.learn_vocabulary(freq(t), DRAFT).select("token", "token_id"), folder, {"draft": DRAFT})
+    return _sample_rows(build_samples(S.turns(t), QWEN, MAX_LENGTH, vocabulary=vocab, unknown=DRAFT))
+
+
+@query(
+    f"""WITH {IDS_SQL}, d AS (
+  SELECT (row_number() OVER (ORDER BY token) - 1)::BIGINT AS draft_id, token::BIGINT AS token_id FROM best)
+SELECT r.i AS token_id, d.token_id IS NOT NULL AS in_draft, d.draft_id, d.token_id - d.draft_id AS d2t_offset
+FROM (SELECT unnest(range({TARGET})) AS i) r LEFT JOIN d ON d.token_id = r.i"""
+)
+def mapping_round_trip(t):
+    folder = scratch_folder(t.spark, "mapping")
+    save_mapping(best(t), TARGET, folder)
+    d2t, t2d = load_mapping(t.spark, folder)
+    return t2d.join(d2t.withColumn("draft_id", F.col("draft_id").cast("bigint")), "token_id", "left")

@@ -24,7 +24,7 @@ from chatprep.functions.arrays import ones, zeros
 from chatprep.operators.ordered import scan_groups
 from chatprep.operators.spans import SpanRule, clear_literals, find_spans, span_mask, span_rule
 from chatprep.operators.templates import ChatTemplate, render_message, role_header
-from chatprep.operators.tokens import hashed_ids, token_count, tokens
+from chatprep.operators.tokens import hashed_ids, table_ids, token_count, tokens
 from chatprep.operators.turns import flag_turns
 from chatprep.operators.vocabulary import coverage, frequency
 
@@ -164,10 +164,15 @@ def training_samples(
     max_length: int = 2048,
     key: str = "conv_id",
     last_only: bool = False,
+    vocabulary: DataFrame | None = None,
+    unknown: int = 0,
     **columns: str,
 ) -> DataFrame:
     """``(key, input_ids, loss_mask)`` per conversation, at most ``max_length`` long.
 
+    Ids come from a stored ``(token, token_id)`` table, where one is given, and are hashes of
+    16 bits without one, which different tokens may share.
+
     A message is at least one token, so no more than ``max_length`` parts of a key are
     collected; the others are left out before the shuffle, which carries one partial
     row per key and task.  With ``last_only`` only the last reply is supervised, for
@@ -179,9 +184,10 @@ def training_samples(
     if last_only:
         placed = _only_last(placed, key, span_rule(template))
     room = F.greatest(F.lit(max_length) - F.col("start"), F.lit(0)).cast("int")
+    ids_of = hashed_ids if vocabulary is None else lambda words: words
     part = F.struct(
         F.col("start"),
-        F.slice(hashed_ids(tokens(F.col("rendered"))), F.lit(1), room).alias("ids"),
+        F.slice(ids_of(tokens(F.col("rendered"))), F.lit(1), room).alias("ids"),
         F.slice("mask", F.lit(1), room).alias("mask"),
     )
     parts = F.sort_array(F.collect_list(F.when(F.col("kept") & (room > 0), part)))
@@ -189,11 +195,13 @@ def training_samples(
     ids = F.flatten(F.transform("parts", lambda p: p["ids"]))
     masks = F.flatten(F.transform("parts", lambda p: p["mask"]))
     if template.system_prompt:
-        head = F.slice(hashed_ids(tokens(system_text(template))), 1, max_length)
-        none = F.array().cast("array<int>")
-        ids = F.concat(F.when(F.col("own"), none).otherwise(head), ids)
-        masks = F.concat(F.when(F.col("own"), none).otherwise(zeros(F.size(head))), masks)
-    return grouped.select(key, ids.alias("input_ids"), masks.alias("loss_mask"))
+        head = F.slice(ids_of(tokens(system_text(template))), 1, max_length)
+        ids = F.when(F.col("own"), ids).otherwise(F.concat(head, ids))
+        masks = F.when(F.col("own"), masks).otherwise(F.concat(zeros(F.size(head)), masks))
+    samples = grouped.select(key, ids.alias("input_ids"), masks.alias("loss_mask"))
+    if vocabulary is None:
+        return samples
+    return table_ids(samples, key, "input_ids", vocabulary, unknown=unknown).select(key, "input_ids", "loss_mask")
 
 
 def supervised_words(
