@@ -197,13 +197,39 @@ def _by_role(role: Column, template: ChatTemplate) -> Column:
     return out.otherwise(F.lit(""))
 
 
-def render_message(role: Column, content: Column, template: ChatTemplate, reasoning: Column | None = None) -> Column:
+def tool_call_text(calls: Column) -> Column:
+    """Cleaned tool calls as text: one ``<tool_call>`` block per call that names a function,
+    holding an object of its name and its arguments."""
+
+    def block(call: Column) -> Column:
+        made = call["function"]
+        name = F.to_json(F.struct(made["name"].alias("name")))
+        body = F.concat(F.substring(name, F.lit(1), F.length(name) - 1), F.lit(',"arguments":'), made["arguments"], F.lit("}"))
+        return F.concat(F.lit("<tool_call>\n"), body, F.lit("\n</tool_call>"))
+
+    named = F.filter(calls, lambda c: F.coalesce(c["function"]["name"] != "", F.lit(False)))
+    return F.coalesce(F.array_join(F.transform(named, block), "\n"), F.lit(""))
+
+
+def render_message(
+    role: Column,
+    content: Column,
+    template: ChatTemplate,
+    reasoning: Column | None = None,
+    tool_calls: Column | None = None,
+) -> Column:
     """header + content + end token of one message.
 
     With ``reasoning`` (thinking models) an assistant reply is preceded by its
-    reasoning inside a think block when there is any.
+    reasoning inside a think block when there is any.  With ``tool_calls`` (cleaned, see
+    ``sources.jsonl.clean_tool_calls``) an assistant reply is followed by its calls, on a
+    line of their own when it has a text; the reply of a tool is a message of its role.
     """
     text = F.coalesce(content, F.lit(""))
+    if tool_calls is not None:
+        calls = tool_call_text(tool_calls)
+        gap = F.when((text == "") | (calls == ""), F.lit("")).otherwise(F.lit("\n"))
+        text = F.when(role == "assistant", F.concat(text, gap, calls)).otherwise(text)
     if reasoning is not None:
         opened = (template.assistant_header or "").endswith("<think>\n")
         block = F.concat(F.lit("" if opened else "<think>\n"), reasoning, F.lit("\n</think>\n\n"))
@@ -211,15 +237,24 @@ def render_message(role: Column, content: Column, template: ChatTemplate, reason
     return F.concat(_by_role(role, template), text, F.lit(template.end_of_turn_token or ""))
 
 
-def render_conversation(system: Column, messages: Column, template: ChatTemplate, thinking: bool = False) -> Column:
-    """Whole conversation as one text: optional system message, then every message."""
+def render_conversation(
+    system: Column, messages: Column, template: ChatTemplate, thinking: bool = False, tools: bool = False
+) -> Column:
+    """Whole conversation as one text: optional system message, then every message.
+
+    With ``tools`` the messages carry cleaned ``tool_calls``, which are rendered.
+    """
     head = F.when(system.isNull(), F.lit("")).otherwise(
         render_message(F.lit("system"), system, template)
     )
     parts = F.transform(
         messages,
         lambda m: render_message(
-            m["role"], m["content"], template, m["reasoning_content"] if thinking else None
+            m["role"],
+            m["content"],
+            template,
+            m["reasoning_content"] if thinking else None,
+            m["tool_calls"] if tools else None,
         ),
     )
     return F.concat(head, F.array_join(parts, ""))

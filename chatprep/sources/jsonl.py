@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chatprep.functions.text import strip
 from chatprep.operators.common import pin
 
+LINE_FIELDS = ("id", "text", "conversations", "tools")
 MESSAGE_FIELDS = ("role", "content", "tool_calls", "reasoning_content")
 
 
@@ -29,8 +30,9 @@ def _as_text(value: Column) -> Column:
 def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     """Parsed lines with a ``reason`` on the bad ones.
 
-    Columns: ``id, text, conversations, tools, reason, line``.  Works on batch and
-    streaming frames alike.
+    Columns: ``id, text, conversations, tools, options, reason, line``; ``options`` maps the
+    other fields of the line, without nulls, to their text.  Works on batch and streaming
+    frames alike.
     """
     trimmed = strip(F.col("line"))
     parsed = pin(lines.select(F.col(line).alias("line")), v=F.try_parse_json(trimmed), t=trimmed)
@@ -73,11 +75,20 @@ def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
         F.try_variant_get("v", "$.text", "string").alias("text"),
         F.coalesce(F.when(is_list, messages), empty).alias("conversations"),
         as_json.alias("tools"),
+        _other_fields(F.col("v")).alias("options"),
         reason.alias("reason"),
         "line",
     )
 
 
+def _other_fields(value: Column) -> Column:
+    """The fields of an object that have no column of their own, as text."""
+    fields = F.when(_kind(value) == "OBJECT", F.try_variant_get(value, "$", "map<string,variant>"))
+    other = F.filter(F.map_entries(fields), lambda e: ~e["key"].isin(*LINE_FIELDS) & ~F.is_variant_null(e["value"]))
+    texts = F.transform(other, lambda e: F.struct(e["key"].alias("key"), _as_text(e["value"]).alias("value")))
+    return F.coalesce(F.map_from_entries(texts), F.create_map().cast("map<string,string>"))
+
+
 def read_conversations(spark: SparkSession, path: str) -> DataFrame:
     """Usable records of JSON line files."""
     return good_lines(parse_lines(spark.read.text(path)))
@@ -150,7 +161,13 @@ def parse_tools(tools: Column) -> Column:
 
 
 def render_options(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Named extra columns as a per-row ``render_options`` map; nulls are left out."""
+    """Named extra columns as a per-row ``render_options`` map; nulls are left out.
+
+    A name that is no column is looked up in the ``options`` of a scan.
+    """
+    if missing := [c for c in columns if c not in df.columns]:
+        df = df.withColumns({c: F.try_element_at("options", F.lit(c)) for c in missing})
+        return render_options(df, columns).drop(*missing)
     pairs = [F.when(F.col(c).isNotNull(), F.struct(F.lit(c), F.col(c).cast("string"))) for c in columns]
     made = F.map_from_entries(F.filter(F.array(*pairs), lambda p: p.isNotNull()))
     return df.withColumn("render_options", made)
