@@ -10,9 +10,10 @@ the ids of a text are those of its units put together:
   with punctuation.
 
 Units start at ASCII white space and punctuation, so that composition of characters cannot reach
-over a border.  Texts with other kinds of white space, and tokenizers of any other make, are
+over a border.  Texts with other kinds of white space, texts that hold the content of an added
+token (such as ``<|endoftext|>``, which gets its one id), and tokenizers of any other make, are
 encoded whole.  The tokenizers library does all encoding: its model takes a unit that is one
-run of letters at once, its whole pipeline takes the others.
+run of letters at once, its whole pipeline, with its default settings, takes the others.
 """
 
 from __future__ import annotations
@@ -59,7 +60,8 @@ def _kind(tokenizer: Tokenizer) -> str:
         return "bytes" if normal == "None" else "plain"
     words = "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in before and before.count("Split(") == 1
     folds = normal.startswith("Sequence(normalizers=[NFC(), Replace(pattern=Regex(") and normal.endswith("Lowercase()])")
-    return "words" if words and folds and normal.count("(") == 5 else "plain"
+    fixed = all(t.content.isascii() and not t.normalized for t in tokenizer.get_added_tokens_decoder().values())
+    return "words" if words and folds and normal.count("(") == 5 and fixed else "plain"
 
 
 class WordIds:
@@ -67,8 +69,9 @@ class WordIds:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kind = _kind(self.tokenizer)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.spelt = [x for x in self.added if x.lstrip(" ").isalpha()]  # may be, or lie in, a run of letters
         self._forget()
 
     def _forget(self) -> None:
@@ -89,7 +92,7 @@ class WordIds:
         rest = []
         for i, text in enumerate(texts):
             letters = text[1:] if text[:1] == " " else text
-            if self.kind != "plain" and letters.isalpha():
+            if self.kind != "plain" and letters.isalpha() and not any(x in text for x in self.spelt):
                 if words:
                     text = letters if letters.isascii() else unicodedata.normalize("NFC", letters)
                     if text.lower() != text or not text.isalpha():
@@ -114,8 +117,9 @@ class WordIds:
     def encode(self, data: np.ndarray, borders: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each document, each followed by ``end``, and the borders of the documents."""
         whole = self._whole(data, borders)
-        if self.kind == "words":
-            data = _FOLDED[data]
+        if self.kind == "words":  # whole texts stay as they are: their added tokens know upper case
+            folded = _FOLDED[data]
+            data = np.where(np.repeat(whole, np.diff(borders)), data, folded) if whole.any() else folded
         starts = self._units(data, borders)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         if whole.any():  # one unit for the whole text
@@ -136,8 +140,11 @@ class WordIds:
     def _whole(self, data: np.ndarray, borders: np.ndarray) -> np.ndarray:
         """The documents that must not be cut."""
         n = len(borders) - 1
-        if self.kind != "bytes":
-            return np.full(n, self.kind == "plain")
+        if self.kind == "plain":
+            return np.ones(n, bool)
+        out = self._marked(data, borders)
+        if self.kind == "words":
+            return out
         at = np.flatnonzero(_ODD_FIRST[data])
         code = data[at].astype(np.int64)
         second = np.where(at + 1 < len(data), data[np.minimum(at + 1, len(data) - 1)], 0)
@@ -150,10 +157,24 @@ class WordIds:
             if len(form) > 2:
                 same &= third == form[2]
             odd |= same
-        out = np.zeros(n, bool)
         out[np.searchsorted(borders, at[odd], "right") - 1] = True
         return out
 
+    def _marked(self, data: np.ndarray, borders: np.ndarray) -> np.ndarray:
+        """The documents that hold the content of an added token, in the form that units are cut from."""
+        out = np.zeros(len(borders) - 1, bool)
+        fold = _FOLDED if self.kind == "words" else np.arange(256, dtype=np.uint8)
+        raw = fold[data].tobytes() if self.added else b""
+        for content in self.added:
+            content = fold[np.frombuffer(content.encode(), np.uint8)].tobytes()
+            at = raw.find(content)
+            while at >= 0:
+                document = int(np.searchsorted(borders, at, "right")) - 1
+                inside = at + len(content) <= borders[document + 1]
+                out[document] |= inside
+                at = raw.find(content, int(borders[document + 1]) if inside else at + 1)
+        return out
+
     def _of_units(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.used > KEPT_IDS:
             self._forget()

@@ -11,6 +11,7 @@ from cases import ITEMS, edge_rows, sentence
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from chatprep.llm import (
     chat,
     decontamination,
@@ -25,6 +26,7 @@ from chatprep.llm import (
     simple8b,
     token_files,
 )
+from chatprep.llm.wordids import WordIds
 
 ROWS = edge_rows()
 BYTES, WORDS = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -119,6 +121,51 @@ def test_fit_is_near_a_known_mix():
     assert np.abs(used[:6] - [50, 70, 20, 20, 70, 50]).max() < 1
 
 
+# --- 2 and 9: added tokens inside texts
+
+MARKED = [
+    "a <|endoftext|> b",
+    "x<|startoftext|>y<|endoftext|><|endoftext|>",
+    "Caps <|ENDOFTEXT|> and\n<|endoftext|>",
+    "Only <|EndOfText|> here, No other",
+    "<|endoftext|>",
+    "a <|endoftext",
+    "|> b",
+    "",
+    "no marker | in < this > text",
+]
+
+
+def plain(path, text, end):
+    return [*Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, end]
+
+
+def test_added_tokens_inside_texts(spark):
+    docs = spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: list(r.ids) for r in token_files.read_ids(token_files.write(docs, BYTES, end_id=2)).collect()}
+    assert got == {i: plain(BYTES, t, 2) for i, t in enumerate(MARKED)}
+    assert got[0] == [64, 220, 50256, 275, 2]
+    want = [(i, 0, len(ids), brute.crc(ids)) for i, t in enumerate(MARKED) for ids in [plain(WORDS, t, 1)]]
+    rows = packing.pack(docs, WORDS, end_id=1, capacity=64).collect()
+    same([(r.doc_id, r.piece, r.length, r.ids_crc32) for r in rows], want)
+    rows = corpus_pipeline.pack_tokens(spark, docs, "").collect()
+    same([(r.doc_id, r.piece, r.length, r.ids_crc32) for r in rows], want)
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_added_tokens_of_letters(path, tmp_path):
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.add_special_tokens(["fox"])
+    tokenizer.add_tokens(["Wall"])
+    tokenizer.save(str(tmp_path / "more.json"))
+    texts = ["fox", "a foxes FOX", "wall Wall", " fox", "the wall"]
+    raw = "".join(texts).encode()
+    borders = np.cumsum([0, *map(len, texts)])
+    ids, ends = WordIds(str(tmp_path / "more.json")).encode(np.frombuffer(raw, np.uint8), borders, 7)
+    got = [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    assert got == [plain(str(tmp_path / "more.json"), t, 7) for t in texts]
+
+
 # --- 3: licences
 
 
