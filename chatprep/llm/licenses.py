@@ -12,6 +12,8 @@ by row; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,8 +67,9 @@ RULES = [
     ("CC0-1.0", ["cc0-line"]),
     ("LicenseRef-all-rights-reserved", ["reserved"]),
 ]
-# Every known sentence holds one of these, so other texts need not be cut.
-MARKS = ["licens", "permission", "warrant", "redistribut", "copyright", "rights reserved"]
+# Every known sentence holds one of these, so other texts need not be cut.  Normalising keeps runs
+# of letters and digits as they are, so a mark made of those alone stands in the raw text as well.
+MARKS = ["licens", "permission", "warrant", "redistribut", "copyright", "reserved"]
 
 
 def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
@@ -89,6 +92,8 @@ def scan(
     marks: list[str] = MARKS,
 ) -> DataFrame:
     """``doc_id, sentence_ids, licenses`` (sorted arrays of names) of every row."""
+    if odd := [m for m in marks if not re.fullmatch("[a-z0-9]+", m)]:
+        raise ValueError(f"marks must be of a-z and 0-9 only: {odd}")
     if bare := [n for n, s in sentences.items() if not any(m in s for m in marks)]:
         raise ValueError(f"sentences without a mark: {bare}")
     empty = F.array().cast("array<string>")

@@ -4,6 +4,7 @@ import collections
 import random
 
 import brute
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -26,6 +27,7 @@ from chatprep.llm import (
     simple8b,
     token_files,
 )
+from chatprep.llm import queries as llm
 from chatprep.llm.wordids import WordIds
 
 ROWS = edge_rows()
@@ -190,6 +192,26 @@ def test_license_sentences_without_a_mark_are_refused(edge):
         licenses.scan(edge, sentences={"a": "no such word"}, rules=[])
 
 
+RESERVED = ["All  rights reserved.", "All rights\treserved.", "All rights\u00a0reserved.", "ALL RIGHTS-RESERVED", "all rights reserved", "all rights\nreserved", "x all rights reserved", None]
+
+
+def test_license_marks_see_what_the_rules_see(spark, tmp_path):
+    docs = spark.createDataFrame(list(enumerate(RESERVED)), "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    sql = llm.SQL["op3_license_scan"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = llm.QUERIES["op3_license_scan"](spark, str(tmp_path)).collect()
+    same(got, con.execute(sql).fetchall())
+    assert {r.doc_id for r in got if r.sentence_ids == "reserved"} == {0, 1, 2, 3, 4}
+
+
+def test_license_marks_of_other_characters_are_refused(edge):
+    for mark in ("rights reserved", "Licens", ""):
+        with pytest.raises(ValueError):
+            licenses.scan(edge, marks=[*licenses.MARKS, mark])
+
+
 # --- 4: chat
 
 
