@@ -40,10 +40,14 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id long, text string)`` of a table, whatever else it holds; null texts become empty."""
+def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """``(doc_id long, text string)`` of a table, whatever else it holds; null texts become empty.
+
+    With ``key_col``, that column follows as the string ``row_key``.
+    """
+    key = [docs[key_col].cast("string").alias("row_key")] if key_col else []
     return docs.select(
-        docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text")
+        docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), *key
     )
 
 

@@ -46,10 +46,11 @@ def _terms(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys(data, starts, ends), per_document(starts, borders)
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store the postings of a table: positions of all terms, by segment."""
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", string_ids: bool = False) -> DataFrame:
+    """Store the postings of a table: positions of all terms, by segment; ids are longs or strings."""
     configure(docs.sparkSession)
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    kind = pa.string() if string_ids else pa.int64()
+    rows = docs.select(docs[id_col].cast("string" if string_ids else "long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,7 +63,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     {
                         "segment": pa.array([""]),
                         "row_ids": pa.array([np.arange(n)], pa.list_(pa.int64())),
-                        "doc_ids": pa.array([batch.column("doc_id")[low:high].to_pylist()], pa.list_(pa.int64())),
+                        "doc_ids": pa.array([batch.column("doc_id")[low:high].to_pylist()], pa.list_(kind)),
                         "doc_words": pa.array([np.diff(first)], pa.list_(pa.int64())),
                         "terms": pa.array([found.tobytes()], pa.binary()),
                         "term_starts": pa.array([np.append(starts, len(terms)).astype(np.int32).tobytes()], pa.binary()),
@@ -71,7 +72,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 )
 
     # A random name is drawn once, before the index is written, and read from the files after.
-    named = rows.mapInArrow(make, INDEX_SCHEMA).withColumn("segment", F.expr("uuid()"))
+    schema = INDEX_SCHEMA.replace("doc_ids array<bigint>", "doc_ids array<string>") if string_ids else INDEX_SCHEMA
+    named = rows.mapInArrow(make, schema).withColumn("segment", F.expr("uuid()"))
     return store(named, "postings")
 
 

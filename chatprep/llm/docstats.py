@@ -50,9 +50,10 @@ FEATURES = [
 ]
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, the counts (long) and ``features`` (array of doubles, as in ``FEATURES``)."""
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """``doc_id``, the counts (long) and ``features`` (array of doubles, as in ``FEATURES``); with ``key_col`` also ``row_key``."""
     configure(docs.sparkSession)
+    key = ["row_key"] if key_col else []
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,12 +62,12 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 flat = pa.array(features.ravel())
                 edges = pa.array(np.arange(high - low + 1, dtype=np.int32) * len(FEATURES))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[low:high], *(pa.array(c) for c in counts), pa.ListArray.from_arrays(edges, flat)],
-                    ["doc_id", *COUNTS, "features"],
+                    [batch.column("doc_id")[low:high], *(pa.array(c) for c in counts), pa.ListArray.from_arrays(edges, flat), *(batch.column(c)[low:high] for c in key)],
+                    ["doc_id", *COUNTS, "features", *key],
                 )
 
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", features array<double>"
-    return documents(docs, id_col, text_col).mapInArrow(make, schema)
+    schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", features array<double>" + ", row_key string" * len(key)
+    return documents(docs, id_col, text_col, key_col).mapInArrow(make, schema)
 
 
 def measure(data: np.ndarray, borders: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:

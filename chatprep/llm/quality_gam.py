@@ -140,19 +140,24 @@ def train(rows: np.ndarray, label: np.ndarray) -> Additive:
     return model
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row; learnt from rows that aren't held out."""
-    stats = store(statistics(docs, id_col, text_col).select("doc_id", "features"), "features")
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` for every row; learnt from rows that aren't held out.
+
+    With ``key_col``, that column of the row follows as the string ``row_key``.
+    """
+    key = ["row_key"] if key_col else []
+    stats = store(statistics(docs, id_col, text_col, key_col).select("doc_id", "features", *key), "features")
     shared = docs.sparkSession.sparkContext.broadcast(train(*labelled(stats, labels)))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column("features").flatten().to_numpy().reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(shared.value.score(rows), pa.float64())], ["doc_id", "score"]
+                [batch.column("doc_id"), pa.array(shared.value.score(rows), pa.float64()), *(batch.column(c) for c in key)],
+                ["doc_id", "score", *key],
             )
 
-    scored = stats.mapInArrow(make, "doc_id long, score double")
+    scored = stats.mapInArrow(make, "doc_id long, score double" + ", row_key string" * len(key))
     return scored.select(
-        "doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted")
+        "doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"), *key
     )

@@ -39,18 +39,20 @@ LEAF = 16  # comparisons at which a walk ends in comparing all bits
 SLAB = 1 << 18  # rows walked side by side
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fingerprint`` (64 bits as a long) of whole texts."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """``doc_id, fingerprint`` (64 bits as a long) of whole texts; with ``key_col`` also ``row_key``."""
     configure(docs.sparkSession)
+    key = ["row_key"] if key_col else []
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t.encode()) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": batch.column("doc_id"), "fingerprint": pa.array(np.array(found, np.uint64).view(np.int64))}
+                | {c: batch.column(c) for c in key}
             )
 
-    return documents(docs, id_col, text_col).mapInArrow(make, "doc_id long, fingerprint long")
+    return documents(docs, id_col, text_col, key_col).mapInArrow(make, "doc_id long, fingerprint long" + ", row_key string" * len(key))
 
 
 def fingerprint(text: bytes) -> int:
@@ -258,6 +260,19 @@ def _are_stars(edges: DataFrame) -> bool:
     return seen.where("n > 1 OR (n = 1 AND root = 0)").isEmpty()
 
 
+def first_keys(docs: DataFrame, key_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``row_key`` of one row per component of texts: that of the smallest id (none comes last), then of the smallest key.
+
+    Fingerprints name themselves here, so that no id can join or clash with another.
+    """
+    made = store(fingerprints(docs, id_col, text_col, key_col), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    classes = store(made.groupBy("fingerprint").agg(F.min(order).alias("first")), "classes")
+    roots = components(links(classes.select("fingerprint", F.col("fingerprint").alias("id"))))
+    named = classes.join(roots, classes["fingerprint"] == roots["node"], "left")
+    return named.groupBy(F.coalesce("root", "fingerprint").alias("component")).agg(F.min("first").alias("first")).select("first.row_key")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's ``doc_id, fingerprint`` (16 hex digits) and ``component_id``, the smallest doc_id reached."""
     made = store(fingerprints(docs, id_col, text_col), "fingerprints")

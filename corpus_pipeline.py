@@ -1,9 +1,8 @@
 """A training corpus from raw documents: stages over Parquet tables, each one operator of chatprep.llm.
 
 Every stage takes all rows its predecessor kept, all but the last return the columns of the
-documents.  Rows without a doc_id are known by a hash of their text.  Rows that share a doc_id are
-one document: the classifier keeps them when it keeps one of them, decontamination drops them when
-one of them is contaminated.
+documents.  A document is what has one doc_id and one text (either may be null): rows that share
+both are copies of it, rows that share a doc_id only are judged one by one.
 """
 
 from __future__ import annotations
@@ -19,7 +18,9 @@ KEY = "_document_key"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(KEY, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    """With a key of doc_id and text, which no other pair of them has; nulls are "-", which no id or digest is."""
+    parts = [F.coalesce(c, F.lit("-")) for c in (F.col("doc_id").cast("long").cast("string"), F.sha2(F.col("text").cast("string"), 256))]
+    return docs.withColumn(KEY, F.concat_ws(":", *parts))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,16 +30,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts to be good."""
     docs = _keyed(docs)
-    scored = quality_gam.score(docs, _table(spark, sf_dir, "labels"), id_col=KEY)
-    good = scored.where("predicted = 1").select(F.col("doc_id").alias(KEY)).distinct()
+    scored = quality_gam.score(docs, _table(spark, sf_dir, "labels"), key_col=KEY)
+    good = scored.where("predicted = 1").select(F.col("row_key").alias(KEY)).distinct()
     return docs.join(good, KEY, "left_semi").drop(KEY)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest key, one row of it."""
+    """One document of each group of near-duplicates: that of the smallest doc_id, one row of it."""
     docs = _keyed(docs)
-    found = simhash.near_duplicates(docs, id_col=KEY)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(KEY)).distinct()
+    first = simhash.first_keys(docs, KEY).select(F.col("row_key").alias(KEY))
     one = Window.partitionBy(KEY).orderBy(F.xxhash64("text"), "text")
     kept = docs.join(first, KEY, "left_semi").withColumn("_document_row", F.row_number().over(one))
     return kept.where("_document_row = 1").drop(KEY, "_document_row")
@@ -47,7 +47,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by benchmark items."""
     docs = _keyed(docs)
-    index = decontamination.build_index(docs, id_col=KEY)
+    index = decontamination.build_index(docs, id_col=KEY, string_ids=True)
     found = decontamination.contamination(decontamination.matches(index, _table(spark, sf_dir, "benchmark")))
     bad = found.where("contaminated").select(F.col("doc_id").alias(KEY)).distinct()
     return docs.join(bad, KEY, "left_anti").drop(KEY)

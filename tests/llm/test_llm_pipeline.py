@@ -1,13 +1,15 @@
 """The pipeline's stages on awkward rows and on the smallest tables, against plain loops."""
 
 import brute
+import numpy as np
 import public_tokenizers
 import pytest
-from cases import ITEMS
+from cases import ITEMS, sentence
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from chatprep.llm import quality_gam
+from chatprep.llm.docstats import FEATURES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -63,6 +65,31 @@ def test_stages(spark, folder, name):
     brute.check_packing(packed, 4096)
 
 
+def test_rows_of_different_texts_stay_apart(spark, folder, monkeypatch):
+    stages = dict(corpus_pipeline.STAGES)
+    texts = {i: sentence(f"apart{i}", 60) for i in range(60)}
+    made = [(i, texts[i]) for i in range(40, 60)]
+    # a row of nulls, whose hash of the text is 42; one id with unrelated texts, one of them met again
+    made += [(None, None), (50, texts[1]), (50, texts[2]), (70, texts[1]), (None, texts[3]), (None, texts[45]), (42, texts[42])]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    want = {*made} - {(70, texts[1]), (None, texts[45])}
+    got = [tuple(r) for r in stages["SimHash near-dedup"](spark, docs, folder).collect()]
+    assert len(got) == len(want) and {*got} == want
+
+    dirty = ITEMS[0][1]
+    docs = spark.createDataFrame([*made, (50, dirty), (None, dirty)], "doc_id long, text string")
+    got = [tuple(r) for r in stages["benchmark decontamination"](spark, docs, folder).collect()]
+    assert sorted(got, key=str) == sorted(made, key=str)
+
+    made = np.random.default_rng(1).random((600, len(FEATURES))) * 6
+    long = quality_gam.train(made, (made[:, 0] > np.log1p(30)).astype(float))
+    monkeypatch.setattr(quality_gam, "train", lambda *_: long)
+    good = [(42, texts[42]), (210, texts[10]), (None, texts[11]), (210, texts[12])]
+    docs = spark.createDataFrame([*good, (None, None), (210, "one two"), (42, "three"), (None, "four")], "doc_id long, text string")
+    got = [tuple(r) for r in stages["quality classifier"](spark, docs, folder).collect()]
+    assert sorted(got, key=str) == sorted(good, key=str)
+
+
 def test_run_over_awkward_rows(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
     assert ITEMS
