@@ -19,6 +19,7 @@ from chatprep.llm import (
     secret_scan,
     simhash,
     token_files,
+    vector_codes,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +128,8 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     return token_files.digests(token_files.write(table(spark, folder, "documents"), tokenizer, end_id=2))
+
+
+@query(sql=vector_codes.SQL)
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress(table(spark, folder, "embeddings"))
