@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from chatprep.llm import (
     chat,
     decontamination,
+    filter_audit,
     language,
     licenses,
     packing,
@@ -133,3 +134,8 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
 @query(sql=vector_codes.SQL)
 def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return vector_codes.compress(table(spark, folder, "embeddings"))
+
+
+@query(sql=filter_audit.SQL)
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
