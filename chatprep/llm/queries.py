@@ -14,6 +14,7 @@ from chatprep.llm import (
     filter_audit,
     language,
     licenses,
+    mixing,
     packing,
     quality_gam,
     quality_rules,
@@ -139,3 +140,8 @@ def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
 @query(sql=filter_audit.SQL)
 def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op12_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
