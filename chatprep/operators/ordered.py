@@ -1,33 +1,70 @@
 """Order-aware operators that never put an unbounded group into one task.
 
 A window over ``(key, order)`` sends every row of a key to one task.  Here a key is
-always cut into blocks of at most ``block`` consecutive order values; windows run per
-``(key, block)``, and one summary row per block crosses block borders.  Order values
-are unique within a key, so a block is bounded; a repeated one is an error.
+always cut into blocks of at most ``block`` consecutive order values.  A narrow copy of the
+rows is summed up to one row per block, windows over these rows tell what came before each
+block, and that goes into the rows as one more row, the head, with which a block begins.
+Windows per ``(key, block)`` then see it like any other row: the table is read twice, and
+the rows move once.
+
+Rows whose order value is null come first.  Rows with the same order value are told apart
+by the hash of their ``ties``; rows equal in that as well are repeats and count once.  Without
+``ties`` a null or repeated order value is an error.  A null key is a key like any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from chatprep.functions.hashing import hex_number
+
 BLOCK = 4096
-_BLK = "__block"
-_HAS = "__has_prev"
+BLK, TIE, HEAD = "__block", "__tie", "__head"
+_LOST = -(1 << 62)  # blocks of rows without an order value begin here
+
+
+def in_blocks(df: DataFrame, order: str, ties: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
+    """Rows with their block and tie; rows without an order value are spread over blocks by tie."""
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in ties]
+    tie = F.md5(F.concat_ws("\u0001", *texts)) if ties else F.lit("")
+    value = F.col(order).cast("bigint")
+    number = F.when(value.isNotNull(), F.expr(f"(cast(`{order}` AS bigint) - pmod(cast(`{order}` AS bigint), {block}L)) div {block}L"))
+    lost = F.lit(_LOST) + hex_number(F.col(TIE), 3) if ties else F.lit(_LOST)
+    return df.withColumn(TIE, tie).withColumn(BLK, F.coalesce(number, lost).cast("bigint"))
 
 
-def _block(order: str, block: int) -> Column:
-    return F.floor(F.col(order) / F.lit(block))
+def block_rows(keys: Sequence[str], order: str, heads: bool = False) -> WindowSpec:
+    """The rows of a block in order, behind its head if there is one."""
+    first = [F.col(HEAD).desc()] if heads else []
+    return Window.partitionBy(*keys, BLK).orderBy(*first, F.col(order).asc_nulls_first(), TIE)
 
 
-def _beyond(order: str, block: int) -> Column:
-    return (F.col(order) >= block) | (F.col(order) < 0)
+def once(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], heads: bool = False) -> DataFrame:
+    """Every row once; without ties a null or repeated order value is an error."""
+    rows = block_rows(keys, order, heads)
+    tie, value = F.lag(TIE).over(rows), F.lag(order).over(rows)
+    same = value.eqNullSafe(F.col(order))
+    if ties:
+        marked = df.withColumn("__again", F.coalesce(tie == F.col(TIE), F.lit(False)) & same)  # heads have no tie
+    else:
+        what = F.concat(F.lit(f"null or repeated {order} in a key: "), F.coalesce(F.col(order).cast("string"), F.lit("null")))
+        bad = F.col(TIE).isNotNull() & (F.col(order).isNull() | (tie.isNotNull() & same))
+        marked = df.withColumn("__again", F.when(bad, F.raise_error(what).cast("boolean")).otherwise(F.lit(False)))
+    return marked.filter(~F.col("__again")).drop("__again")
 
 
-def _long_keys(df: DataFrame, keys: Sequence[str], order: str, block: int) -> DataFrame:
-    return df.filter(_beyond(order, block)).select(*keys).distinct()
+def with_heads(df: DataFrame, heads: DataFrame) -> DataFrame:
+    """The rows, and the heads of those blocks that have one."""
+    return df.withColumn(HEAD, F.lit(False)).unionByName(heads.withColumn(HEAD, F.lit(True)), allowMissingColumns=True)
+
+
+def earlier_blocks(keys: Sequence[str]) -> tuple[WindowSpec, WindowSpec]:
+    """A key's blocks in order, and those before the current one."""
+    blocks = Window.partitionBy(*keys).orderBy(BLK)
+    return blocks, blocks.rowsBetween(Window.unboundedPreceding, -1)
 
 
 def scan_groups(
@@ -39,6 +76,7 @@ def scan_groups(
     inclusive: bool = False,
     block: int = BLOCK,
     lasts: Mapping[str, str] | None = None,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Add look-back columns per key: preceding values and running totals.
 
@@ -46,52 +84,39 @@ def scan_groups(
     to the column whose last value before this row that is not null it takes,
     ``sums`` maps a new column to an expression that is summed over the earlier rows
     (over this row too when ``inclusive``; null counts as 0; bigint).  ``order``
-    must be an integer column, unique within a key.
+    must be an integer column.
     """
     keys, lags, sums, lasts = list(keys), dict(lags or {}), dict(sums or {}), dict(lasts or {})
-    blocked = df.withColumn(_BLK, _block(order, block))
-
-    rows = Window.partitionBy(*keys, _BLK).orderBy(order)
-    upto = rows.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    above = rows.rowsBetween(Window.unboundedPreceding, -1)
-    before = F.lag(order).over(rows)
-    twice = F.raise_error(F.concat(F.lit(f"repeated {order} in a key: "), before.cast("string"))).cast("boolean")
-    out = blocked.withColumns(
-        {_HAS: F.when(before == F.col(order), twice).otherwise(before.isNotNull())}
-        | {new: F.lag(col).over(rows) for new, col in lags.items()}
-        | {new: F.last(col, ignorenulls=True).over(above) for new, col in lasts.items()}
-        | {new: F.coalesce(F.sum(e).over(upto), F.lit(0)).cast("bigint") for new, e in sums.items()}
-    )
-
-    blocks = Window.partitionBy(*keys).orderBy(_BLK)
-    earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        blocked.join(_long_keys(df, keys, order, block), keys, "left_semi")
-        .groupBy(*keys, _BLK)
+    lag, last, total = ({new: f"__{kind}_{new}" for new in of} for kind, of in (("lag", lags), ("last", lasts), ("sum", sums)))
+    values = {lag[new]: F.col(c) for new, c in lags.items()} | {last[new]: F.col(c) for new, c in lasts.items()}
+    values |= {total[new]: F.coalesce(e, F.lit(0)).cast("bigint") for new, e in sums.items()}
+    placed = in_blocks(df, order, ties, block).withColumns(values)
+
+    local = once(placed.select(*keys, order, BLK, TIE, *values), keys, order, ties)
+    local = local.withColumn("__n", F.row_number().over(block_rows(keys, order)))
+    blocks, earlier = earlier_blocks(keys)
+    heads = (
+        local.groupBy(*keys, BLK)
         .agg(
-            F.lit(True).alias("__seen"),
-            *[F.max_by(col, F.col(order)).alias(f"__l_{new}") for new, col in lags.items()],
-            *[F.max_by(col, F.when(F.col(col).isNotNull(), F.col(order))).alias(f"__n_{new}") for new, col in lasts.items()],
-            *[F.sum(e).alias(f"__s_{new}") for new, e in sums.items()],
+            *[F.max_by(c, "__n").alias(c) for c in lag.values()],
+            *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__n"))).alias(c) for c in last.values()],
+            *[F.sum(c).alias(c) for c in total.values()],
         )
-        .select(
-            *keys,
-            _BLK,
-            F.lag("__seen").over(blocks).alias("__seen"),
-            *[F.lag(f"__l_{new}").over(blocks).alias(f"__c_{new}") for new in lags],
-            *[F.last(f"__n_{new}", ignorenulls=True).over(earlier).alias(f"__c_{new}") for new in lasts],
-            *[F.sum(f"__s_{new}").over(earlier).alias(f"__c_{new}") for new in sums],
+        .withColumns(
+            {c: F.lag(c).over(blocks) for c in lag.values()}
+            | {c: F.last(c, ignorenulls=True).over(earlier) for c in last.values()}
+            | {c: F.sum(c).over(earlier) for c in total.values()}
+            | {"__seen": F.lag(F.lit(True)).over(blocks)}
         )
         .filter("__seen")
+        .drop("__seen")
     )
-    # The filter keeps the test for repeated order values where nothing else reads it.
-    out = out.filter(F.col(_HAS).isNotNull()).join(carry, [*keys, _BLK], "left")
-    out = out.withColumns(
-        {new: F.when(F.col(_HAS), F.col(new)).otherwise(F.col(f"__c_{new}")) for new in lags}
-        | {new: F.coalesce(F.col(new), F.col(f"__c_{new}")) for new in lasts}
-        | {
-            new: (F.col(new) + F.coalesce(F.col(f"__c_{new}"), F.lit(0))).cast("bigint")
-            for new in sums
-        }
+    rows = block_rows(keys, order, heads=True)
+    above = rows.rowsBetween(Window.unboundedPreceding, -1)
+    upto = rows.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out = once(with_heads(placed, heads), keys, order, ties, heads=True).withColumns(
+        {new: F.lag(c).over(rows) for new, c in lag.items()}
+        | {new: F.last(c, ignorenulls=True).over(above) for new, c in last.items()}
+        | {new: F.coalesce(F.sum(c).over(upto), F.lit(0)).cast("bigint") for new, c in total.items()}
     )
-    return out.drop(_BLK, _HAS, "__seen", *[f"__c_{new}" for new in [*lags, *sums, *lasts]])
+    return out.filter(~F.col(HEAD)).drop(BLK, TIE, HEAD, *values)

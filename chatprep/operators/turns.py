@@ -7,12 +7,14 @@ Array form is row-local: no shuffle at all.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatprep.functions.arrays import let
 from chatprep.operators.common import pin
-from chatprep.operators.ordered import scan_groups
+from chatprep.operators.ordered import BLK, BLOCK, HEAD, TIE, block_rows, earlier_blocks, in_blocks, once, with_heads
 
 # Who may precede whom.
 BEFORE_TOOL = ["assistant", "tool"]
@@ -90,27 +92,129 @@ def prepare(df: DataFrame, template_prompt: str | None, column: str = "conversat
 
 
 # --- long form ------------------------------------------------------------------
+#
+# Messages stand in the order of their turn numbers.  Those without a number come first, and
+# messages with the same number in the order of the md5 of role and text; rows that are equal in
+# number, role and text are repeats and count once (which of them stays, where other columns
+# differ, is left open).  ``misnumbered`` reports both.
 
 
-def flag_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role") -> DataFrame:
-    """Add ``position`` within the conversation and ``misplaced``.
+def is_misplaced(role: Column, previous: Column, position: Column) -> Column:
+    """True when a message may not stand at this position (from 0) of its conversation.
 
     A leading system message is allowed; the message after it counts as the first.
     """
-    seen = scan_groups(turns, [key], order, lags={"__prev": role}, sums={"position": F.lit(1)})
-    this, prev, pos = F.col(role), F.col("__prev"), F.col("position")
-    leads = (pos == 0) & (this == "system")
-    first = (pos == 0) | ((pos == 1) & (prev == "system"))
-    misplaced = F.when(leads, F.lit(False)).otherwise(breaks_order(this, prev, first))
-    return seen.withColumn("misplaced", F.coalesce(misplaced, F.lit(True))).drop("__prev")
+    leads = (position == 0) & (role == "system")
+    first = (position == 0) | ((position == 1) & (previous == "system"))
+    return F.coalesce(F.when(leads, F.lit(False)).otherwise(breaks_order(role, previous, first)), F.lit(True))
+
+
+def walk_turns(
+    turns: DataFrame,
+    key: str = "conv_id",
+    order: str = "turn",
+    role: str = "role",
+    text: str = "text",
+    sums: Mapping[str, Column] | None = None,
+    lasts: Mapping[str, Column] | None = None,
+    block: int = BLOCK,
+) -> DataFrame:
+    """One pass over messages that keeps to the turn rule.
 
+    Adds ``position`` in the conversation, ``misplaced``, ``kept`` (no message up to this one is
+    misplaced), ``own_system`` (the conversation leads with a system message, seen from this
+    message on), ``last`` (the last kept message), ``sums`` of expressions over all earlier messages
+    and ``lasts``, the last value of an expression before this message that is not null.
 
-def valid_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role") -> DataFrame:
+    Whether a message is misplaced depends on the message before it and, for the first two, on
+    the position.  So a block of messages is a function of what came before it that only its
+    first two messages decide: their roles, the last role and the rest's misplaced messages are
+    all that is kept of it, and these rows are composed from block to block.
+    """
+    sums, lasts, ties = dict(sums or {}), dict(lasts or {}), [role, text]
+    total, last = ({new: f"__{kind}_{new}" for new in of} for kind, of in (("sum", sums), ("last", lasts)))
+    values = {total[new]: F.coalesce(e, F.lit(0)).cast("bigint") for new, e in sums.items()}
+    values |= {last[new]: e for new, e in lasts.items()}
+    placed = in_blocks(turns, order, ties, block).withColumns(values)
+
+    n = F.col("__n")
+    narrow = once(placed.select(key, order, role, BLK, TIE, *values), [key], order, ties)
+    rows = block_rows([key], order)
+    narrow = narrow.withColumns({"__n": F.row_number().over(rows), "__prev": F.lag(role).over(rows)})
+    rest = is_misplaced(F.col(role), F.col("__prev"), F.lit(2)) & (n > 2)
+    blocks, earlier = earlier_blocks([key])
+    heads = (
+        narrow.groupBy(key, BLK)
+        .agg(
+            F.max("__n").alias("__n"),
+            F.max(F.when(n == 1, F.col(role))).alias("__first"),
+            F.max(F.when(n == 2, F.col(role))).alias("__second"),
+            F.max_by(role, "__n").alias("__end"),
+            F.sum(rest.cast("bigint")).alias("__bad"),
+            *[F.sum(c).alias(c) for c in total.values()],
+            *[F.max_by(c, F.when(F.col(c).isNotNull(), n)).alias(c) for c in last.values()],
+        )
+        .withColumns(
+            {
+                "__one": F.coalesce(F.sum("__n").over(earlier), F.lit(0)),
+                role: F.lag("__end").over(blocks),
+                "__led": F.coalesce(F.first("__first").over(blocks) == "system", F.lit(False)),
+            }
+            | {c: F.sum(c).over(earlier) for c in total.values()}
+            | {c: F.last(c, ignorenulls=True).over(earlier) for c in last.values()}
+        )
+    )
+    opens = is_misplaced(F.col("__first"), F.col(role), F.col("__one"))
+    second = (n > 1) & is_misplaced(F.col("__second"), F.col("__first"), F.col("__one") + 1)
+    heads = heads.withColumn("__opens", opens).withColumn("__bad", F.col("__bad") + F.col("__opens").cast("bigint") + second.cast("bigint"))
+    heads = heads.withColumns({"__bad": F.coalesce(F.sum("__bad").over(earlier), F.lit(0)), "__next": F.lead("__opens").over(blocks)})
+    # A key of one block needs no head.
+    heads = heads.filter((F.col("__one") > 0) | F.col("__next").isNotNull()).select(key, BLK, role, "__one", "__led", "__bad", "__next", *values)
+
+    rows = block_rows([key], order, heads=True)
+    above, upto = (rows.rowsBetween(Window.unboundedPreceding, end) for end in (-1, 0))
+    out = once(with_heads(placed, heads), [key], order, ties, heads=True)
+    one = F.coalesce(F.col("__one"), F.lit(1))
+    out = out.withColumns(
+        {"position": F.coalesce(F.sum(one).over(above), F.lit(0)), "__prev": F.lag(role).over(rows)}
+        | {new: F.coalesce(F.sum(c).over(above), F.lit(0)).cast("bigint") for new, c in total.items()}
+        | {new: F.last(c, ignorenulls=True).over(above) for new, c in last.items()}
+    )
+    out = out.withColumn("misplaced", is_misplaced(F.col(role), F.col("__prev"), F.col("position")))
+    leads = F.coalesce("__led", (F.col("position") == 0) & (F.col(role) == "system"), F.lit(False))
+    bad = F.coalesce("__bad", F.col("misplaced").cast("bigint"))
+    out = out.withColumns(
+        {
+            "kept": F.sum(bad).over(upto) == 0,
+            "own_system": F.max(leads).over(upto),
+            "__ends": F.coalesce(F.lead("misplaced").over(rows), F.first("__next").over(upto), F.lit(True)),
+        }
+    )
+    out = out.withColumn("last", F.col("kept") & F.col("__ends")).filter(~F.col(HEAD))
+    return out.drop(BLK, TIE, HEAD, "__one", "__prev", "__led", "__bad", "__next", "__ends", *values)
+
+
+def flag_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """Add ``position`` within the conversation and ``misplaced``."""
+    return walk_turns(turns, key, order, role, text, block=block).drop("kept", "own_system", "last")
+
+
+def valid_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text", block: int = BLOCK) -> DataFrame:
     """Messages before the first misplaced one of their conversation."""
-    flagged = flag_turns(turns, key, order, role)
-    bad = {"__bad": F.col("misplaced").cast("bigint")}
-    counted = scan_groups(flagged, [key], order, sums=bad, inclusive=True)
-    return counted.filter(F.col("__bad") == 0).drop("__bad", "misplaced", "position")
+    return walk_turns(turns, key, order, role, text, block=block).filter("kept").select(*turns.columns)
+
+
+def misnumbered(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """What the rules above settle: ``key, order``, ``n`` rows and ``different`` messages of turn
+    numbers that are missing or stand more than once in a conversation."""
+    per_message = turns.groupBy(key, order, role, text).agg(F.count("*").alias("n"))
+    per_turn = per_message.groupBy(key, order).agg(F.sum("n").alias("n"), F.count("*").alias("different"))
+    return per_turn.filter(F.col(order).isNull() | (F.col("n") > 1))
+
+
+def distinct_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """Every message once, combined before it moves: for tables in which one row fills much of a conversation."""
+    return turns.select(key, order, role, text).distinct()
 
 
 def system_prompts(
@@ -122,8 +226,10 @@ def system_prompts(
     text: str = "text",
 ) -> DataFrame:
     """One row per conversation: the prompt it is trained with (null: none)."""
-    head = F.min_by(F.struct(F.col(role).alias("role"), F.col(text).alias("text")), F.col(order))
-    return turns.groupBy(key).agg(head.alias("head")).select(
+    placed = in_blocks(turns, order, [role, text])
+    place = F.struct(F.col(order).isNotNull().alias("numbered"), F.col(order).alias("order"), F.col(TIE).alias("tie"))
+    head = F.min_by(F.struct(F.col(role).alias("role"), F.col(text).alias("text")), place)
+    return placed.groupBy(key).agg(head.alias("head")).select(
         key,
         F.when(F.col("head.role") == "system", F.col("head.text"))
         .otherwise(F.lit(template_prompt or None).cast("string"))

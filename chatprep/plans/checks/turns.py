@@ -39,6 +39,31 @@ def valid_turns(t):
     return C.valid_turns(S.turns(t)).select("conv_id", "turn", "role", "text")
 
 
+_RUMPLED = S.VALID.replace(S.TURNS, S.RUMPLED)
+
+
+@query(f"WITH {_RUMPLED} SELECT conv_id, role, text FROM valid")
+def valid_turns_repeated_rows(t):
+    return C.valid_turns(S.rumpled_turns(t)).select("conv_id", "role", "text")
+
+
+@query(
+    f"""WITH {S.RUMPLED}, logged AS (SELECT * FROM rumpled UNION ALL SELECT * FROM rumpled WHERE conv_id % 4 = 1)
+SELECT conv_id, turn, count(*) AS n, count(DISTINCT md5(coalesce(role, chr(2)) || chr(1) || coalesce(text, chr(2)))) AS different
+FROM logged GROUP BY conv_id, turn HAVING turn IS NULL OR count(*) > 1"""
+)
+def misnumbered_turns(t):
+    return C.misnumbered(S.rumpled_turns(t))
+
+
+@query(
+    f"""WITH {S.RUMPLED} SELECT conv_id, CASE WHEN arg_min(role, turn) = 'system' THEN arg_min(text, turn) ELSE {S.lit(QWEN.system_prompt)} END AS system,
+  arg_min(role, turn) = 'system' AS from_data FROM turns GROUP BY conv_id"""
+)
+def system_prompts_null_turns(t):
+    return C.system_prompts(S.rumpled_turns(t), QWEN.system_prompt)
+
+
 @query(f"WITH {S.MESSAGES} SELECT doc_id, count(*)::BIGINT AS n, string_agg(role || ':' || content, '|' ORDER BY pos) AS body FROM kept WHERE NOT (pos = 0 AND role = 'system') GROUP BY doc_id")
 def valid_prefixes(t):
     df = S.doc_chats(t).select("doc_id", C.valid_prefix(C.body(F.col("conversations"))).alias("m"))

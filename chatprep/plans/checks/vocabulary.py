@@ -276,6 +276,14 @@ for _name, _template, _texts, _last in [
     query(f"WITH {whole_text_sql(get_template(_template), _variant_sql(_texts), _last)} {SAMPLE_ROWS}", name=f"training_samples_{_name}")(_samples)
 
 
+for _name, _template in [("null_turns", "qwen"), ("null_turns_longcat", "longcat")]:
+
+    def _rumpled(t, template=get_template(_template)):
+        return _sample_rows(build_samples(S.rumpled_turns(t), template, MAX_LENGTH))
+
+    query(f"WITH {whole_text_sql(get_template(_template), S.VALID.replace(S.TURNS, S.RUMPLED))} {SAMPLE_ROWS}", name=f"training_samples_{_name}")(_rumpled)
+
+
 @query(
     f"""WITH {whole_text_sql(get_template("qwen3-instruct"), _variant_sql("think"))}
 SELECT tok AS token, count(*) AS n FROM m WHERE m = 1 AND i < {MAX_LENGTH} GROUP BY tok"""

@@ -21,11 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatprep.functions.arrays import ones, zeros
-from chatprep.operators.ordered import scan_groups
 from chatprep.operators.spans import SpanRule, clear_literals, find_spans, span_mask, span_rule
 from chatprep.operators.templates import ChatTemplate, render_message, role_header
 from chatprep.operators.tokens import hashed_ids, table_ids, token_count, tokens
-from chatprep.operators.turns import flag_turns
+from chatprep.operators.turns import walk_turns
 from chatprep.operators.vocabulary import coverage, frequency
 
 _MORE = "\u0000"  # stands for the text that follows a message
@@ -46,49 +45,25 @@ def place_messages(
     rule = span_rule(template)
     if template.parser_type == "openai-harmony":
         raise ValueError("channel-tagged templates have no message form; render the conversation and use masked_sample")
-    flagged = flag_turns(turns, key, order, role)
     rendered = render_message(F.col(role), F.col(text), template)
-    leads = (F.col("position") == 0) & (F.col(role) == "system")
-    flagged = flagged.withColumns(
-        {"rendered": rendered, "n_tokens": token_count(rendered), "__leads": leads.cast("bigint")}
-    )
-    lasts = {}
-    if rule.carries:
-        flagged = flagged.withColumn("__state", _fixed_state(F.col("rendered"), rule))
-        lasts = {"__open": "__state"}
-    placed = scan_groups(
-        flagged,
-        [key],
-        order,
-        sums={
-            "__bad": F.col("misplaced").cast("bigint"),
-            "start": F.col("n_tokens"),
-            "__system": F.col("__leads"),
-        },
-        lasts=lasts,
-    )
-    placed = placed.withColumns(
-        {
-            "kept": (F.col("__bad") == 0) & ~F.col("misplaced"),
-            "own_system": (F.col("__system") > 0) | (F.col("__leads") > 0),
-        }
-    )
+    lasts = {"__open": _fixed_state(rendered, rule)} if rule.carries else {}
+    counted = turns.withColumn("n_tokens", token_count(rendered))
+    placed = walk_turns(counted, key, order, role, text, sums={"start": F.col("n_tokens")}, lasts=lasts)
+    placed = placed.withColumn("rendered", rendered)
+    size = F.col("n_tokens")
     if rule.carries:
         # The text ends with the last kept message, and an open reply before its final line break.
-        ends = placed.filter("kept").groupBy(key).agg(F.max(order).alias("__end"))
-        placed = placed.join(ends, key, "left").withColumn(
-            "mask",
-            _carried_mask(F.col("rendered"), F.col("n_tokens"), rule, F.coalesce("__open", F.lit(False)), F.col(order) == F.col("__end")),
-        )
+        mask = _carried_mask(F.col("rendered"), size, rule, F.coalesce("__open", F.lit(False)), F.col("last"))
     else:
-        placed = placed.withColumn("mask", _closed_mask(F.col("rendered"), F.col("n_tokens"), rule))
+        mask = _closed_mask(F.col("rendered"), size, rule)
+    placed = placed.withColumn("mask", mask)
     for literal in template.ignore_token:
         cleared = clear_literals(F.col("mask"), F.col("rendered"), (literal,))
         placed = placed.withColumn("mask", F.when(F.contains("rendered", F.lit(literal)), cleared).otherwise(F.col("mask")))
     if template.system_prompt:
         own = token_count(system_text(template))
         placed = placed.withColumn("start", F.col("start") + F.when(F.col("own_system"), 0).otherwise(own))
-    return placed.drop("__bad", "__system", "__leads", "__state", "__open", "__end", "misplaced", "position")
+    return placed.drop("__open", "last", "misplaced", "position")
 
 
 def _closed_mask(rendered: Column, size: Column, rule: SpanRule) -> Column:
@@ -150,14 +125,6 @@ def placed_messages(turns: DataFrame, template: ChatTemplate, **columns: str) ->
     return place_messages(turns, template, **columns).filter("kept").drop("kept", "own_system")
 
 
-def _only_last(placed: DataFrame, key: str, rule: SpanRule) -> DataFrame:
-    """Clear the masks of all but the last message of a key that holds a reply."""
-    replies = placed.filter(F.col("kept") & F.contains("rendered", F.lit(rule.header)))
-    last = replies.groupBy(key).agg(F.max("start").alias("__last"))
-    kept = F.when(F.col("start") == F.col("__last"), F.col("mask")).otherwise(zeros(F.col("n_tokens")))
-    return placed.join(last, key, "left").withColumn("mask", kept).drop("__last")
-
-
 def training_samples(
     turns: DataFrame,
     template: ChatTemplate,
@@ -181,8 +148,6 @@ def training_samples(
     if last_only and span_rule(template).carries:
         raise ValueError("the last reply of this template may span messages; use masked_sample")
     placed = place_messages(turns, template, key=key, **columns)
-    if last_only:
-        placed = _only_last(placed, key, span_rule(template))
     room = F.greatest(F.lit(max_length) - F.col("start"), F.lit(0)).cast("int")
     ids_of = hashed_ids if vocabulary is None else lambda words: words
     part = F.struct(
@@ -191,9 +156,14 @@ def training_samples(
         F.slice("mask", F.lit(1), room).alias("mask"),
     )
     parts = F.sort_array(F.collect_list(F.when(F.col("kept") & (room > 0), part)))
-    grouped = placed.groupBy(key).agg(parts.alias("parts"), F.max("own_system").alias("own"))
+    reply = F.col("kept") & F.contains("rendered", F.lit(span_rule(template).header))
+    grouped = placed.groupBy(key).agg(
+        parts.alias("parts"), F.max("own_system").alias("own"), F.max(F.when(reply, F.col("start"))).alias("reply")
+    )
     ids = F.flatten(F.transform("parts", lambda p: p["ids"]))
-    masks = F.flatten(F.transform("parts", lambda p: p["mask"]))
+    masks = F.flatten(
+        F.transform("parts", lambda p: F.when(p["start"] == F.col("reply"), p["mask"]).otherwise(zeros(F.size(p["mask"]))) if last_only else p["mask"])
+    )
     if template.system_prompt:
         head = F.slice(ids_of(tokens(system_text(template))), 1, max_length)
         ids = F.when(F.col("own"), ids).otherwise(F.concat(head, ids))

@@ -58,6 +58,24 @@ valid AS (
   WHERE b.first_bad IS NULL OR f.turn < b.first_bad)"""
 
 
+RUMPLED = """rumpled AS (
+  SELECT conv_id, role, text, CASE WHEN (conv_id + turn) % 17 = 0 THEN NULL WHEN (conv_id * 3 + turn) % 19 = 0 THEN turn - 1 ELSE turn END AS turn
+  FROM (SELECT conv_id, turn, text, CASE WHEN (conv_id * 7 + turn) % 31 = 0 THEN 'tool' ELSE role END AS role FROM conversations)),
+turns AS (
+  SELECT conv_id, role, text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(coalesce(role, chr(2)) || chr(1) || coalesce(text, chr(2)))) - 1 AS turn
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM rumpled))"""
+
+
+def rumpled_turns(t) -> DataFrame:
+    """A log as logs are: lost turn numbers, numbers that stand twice, rows that stand twice."""
+    c, n = F.col("conv_id"), F.col("turn")
+    role = F.when((c * 7 + n) % 31 == 0, "tool").otherwise(F.col("role"))
+    turn = F.when((c + n) % 17 == 0, None).when((c * 3 + n) % 19 == 0, n - 1).otherwise(n)
+    rows = t.conversations.select("conv_id", "text", role.alias("role"), turn.alias("turn"))
+    return rows.unionByName(rows.filter(c % 4 == 1))
+
+
 # --- pairs -------------------------------------------------------------------------------
 
 PAIRS = """pairs AS (

@@ -1,5 +1,7 @@
 """Block-wise scans against plain loops; small blocks force the carry path."""
 
+import collections
+import hashlib
 import random
 
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chatprep.operators.ordered import scan_groups
 from chatprep.operators.sampling import rank_by_hash, rank_by_key
-from chatprep.operators.turns import valid_turns
+from chatprep.operators.turns import distinct_turns, misnumbered, valid_turns, walk_turns
 
 
 @pytest.fixture(scope="module")
@@ -71,6 +73,34 @@ def test_repeated_order_values_are_an_error(spark):
         scan_groups(df, ["k"], "t", sums={"n": F.lit(1)}).collect()
 
 
+def test_a_missing_order_value_is_an_error_without_ties(spark):
+    df = spark.createDataFrame([(1, 5, "a"), (1, None, "b")], "k int, t int, v string")
+    with pytest.raises(Exception, match="null or repeated t"):
+        scan_groups(df, ["k"], "t", sums={"n": F.lit(1)}).collect()
+
+
+def tie(*texts):
+    return hashlib.md5("\x01".join("\x02" if x is None else x for x in texts).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_scan_of_null_and_repeated_order_values(spark, block):
+    rng = random.Random(block)
+    rows = [(k, rng.choice([None, *range(-9, 30)]), rng.choice(["a", "b", None]), rng.choice("xy")) for k in (None, 1, 2) for _ in range(90)]
+    rows += [(2, 7, "a", "x")] * 50
+    df = spark.createDataFrame(rows, "k int, t int, v string, z string")
+    out = scan_groups(df, ["k"], "t", {"prev": "v"}, {"pos": F.lit(1)}, block=block, lasts={"seen": "v"}, ties=["v", "z"])
+    want = []
+    for key in (None, 1, 2):
+        prev = seen = None
+        items = sorted({r for r in rows if r[0] == key}, key=lambda r: (r[1] is not None, r[1] or 0, tie(*r[2:])))
+        for pos, (_, t, v, z) in enumerate(items):
+            want.append((key, t, v, z, prev, seen, pos))
+            prev, seen = v, seen if v is None else v
+    got = [(r.k, r.t, r.v, r.z, r.prev, r.seen, r.pos) for r in out.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def naive_valid(turns):
     kept, start = [], 0
     if turns and turns[0][1] == "system":
@@ -107,6 +137,42 @@ def test_valid_turns(spark, step):
     assert {(r.conv_id, r.turn, r.role) for r in valid_turns(df).collect()} == want
 
 
+ROLES = ["user", "assistant", "tool", "system", "other", None]
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 5, 4096])
+def test_walk_over_null_and_repeated_turns(spark, block):
+    """Every block border, in conversations of lost, repeated and far numbers."""
+    rng = random.Random(block)
+    rows = []
+    for key in [None, *range(150)]:
+        roles = ["system"] * rng.randint(0, 1) + ["user", "assistant"] * rng.randint(0, 6) + rng.choices(ROLES, k=rng.choice([0, 0, 1, 2]))
+        rows += [(key, rng.choice([i, i, i, i, i // 2, None, i * 5000]), r, rng.choice(["x", "y", None])) for i, r in enumerate(roles)]
+    rows += [(3, 1, "user", "x")] * 20 + [(4, None, "user", "x")] * 20
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").repartition(5)
+    marks = {"open": F.when(F.col("text") == "x", True).when(F.col("text") == "y", False)}
+    out = walk_turns(df, sums={"sum": F.length("text")}, lasts=marks, block=block).collect()
+    want = []
+    for key in [None, *range(150)]:
+        items = sorted({r for r in rows if r[0] == key}, key=lambda r: (r[1] is not None, r[1] or 0, tie(*r[2:])))
+        kept = len(naive_valid([(i, r[2]) for i, r in enumerate(items)]))
+        total, opened = 0, None
+        for i, r in enumerate(items):
+            want.append((*r, i, i < kept, items[0][2] == "system", i == kept - 1, total, opened))
+            total += r[3] is not None
+            opened = {"x": True, "y": False, None: opened}[r[3]]
+    got = [(r.conv_id, r.turn, r.role, r.text, r.position, r.kept, r.own_system, r.last, r.sum, r.open) for r in out]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    numbers = collections.Counter(r[:2] for r in rows)
+    assert {(r.conv_id, r.turn): r.n for r in misnumbered(df).collect()} == {k: n for k, n in numbers.items() if n > 1 or k[1] is None}
+    assert distinct_turns(df).count() == len(set(rows))
+
+
+def test_messages_are_read_twice_and_moved_once(spark):
+    plan = valid_turns(spark.read.parquet("/root/testdata/sf0.001/conversations.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and plan.count("Exchange ") == 3 and plan.count("Join") == 0
+
+
 def test_ranks(table, rows):
     by_key = rank_by_key(table.filter("k = 0"), "t", buckets=16).collect()
     assert [r["rank"] for r in sorted(by_key, key=lambda r: r.t)] == list(range(len(by_key)))
