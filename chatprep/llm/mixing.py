@@ -12,9 +12,10 @@ The pairing is a reduction tree.  Documents of a source are dealt by a hash to g
 ``GROUP``; each group is rounded down to one fractional document, largest first, and the
 fractional documents of ``GROUP`` neighbouring groups form a group of the next level, until a source
 is one group.  About ``GROUP`` documents of each source wait for that last group, so that it holds
-small ones too.  Its last document is rounded to the nearer side: a source's words differ from its
-target by half of one document at most, usually a small one.  A level is a shuffle of the fractional
-documents alone.
+small ones too.  Its last document is rounded to the nearer side, not at random: a source's words
+differ from its target by half of one document at most, usually a small one, and only where one
+document is most of its source is that document's expectation not kept.  A level is a shuffle of the
+fractional documents alone.
 
 Rows with one doc_id, source and size are one entry with a count: together they are rounded to a
 whole number of copies, dealt evenly to the rows.  Draws are md5 hashes of a seed, doc_id and size,

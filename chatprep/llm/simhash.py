@@ -11,10 +11,12 @@ reaches a task: the first levels below it are walked as DataFrame rows, one per
 every pair is small.  Links are joined to components by alternating large and small stars, with
 each round stored in the shared folder.
 
-Nulls: a null text has no words and fingerprint zero.  Rows without a doc_id get the component of
-their fingerprint but never name one or carry links.  Repeated rows and equal texts share a
-fingerprint.  Where a doc_id is repeated with other texts, fingerprints with the same smallest
-doc_id count as one.  An empty table gives no rows.  Other columns are ignored.
+Links are between fingerprints, whoever carries them; ids name components only at the end.
+
+Nulls: a null text has no words and fingerprint zero.  Rows without a doc_id carry links like any
+other but never name a component; one in which no row has a doc_id has the name null.  Repeated
+rows and equal texts share a fingerprint.  Texts that share a doc_id are judged each by itself, and
+the doc_id may name a component of each.  An empty table gives no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -85,7 +87,7 @@ def _turned(turn: int) -> F.Column:
 def links(classes: DataFrame) -> DataFrame:
     """Pairs ``a > b`` of ids whose fingerprints differ in one or two bits.
 
-    ``classes`` has one row ``(fingerprint, id)`` per distinct fingerprint.
+    ``classes`` has one row ``(fingerprint, id)`` per distinct fingerprint, ids are unique.
     """
     layouts = F.array(
         *[
@@ -101,7 +103,7 @@ def links(classes: DataFrame) -> DataFrame:
             for j in range(3)
         ]
     )
-    rows = classes.where("id IS NOT NULL").select("id", F.inline(layouts))
+    rows = classes.select("id", F.inline(layouts))
     pair = ["layout", "depth", "a", "b"]
     ready = None
     while True:
@@ -260,27 +262,30 @@ def _are_stars(edges: DataFrame) -> bool:
     return seen.where("n > 1 OR (n = 1 AND root = 0)").isEmpty()
 
 
-def first_keys(docs: DataFrame, key_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``row_key`` of one row per component of texts: that of the smallest id (none comes last), then of the smallest key.
+def _roots(made: DataFrame, first: F.Column) -> DataFrame:
+    """``fingerprint, root`` and ``first``, the least ``first`` of all rows in the component.
 
-    Fingerprints name themselves here, so that no id can join or clash with another.
+    Fingerprints are the nodes: ids take no part in links, so none can join or clash with another.
     """
-    made = store(fingerprints(docs, id_col, text_col, key_col), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
-    classes = store(made.groupBy("fingerprint").agg(F.min(order).alias("first")), "classes")
+    classes = store(made.groupBy("fingerprint").agg(F.min(first).alias("first")), "classes")
     roots = components(links(classes.select("fingerprint", F.col("fingerprint").alias("id"))))
     named = classes.join(roots, classes["fingerprint"] == roots["node"], "left")
-    return named.groupBy(F.coalesce("root", "fingerprint").alias("component")).agg(F.min("first").alias("first")).select("first.row_key")
+    return named.select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), "first")
+
+
+def first_keys(docs: DataFrame, key_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``row_key`` of one row per component of texts: that of the smallest id (none comes last), then of the smallest key."""
+    made = store(fingerprints(docs, id_col, text_col, key_col), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    return _roots(made, order).groupBy("root").agg(F.min("first").alias("first")).select("first.row_key")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's ``doc_id, fingerprint`` (16 hex digits) and ``component_id``, the smallest doc_id reached."""
     made = store(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = store(made.groupBy("fingerprint").agg(F.min("doc_id").alias("id")), "classes")
-    roots = components(links(classes))
-    named = classes.join(roots, classes["id"] == roots["node"], "left").select(
-        "fingerprint", F.coalesce("root", "id").alias("component_id")
-    )
+    named = store(_roots(made, F.col("doc_id")), "roots")
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = named.join(least, "root").select("fingerprint", "component_id")
     return made.join(named, "fingerprint").select(
         "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
     )

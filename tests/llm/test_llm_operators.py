@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
-from cases import ITEMS, edge_rows, sentence
+from cases import DOCS, ITEMS, edge_rows, sentence
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -16,9 +16,11 @@ import corpus_pipeline
 from chatprep.llm import (
     chat,
     decontamination,
+    filter_audit,
     language,
     learning,
     licenses,
+    mixing,
     packing,
     quality_gam,
     quality_rules,
@@ -26,6 +28,7 @@ from chatprep.llm import (
     simhash,
     simple8b,
     token_files,
+    vector_codes,
 )
 from chatprep.llm import queries as llm
 from chatprep.llm.wordids import WordIds
@@ -246,13 +249,29 @@ def test_chat_with_one_long_conversation(spark):
 
 def test_near_duplicates(edge):
     rows = simhash.near_duplicates(edge).collect()
-    prints = {r[0]: brute.fingerprint(r[1]) for r in ROWS}
-    root = brute.components({k: v for k, v in prints.items() if k is not None})
-    want = [(r[0], f"{prints[r[0]]:016x}", root[3 if r[0] is None else r[0]]) for r in ROWS]
+    want = brute.near_duplicates([(r[0], r[1]) for r in ROWS])
     same(rows, want)
+    root = {w[0]: w[2] for w in want}
     assert root[11] == 9 and root[1] == 0 == root[100]
 
 
+BRIDGE = [(1, 0), (None, 3), (9, 15)]  # 0 and 15 are linked by a row without an id only
+FAR = 0xFFFF << 30
+CLASH = [(5, 0), (7, 0), (5, FAR), (9, FAR), (2, 3 << 60), (2, 1), (None, FAR << 8), (None, FAR << 8 | 1)]
+
+
+@pytest.mark.parametrize("prints", [BRIDGE, CLASH, BRIDGE + CLASH, CLASH + CLASH])
+def test_near_duplicates_of_null_and_repeated_ids(spark, monkeypatch, prints):
+    made = spark.createDataFrame(prints, "doc_id long, fingerprint long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: made)
+    same(simhash.near_duplicates(made).collect(), brute.linked(prints))
+
+
+def test_near_duplicates_of_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    same(simhash.near_duplicates(docs).collect(), brute.near_duplicates(docs.collect()))
+
+
 def test_near_duplicates_of_nothing(nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
@@ -415,3 +434,138 @@ def test_redaction(edge):
     assert got[17].text == '<assign>" é password=abc secret:token: abcdefgh'
     assert got[18].text == "😀 <access> AKIASHORT <assign>' <hex>"
     assert got[0].text is None and got[9].text == ROWS[9][1]
+
+
+# --- 11: vector codes
+
+VECTORS = "vec_id long, embedding array<float>, label int, vector int, code string"
+BAD = [(1, None, 1, 0, "x"), (2, [0.5] * 31 + [None], 1, 0, "x"), (3, [float("nan")] * 32, 1, 0, "x"), (4, [float("inf")] * 32, 1, 0, "x")]
+
+
+def vectors(n, width, seed, ids):
+    made = np.random.default_rng(seed)
+    values = np.round(made.normal(0, 1, (n, width)), 1).astype(np.float32)  # coarse, so that distances tie
+    return [(ids(i), values[i].tolist(), (None, 0, 1)[i % 3], 0, "x") for i in range(n)]
+
+
+@pytest.mark.parametrize("case", ["many", "few", "repeated", "lengths", "large"])
+def test_vector_codes(spark, case):
+    if case == "many":
+        rows = [*vectors(300, 32, 1, lambda i: 900 - i), *BAD]
+    elif case == "few":
+        rows = [*vectors(20, 16, 2, lambda i: (None, i)[i > 3]), *BAD[:1]]
+    elif case == "repeated":
+        one = vectors(1, 32, 3, lambda i: 5)
+        rows = one * 200 + vectors(90, 32, 4, lambda i: i // 2) + vectors(50, 32, 5, lambda i: None)
+    elif case == "lengths":
+        rows = [*vectors(80, 16, 6, lambda i: i), *vectors(80, 48, 7, lambda i: i + 40), (500, [], 1, 0, "x"), (501, [], None, 0, "x"), *BAD]
+    else:
+        rows = [(r[0], [x * 2**17 for x in r[1]], *r[2:]) for r in vectors(100, 32, 8, lambda i: i)]
+    want = brute.vector_codes([r[:3] for r in rows])
+    got = vector_codes.compress(spark.createDataFrame(rows, VECTORS).repartition(4)).collect()
+    same([(r.vec_id, r.code, r.error, r.label_error, r.codebooks_sha256) for r in got], want)
+
+
+def test_vector_codes_of_nothing(spark):
+    assert vector_codes.compress(spark.createDataFrame([], VECTORS)).count() == 0
+    assert vector_codes.compress(spark.createDataFrame(BAD, VECTORS)).count() == 0
+
+
+def test_vector_codes_refuse_what_they_cannot_hold(spark):
+    for bad, what in (([1.0] * 17, "equal parts"), ([1e30] * 16, "64 bits")):
+        with pytest.raises(Exception, match=what):
+            vector_codes.compress(spark.createDataFrame([(1, bad, 1, 0, "x")], VECTORS)).collect()
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_limb_products_are_exact(seed):
+    made = random.Random(seed)
+    width, top = made.choice([(1, 1 << 30), (4, 1 << 28), (100, 1 << 27), (5000, 1 << 25)])
+    x, y = ([[made.choice([made.randint(-top, top), top, -top, 0, -1]) for _ in range(width)] for _ in range(6)] for _ in "xy")
+    got = vector_codes.products(np.array(x), np.array(y))
+    assert got.tolist() == [[sum(a * b for a, b in zip(p, q, strict=True)) for q in y] for p in x]
+    for part in vector_codes.limbs(np.array(x), vector_codes.limb_bits(width)):
+        assert width * float(np.abs(part).max()) ** 2 <= 2**53
+
+
+def test_codes_of_entries_decode(spark):
+    rows = vectors(30, 32, 9, lambda i: i)
+    table = spark.createDataFrame(rows, VECTORS)
+    books = vector_codes.learn(table)
+    for r in vector_codes.encode(table, books).collect():
+        whole = np.floor(256 * np.array(rows[r.vec_id][1], np.float32).astype(float))
+        assert ((vector_codes.decode(r.code, books[32]) - whole) ** 2).sum() == r.error
+
+
+# --- 12: mixing
+
+
+def mixed(table):
+    return [(r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in mixing.mix(table).collect()]
+
+
+def test_mix(spark, edge, nothing, monkeypatch):
+    rows = [(r[0], r[1], r[3]) for r in ROWS]
+    same(mixed(edge), brute.mix(rows, mixing.GROUP))
+    monkeypatch.setattr(mixing, "GROUP", 4)  # several levels
+    monkeypatch.setattr(mixing, "BLOCK", 8)
+    made = random.Random(5)
+    docs = [(i, "w " * made.choice([0, 1, 3, 3, 40, 700]), made.choice(["b", "a", "B", "", None, "b", "b"])) for i in range(400)]
+    docs += [(7, "x y z", "a")] * 90 + [(None, "one two", "c")] * 30 + [(None, None, "d"), (8, " ", "d")]
+    table = spark.createDataFrame([(*d, 1, "x", 2.0) for d in docs], "doc_id long, text string, source string, size int, copies string, target double")
+    first = mixed(table.repartition(7))
+    same(first, brute.mix(docs, 4))
+    same(mixed(table.coalesce(1)), first)
+    assert mixing.mix(nothing).count() == 0
+    assert {r[4] for r in mixed(table.where("source = 'd'"))} == {0}
+
+
+def test_mix_comes_near_its_targets(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    totals = mixing.mix(table).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.sum("size").alias("size"), F.max(F.col("taken") - 2 * F.col("size")).alias("over"))
+    rows = totals.collect()
+    for r in rows:
+        assert abs(r.taken - r.target) <= 0.01 * r.target and r.over <= 0
+    assert abs(sum(r.target for r in rows) - 1.5 * sum(r.size for r in rows)) < 1
+
+
+def test_rounding_keeps_expectations(spark):
+    """Over many sources of the same four sizes, each size is taken as often as its share asks."""
+    docs = [(60 * s + i, "w " * (1, 3, 8, 20)[i % 4], f"{s:04d}") for s in range(240) for i in range(60)]
+    rows = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string"))
+    rows = rows.where((F.col("source").cast("int") % 3) == 1).groupBy("size").agg(F.avg("copies").alias("copies"), F.avg(F.col("target") / F.col("source_size")).alias("share"))
+    for r in rows.collect():
+        assert abs(r.copies - r.share) < 0.07 and 0.1 < r.share % 1 < 0.95
+
+
+# --- 13: filter audit
+
+
+def test_filter_audit(spark, edge, labels):
+    more = [("B " * 300, "p"), ("a b c " * 100, "p"), (" ".join(f"w{i}" for i in range(250)) + " $", None), ("# é É Ü", "p"), ("", ""), (None, None)]
+    rows = [*ROWS, *[(5000 + i, t, "en", s, 0, "s", 1, "n") for i, (t, s) in enumerate(more * 2)], (5001, "another", "en", "q", 0, "s", 1, "n")]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    said = [(5000, 1, 1), (5000, 0, 0), (5002, None, 1), (5003, 1, None), (None, 1, 1), (5007, 1, 0)]
+    labels = labels.select("doc_id", "quality", "toxic").union(spark.createDataFrame(said, "doc_id long, quality int, toxic int"))
+    got = filter_audit.audit(docs, labels).collect()
+    same(got, brute.filter_audit([(r[0], r[1], r[3]) for r in rows], [tuple(r) for r in labels.collect()]))
+
+
+def test_filter_audit_of_nothing(edge, nothing, labels):
+    assert filter_audit.audit(nothing, labels).count() == 0
+    assert filter_audit.audit(edge, labels.limit(0)).agg(F.max("good_lost"), F.max("toxic_lost"), F.count("*")).collect() == [(0, 0, 1200)]
+
+
+def test_filter_audit_hands_on_many_parts(edge, labels, monkeypatch):
+    docs = edge.withColumn("source", F.concat("source", (F.col("doc_id") % 7).cast("string")))
+    want = filter_audit.audit(docs, labels).collect()
+    monkeypatch.setattr(filter_audit, "MAX_PARTS", 2)
+    same(filter_audit.audit(docs, labels).collect(), want)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 100, 3001])
+def test_positional_counts(n):
+    made = np.random.default_rng(n)
+    bits, times = made.integers(0, 1 << 32, n, dtype=np.uint32), made.integers(0, 9, n)
+    want = [int((times * (bits >> np.uint32(i) & np.uint32(1))).sum()) for i in range(32)]
+    assert filter_audit.positional_counts(bits, times).tolist() == want
