@@ -47,3 +47,70 @@ def edge_rows():
     rows += [(200 + i, sentence(i, 60), "en", "src", 0, "s", 1, "n") for i in range(40)]
     rows += [(300 + i, "schnell über grün " * 20 + sentence(i, 5), "de", "src", 0, "s", 1, "n") for i in range(20)]
     return rows
+
+
+# Public licence texts by paragraph, and the licences to find.
+_ASIS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES.'
+_BSD = [
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+]
+_HOPE = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {}General Public License for more details."
+_FREE = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+NOTICES = {
+    "mit": (
+        [
+            "MIT License",
+            "Copyright (c) 2020 Some One",
+            'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+            "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+            'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.',
+        ],
+        "MIT",
+    ),
+    "bsd2": (["Copyright (c) 2020, Some One", *_BSD, _ASIS], "BSD-2-Clause"),
+    "bsd3": (
+        [
+            "Copyright (c) 2020, Some One",
+            *_BSD,
+            "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+            _ASIS,
+        ],
+        "BSD-3-Clause",
+    ),
+    "apache": (
+        [
+            'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+            "http://www.apache.org/licenses/LICENSE-2.0",
+            'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+        ],
+        "Apache-2.0",
+    ),
+    "gpl3": ([_FREE.format("program", "", 3), _HOPE.format("")], "GPL-3.0-or-later"),
+    "gpl2": ([_FREE.format("program", "", 2).replace(":", ";"), _HOPE.format("")], "GPL-2.0-or-later"),
+    "agpl": ([_FREE.format("program", "Affero ", 3), _HOPE.format("Affero ")], "AGPL-3.0-or-later"),
+    "lgpl": ([_FREE.format("library", "Lesser ", "2.1"), _HOPE.format("Lesser ").replace("program", "library")], "LGPL-2.1-or-later"),
+    "isc": (
+        [
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+            'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.',
+        ],
+        "ISC",
+    ),
+    "mpl": (
+        ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+        "MPL-2.0",
+    ),
+    "zlib": (
+        [
+            "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+            "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        ],
+        "Zlib",
+    ),
+    "unlicense": (["This is free and unencumbered software released into the public domain."], "Unlicense"),
+    "spdx": (["SPDX-License-Identifier: Apache-2.0"], "Apache-2.0"),
+    "line": (["Released under the MIT License.", "All rights reserved."], "LicenseRef-all-rights-reserved,MIT"),
+    "none": (["A text on the licence of a driver, with all rights of way reserved for trams, and no warranty."], ""),
+}

@@ -2,13 +2,14 @@
 
 import collections
 import random
+import textwrap
 
 import brute
 import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
-from cases import DOCS, ITEMS, edge_rows, sentence
+from cases import DOCS, ITEMS, NOTICES, edge_rows, sentence
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -206,7 +207,35 @@ def test_license_marks_see_what_the_rules_see(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = llm.QUERIES["op3_license_scan"](spark, str(tmp_path)).collect()
     same(got, con.execute(sql).fetchall())
-    assert {r.doc_id for r in got if r.sentence_ids == "reserved"} == {0, 1, 2, 3, 4}
+    assert {r.doc_id for r in got if r.sentence_ids == "reserved"} == {0, 1, 2, 3, 4, 5}
+
+
+def comments(paragraphs, width, first, each, last):
+    """Paragraphs as a wrapped comment."""
+    lines = [line for p in paragraphs for line in (*textwrap.wrap(p, width), "")]
+    return "\n".join([*([first] if first else []), *[(each + line).rstrip() for line in lines], *([last] if last else [])])
+
+
+STYLES = [("", "", ""), ("", "# ", ""), ("", "// ", ""), ("/*", " * ", " */"), ("<!--", "  ", "-->"), ("", ";; ", ""), ("", "-- ", "")]
+
+
+def test_license_texts_as_they_are_wrapped(spark, tmp_path):
+    made, want = [], {}
+    for name, (paragraphs, found) in NOTICES.items():
+        for style in STYLES:
+            for width in (48, 70, 78, 5000):
+                text = comments(paragraphs, width, *style)
+                for whole in (text, f"import os\n{text}\n\ndef main():\n    return 1\n", text.replace("\n", "\r\n")):
+                    want[len(made)] = (name, style, width, found)
+                    made.append((len(made), whole))
+    spark.createDataFrame(made, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = llm.QUERIES["op3_license_scan"](spark, str(tmp_path)).collect()
+    same(got, con.execute(llm.SQL["op3_license_scan"]).fetchall())
+    for r in got:
+        name, style, width, found = want[r.doc_id]
+        assert r.licenses == found, (name, style, width, r.sentence_ids)
 
 
 def test_license_marks_of_other_characters_are_refused(edge):
