@@ -1,88 +1,99 @@
 """Chat formatting after collapse of cumulative snapshots, in DataFrame functions only.
 
 Logs often hold a conversation once per turn, each time from its start.  Every turn gets the
-rolling hash of the prefix that it ends: a running sum of hashes of (place, role, text).  A
-conversation whose whole hash is the hash of a shorter prefix of another one goes; of equal ones
-the smallest conv_id stays.  What stays is rendered with a role template.
-
-Conversations are worked on in blocks of ``BLOCK`` turn numbers, so that no task holds a long one
-whole: running sums go within blocks, and totals of blocks are added up per conversation.
-Rendering gives one row per block, which is one row for all but very long conversations.
-
-Nulls: rows without a conv_id are left out; a null role or text is empty, a null turn comes
-first.  Repeated rows (same conversation, turn, role and text) count once; ties in turn go by
-role and text.  An empty table gives no rows.  Other columns are ignored.
+rolling hash of the prefix that it ends: all hashes of (place, role, text) up to it, combined by
+exclusive or, twice 64 bits.  A conversation whose whole hash is the hash of a shorter prefix of
+another one goes; of equal ones the smallest conv_id stays.  What stays is rendered with a role
+template.
+
+Conversations are worked on in groups of ``BLOCK`` turn numbers; a group of more than ``CROWD``
+turns (a log that writes one number, or none, for all) is split by number, role and the first
+digits of the text's hash, which keeps its order.  So no task holds a long conversation whole.
+Rendering gives one row per ``BLOCK`` turns, counted by their place, which is one row for all but
+very long conversations.
+
+Nulls: a null role or text is empty, a null turn comes first.  A row without a conv_id is a
+conversation of its own that is not collapsed; equal ones are one row with their number.  Repeated
+rows (same conversation, turn, role and text) count once; ties in turn go by role and the md5 of the
+text.  An empty table gives no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatprep.llm.common import store
 
 BLOCK = 1024
+CROWD = 8 * BLOCK
+DIGITS = 3  # hex digits of the text's hash by which a crowded group is split
 START, AFTER_ROLE, END = "<|im_start|>", "\n", "<|im_end|>\n"
 
 
-def _turns(conversations: DataFrame, conv_id: str, turn: str, role: str, text: str) -> DataFrame:
-    first = F.lit(-(1 << 62))
-    return conversations.where(conversations[conv_id].isNotNull()).select(
+def _rows(conversations: DataFrame, conv_id: str, turn: str, role: str, text: str) -> DataFrame:
+    return conversations.select(
         conversations[conv_id].cast("long").alias("conv_id"),
-        F.floor(F.coalesce(conversations[turn].cast("long"), first) / BLOCK).cast("long").alias("part"),
-        F.coalesce(conversations[turn].cast("long"), first).alias("turn"),
+        F.coalesce(conversations[turn].cast("long"), F.lit(-(1 << 62))).alias("turn"),
         F.coalesce(conversations[role].cast("string"), F.lit("")).alias("role"),
         F.coalesce(conversations[text].cast("string"), F.lit("")).alias("text"),
     )
 
 
-def prefixes(turns: DataFrame) -> DataFrame:
-    """``conv_id, n, whole, h1, h2``: the prefix of the first n turns; ``whole`` marks the last."""
-    narrow = turns.select(
-        "conv_id", "part", "turn", "role", F.xxhash64("text").alias("_x"), F.xxhash64(F.reverse("text"), "text").alias("_y")
-    ).distinct()
-    # By blocks, which bounds a group by the turns that share a block's numbers.
-    in_part = Window.partitionBy("conv_id", "part").orderBy("turn", "role", "_x", "_y")
-    placed = narrow.withColumn("_i", F.row_number().over(in_part))
-    sizes = narrow.groupBy("conv_id", "part").agg(F.count("*").alias("_size"))
+def _grouped(narrow: DataFrame) -> DataFrame:
+    """Turns with ``group``: bounded groups of a conversation, in the order of its turns."""
+    numbers = F.floor(F.col("turn") / BLOCK)
+    blocked = narrow.withColumn("_block", numbers)
+    crowded = blocked.groupBy("conv_id", "_block").count().where(F.col("count") > CROWD)
+    crowded = crowded.select("conv_id", "_block", F.lit(True).alias("_crowded"))
+    split = F.coalesce("_crowded", F.lit(False))
+    group = F.struct(
+        F.col("_block").alias("block"),
+        F.when(split, F.col("turn")).alias("turn"),
+        F.when(split, F.col("role")).alias("role"),
+        F.when(split, F.substring("hash", 1, DIGITS)).alias("hash"),
+    )
+    return blocked.join(crowded, ["conv_id", "_block"], "left").withColumn("group", group).drop("_block", "_crowded")
+
+
+def _earlier(column: str, groups: Window) -> Column:
+    """Exclusive or over all earlier rows of the window."""
+    return F.coalesce(F.bit_xor(column).over(groups.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def placed_turns(turns: DataFrame) -> DataFrame:
+    """``conv_id, turn, role, hash, n, size`` and the hashes of each distinct turn at its place n; stored."""
+    narrow = turns.select("conv_id", "turn", "role", F.md5("text").alias("hash")).distinct()
+    grouped = store(_grouped(narrow), "turns")
+    in_group = Window.partitionBy("conv_id", "group").orderBy("turn", "role", "hash")
+    sizes = grouped.groupBy("conv_id", "group").agg(F.count("*").alias("_size"))
     in_conv = Window.partitionBy("conv_id")
     sizes = sizes.select(
         "conv_id",
-        "part",
-        (F.sum("_size").over(in_conv.orderBy("part")) - F.col("_size")).alias("_before"),
-        F.sum("_size").over(in_conv).alias("_all"),
+        "group",
+        (F.sum("_size").over(in_conv.orderBy("group")) - F.col("_size")).alias("_before"),
+        F.sum("_size").over(in_conv).alias("size"),
     )
-    placed = placed.join(sizes, ["conv_id", "part"]).withColumn("n", F.col("_before") + F.col("_i"))
-    # 33 bits each: sums of a thousand million turns stay within a long.
-    placed = store(
-        placed.select(
-            "conv_id",
-            "part",
-            "n",
-            "_all",
-            F.shiftrightunsigned(F.xxhash64("n", "role", "_x", "_y"), 31).alias("_a"),
-            F.shiftrightunsigned(F.xxhash64("_y", "n", "_x", "role"), 31).alias("_b"),
-        ),
-        "turn-hashes",
-    )
-    totals = placed.groupBy("conv_id", "part").agg(F.sum("_a").alias("_sa"), F.sum("_b").alias("_sb"))
-    up_to = in_conv.orderBy("part")
-    totals = totals.select(
-        "conv_id",
-        "part",
-        (F.sum("_sa").over(up_to) - F.col("_sa")).alias("_pa"),
-        (F.sum("_sb").over(up_to) - F.col("_sb")).alias("_pb"),
-    )
-    rolling = Window.partitionBy("conv_id", "part").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    placed = grouped.withColumn("_i", F.row_number().over(in_group)).join(sizes, ["conv_id", "group"])
+    placed = placed.withColumn("n", F.col("_before") + F.col("_i")).drop("_before", "_i")
+    return store(placed.withColumns({"_a": F.xxhash64("n", "role", "hash"), "_b": F.xxhash64("hash", "n", "role")}), "turn-hashes")
+
+
+def prefixes(placed: DataFrame) -> DataFrame:
+    """``conv_id, n, whole, h1, h2``: the prefix of the first n turns; ``whole`` marks the last."""
+    totals = placed.groupBy("conv_id", "group").agg(F.bit_xor("_a").alias("_ta"), F.bit_xor("_b").alias("_tb"))
+    groups = Window.partitionBy("conv_id").orderBy("group")
+    totals = totals.select("conv_id", "group", _earlier("_ta", groups).alias("_pa"), _earlier("_tb", groups).alias("_pb"))
+    rolling = Window.partitionBy("conv_id", "group").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        placed.withColumns({"_ra": F.sum("_a").over(rolling), "_rb": F.sum("_b").over(rolling)})
-        .join(totals, ["conv_id", "part"])
+        placed.withColumns({"_ra": F.bit_xor("_a").over(rolling), "_rb": F.bit_xor("_b").over(rolling)})
+        .join(totals, ["conv_id", "group"])
         .select(
             "conv_id",
             "n",
-            (F.col("n") == F.col("_all")).alias("whole"),
-            (F.col("_ra") + F.col("_pa")).alias("h1"),
-            (F.col("_rb") + F.col("_pb")).alias("h2"),
+            (F.col("n") == F.col("size")).alias("whole"),
+            F.col("_ra").bitwiseXOR(F.col("_pa")).alias("h1"),
+            F.col("_rb").bitwiseXOR(F.col("_pb")).alias("h2"),
         )
     )
 
@@ -95,37 +106,50 @@ def maximal(found: DataFrame) -> DataFrame:
     return whole.join(parts, key, "left_anti").select("conv_id", "n_copies")
 
 
+def _rendered(role: Column, text: Column) -> Column:
+    return F.concat(F.lit(START), role, F.lit(AFTER_ROLE), text, F.lit(END))
+
+
 def render(
     conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
 ) -> DataFrame:
     """``conv_id, part, n_turns, n_copies, text``: the rendered maximal conversations."""
-    turns = _turns(conversations, conv_id, turn, role, text)
-    kept = store(maximal(store(prefixes(turns), "prefixes")), "maximal")
-    return (
-        turns.join(kept, "conv_id")
-        .repartition("conv_id", "part")
-        .groupBy("conv_id", "part")
-        .agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"), F.first("n_copies").alias("n_copies"))
+    rows = _rows(conversations, conv_id, turn, role, text)
+    turns = rows.where("conv_id IS NOT NULL")
+    placed = placed_turns(turns)
+    kept = store(maximal(store(prefixes(placed), "prefixes")), "maximal")
+    places = placed.join(kept, "conv_id").select("conv_id", "turn", "role", "hash", "n", "n_copies")
+    one = turns.withColumn("hash", F.md5("text")).join(places, ["conv_id", "turn", "role", "hash"])
+    part = F.floor((F.col("n") - 1) / BLOCK).cast("long").alias("part")
+    whole = (
+        one.groupBy("conv_id", part)
+        .agg(F.array_sort(F.collect_set(F.struct("n", "role", "text"))).alias("turns"), F.first("n_copies").alias("n_copies"))
         .select(
             "conv_id",
             "part",
             F.size("turns").cast("long").alias("n_turns"),
             "n_copies",
-            F.array_join(
-                F.transform("turns", lambda t: F.concat(F.lit(START), t["role"], F.lit(AFTER_ROLE), t["text"], F.lit(END))), ""
-            ).alias("text"),
+            F.array_join(F.transform("turns", lambda t: _rendered(t["role"], t["text"])), "").alias("text"),
         )
     )
+    lone = rows.where("conv_id IS NULL").groupBy("conv_id", "role", "text").agg(F.count("*").alias("n_copies"))
+    number = F.lit(0).cast("long")
+    return whole.unionByName(
+        lone.select("conv_id", number.alias("part"), (number + 1).alias("n_turns"), "n_copies", _rendered(F.col("role"), F.col("text")).alias("text"))
+    )
 
 
 SQL = f"""
-WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, -4611686018427387904) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
-           FROM conversations WHERE conv_id IS NOT NULL),
-lists AS (SELECT conv_id, list(md5(role || chr(10) || text) ORDER BY turn, role, text) AS l FROM t GROUP BY conv_id),
+WITH r AS (SELECT conv_id, coalesce(turn, -4611686018427387904) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+t AS (SELECT DISTINCT * FROM r WHERE conv_id IS NOT NULL),
+lists AS (SELECT conv_id, list(md5(role || chr(10) || text) ORDER BY turn, role, md5(text)) AS l FROM t GROUP BY conv_id),
 prefix AS (SELECT conv_id, k = len(l) AS whole, array_to_string(l[1:k], ',') AS p FROM lists, unnest(range(1, len(l) + 1)) AS r(k)),
 kept AS (SELECT min(conv_id) AS conv_id, count(*) AS n_copies FROM prefix WHERE whole
-         AND p NOT IN (SELECT p FROM prefix WHERE NOT whole) GROUP BY p)
-SELECT conv_id, floor(turn / {BLOCK})::BIGINT AS part, count(*)::BIGINT AS n_turns, max(n_copies)::BIGINT AS n_copies,
-       string_agg('{START}' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS text
-FROM t JOIN kept USING (conv_id) GROUP BY conv_id, floor(turn / {BLOCK})
+         AND p NOT IN (SELECT p FROM prefix WHERE NOT whole) GROUP BY p),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, md5(text)) AS n FROM t)
+SELECT conv_id, ((n - 1) // {BLOCK})::BIGINT AS part, count(*)::BIGINT AS n_turns, max(n_copies)::BIGINT AS n_copies,
+       string_agg('{START}' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY n) AS text
+FROM n JOIN kept USING (conv_id) GROUP BY conv_id, (n - 1) // {BLOCK}
+UNION ALL
+SELECT NULL, 0, 1, count(*)::BIGINT, '{START}' || role || chr(10) || text || '<|im_end|>' || chr(10) FROM r WHERE conv_id IS NULL GROUP BY role, text
 """

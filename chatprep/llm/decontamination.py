@@ -99,7 +99,8 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         out["terms"].append(piece.tobytes())
                 yield pa.RecordBatch.from_pydict(out, schema=_PIECES)
 
-    pieces = store(items.mapInArrow(make, "item string, n long, terms binary"), "benchmark")
+    # Equal pieces are one: they would all fall into one block, and repeats change no result.
+    pieces = store(items.mapInArrow(make, "item string, n long, terms binary").distinct(), "benchmark")
     # Number the blocks from totals of hash buckets, so that no window sees the whole benchmark.
     total = pieces.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     count = -(-total * 2 // BLOCK_WORDS)  # half full on average
@@ -110,26 +111,31 @@ _PIECES = pa.schema([("item", pa.string()), ("n", pa.int64()), ("terms", pa.bina
 
 
 class Windows:
-    """The distinct windows of one block, by length, with the items that have them."""
+    """The distinct windows of one block, by length, with the items that have them.
+
+    A window is a place in the block's terms: what is broadcast is the terms once, not once per window.
+    """
 
     def __init__(self, pieces: list[tuple[str, bytes]]) -> None:
         self.items = sorted({item for item, _ in pieces})
         number = {item: i for i, item in enumerate(self.items)}
-        by_length: dict[int, tuple[list, list]] = {}
+        by_length: dict[int, tuple[list, list, list]] = {}
         for item, raw in pieces:
             terms = np.frombuffer(raw, np.uint64)
             length = min(WINDOW, len(terms))
-            rows, owners = by_length.setdefault(length, ([], []))
-            rows.append(np.lib.stride_tricks.sliding_window_view(terms, length))
-            owners.append(np.full(len(rows[-1]), number[item], np.int32))
+            flat, places, owners = by_length.setdefault(length, ([], [], []))
+            places.append(np.arange(len(terms) - length + 1) + sum(map(len, flat)))
+            flat.append(terms)
+            owners.append(np.full(len(places[-1]), number[item], np.int32))
         self.groups = []
-        for length, (rows, owners) in sorted(by_length.items()):
-            table, owner = np.concatenate(rows), np.concatenate(owners)
-            table, back = np.unique(table, axis=0, return_inverse=True)
+        for length, (flat, places, owners) in sorted(by_length.items()):
+            flat, place, owner = (np.concatenate(x) for x in (flat, places, owners))
+            windows = np.lib.stride_tricks.sliding_window_view(flat, length)[place]
+            _, first, back = np.unique(windows, axis=0, return_index=True, return_inverse=True)
             back = back.ravel()
             order = np.argsort(back, kind="stable")
-            edges = np.searchsorted(back[order], np.arange(len(table) + 1))
-            self.groups.append((length, table, owner[order], edges))
+            edges = np.searchsorted(back[order], np.arange(len(first) + 1))
+            self.groups.append((length, flat, place[first], owner[order], edges))
 
 
 def search(index: DataFrame, windows: Windows) -> DataFrame:
@@ -189,20 +195,27 @@ def _search_segment(one: dict, windows: Windows) -> Iterator[pa.RecordBatch]:
     sizes = np.diff(starts)
     postings = None
     places, lengths, found_items = [], [], []
-    for length, table, owners, edges in windows.groups:
-        code = np.minimum(np.searchsorted(terms, table), len(terms) - 1)
-        there = np.flatnonzero((terms[code] == table).all(1))
+    for length, flat, begins, owners, edges in windows.groups:
+        code = np.minimum(np.searchsorted(terms, flat), len(terms) - 1)
+        absent = np.concatenate([[0], np.cumsum(terms[code] != flat)])
+        there = np.flatnonzero(absent[begins + length] == absent[begins])
         if not len(there):
             continue
         if postings is None:
             postings = np.repeat(np.arange(len(terms)), sizes) << 32 | positions
-        code = code[there]
+        code = code[begins[there][:, None] + np.arange(length)]
+        hit_windows = []
         for at, place in _phrases(code, sizes[code], starts, postings, positions):
             doc = np.searchsorted(first, place, "right") - 1
             same = place + length <= first[doc + 1]
             at, place, doc = there[at[same]], place[same], doc[same]
             places.append(place)
             lengths.append(np.full(len(place), length))
+            hit_windows.append(np.unique(doc << 32 | at))
+        # A window that a document holds often is looked up once, however many items have it.
+        held = np.unique(np.concatenate(hit_windows)) if hit_windows else np.zeros(0, np.int64)
+        for a in range(0, len(held), BATCH_PAIRS):
+            doc, at = held[a : a + BATCH_PAIRS] >> 32, held[a : a + BATCH_PAIRS] & 0xFFFFFFFF
             n = edges[at + 1] - edges[at]
             item = owners[np.repeat(edges[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
             found_items.append(np.unique(np.repeat(doc, n) << 32 | item))
@@ -283,6 +296,8 @@ def near(index: DataFrame, terms: list[str], distance: int) -> DataFrame:
     flat = np.frombuffer(b"".join(raw), np.uint8)
     borders = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
     wanted = keys(flat, borders[:-1], borders[1:])
+    string_ids = index.schema["doc_ids"].dataType.elementType.simpleString() == "string"
+    kind, named = (pa.string(), "string") if string_ids else (pa.int64(), "long")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,11 +319,11 @@ def near(index: DataFrame, terms: list[str], distance: int) -> DataFrame:
                     high = np.minimum(place + distance, first[doc + 1] - 1)
                     keep &= np.searchsorted(other, high, "right") > np.searchsorted(other, low)
                 row, n = np.unique(doc[keep], return_counts=True)
-                ids = pa.array([one["doc_ids"][r] for r in row.tolist()], pa.int64())
+                ids = pa.array([one["doc_ids"][r] for r in row.tolist()], kind)
                 yield pa.RecordBatch.from_pydict({"doc_id": ids, "n_places": pa.array(n, pa.int64())})
 
     return index.select("doc_ids", "doc_words", "terms", "term_starts", "positions").mapInArrow(
-        make, "doc_id long, n_places long"
+        make, f"doc_id {named}, n_places long"
     )
 
 

@@ -7,7 +7,8 @@ the language of the centroid with the largest cosine, which is the score.  A tex
 that centroid than nearly all training texts of the language is marked ``rejected``.
 
 Document frequencies and counts of languages come from all learnable rows; only the clustering
-uses a bounded sample, the rows of the smallest hashes of doc_id per language.
+uses a bounded sample, the ids of the smallest hashes per language, each with one text.  Marking far
+texts as rejected does not change the prediction.
 
 A null text, or one without a letter, is ``und`` with score 0 and rejected; so is every text when
 nothing can be learnt.  Rows without an id are not learnt from.  Repeated rows are judged alike;
@@ -98,40 +99,76 @@ class Model:
         return self.of[best], np.clip(cosine[np.arange(len(best)), best], 0, 1)
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+HELD = 128  # sampled vectors a task holds before it passes them on
+
+
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Document frequencies of all texts of a task, and the trigram counts of sampled ones.
+
+    A sampled doc_id and language is passed on once, with the text of the smallest hash, or once per
+    ``HELD`` others; so a repeated one stays small.
+    """
     seen, rows = np.zeros(WIDTH, np.int64), 0
+    held: dict[tuple[int, str], tuple[int, bytes]] = {}
+
+    def sampled() -> pa.RecordBatch:
+        names, found = list(held), list(held.values())
+        nothing = pa.nulls(len(names), pa.int64())
+        return pa.RecordBatch.from_pydict(
+            {
+                "bucket": nothing,
+                "n": nothing,
+                "doc_id": pa.array([i for i, _ in names], pa.int64()),
+                "lang": pa.array([x for _, x in names], pa.string()),
+                "hash": pa.array([h for h, _ in found], pa.int64()),
+                "vector": pa.array([v for _, v in found], pa.binary()),
+            }
+        )
+
     for batch in batches:
+        taken = batch.column("sampled").to_numpy(zero_copy_only=False)
         for low, high, found in counts(batch.column("text")):
             seen += (found > 0).sum(0)
             rows += high - low
-    yield pa.RecordBatch.from_pydict({"bucket": np.append(np.arange(WIDTH), -1), "n": np.append(seen, rows)})
-
-
-def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for low, high, found in counts(batch.column("text")):
-            raw = [row.astype("<f4").tobytes() for row in found]
-            yield pa.RecordBatch.from_pydict({"lang": batch.column("lang")[low:high], "vector": pa.array(raw, pa.binary())})
+            for i in np.flatnonzero(taken[low:high]).tolist():
+                name, here = (batch.column("doc_id")[low + i].as_py(), batch.column("lang")[low + i].as_py()), batch.column("hash")[low + i].as_py()
+                if name not in held or here < held[name][0]:
+                    held[name] = here, found[i].astype("<f4").tobytes()
+            if len(held) >= HELD:
+                yield sampled()
+                held.clear()
+    if held:
+        yield sampled()
+    none = [pa.nulls(WIDTH + 1, t) for t in (pa.int64(), pa.string(), pa.int64(), pa.binary())]
+    counted = [pa.array(np.append(np.arange(WIDTH), -1)), pa.array(np.append(seen, rows))]
+    yield pa.RecordBatch.from_arrays([*counted, *none], ["bucket", "n", "doc_id", "lang", "hash", "vector"])
 
 
 def learn(docs: DataFrame) -> Model:
-    """Fit on rows ``(doc_id, text, lang)`` that aren't held out."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sums = known.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    """Fit on rows ``(doc_id, text, lang)`` that aren't held out; texts are read once."""
+    known = docs.where(F.col("lang").isNotNull() & ~held_out())
+    ids = store(known.select("doc_id", "lang").distinct(), "language-ids")
+    sizes = store(ids.groupBy("lang").agg(F.count("*").alias("_n")), "language-sizes")
+    each = max(1, min(PER_LANGUAGE, SAMPLE // max(sizes.count(), 1)))
+    # Ids that cannot be among the first of their language are left out before any are ranked.
+    near = ids.join(sizes, "lang").where(place("doc_id") < reach(each, F.col("_n")))
+    order = Window.partitionBy("lang").orderBy(place("doc_id"), "doc_id")
+    chosen = near.select("doc_id", "lang").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= each)
+    # At most SAMPLE rows, or one per language: the planner decides how they meet the texts.
+    chosen = store(chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")), "language-sample")
+    texts = known.where(F.col("text").isNotNull())
+    texts = texts.join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")), "left")
+    texts = texts.select("doc_id", "lang", "text", F.xxhash64("text").alias("hash"), F.col("_id").isNotNull().alias("sampled"))
+    schema = "bucket long, n long, doc_id long, lang string, hash long, vector binary"
+    found = store(texts.mapInArrow(_learn, schema), "language-counts")
+    sums = found.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n"))
     total = {r.bucket: r.n for r in sums.collect()}  # WIDTH + 1 rows
     n = total.pop(-1, 0)
     idf = np.log((1 + n) / (1 + np.array([total.get(b, 0) for b in range(WIDTH)], float))) + 1
-    sizes = known.groupBy("lang").agg(F.count("*").alias("_n"))
-    languages = sizes.count()
-    each = max(1, min(PER_LANGUAGE, SAMPLE // max(languages, 1)))
-    # Rows that cannot be among the first of their language are left out before any are ranked.
-    near = known.join(F.broadcast(sizes), "lang").where(place("doc_id") < reach(each, F.col("_n")))
-    order = Window.partitionBy("lang").orderBy(place("doc_id"), "doc_id")
-    chosen = near.select("doc_id", "lang").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= each)
-    chosen = store(chosen.select("doc_id").distinct(), "language-sample")  # at most SAMPLE rows or one per language
-    texts = known.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
-    sample = [(r.lang, np.frombuffer(r.vector, "<f4")) for r in texts.mapInArrow(_dense, "lang string, vector binary").collect()]
-    return Model(idf.astype(np.float32), sample)
+    first = F.min(F.struct("hash", "vector"))["vector"].alias("vector")
+    rows = found.where("vector IS NOT NULL").groupBy("lang", "doc_id").agg(first).collect()
+    rows.sort(key=lambda r: (r.lang, r.doc_id))
+    return Model(idf.astype(np.float32), [(r.lang, np.frombuffer(r.vector, "<f4")) for r in rows])
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

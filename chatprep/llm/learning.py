@@ -18,11 +18,15 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def labelled(features: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows and labels (0 or 1) of at most ``MAX_TRAIN`` learnable labels."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("_label"))
-    known = known.where(F.col("_label").isin(0, 1) & ~held_out())
+    """Feature rows and labels (0 or 1) of at most ``MAX_TRAIN`` learnable labels.
+
+    A doc_id and label that stand more than once, in either table, are one row: that of the least
+    features.  So repeats neither grow what the driver gets nor weigh on the fit.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("_label"))
+    known = known.where(F.col("_label").isin(0, 1) & ~held_out()).distinct()
     chosen = first_rows(known, "doc_id", MAX_TRAIN)
-    taken = features.join(chosen, "doc_id").select("doc_id", "_label", "features").collect()
+    taken = features.join(chosen, "doc_id").groupBy("doc_id", "_label").agg(F.min("features").alias("features")).collect()
     taken.sort(key=lambda r: (r.doc_id, r._label, r.features))
     width = len(taken[0].features) if taken else 0
     return np.array([r.features for r in taken], float).reshape(len(taken), width), np.array([r._label for r in taken], float)

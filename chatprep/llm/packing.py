@@ -189,12 +189,18 @@ def plan(histogram: dict[int, int], capacity: int) -> Plan:
     return Plan(*(made[:, c].copy() for c in range(5)), used)
 
 
+def bucketed(cut: DataFrame, buckets: int) -> DataFrame:
+    """Pieces with ``_bucket``; rows that share all columns differ in their place in the stored table."""
+    place_of = ("doc_id", "piece", "_metadata.file_name", "_metadata.row_index")
+    return cut.withColumn("_bucket", F.pmod(F.xxhash64(*place_of), F.lit(buckets)).cast("int"))
+
+
 def assign(cut: DataFrame, capacity: int) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to a stored table of pieces."""
+    """Add ``sequence_id`` and ``offset`` to a table of pieces that is stored in files."""
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= capacity rows
     made = cut.sparkSession.sparkContext.broadcast(plan(histogram, capacity))
     buckets = max(BUCKETS, sum(histogram.values()) // ROWS_PER_BUCKET)
-    parts = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    parts = bucketed(cut, buckets)
     sizes = parts.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     before = sizes.select(
         "length", "_bucket", (F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")).alias("_before")

@@ -5,7 +5,9 @@ long run of key characters is compared under two character Markov models, one of
 and one of ordinary identifiers; where the log-likelihood ratio per step exceeds ``MARGIN`` the
 run is a span of kind ``markov``.  The models are tables of character pairs, counted by Spark over
 a bounded sample of documents (``SAMPLE``): values that the fixed patterns find there are labelled
-random, words outside of them ordinary.  The table is a literal in the plan.
+random; words outside of them are labelled ordinary, and so are neighbouring words joined as
+identifiers are (``a_b``, ``a-b``, ``a/b``, ``AB``, ``A_B``), which texts hardly hold.  The table is a
+literal in the plan.
 
 Places count code points, ends are exclusive.  All work but the training is row-local.  A null or
 empty text has no spans; repeated rows are scanned row by row; an empty table gives no rows, and
@@ -21,6 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatprep.functions.arrays import let
 from chatprep.llm.common import first_rows, store
 from chatprep.llm.native import running_sums
 from chatprep.operators.common import pin
@@ -38,7 +41,7 @@ WORD = r"[A-Za-z0-9+/_-]{4,}"
 SAMPLE = 4000  # documents the models are counted on, those of the smallest hashes of doc_id
 CHARS = 66  # characters of runs, for smoothing
 SMOOTH, EVEN = 0.5, 0.5  # pseudo-count of ordinary pairs; share of even chances in random ones
-MARGIN = 0.4
+MARGIN = 1.5
 
 
 def _cut(pattern: str, marked: Column) -> Column:
@@ -102,16 +105,18 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
     """Log-likelihood ratios by pair of ASCII codes (128 x 128), from the sample."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    chosen = store(first_rows(rows.select("doc_id"), "doc_id", SAMPLE).distinct(), "secret-sample")
+    chosen = store(first_rows(rows.select("doc_id").distinct(), "doc_id", SAMPLE), "secret-sample")
     sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi")  # at most SAMPLE ids
-    cut = _marked(sample, "doc_id", "text")
+    # One text of each id, so that a repeated one weighs no more than others.
+    sample = sample.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    cut = _marked(store(sample, "secret-sample-texts"), "doc_id", "text")
     empty = F.array().cast("array<string>")
     values = F.transform(F.filter(F.coalesce(cut["assign"]["hits"], empty), assigned), lambda h: F.regexp_extract(h, ASSIGN, 2))
     random = F.concat(values, F.coalesce(cut["access"]["hits"], empty), F.coalesce(cut["hex"]["hits"], empty))
     rest = F.col("text")
     for pattern in (ASSIGN, ACCESS, HEX):
         rest = F.regexp_replace(rest, pattern, " ")
-    ordinary = F.regexp_extract_all(rest, F.lit(WORD), F.lit(0))
+    ordinary = let(F.regexp_extract_all(rest, F.lit(WORD), F.lit(0)), lambda words: F.concat(words, identifiers(words)))
     both = F.array(F.struct(F.lit(1).alias("random"), random.alias("words")), F.struct(F.lit(0).alias("random"), ordinary.alias("words")))
     words = cut.select(F.inline(both)).select("random", F.explode("words").alias("word"))
     words = words.groupBy("random", "word").agg(F.count("*").alias("n"))
@@ -130,6 +135,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> li
     return ratios({(r.random, r.pair): r.n for r in counted})
 
 
+def identifiers(words: Column) -> Column:
+    """Neighbouring words joined in the ways of identifiers."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+
+    def joined(change, between: str) -> Column:
+        made = F.transform(words, change)
+        return F.zip_with(F.slice(made, F.lit(1), n), F.slice(made, F.lit(2), n), lambda a, b: F.concat(a, F.lit(between), b))
+
+    def capital(word: Column) -> Column:
+        return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, F.lit(2), F.length(word))))
+
+    ways = [(F.lower, "_"), (F.lower, "-"), (F.lower, "/"), (capital, ""), (F.upper, "_")]
+    return F.concat(*[joined(change, between) for change, between in ways])
+
+
 def ratios(counted: dict[tuple[int, int], int]) -> list[float]:
     rows: Counter = Counter()
     for (random, pair), n in counted.items():

@@ -59,10 +59,10 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 )
                 base += len(ids)
 
-    ordered = (
-        docs.repartitionByRange(F.col("doc_id"), F.xxhash64("text"))
-        .sortWithinPartitions("doc_id", F.xxhash64("text"))
-    )
+    # Equal rows differ in the place they were read from, so that they can be cut into ranges as well.
+    placed = docs.withColumns({"_text": F.xxhash64("text"), "_place": F.xxhash64(F.monotonically_increasing_id())})
+    order = ["doc_id", "_text", "_place"]
+    ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("_text", "_place")
     return ordered.mapInArrow(make, FILE_SCHEMA)
 
 

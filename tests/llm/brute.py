@@ -256,3 +256,46 @@ def filter_audit(docs, labels):
                 removed_by[part, x] += len(hit)
                 out.append((part, "".join(order), step, len(left), len(hit), len(all_hit) - len(hit), sum(f[1] == x for f in all_hit), sum(f[2] for f in hit), sum(f[3] for f in hit)))
     return [(*r, removed_by[r[0], r[1][r[2] - 1]]) for r in out]
+
+
+def tree_score(trees, row):
+    total = trees.base
+    for node in trees.roots.tolist():
+        while trees.left[node] != node:
+            node = int(trees.left[node] if row[trees.feature[node]] < trees.border[node] else trees.right[node])
+        total += trees.value[node]
+    return 1 / (1 + math.exp(-total))
+
+
+def additive_score(model, row):
+    total = model.base
+    for f, table in enumerate(model.tables):
+        total += table[sum(cut <= row[f] for cut in model.borders[f])]
+    for (f, g), table in zip(model.pairs, model.pair_tables, strict=True):
+        total += table[sum(cut <= row[f] for cut in model.coarse[f])][sum(cut <= row[g] for cut in model.coarse[g])]
+    return 1 / (1 + math.exp(-total))
+
+
+def nearest(model, text):
+    """Best cosine by language, one trigram after another."""
+    raw = [c if c >= 128 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in f" {text or ''} ".encode()]
+    found = collections.Counter()
+    for a, b, c in zip(raw, raw[1:], raw[2:], strict=False):
+        if (a, b, c) != (32, 32, 32):
+            found[(a | b << 8 | c << 16) * 2654435761 % 2**32 >> 20] += 1
+    weights = {k: math.log1p(n) * float(model.idf[k]) for k, n in found.items()}
+    length = math.sqrt(sum(w * w for w in weights.values())) or 1.0
+    best = {}
+    for centre, of in zip(model.centroids, model.of.tolist(), strict=True):
+        lang = model.languages[of]
+        best[lang] = max(best.get(lang, 0.0), sum(w * float(centre[k]) for k, w in weights.items()) / length)
+    return best
+
+
+def markov_spans(text, table, run, margin):
+    out = []
+    for m in re.finditer(run, text or ""):
+        steps = [table[ord(a) * 128 + ord(b)] for a, b in zip(m[0], m[0][1:], strict=False)]
+        if sum(steps) / len(steps) > margin:
+            out.append((m.start(), m.end()))
+    return out

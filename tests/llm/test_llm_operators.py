@@ -32,6 +32,8 @@ from chatprep.llm import (
     vector_codes,
 )
 from chatprep.llm import queries as llm
+from chatprep.llm.common import store
+from chatprep.llm.docstats import FEATURES, statistics
 from chatprep.llm.wordids import WordIds
 
 ROWS = edge_rows()
@@ -39,9 +41,7 @@ BYTES, WORDS = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_b
 
 
 def encode(path, text, end):
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return [*made.encode(text or "", add_special_tokens=False).ids, end]
+    return [*Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, end]
 
 
 def same(got, want):
@@ -64,6 +64,28 @@ def test_contamination_in_blocks(edge, items, monkeypatch):
     same(found.collect(), [(r[0], *brute.contamination(r[1], ITEMS)) for r in ROWS])
 
 
+def test_repeated_items_are_one_piece(spark, edge, items):
+    more = spark.createDataFrame([(1, ITEMS[0][1], "x")] * 3000, items.schema)
+    pieces, count = decontamination._blocks(items.union(more).repartition(6), "item_id", "text")
+    assert pieces.count() == 3 and count == 1
+    found = decontamination.contamination(decontamination.matches(decontamination.build_index(edge), items.union(more)))
+    same(found.collect(), [(r[0], *brute.contamination(r[1], ITEMS)) for r in ROWS])
+
+
+def test_items_of_one_text(spark, edge):
+    """One passage with very many ids, often in one document."""
+    text = sentence("many", 13)
+    items = [(i, text) for i in range(300)]
+    docs = spark.createDataFrame([(1, " ".join([text] * 200)), (2, "none of it")], "doc_id long, text string")
+    found = decontamination.contamination(decontamination.matches(decontamination.build_index(docs), spark.createDataFrame(items, "item_id long, text string")))
+    same(found.collect(), [(i, *brute.contamination(t, items)) for i, t in docs.collect()])
+
+
+def test_near_with_string_ids(edge):
+    index = decontamination.build_index(edge.withColumn("key", F.concat(F.lit("k"), "doc_id")), id_col="key", string_ids=True)
+    assert {r.doc_id: r.n_places for r in decontamination.near(index, ["words", "only"], 2).collect()} == {"k13": 1, "k14": 1}
+
+
 def test_contamination_of_nothing(edge, nothing, items):
     none = items.limit(0)
     index = decontamination.build_index(nothing)
@@ -93,6 +115,14 @@ def test_packing(edge):
     assert brute.check_packing(rows, 64) <= 1.02 * -(-sum(w[3] for w in want) // 64) + 1
 
 
+def test_equal_pieces_are_ranked_in_many_buckets(spark, edge):
+    docs = edge.select("doc_id", "text").union(spark.createDataFrame([(7, "one two three")] * 4000, "doc_id long, text string"))
+    cut = store(packing.pieces(docs.repartition(3), WORDS, 1, 64), "pieces")
+    sizes = packing.bucketed(cut, packing.BUCKETS).groupBy("length", "_bucket").count().agg(F.max("count")).first()[0]
+    assert sizes < 4000 / packing.BUCKETS * 2
+    brute.check_packing(packing.assign(cut, 64).collect(), 64)
+
+
 def test_packing_of_nothing(nothing):
     assert packing.pack(nothing, WORDS, end_id=1).count() == 0
 
@@ -142,16 +172,12 @@ MARKED = [
 ]
 
 
-def plain(path, text, end):
-    return [*Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, end]
-
-
 def test_added_tokens_inside_texts(spark):
     docs = spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string").coalesce(1)
     got = {r.doc_id: list(r.ids) for r in token_files.read_ids(token_files.write(docs, BYTES, end_id=2)).collect()}
-    assert got == {i: plain(BYTES, t, 2) for i, t in enumerate(MARKED)}
+    assert got == {i: encode(BYTES, t, 2) for i, t in enumerate(MARKED)}
     assert got[0] == [64, 220, 50256, 275, 2]
-    want = [(i, 0, len(ids), brute.crc(ids)) for i, t in enumerate(MARKED) for ids in [plain(WORDS, t, 1)]]
+    want = [(i, 0, len(ids), brute.crc(ids)) for i, t in enumerate(MARKED) for ids in [encode(WORDS, t, 1)]]
     rows = packing.pack(docs, WORDS, end_id=1, capacity=64).collect()
     same([(r.doc_id, r.piece, r.length, r.ids_crc32) for r in rows], want)
     rows = corpus_pipeline.pack_tokens(spark, docs, "").collect()
@@ -169,7 +195,7 @@ def test_added_tokens_of_letters(path, tmp_path):
     borders = np.cumsum([0, *map(len, texts)])
     ids, ends = WordIds(str(tmp_path / "more.json")).encode(np.frombuffer(raw, np.uint8), borders, 7)
     got = [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    assert got == [plain(str(tmp_path / "more.json"), t, 7) for t in texts]
+    assert got == [encode(str(tmp_path / "more.json"), t, 7) for t in texts]
 
 
 # --- 3: licences
@@ -254,16 +280,40 @@ def log(conv, *texts, start=0):
     return [(conv, start + i, ("user", "assistant")[i % 2], t, "p", "n") for i, t in enumerate(texts)]
 
 
+def sql_chats(rows):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", [r[:4] for r in rows])
+    return con.execute(chat.SQL).fetchall()
+
+
 def test_chat_keeps_maximal_conversations(spark):
     rows = [*log(1, "a"), *log(2, "a", "b"), *log(3, "a", "b", "c"), *log(4, "a", "b", "c", start=7), *log(5, "a", "x")]
     rows += [*log(6, None, "b"), *log(7, ""), *log(3, "a"), (None, 0, "user", "a", "p", "n"), (8, None, None, None, "p", "n"), (8, 0, "user", "z", "p", "n")]
-    got = {r.conv_id: r for r in chat.render(spark.createDataFrame(rows, TURNS)).collect() if r.conv_id != 8}
-    assert set(got) == {3, 5, 6}
+    rows += [(None, 3, "user", "a", "p", "n"), (None, None, None, None, "p", "n"), (9, 0, "user", "q", "p", "n"), (9, 0, "assistant", "q2", "p", "n")]
+    found = chat.render(spark.createDataFrame(rows, TURNS)).collect()
+    same(found, sql_chats(rows))
+    got = {r.conv_id: r for r in found}
+    assert set(got) == {3, 5, 6, 8, 9, None}
     assert got[3].n_copies == 2 and got[3].n_turns == 3
     assert got[5].text == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nx<|im_end|>\n"
     assert chat.render(spark.createDataFrame([], TURNS)).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [3, 1 << 13])
+def test_chat_of_turns_without_numbers(spark, monkeypatch, crowd):
+    """One conversation of lost or equal turn numbers, one row that fills half the table."""
+    monkeypatch.setattr(chat, "CROWD", crowd)
+    made = random.Random(crowd)
+    rows = [(1, made.choice([None, 0, 0, 5]), made.choice(["user", "assistant"]), f"t{made.randrange(400)}", "p", "n") for _ in range(700)]
+    rows += [(2, *r[1:]) for r in rows if r[1] is None] + [(3, 0, "user", "again", "p", "n")] * 900 + [(4, i, "user", "x", "p", "n") for i in range(30)]
+    table = spark.createDataFrame(rows, TURNS)
+    same(chat.render(table).collect(), sql_chats(rows))
+    placed = chat.placed_turns(chat._rows(table, "conv_id", "turn", "role", "text"))
+    if crowd == 3:
+        assert placed.groupBy("conv_id", "group").count().agg(F.max("count")).first()[0] <= 30 < placed.where("conv_id = 1").count()
+
+
 def test_chat_with_one_long_conversation(spark):
     texts = [f"t{i}" for i in range(2500)]
     rows = [*log(1, *texts), *log(2, *texts[:1024]), *log(3, *texts[:2000]), *log(4, *texts[:1500], "other")]
@@ -378,9 +428,81 @@ def test_quality_scores(edge, labels, nothing):
     assert {r.score for r in quality_gam.score(edge, labels.limit(0)).collect()} == {0.5}
 
 
+def wide(seed, n=4000):
+    """Feature rows in the range of real ones, and a label that two features decide."""
+    made = np.random.default_rng(seed).random((n, len(FEATURES)))
+    made[:, 0] *= 6
+    return made, (made[:, 0] * made[:, 5] + made[:, 2] > 1.5).astype(float)
+
+
+def features_of(spark, table):
+    return {(r.doc_id, r.n_words): r.features for r in statistics(table).collect()}
+
+
+def test_tree_scores_against_single_walks(spark, edge, labels, monkeypatch):
+    trees = quality_rules.train(*wide(3), np.array([quality_rules.MONOTONE.get(f, 0) for f in FEATURES]))
+    monkeypatch.setattr(quality_rules, "train", lambda *_: trees)
+    rows = features_of(spark, edge)
+    got = quality_rules.judge(edge, labels).collect()
+    for r in got:
+        assert abs(r.score - brute.tree_score(trees, rows[r.doc_id, r.n_words])) < 1e-12
+    assert len({r.score for r in got}) > 10
+
+
+def test_additive_scores_against_single_entries(spark, edge, labels, monkeypatch):
+    model = quality_gam.train(*wide(4))
+    monkeypatch.setattr(quality_gam, "train", lambda *_: model)
+    rows = {i: f for (i, _), f in features_of(spark, edge).items()}
+    got = quality_gam.score(edge, labels).collect()
+    for r in got:
+        assert abs(r.score - brute.additive_score(model, rows[r.doc_id])) < 1e-12 and r.predicted == (r.score >= 0.3)
+    assert len({r.score for r in got}) > 20
+
+
+def test_quality_of_labels_of_one_kind(edge, labels):
+    one = labels.where("quality = 1")
+    assert len({r.score for r in quality_gam.score(edge, one).collect()}) == 1
+    assert len({r.score for r in quality_rules.judge(edge, one).collect()}) == 1
+
+
+def test_a_repeated_row_is_learnt_once(spark, edge, labels):
+    more, said = [spark.createDataFrame([one] * 400, t.schema) for t, one in ((edge, ROWS[30]), (labels, (ROWS[30][0], 1, 0, "x")))]
+    docs, both = edge.union(more).repartition(5), labels.union(said).repartition(5)
+    assert ROWS[30][0] > 200 and not brute.held_out(ROWS[30][0])
+    got, want = (learning.labelled(statistics(d), x) for d, x in ((docs, both), (edge, labels)))
+    assert len(got[0]) == len(got[1]) == len(want[0]) < 80 and (got[0] == want[0]).all() and (got[1] == want[1]).all()
+    assert secret_scan.train(docs) == secret_scan.train(edge)
+
+
 # --- 8: language
 
 
+def test_a_repeated_text_is_learnt_once(spark, edge, monkeypatch):
+    held = []
+    monkeypatch.setattr(language, "Model", lambda idf, sample: held.append([(x, v.tolist()) for x, v in sample]))
+    more = spark.createDataFrame([ROWS[30]] * 400, DOCS)
+    for docs in (edge, edge.union(more).repartition(5)):
+        language.learn(docs.select("doc_id", "text", "lang"))
+    assert held[0] == held[1] and 40 < len(held[0]) < len(ROWS)
+
+
+def test_language_against_plain_cosines(edge):
+    model = language.learn(edge.select("doc_id", "text", "lang"))
+    want = {r[0]: brute.nearest(model, r[1]) for r in ROWS if r[0] is not None}
+    for r in language.identify(edge).collect():
+        if r.doc_id is not None and r.lang_pred != "und":
+            cosines = want[r.doc_id]
+            assert abs(r.score - max(cosines.values())) < 1e-5 and cosines[r.lang_pred] > r.score - 1e-5
+
+
+def test_language_ties_go_to_the_first(spark):
+    rows = [(i, f"same words {i % 9}", ("xx", "aa")[i // 9 % 2]) for i in range(180)]
+    docs = spark.createDataFrame([*rows, *[(i + 1000, t, None) for i, t, _ in rows]], "doc_id long, text string, lang string")
+    model = language.learn(docs)
+    flat = language.Model(model.idf, [(x, np.ones(language.WIDTH, np.float32)) for x in ("xx", "aa")])
+    assert flat.languages == ["aa", "xx"] and flat.nearest(np.ones((1, language.WIDTH)))[0][0] == 0
+
+
 def test_language(edge, nothing):
     got = language.identify(edge).collect()
     same([(r.doc_id, r.held_out) for r in got], [(r[0], brute.held_out(r[0])) for r in ROWS])
@@ -420,6 +542,20 @@ def test_token_files(edge, nothing):
     assert token_files.digests(token_files.write(nothing, BYTES, end_id=2)).count() == 0
 
 
+def test_equal_rows_go_to_many_token_files(spark):
+    docs = spark.createDataFrame([(7, "one two three")] * 4000 + [(i, "x") for i in range(900)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the ranges are tiny here
+    try:
+        segments = token_files.write(docs.repartition(3), BYTES, end_id=2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r.n for r in segments.groupBy("shard").agg(F.sum(F.size("doc_ids")).alias("n")).collect()]
+    assert sum(sizes) == 4900 and max(sizes) < 1500
+    found = token_files.digests(segments).orderBy("start").collect()
+    ends = [0, *np.cumsum([r.n_tokens for r in found]).tolist()]
+    assert [r.start for r in found] == ends[:-1] and [r.doc_id for r in found] == sorted(r.doc_id for r in found)
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_simple8b_round_trip(seed):
     made = np.random.default_rng(seed)
@@ -451,6 +587,46 @@ def test_models_tell_random_from_ordinary(spark):
     assert [tuple(s) for s in row.spans] == [(2, 3, 2 + len(random_))]
 
 
+def test_markov_spans_against_single_steps(edge):
+    table = secret_scan.train(edge)
+    got = {}
+    for r in secret_scan.scan(edge, table=table).collect():
+        got.setdefault(r.doc_id, []).append([(s.start, s.end) for s in r.spans if s.kind == 3])
+    want = {}
+    for r in ROWS:
+        want.setdefault(r[0], []).append(brute.markov_spans(r[1], table, secret_scan.RUN, secret_scan.MARGIN))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_without_labelled_samples_chances_are_even(spark):
+    empty = spark.createDataFrame([(1, "no words")], "doc_id long, text string").limit(0)
+    assert set(secret_scan.train(empty)) == {0.0}
+
+
+def unseen(n):
+    """Strings that no base pattern matches: random keys, and identifiers and paths of as many characters."""
+    made = random.Random(n)
+    keys = ["".join(made.choice(KEY_CHARS) for _ in range(made.randint(24, 44))) for _ in range(n)]
+    names = ["_-/"[i % 3].join(made.choice(NAMES) for _ in range(5)) for i in range(n)] + ["".join(made.choice(NAMES).capitalize() for _ in range(5)) for _ in range(n)]
+    return keys, [x for x in names if len(x) >= 20]
+
+
+KEY_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+NAMES = "account value message handler request config index table column writer reader service buffer client update parser module number record option".split()
+
+
+def test_secrets_that_the_base_patterns_cannot_see(spark):
+    """Recall and false finds of the learned part, on strings that took no part in training."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    keys, names = unseen(400)
+    rows = [(i, f"uses {x} here") for i, x in enumerate([*keys, *names])]
+    found = {r.doc_id for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), table=secret_scan.train(docs)).collect() if r.spans}
+    assert not any(brute.base_spans(t) for _, t in rows)
+    recall, false = len(found & set(range(len(keys)))) / len(keys), len(found - set(range(len(keys)))) / len(names)
+    print(f"recall {recall:.3f}, false finds {false:.3f}")
+    assert recall >= 0.9 and false <= 0.05
+
+
 def test_many_secrets_in_one_text(spark):
     text = " ".join(f"é token={i:06x}" for i in range(3000))
     (row,) = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), table=[0.0] * 128 * 128).collect()
