@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatprep.functions.text import quote_regex
+from chatprep.functions.arrays import let
 
 # Column order of the tables, limits of the speedup classes.
 BENCHMARKS = ["gsm8k", "math500", "mtbench", "humaneval", "livecodebench", "financeqa", "gpqa"]
@@ -145,16 +145,38 @@ def average_speedup(entries: DataFrame, benchmarks: Sequence[str] | None = None)
 
 
 def clean_model_name(name: Column, prefix: str) -> Column:
-    """Drop a vendor prefix from a path-like model name (any case), tidy slashes.
+    """A path-like model name without the vendor (any case) and without empty parts.
 
-    An empty result gives the name back.
+    Of each part the vendor and a hyphen go from its start; a part that is the vendor alone goes,
+    unless it is the last; from the start of the name the vendor goes without a hyphen, too.  An
+    empty result gives the name back.
     """
-    p = quote_regex(prefix)
-    out = F.regexp_replace(name, rf"(?i)(^|/){p}-", "$1")
-    out = F.regexp_replace(out, rf"(?i)(^|/){p}/", "$1")
-    out = F.regexp_replace(out, rf"(?i)^{p}(?![-/])", "")
-    out = F.regexp_replace(out, "/+", "/")
-    out = F.when(F.length(out) > 1, F.regexp_replace(out, "^/", "")).otherwise(out)
+    vendor, size = F.lit(prefix.lower()), len(prefix)
+
+    def after(part: Column, n: int) -> Column:
+        return F.substring(part, F.lit(n + 1), F.length(part))
+
+    def starts(part: Column, text: Column) -> Column:
+        return F.startswith(F.lower(part), text)
+
+    def tidy(parts: Column) -> Column:
+        last = F.size(parts) - 1
+        return F.filter(parts, lambda part, i: ((part != "") & (F.lower(part) != vendor)) | (i == last))
+
+    def bare(parts: Column) -> Column:
+        alone = F.size(parts) == 1
+
+        def start(part: Column) -> Column:
+            stuck = starts(part, vendor) & ~starts(part, F.concat(vendor, F.lit("-"))) & (alone | (F.length(part) > size))
+            return F.when(stuck, after(part, size)).otherwise(part)
+
+        return F.transform(parts, lambda part, i: F.when(i == 0, start(part)).otherwise(part))
+
+    hyphen = F.concat(vendor, F.lit("-"))
+    parts = F.transform(F.split(name, "/"), lambda part: F.when(starts(part, hyphen), after(part, size + 1)).otherwise(part))
+    led = F.startswith(name, F.lit("/"))  # then no part stands at the start
+    cleaned = let(parts, lambda ps: let(tidy(ps), lambda kept: F.when(led, kept).otherwise(bare(kept))))
+    out = F.array_join(let(cleaned, tidy), "/")
     return F.when(out == "", name).otherwise(out)
 
 

@@ -1,8 +1,9 @@
 """Seeded order, limits, splits and shards.
 
-Global ranks never sort in one task: rows are hashed into a fixed number of
-ordered buckets, ranked inside their bucket, and lifted by the total of the
-earlier buckets.  The bucket totals are a table of at most ``buckets`` rows.
+Global ranks never sort in one task and never move a payload: keys alone are sorted by ranges,
+as many and as large as Spark makes them, stored with their place in their range, and lifted by
+the sizes of the earlier ranges.  That table has one row per range.  What else a row holds stays
+where it is; :func:`attach` joins ranks to rows where that is wanted.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatprep.functions.hashing import hex_number, seeded_key
+from chatprep.session import scratch_folder
+from chatprep.sources.files import keyed_stage
 
 SEED = 42
-HEX_DIGITS = 3  # 4096 buckets
+HEX_DIGITS = 3  # 4096 buckets of keys, of which one is ranked to find the border of a split
 
 
 def hash_order(seed: int | str, *keys: Column) -> list[Column]:
@@ -29,61 +32,51 @@ def shuffle_rows(df: DataFrame, keys: Sequence[str], seed: int | str = SEED) ->
     return df.orderBy(*hash_order(seed, *[F.col(k) for k in keys]))
 
 
-def rank_by_hash(
-    df: DataFrame,
-    keys: Sequence[str],
-    seed: int | str = SEED,
-    name: str = "rank",
-    within: Sequence[str] = (),
-    digits: int = HEX_DIGITS,
-) -> DataFrame:
-    """Zero-based position of every row in the seeded shuffle (per ``within`` group).
+def rank_keys(df: DataFrame, order: Sequence[Column], columns: Sequence[str], name: str = "rank", within: Sequence[str] = ()) -> DataFrame:
+    """``within, columns, name``: the zero-based position of every key (per ``within`` group).
 
-    Buckets are prefixes of the hash, hence even in size whatever the keys are.
+    ``order`` is a total order of the rows of a group.
     """
-    cols = [F.col(k) for k in keys]
-    hashed = df.withColumn("__h", seeded_key(seed, *cols)).withColumn("__b", hex_number(F.col("__h"), digits))
-    return _lift(hashed, ["__h", *keys], name, within).drop("__h")
+    within, columns = list(within), list(columns)
+    by = {f"__o{i}": c for i, c in enumerate(order)}
+    narrow = df.select(*[F.col(c) for c in dict.fromkeys([*within, *columns])], *[c.alias(n) for n, c in by.items()])
+    ranges = [*within, *by]
+    # A row's number holds its range above 33 bits and its place in it below.
+    placed = narrow.repartitionByRange(*ranges).sortWithinPartitions(*ranges).drop(*by)
+    placed = keyed_stage(placed.withColumn("__at", F.monotonically_increasing_id()), scratch_folder(df.sparkSession, "ranks"), {})
+    part = F.shiftright("__at", 33).alias("__part")
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    base = placed.groupBy(part).agg(F.count("*").alias("__n"))
+    base = base.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
+    place = F.col("__base") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    ranked = placed.withColumn("__part", part).join(F.broadcast(base), "__part").withColumn(name, place)
+    if within:
+        # Its size follows from the number of groups; the planner decides how it is joined.
+        first = ranked.groupBy(*within).agg(F.min(name).alias("__first"))
+        ranked = ranked.join(first, within).withColumn(name, F.col(name) - F.col("__first"))
+    return ranked.select(*dict.fromkeys([*within, *columns, name]))
+
+
+def attach(df: DataFrame, ranks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the columns of their key's rank: this moves whole rows, unless the ranks are few."""
+    return df.join(ranks, list(keys))
 
 
-def rank_by_key(
-    df: DataFrame,
-    key: str,
-    name: str = "rank",
-    within: Sequence[str] = (),
-    buckets: int = 256,
+def rank_by_hash(
+    df: DataFrame, keys: Sequence[str], seed: int | str = SEED, name: str = "rank", within: Sequence[str] = ()
 ) -> DataFrame:
-    """Zero-based position by a numeric key (unique within its group), exact.
-
-    Bucket borders are approximate quantiles of the key, read as one scalar, so
-    buckets stay even when the keys are clustered.
-    """
-    probs = [i / buckets for i in range(1, buckets)]
-    borders = df.agg(F.percentile_approx(key, probs, 10000)).scalar()
-    bucketed = df.withColumn("__q", borders).withColumn(
-        "__b", F.size(F.filter("__q", lambda b: b < F.col(key))).cast("bigint")
-    )
-    return _lift(bucketed.drop("__q"), [key], name, within)
+    """Keys with their position in the seeded shuffle (per ``within`` group)."""
+    cols = [F.col(k) for k in keys]
+    return rank_keys(df, hash_order(seed, *cols), keys, name, within)
 
 
-def _lift(df: DataFrame, order: Sequence[str], name: str, within: Sequence[str]) -> DataFrame:
-    within = list(within)
-    earlier = Window.partitionBy(*within).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    base = (
-        df.groupBy(*within, "__b")
-        .agg(F.count("*").alias("__n"))
-        .select(*within, "__b", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
-    )
-    inside = Window.partitionBy(*within, "__b").orderBy(*order)
-    ranked = df.withColumn("__r", F.row_number().over(inside) - 1)
-    # Without groups the base table has a fixed number of rows; with groups its size
-    # follows the number of groups and the planner decides.
-    side = base if within else F.broadcast(base)
-    return ranked.join(side, [*within, "__b"]).withColumn(name, F.col("__base") + F.col("__r")).drop("__b", "__r", "__base")
+def rank_by_key(df: DataFrame, key: str, name: str = "rank", within: Sequence[str] = ()) -> DataFrame:
+    """Keys (unique within their group) with their position."""
+    return rank_keys(df, [F.col(key)], [key], name, within)
 
 
 def row_index(df: DataFrame, key: str, name: str = "id") -> DataFrame:
-    """0..n-1 in the order of a numeric key."""
+    """Keys with 0..n-1 in their order."""
     return rank_by_key(df, key, name)
 
 
@@ -155,13 +148,14 @@ def split_by_hash(
 def strided_shards(
     df: DataFrame, keys: Sequence[str], world: int, batch_size: int, seed: int | str = SEED, drop_last: bool = True
 ) -> DataFrame:
-    """Assign ``rank`` and ``batch_id`` in shuffled order, stride ``world``.
+    """Keys with ``rank`` and ``batch_id`` in shuffled order, stride ``world``.
 
     A rank's incomplete last batch is dropped.  Its size follows from the number
     of rows, so no second grouping is needed.
     """
-    total = df.agg(F.count("*")).scalar()
-    dealt = rank_by_hash(df, keys, seed, "__pos").withColumns(
+    ranked = rank_by_hash(df, keys, seed, "__pos")
+    total = F.lit(ranked.count())  # of a stored table
+    dealt = ranked.withColumns(
         {"rank": F.col("__pos") % world, "__in_rank": F.floor(F.col("__pos") / world)}
     )
     rows = F.floor((total - F.col("rank") + (world - 1)) / world)
@@ -174,15 +168,13 @@ def strided_shards(
 
 
 def contiguous_shards(df: DataFrame, key: str, world: int, name: str = "rank") -> DataFrame:
-    """Contiguous parts by key order; the first ``n mod world`` parts get one more row."""
-    total = df.agg(F.count("*")).scalar()
-    size, extra = F.floor(total / world), total % world
+    """Keys in contiguous parts; the first ``n mod world`` parts get one more row."""
+    ranked = rank_by_key(df, key, "__pos")
+    size, extra = divmod(ranked.count(), world)  # of a stored table
     pos = F.col("__pos")
     head = extra * (size + 1)
-    rank = F.when(pos < head, F.floor(pos / (size + 1))).otherwise(
-        extra + F.floor((pos - head) / F.greatest(size, F.lit(1)))
-    )
-    return rank_by_key(df, key, "__pos").withColumn(name, rank.cast("bigint")).drop("__pos")
+    rank = F.when(pos < head, F.floor(pos / (size + 1))).otherwise(extra + F.floor((pos - head) / max(size, 1)))
+    return ranked.withColumn(name, rank.cast("bigint")).drop("__pos")
 
 
 def resume_from(df: DataFrame, batch_id: str, done: int) -> DataFrame:

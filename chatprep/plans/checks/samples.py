@@ -169,7 +169,7 @@ _HASH = "md5('42:' || doc_id)"
 
 @query(f"SELECT doc_id, row_number() OVER (ORDER BY {_HASH}, doc_id) - 1 AS rank FROM documents")
 def shuffle_rank(t):
-    return L.rank_by_hash(t.documents.select("doc_id"), ["doc_id"])
+    return L.rank_by_hash(t.documents, ["doc_id"])
 
 
 @query(f"SELECT doc_id, source FROM documents ORDER BY {_HASH}, doc_id LIMIT 100")
@@ -225,7 +225,7 @@ full_batches AS (SELECT rank, batch_id FROM dealt GROUP BY rank, batch_id HAVING
 
 @query(f"WITH {_SHARDS} SELECT doc_id, rank, batch_id FROM dealt JOIN full_batches USING (rank, batch_id)")
 def strided_shards(t):
-    return L.strided_shards(t.documents.select("doc_id"), ["doc_id"], world=3, batch_size=16)
+    return L.strided_shards(t.documents, ["doc_id"], world=3, batch_size=16)
 
 
 @query(f"WITH {_SHARDS} SELECT doc_id, rank, batch_id FROM dealt JOIN full_batches USING (rank, batch_id) WHERE batch_id >= 5")
@@ -235,10 +235,18 @@ def resume_batches(t):
 
 @query("SELECT o_orderkey, ntile(7) OVER (ORDER BY o_orderkey) - 1 AS rank FROM orders")
 def contiguous_shards(t):
-    return L.contiguous_shards(t.orders.select("o_orderkey"), "o_orderkey", 7)
+    return L.contiguous_shards(t.orders, "o_orderkey", 7)
 
 
 @query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS id FROM events")
 def row_index(t):
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    return L.row_index(t.events.select("event_id", at.alias("at")), "at").select("event_id", "id")
+    return L.rank_keys(t.events, [F.col("ts"), F.col("event_id")], ["event_id"], "id")
+
+
+@query(
+    f"""SELECT doc_id, source, length(text)::BIGINT AS n, row_number() OVER (PARTITION BY source ORDER BY {_HASH}, doc_id) - 1 AS rank FROM documents"""
+)
+def rank_within_source(t):
+    ranks = L.rank_by_hash(t.documents, ["doc_id"], within=["source"])
+    rows = t.documents.select("doc_id", "source", F.length("text").cast("bigint").alias("n"))
+    return L.attach(rows, ranks, ["doc_id", "source"])

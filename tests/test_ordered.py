@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatprep.operators.ordered import scan_groups
-from chatprep.operators.sampling import rank_by_hash, rank_by_key
+from chatprep.operators.sampling import contiguous_shards, rank_by_hash, rank_by_key, strided_shards
 from chatprep.operators.turns import distinct_turns, misnumbered, valid_turns, walk_turns
 
 
@@ -174,8 +174,18 @@ def test_messages_are_read_twice_and_moved_once(spark):
 
 
 def test_ranks(table, rows):
-    by_key = rank_by_key(table.filter("k = 0"), "t", buckets=16).collect()
+    by_key = rank_by_key(table.filter("k = 0"), "t").collect()
     assert [r["rank"] for r in sorted(by_key, key=lambda r: r.t)] == list(range(len(by_key)))
-    hashed = rank_by_hash(table, ["k", "t"], within=["k"], digits=1).collect()
+    hashed = rank_by_hash(table, ["k", "t"], within=["k"]).collect()
     for key, items in groups(rows).items():
         assert sorted(r["rank"] for r in hashed if r.k == key) == list(range(len(items)))
+
+
+def test_ranks_move_keys_only(spark):
+    """What is stored between the steps, and so what moved, holds no text."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for ranked in (rank_by_hash(docs, ["doc_id"]), strided_shards(docs, ["doc_id"], 3, 4), contiguous_shards(docs, "doc_id", 7)):
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+        assert "text" not in ranked.columns and "documents.parquet" not in plan and "text" not in plan
+    empty = docs.limit(0)
+    assert rank_by_key(empty, "doc_id").count() == contiguous_shards(empty, "doc_id", 3).count() == 0
