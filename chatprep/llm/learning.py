@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatprep.llm.common import first_rows
+from chatprep.llm.common import first_rows, store
 
 MAX_TRAIN = 20_000  # labelled rows a quality model is fitted on, those of the smallest hashes of doc_id
 FOLDS = 5
@@ -17,15 +17,19 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
 
 
-def labelled(features: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows and labels (0 or 1) of at most ``MAX_TRAIN`` learnable labels.
-
-    A doc_id and label that stand more than once, in either table, are one row: that of the least
-    features.  So repeats neither grow what the driver gets nor weigh on the fit.
-    """
+def sample(labels: DataFrame, label: str = "quality") -> DataFrame:
+    """``doc_id, _label`` of at most ``MAX_TRAIN`` learnable labels (0 or 1), each once; stored."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("_label"))
     known = known.where(F.col("_label").isin(0, 1) & ~held_out()).distinct()
-    chosen = first_rows(known, "doc_id", MAX_TRAIN)
+    return store(first_rows(known, "doc_id", MAX_TRAIN), "label-sample")
+
+
+def labelled(features: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Feature rows and labels of a ``sample``.
+
+    A doc_id and label that stand more than once are one row: that of the least features.  So
+    repeats neither grow what the driver gets nor weigh on the fit.
+    """
     taken = features.join(chosen, "doc_id").groupBy("doc_id", "_label").agg(F.min("features").alias("features")).collect()
     taken.sort(key=lambda r: (r.doc_id, r._label, r.features))
     width = len(taken[0].features) if taken else 0

@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatprep.llm.common import store
-from chatprep.llm.docstats import FEATURES, statistics
-from chatprep.llm.learning import bin_borders, held_out, labelled
+from chatprep.llm.common import configure, groups, store
+from chatprep.llm.docstats import FEATURES, measure, statistics
+from chatprep.llm.learning import bin_borders, held_out, labelled, sample
 
 BINS, PAIR_BINS, PAIRS = 64, 12, 8
 ROUNDS, PAIR_ROUNDS, RATE, SMOOTH, LEAST = 150, 60, 0.15, 1.0, 10
@@ -140,24 +140,41 @@ def train(rows: np.ndarray, label: np.ndarray) -> Additive:
     return model
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row; learnt from rows that aren't held out.
+def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows predicted to be good, with all their columns: scored and filtered where they lie, nothing is joined.
 
-    With ``key_col``, that column of the row follows as the string ``row_key``.
+    Before that only the texts of the sample are looked at, to fit the model.
     """
-    key = ["row_key"] if key_col else []
-    stats = store(statistics(docs, id_col, text_col, key_col).select("doc_id", "features", *key), "features")
-    shared = docs.sparkSession.sparkContext.broadcast(train(*labelled(stats, labels)))
+    configure(docs.sparkSession)
+    chosen = sample(labels)  # at most MAX_TRAIN rows
+    sampled = docs.join(F.broadcast(chosen.select(F.col("doc_id").alias("_id"))), docs[id_col].cast("long") == F.col("_id"), "left_semi")
+    model = train(*labelled(statistics(sampled, id_col, text_col).select("doc_id", "features"), chosen))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [np.zeros(0, bool)]
+            for _, _, data, borders in groups(batch.column(place)):
+                good.append(shared.value.score(measure(data, borders)[1]) >= THRESHOLD)
+            yield batch.filter(pa.array(np.concatenate(good)))
+
+    return docs.mapInArrow(make, docs.schema)
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, held_out, score, predicted`` for every row; learnt from rows that aren't held out."""
+    stats = store(statistics(docs, id_col, text_col).select("doc_id", "features"), "features")
+    shared = docs.sparkSession.sparkContext.broadcast(train(*labelled(stats, sample(labels))))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column("features").flatten().to_numpy().reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(shared.value.score(rows), pa.float64()), *(batch.column(c) for c in key)],
-                ["doc_id", "score", *key],
+                [batch.column("doc_id"), pa.array(shared.value.score(rows), pa.float64())], ["doc_id", "score"]
             )
 
-    scored = stats.mapInArrow(make, "doc_id long, score double" + ", row_key string" * len(key))
+    scored = stats.mapInArrow(make, "doc_id long, score double")
     return scored.select(
-        "doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"), *key
+        "doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted")
     )

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from chatprep.llm.common import store
 from chatprep.llm.docstats import COUNTS, FEATURES, statistics
-from chatprep.llm.learning import bin_borders, labelled
+from chatprep.llm.learning import bin_borders, labelled, sample
 
 TREES, DEPTH, RATE, BINS, SMOOTH, LEAST = 60, 3, 0.15, 32, 1.0, 20
 THRESHOLD = 0.3
@@ -114,7 +114,7 @@ def _worth(g, h, value):
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts, fixed rules, learned ``score`` and ``kept`` for every row."""
     stats = store(statistics(docs, id_col, text_col), "statistics")
-    rows, label = labelled(stats, labels)
+    rows, label = labelled(stats, sample(labels))
     trees = train(rows, label, np.array([MONOTONE.get(f, 0) for f in FEATURES]))
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
