@@ -1,7 +1,8 @@
 """A training corpus from raw documents: stages over Parquet tables, each one operator of chatprep.llm.
 
 Every stage takes all rows its predecessor kept, all but the last return the columns of the
-documents.  A document is what has one doc_id and one text (either may be null): rows that share
+documents.  An empty table gives empty stages; without labels, or with labels of one kind, all
+documents get one score and stay or go together; of equal rows the dedup stage keeps one.  A document is what has one doc_id and one text (either may be null): rows that share
 both are copies of it, rows that share a doc_id only are judged one by one.
 """
 
@@ -29,10 +30,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts to be good."""
-    docs = _keyed(docs)
-    scored = quality_gam.score(docs, _table(spark, sf_dir, "labels"), key_col=KEY)
-    good = scored.where("predicted = 1").select(F.col("row_key").alias(KEY)).distinct()
-    return docs.join(good, KEY, "left_semi").drop(KEY)
+    return quality_gam.keep(docs, _table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +47,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     docs = _keyed(docs)
     index = decontamination.build_index(docs, id_col=KEY, string_ids=True)
     found = decontamination.contamination(decontamination.matches(index, _table(spark, sf_dir, "benchmark")))
-    bad = found.where("contaminated").select(F.col("doc_id").alias(KEY)).distinct()
+    # Stored, so that its size is known: while it is small, the texts are filtered where they lie.
+    bad = store(found.where("contaminated").select(F.col("doc_id").alias(KEY)).distinct(), "contaminated")
     return docs.join(bad, KEY, "left_anti").drop(KEY)
 
 
