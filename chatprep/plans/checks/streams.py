@@ -41,7 +41,7 @@ def streaming_unseen(t):
         jobs.build_unseen(
             t.spark, f"{folder}/in", f"{folder}/out", f"{folder}/state{run}", flat
         ).awaitTermination()
-    return t.spark.read.parquet(f"{folder}/out")
+    return jobs.read_built(t.spark, f"{folder}/out")
 
 
 @query(
@@ -52,7 +52,23 @@ def streaming_token_counts(t):
     folder = landed(t, "counts")
     for _ in range(2):
         jobs.count_tokens(t.spark, f"{folder}/in", f"{folder}/out", f"{folder}/state").awaitTermination()
-    return jobs.token_totals(t.spark, f"{folder}/out").withColumn("n", F.col("n").cast("bigint"))
+    return jobs.token_totals(t.spark, f"{folder}/out")
+
+
+@query(
+    f"""WITH {_LINE_SQL}, r AS (SELECT unnest(list_filter(l, lambda x, i: i % 2 = 0)) AS text FROM lines WHERE kind IN (4, 5, 6, 8))
+SELECT token, 2 * count(*) AS n FROM (SELECT unnest({S.TOKENS_SQL}) AS token FROM r) GROUP BY token"""
+)
+def streaming_token_counts_resumed(t):
+    """Files that come in two runs, a second checkpoint that counts all again, compaction in between."""
+    folder = scratch_folder(t.spark, "resumed")
+    lines = chat_lines(t).select("value").withColumn("half", F.pmod(F.hash("value"), F.lit(2)))
+    for half in range(2):
+        lines.filter(F.col("half") == half).select("value").write.mode("append").text(f"{folder}/in")
+        jobs.count_tokens(t.spark, f"{folder}/in", f"{folder}/out", f"{folder}/state").awaitTermination()
+        jobs.compact_counts(t.spark, f"{folder}/out")
+    jobs.count_tokens(t.spark, f"{folder}/in", f"{folder}/out", f"{folder}/other").awaitTermination()
+    return jobs.token_totals(t.spark, f"{folder}/out")
 
 
 @query(

@@ -1,7 +1,10 @@
 """Whole plans against a plain loop, with one conversation that holds most messages."""
 
+import hashlib
+import json
 import random
 import re
+import shutil
 from collections import Counter
 
 import pytest
@@ -122,6 +125,41 @@ def test_channel_tagged_templates_are_refused(spark):
         training_samples(turns, get_template("gpt-oss"))
 
 
+def test_unseen_reads_the_ledger_and_never_the_sink(spark, tmp_path):
+    """The sink is made unreadable between the runs, and so are the ledger's parts that no new key falls into."""
+    (tmp_path / "in").mkdir()
+
+    def land(name, *ids):
+        lines = [json.dumps({"id": i, "conversations": [{"role": "user", "content": "a"}]}) for i in ids]
+        (tmp_path / "in" / f"{name}.jsonl").write_text("\n".join([*lines, "broken"]) + "\n")
+
+    def run(state):
+        build = lambda df: df.select("id")
+        jobs.build_unseen(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / state), build, rejected=str(tmp_path / "bad")).awaitTermination()
+
+    def part(i):
+        return "part=" + hashlib.md5(i.encode()).hexdigest()[: jobs.LEDGER_DIGITS]
+
+    def spoil(path):
+        path.with_name(f".{path.name}.crc").unlink(missing_ok=True)
+        path.write_bytes(b"not a table")
+
+    old = [str(i) for i in range(300)]
+    land("1", *old, old[0])
+    run("state")
+    assert sorted(r.id for r in jobs.read_built(spark, str(tmp_path / "out")).collect()) == sorted(old)
+    new = next(str(i) for i in range(300, 9000) if part(str(i)) == part(old[5]))
+    files = [f for f in (tmp_path / "out.keys").rglob("*.parquet") if part(new) not in str(f)]
+    for f in [*(tmp_path / "out").rglob("*.parquet"), *files]:
+        spoil(f)
+    (tmp_path / "in" / "1.jsonl").unlink()
+    land("2", new, old[5])
+    run("other")  # a checkpoint that has seen nothing
+    made = [f for f in (tmp_path / "out").rglob("*.parquet") if f.read_bytes()[:4] == b"PAR1"]
+    assert [r.id for r in spark.read.parquet(*map(str, made)).collect()] == [new]
+    assert len(list((tmp_path / "bad").glob("run=*/batch=0"))) == 2
+
+
 def test_streaming_counts_survive_a_retry(spark, tmp_path):
     (tmp_path / "in").mkdir()
     line = '{"id": "1", "conversations": [{"role": "assistant", "content": "a b a"}]}\n'
@@ -130,5 +168,19 @@ def test_streaming_counts_survive_a_retry(spark, tmp_path):
     jobs.count_tokens(*args).awaitTermination()
     (tmp_path / "in" / "2.jsonl").write_text(line + "broken\n")
     jobs.count_tokens(*args).awaitTermination()
-    totals = {r.token: r.n for r in jobs.token_totals(spark, str(tmp_path / "out")).collect()}
-    assert totals == {"a": 4, " ": 4, "b": 2}
+
+    def totals():
+        return {r.token: r.n for r in jobs.token_totals(spark, str(tmp_path / "out")).collect()}
+
+    assert totals() == {"a": 4, " ": 4, "b": 2}
+    jobs.compact_counts(spark, str(tmp_path / "out"))
+    (tmp_path / "in" / "3.jsonl").write_text(line)
+    jobs.count_tokens(*args).awaitTermination()
+    assert totals() == {"a": 6, " ": 6, "b": 3}
+    shutil.copytree(tmp_path / "out", tmp_path / "before")
+    jobs.compact_counts(spark, str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").glob("run=*/batch=*"))) == 1 and totals() == {"a": 6, " ": 6, "b": 3}
+    shutil.copytree(tmp_path / "before", tmp_path / "out", dirs_exist_ok=True)  # as if the old folders had not gone
+    assert totals() == {"a": 6, " ": 6, "b": 3}
+    jobs.count_tokens(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "new")).awaitTermination()
+    assert totals() == {"a": 12, " ": 12, "b": 6}
