@@ -110,7 +110,8 @@ def round_up(n: Column, multiple: int) -> Column:
 
 
 def has_nan(values: Column) -> Column:
-    return F.coalesce(F.exists(values, lambda x: F.isnan(x)), F.lit(False))
+    """Whether an entry is NaN or null; a NaN that comes from pandas is null."""
+    return F.coalesce(F.exists(values, lambda x: x.isNull() | F.isnan(x)), F.lit(False))
 
 
 def argmax(values: Column) -> Column:

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from chatprep.operators import statistics
 from chatprep.plans import standins as S
 from chatprep.plans.catalog import query
+from chatprep.session import scratch_folder
 from chatprep.sources import features as FE
 from chatprep.sources import jsonl as J
 from chatprep.sources import normalise as N
@@ -279,6 +280,71 @@ def rejected_features(t):
     return bad.groupBy("label").agg(F.count("*").alias("rejected"))
 
 
+STORED = "id string, row bigint, hidden_state array<float>, aux_hidden_state array<float>"
+
+
+def doubled(batch):
+    """Stands for a model: both arrays of a sample from its vector."""
+    return batch.assign(hidden_state=batch["vector"], aux_hidden_state=[v * 2 for v in batch["vector"]])[["id", "row", "hidden_state", "aux_hidden_state"]]
+
+
+def feature_store(t, name):
+    """A store made in two goes; every seventh record has a NaN."""
+    folder = scratch_folder(t.spark, name)
+    rows = features(t).select(F.col("vec_id").cast("string").alias("id"), F.col("vec_id").alias("row"), F.col("aux_hidden_state").alias("vector"))
+    samples = FE.save_bucketed(rows, f"{folder}/samples", "id")
+    FE.resume(samples.filter("row % 3 = 1"), f"{folder}/store", doubled, STORED, group_size=200)
+    FE.resume(samples, f"{folder}/store", doubled, STORED, group_size=200)
+    FE.resume(samples.filter("row % 7 <> 3"), f"{folder}/store", doubled, STORED, group_size=200)  # nothing is missing
+    return f"{folder}/store"
+
+
+@query(
+    """SELECT vec_id::VARCHAR AS id, vec_id // 200 * 200 AS bucket,
+  list_sum(list_transform(embedding, lambda x: floor(x * 256)::BIGINT))::BIGINT AS hidden,
+  list_sum(list_transform(embedding, lambda x: floor(x * 512)::BIGINT))::BIGINT AS aux
+FROM embeddings WHERE vec_id % 7 <> 3"""
+)
+def feature_round_trip(t):
+    def total(column):
+        return F.aggregate(column, F.lit(0).cast("bigint"), lambda a, x: a + F.floor(x.cast("double") * 256)).alias
+
+    kept = FE.read_store(t.spark, feature_store(t, "round-trip"))
+    return kept.select("id", F.col("bucket").cast("bigint").alias("bucket"), total("hidden_state")("hidden"), total("aux_hidden_state")("aux"))
+
+
+@query(
+    """SELECT sum((vec_id % 7 <> 3)::INT)::BIGINT AS rows, (sum((vec_id % 7 = 3)::INT) + sum((vec_id % 7 = 3 AND vec_id % 3 = 1)::INT))::BIGINT AS rejected
+FROM embeddings"""
+)
+def feature_writes(t):
+    """Rejected records are not stored, so the second go tries those of the first once more."""
+    return FE.writes(t.spark, feature_store(t, "writes")).agg(F.sum("rows").alias("all"), F.sum("rejected").alias("rejected")).select(
+        (F.col("all") - F.col("rejected")).alias("rows"), "rejected"
+    )
+
+
+@query(
+    """SELECT vec_id // 200 * 200 AS bucket, CASE WHEN vec_id < 200 THEN 'missing' ELSE 'size' END AS problem, count(*) AS rows
+FROM embeddings WHERE vec_id % 7 <> 3 AND vec_id < 400 GROUP BY 1, 2"""
+)
+def broken_feature_files(t):
+    """The files of one bucket go, those of the next lose their ends."""
+    path = feature_store(t, "broken")
+    root = t.spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(t.spark._jsc.hadoopConfiguration())
+    for bucket in (0, 200):
+        for found in files.globStatus(t.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/write=*/bucket={bucket}/*.parquet")):
+            if bucket:
+                cut = files.create(found.getPath(), True)
+                cut.write(bytearray(b"cut"))
+                cut.close()
+            else:
+                files.delete(found.getPath(), False)
+    broken = FE.broken_files(t.spark, path).withColumn("bucket", F.regexp_extract("file", r"bucket=(\d+)", 1).cast("bigint"))
+    return broken.groupBy("bucket", "problem").agg(F.sum("rows").alias("rows"))
+
+
 @query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def not_stored(t):
     return FE.not_stored(t.documents.select("doc_id", "lang"), t.labels, "doc_id")

@@ -136,19 +136,60 @@ def test_feature_store(spark, tmp_path):
     schema = "id string, input_ids array<int>, loss_mask array<int>, hidden_state array<float>, aux_hidden_state array<float>"
     df = spark.createDataFrame(rows, schema).withColumn("row", F.col("id").cast("int"))
     path = str(tmp_path / "store")
-    FE.write_features(df.filter("row < 5"), path, group_size=4)
-    kept = spark.read.parquet(path)
+    FE.write_features(FE.cluster(df.filter("row < 5"), group_size=4), path, group_size=4)
+    kept = FE.read_store(spark, path)
     assert kept.count() == 4 and {r.bucket for r in kept.collect()} == {0, 4}
-    read = FE.read_features(spark, path, schema + ", row int")
-    assert read.count() == 4
-    (tmp_path / "store" / "bucket=0" / "broken.parquet").write_bytes(b"junk")
+    assert [(r.rows, r.rejected) for r in FE.writes(spark, path).collect()] == [(5, 1)]
+    assert FE.broken_files(spark, path).count() == FE.changed_files(spark, path).count() == 0
+    files = sorted((tmp_path / "store").rglob("bucket=*/*.parquet"), key=str)
+    # An aborted write left a file; a committed one was cut; another holds other rows of the same size.
+    aborted = tmp_path / "store" / "write=aborted" / "bucket=0"
+    aborted.mkdir(parents=True)
+    (aborted / "x.parquet").write_bytes(files[0].read_bytes())
+    assert FE.read_store(spark, path).count() == 4 and FE.broken_files(spark, path).count() == 0
+    whole = files[0].read_bytes()
+    files[0].write_bytes(whole[: len(whole) // 2])
+    for f in (tmp_path / "store").rglob(".*.crc"):
+        f.unlink()
+    (broken,) = FE.broken_files(spark, path).collect()
+    assert broken.problem == "size" and broken.file.endswith(files[0].name) and broken.rows == 3
+    assert {(r.file.split("/")[-1], r.rows_read) for r in FE.changed_files(spark, path).collect()} == {(files[0].name, 0)}
+    files[0].unlink()
+    (broken,) = FE.broken_files(spark, path).collect()
+    assert broken.problem == "missing"
+
+
+def test_features_without_a_manifest(spark, tmp_path):
+    path, schema = str(tmp_path / "plain"), "id string, row int"
+    spark.range(4).selectExpr("cast(id as string) id", "cast(id as int) row").coalesce(1).write.parquet(path)
+    (tmp_path / "plain" / "broken.parquet").write_bytes(b"junk")
     with pytest.raises(Exception, match="broken.parquet"):
-        FE.read_features(spark, path, schema + ", row int").collect()
-    assert FE.read_features(spark, path, schema + ", row int", tolerant=True).count() == 4
-    (broken,) = FE.broken_files(spark, path, schema).collect()
+        FE.read_features(spark, path, schema).collect()
+    assert FE.read_features(spark, path, schema, tolerant=True).count() == 4
+    (broken,) = FE.unreadable_files(spark, path, schema).collect()
     assert broken.path.endswith("broken.parquet") and (broken.rows, broken.rows_read) == (None, 0)
 
 
+def test_arrays_stay_in_their_task(spark, tmp_path):
+    """Samples and stored keys meet without a shuffle, and nothing is shuffled once the arrays exist."""
+    samples = spark.range(3000).selectExpr("cast(id AS string) AS id", "id AS row")
+    table = FE.save_bucketed(samples, str(tmp_path / "samples"), "id")
+    FE.save_bucketed(samples.limit(5).selectExpr("id AS key", "'w' AS write"), str(tmp_path / "store.keys"), "key")
+    spark.createDataFrame([("w", 5, 0)], "write string, rows bigint, rejected bigint").write.parquet(str(tmp_path / "store.writes"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        todo = FE.not_stored(table, FE.stored_keys(spark, str(tmp_path / "store")))
+        plan = todo._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        made = FE.compute_features(FE.cluster(todo), lambda df: df, "id string, row bigint")
+        lines = made._jdf.queryExecution().executedPlan().toString().split("\n")
+        (arrays,) = [i for i, line in enumerate(lines) if "MapInPandas" in line]
+        exchanges = [i for i, line in enumerate(lines) if "Exchange" in line]
+        assert len(exchanges) == 1 and exchanges[0] > arrays
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_half_broken_feature_file(spark, tmp_path):
     path = str(tmp_path / "store")
     df = spark.range(50_000).select(F.col("id").cast("string").alias("id"), F.sha2(F.col("id").cast("string"), 512).alias("x"))
@@ -159,7 +200,7 @@ def test_half_broken_feature_file(spark, tmp_path):
     raw[middle : middle + 200_000] = b"\xff" * 200_000
     file.write_bytes(raw)
     (tmp_path / "store" / f".{file.name}.crc").unlink(missing_ok=True)
-    (found,) = FE.broken_files(spark, path, "id string, x string").collect()
+    (found,) = FE.unreadable_files(spark, path, "id string, x string").collect()
     assert found.rows == 50_000 and found.rows_read < 50_000
     with pytest.raises(Exception):
         FE.read_features(spark, path, "id string, x string").select(F.max("x")).collect()
