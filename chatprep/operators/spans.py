@@ -1,6 +1,6 @@
 """Which characters, and then which tokens, of a rendered text are supervised.
 
-Everything here is row-local.  One pattern cuts the text into consecutive pieces
+All but ``offset_mask_rows`` is row-local.  One pattern cuts the text into consecutive pieces
 
     gap, header, reply, terminator
 
@@ -10,6 +10,7 @@ per position.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from chatprep.functions.arrays import let, ones, prefix_sums, zeros
 from chatprep.functions.text import quote_regex
 from chatprep.operators.common import pin
+from chatprep.operators.ordered import scan_groups
 from chatprep.operators.templates import ChatTemplate
 from chatprep.operators.tokens import hashed_ids, joins_at, token_count, tokens
 
@@ -256,20 +258,61 @@ def masked_sample(
 # --- masks with a real tokenizer ---------------------------------------------------
 
 
+def last_upto(values: Column, limit: Column) -> Column:
+    """Index of the last entry of an ascending array that is at most ``limit``, or -1: halving, not a scan."""
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(values) + F.lit(2))).cast("int"))
+    bounds = F.struct(F.lit(-1).alias("low"), F.size(values).alias("high"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        below = F.get(values, middle) <= limit
+        return F.when(acc["high"] - acc["low"] <= 1, acc).otherwise(
+            F.struct(F.when(below, middle).otherwise(acc["low"]).alias("low"), F.when(below, acc["high"]).otherwise(middle).alias("high"))
+        )
+
+    return F.aggregate(steps, bounds, halve, lambda acc: acc["low"])
+
+
+def _meets(how: str, start: Column, end: Column, span_end: Column) -> Column:
+    """Whether a token meets the last span that begins in time."""
+    hit = {"prefix": start < span_end, "containment": end <= span_end, "overlap": start <= span_end}[how]
+    return F.coalesce(hit, F.lit(False)).cast("int")
+
+
 def offset_mask(starts: Column, ends: Column, spans: Column, how: str = "containment") -> Column:
-    """Loss mask from token offsets and spans, both inside one row.
+    """Loss mask from token offsets and spans, both inside one row; spans are in order and disjoint.
 
-    ``prefix`` counts a token once it starts inside the span.
+    A token counts with ``prefix`` once it starts inside a span, with ``containment`` when it lies in
+    one, with ``overlap`` when it does not end before one or start after one.  Only the last span that
+    starts in time can hold a token, and halving finds it.
     """
+    begins, closes = F.transform(spans, lambda s: s["start"]), F.transform(spans, lambda s: s["end"])
+
+    def mask(first: Column, last: Column) -> Column:
+        def one(a: Column, b: Column) -> Column:
+            found = last_upto(first, b - 1 if how == "overlap" else a)
+            return _meets(how, a, b, F.get(last, found))
+
+        return F.zip_with(starts, ends, one)
 
-    def inside(sp: Column, a: Column, b: Column) -> Column:
-        if how == "prefix":
-            return F.exists(sp, lambda s: (a >= s["start"]) & (a < s["end"]))
-        if how == "containment":
-            return F.exists(sp, lambda s: (a >= s["start"]) & (b <= s["end"]))
-        return F.exists(sp, lambda s: (b > s["start"]) & (a <= s["end"]))
+    return let(begins, lambda first: let(closes, lambda last: mask(first, last)))
 
-    return let(spans, lambda sp: F.zip_with(starts, ends, lambda a, b: inside(sp, a, b).cast("int")))
+
+def offset_mask_rows(token_rows: DataFrame, span_rows: DataFrame, keys: Sequence[str], how: str = "containment") -> DataFrame:
+    """The same as a sweep over rows: ``keys, i, start, end`` of tokens and ``keys, start, end`` of spans.
+
+    Both are put in one order per key, and one ordered scan brings to each token the last span that
+    starts in time: an interval join in the time of a sort, whatever the number of spans.
+    """
+    late = how == "overlap"
+    token = [*[F.col(k) for k in keys], F.col("i"), F.col("start"), F.col("end"), F.lit(None).cast("bigint").alias("span_end")]
+    at = F.col("end") if late else F.col("start")
+    tokens_ = token_rows.select(*token, (2 * at.cast("bigint") + (0 if late else 1)).alias("__order"))
+    none = F.lit(None)
+    span = [*[F.col(k) for k in keys], none.cast("int").alias("i"), none.cast("int").alias("start"), none.cast("int").alias("end")]
+    spans_ = span_rows.select(*span, F.col("end").cast("bigint").alias("span_end"), (2 * F.col("start").cast("bigint") + (1 if late else 0)).alias("__order"))
+    swept = scan_groups(tokens_.unionByName(spans_), keys, "__order", lasts={"__last": "span_end"}, ties=["i", "span_end"])
+    return swept.filter("i IS NOT NULL").select(*keys, "i", _meets(how, F.col("start"), F.col("end"), F.col("__last")).alias("mask"))
 
 
 # --- reading masks ------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,25 +73,45 @@ def draft_to_target(top: DataFrame, token: str = "token_id") -> DataFrame:
     ).withColumn("d2t_offset", F.col("token_id") - F.col("draft_id"))
 
 
+BITMAP_BITS = 32768  # ids of one bitmap of the engine
+
+
+def draft_words(top: DataFrame, token: str = "token_id") -> Column:
+    """The draft set as a literal of 64-bit words, from the engine's bitmap aggregate.
+
+    Its size follows from the target vocabulary: 4 KB for 32768 ids.
+    """
+    after = F.col(token).cast("bigint") + 1  # the bitmap functions count from one
+    maps = top.groupBy(F.bitmap_bucket_number(after).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(after)).alias("bits"))
+    found = {r.bucket: bytes(r.bits) for r in maps.collect()}
+    raw = b"".join(found.get(i, bytes(BITMAP_BITS // 8)) for i in range(1, max(found, default=0) + 1))
+    return F.lit(np.frombuffer(raw, "<i8")) if raw else F.array().cast("array<bigint>")
+
+
+def in_draft(ids: Column, words: Column) -> Column:
+    """Whether an id is in the set of ``draft_words``."""
+    word = F.get(words, F.shiftright(ids, 6).cast("int"))
+    bit = F.getbit(word, F.pmod(ids, F.lit(64)).cast("int"))
+    return F.coalesce(bit == 1, F.lit(False))
+
+
 def target_to_draft(spark: SparkSession, top: DataFrame, target_size: int, token: str = "token_id") -> DataFrame:
     """``(token_id, in_draft)`` for every id of the target vocabulary."""
     ids = spark.range(target_size).select(F.col("id").alias("token_id"))
-    used = top.select(F.col(token).cast("bigint").alias("token_id"), F.lit(True).alias("__used"))
-    return ids.join(used, "token_id", "left").select(
-        "token_id", F.coalesce("__used", F.lit(False)).alias("in_draft")
-    )
+    return ids.withColumn("in_draft", in_draft(F.col("token_id"), draft_words(top, token)))
 
 
-def position_mask(df: DataFrame, t2d: DataFrame, token: str = "token_id", mask: str = "loss_mask") -> DataFrame:
+def position_mask(df: DataFrame, words: Column, token: str = "token_id", mask: str = "loss_mask") -> DataFrame:
     """Trainable positions: supervised and predicted token is in the draft vocabulary.
 
-    Long form, one row per position.  ``t2d`` has one row per target id, which is a
-    model constant and not a function of the data.
+    Long form, one row per position; ``words`` is the set of ``draft_words``.
     """
-    side = t2d.filter("in_draft").select(F.col("token_id").cast(df.schema[token].dataType).alias(token), F.lit(1).alias("__in"))
-    return df.join(F.broadcast(side), token, "left").withColumn(
-        "position_mask", (F.coalesce("__in", F.lit(0)) * F.col(mask)).cast("int")
-    ).drop("__in")
+    return df.withColumn("position_mask", F.when(in_draft(F.col(token), words), F.col(mask)).otherwise(0).cast("int"))
+
+
+def position_masks(ids: Column, mask: Column, words: Column) -> Column:
+    """The same for whole samples: arrays of ids and of their 0/1 mask."""
+    return F.zip_with(ids, mask, lambda i, m: F.when(in_draft(i, words), m).otherwise(0).cast("int"))
 
 
 def kept_share(masked: DataFrame, mask: str = "loss_mask") -> DataFrame:

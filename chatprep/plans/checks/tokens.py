@@ -259,6 +259,41 @@ def mask_runs(t):
     return runs.withColumns({c: F.col(c).cast("bigint") for c in ("run", "mask")})
 
 
+# --- masks from token offsets ----------------------------------------------------------------------
+
+_OFFSETS = f"""WITH {QWEN_TEXT}, {spans_sql('chat_text', QWEN.assistant_header, quote(QWEN.end_of_turn_token), True)},
+{S.token_rows_sql('chat_text')}"""
+
+
+def offsets(t):
+    """Rendered texts with the offsets of their tokens and their spans."""
+    df = rendered(t, QWEN)
+    df = pin(df, sp=P.find_spans(F.col("text"), P.span_rule(QWEN)), ends=A.prefix_sums(F.transform(T.tokens(F.col("text")), F.char_length)))
+    n = F.size("ends") - 1
+    return df.select("doc_id", "sp", F.slice("ends", F.lit(1), n).alias("starts"), F.slice("ends", F.lit(2), n).alias("ends"))
+
+
+for _how in HOW:
+
+    def _by_offsets(t, how=_how):
+        return offsets(t).select("doc_id", text(P.offset_mask(F.col("starts"), F.col("ends"), F.col("sp"), how)).alias("mask"))
+
+    def _by_sweep(t, how=_how):
+        df = offsets(t)
+        tokens = df.select("doc_id", F.posexplode(F.arrays_zip("starts", "ends")).alias("i", "o")).select("doc_id", "i", "o.starts", "o.ends")
+        tokens = tokens.toDF("doc_id", "i", "start", "end").withColumns({c: F.col(c).cast("int") for c in ("start", "end")})
+        spans = df.select("doc_id", F.inline("sp")).select("doc_id", "start", "end")
+        masked = P.offset_mask_rows(tokens, spans, ["doc_id"], how)
+        sums = [F.count("*").alias("n"), F.sum("mask").cast("bigint").alias("supervised"), F.sum(F.col("i").cast("bigint") * F.col("mask")).cast("bigint").alias("places")]
+        return masked.groupBy("doc_id").agg(*sums)
+
+    query(f"{_OFFSETS}, {mask_sql(_how)} {MASK_TEXT}", name=f"offset_mask_{_how}")(_by_offsets)
+    query(
+        f"{_OFFSETS}, {mask_sql(_how)} SELECT doc_id, count(*) AS n, sum(m)::BIGINT AS supervised, sum(i * m)::BIGINT AS places FROM masked GROUP BY doc_id",
+        name=f"offset_rows_{_how}",
+    )(_by_sweep)
+
+
 # --- a learnt vocabulary applied to long tokens ---------------------------------------------------
 
 

@@ -149,13 +149,28 @@ SELECT conv_id, turn, sum(loss_mask)::BIGINT AS supervised,
 FROM positions GROUP BY conv_id, turn"""
 )
 def trainable_positions(t):
-    t2d = V.target_to_draft(t.spark, best(t), TARGET)
-    masked = V.position_mask(_positions(t), t2d)
+    masked = V.position_mask(_positions(t), V.draft_words(best(t)))
     return masked.groupBy("conv_id", "turn").agg(
         F.sum("loss_mask").cast("bigint").alias("supervised"), F.sum("position_mask").cast("bigint").alias("trainable")
     )
 
 
+@query(
+    f"""WITH {IDS_SQL}, {POSITIONS_SQL}
+SELECT conv_id, turn, string_agg((loss_mask * (token_id IN (SELECT token FROM best))::INT)::VARCHAR, '' ORDER BY i) AS mask
+FROM positions GROUP BY conv_id, turn"""
+)
+def trainable_masks(t):
+    """Whole arrays of ids against the set, without a join or an explode."""
+    from chatprep.operators.tokens import hashed_ids, token_count, tokens
+
+    skip = token_count(F.lit(role_header(QWEN, "assistant")))
+    rows = placed_messages(S.turns(t), QWEN).withColumn("ids", hashed_ids(tokens(F.col("rendered"))))
+    mask = F.transform("ids", lambda _, i: ((F.col("role") == "assistant") & (i >= skip)).cast("int"))
+    words = V.draft_words(best(t))
+    return rows.select("conv_id", "turn", F.array_join(V.position_masks(F.col("ids"), mask, words), "").alias("mask"))
+
+
 @query(
     f"""WITH {IDS_SQL}, {POSITIONS_SQL}, m AS (
   SELECT loss_mask, loss_mask * (token_id IN (SELECT token FROM best))::INT AS pm FROM positions)
@@ -163,8 +178,7 @@ SELECT sum(loss_mask)::BIGINT AS supervised, sum(pm)::BIGINT AS trainable,
   round(sum(pm) / sum(loss_mask)::DOUBLE, 6) AS share FROM m"""
 )
 def trainable_share(t):
-    t2d = V.target_to_draft(t.spark, best(t), TARGET)
-    return V.kept_share(V.position_mask(_positions(t), t2d)).withColumn("share", F.round("share", 6))
+    return V.kept_share(V.position_mask(_positions(t), V.draft_words(best(t)))).withColumn("share", F.round("share", 6))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,3 +164,51 @@ def test_masks_take_time_in_proportion_to_the_text(spark):
         took[n] = time.perf_counter() - start
         assert row.ones == n * 12 and row.n % n == 0
     assert took[20_000] < 30 * took[2000] + 2
+
+
+def meets(how, a, b, spans):
+    if how == "prefix":
+        return any(s <= a < e for s, e in spans)
+    if how == "containment":
+        return any(a >= s and b <= e for s, e in spans)
+    return any(b > s and a <= e for s, e in spans)
+
+
+@pytest.mark.parametrize("how", ["prefix", "containment", "overlap"])
+def test_offset_masks(spark, how):
+    """Tokens that share offsets, gaps between tokens, spans that touch, rows without spans or tokens."""
+    rng = random.Random(how)
+    rows = []
+    for key in range(60):
+        borders = sorted(rng.sample(range(200), 2 * rng.randint(0, 9)))
+        spans = list(zip(borders[::2], borders[1::2]))
+        if key % 5 == 0:  # the end of one is the start of the next
+            spans = [(s, after[0]) for (s, _), after in zip(spans, spans[1:])] + spans[-1:]
+        at = sorted(rng.choices(range(200), k=rng.choice([0, 1, 60])))
+        rows.append((key, at, [x + rng.randint(0, 4) for x in at], spans))
+    df = spark.createDataFrame(rows, "k int, starts array<int>, ends array<int>, spans array<struct<start:int,end:int>>")
+    want = {k: [int(meets(how, a, b, sp)) for a, b in zip(s, e)] for k, s, e, sp in rows}
+    got = df.select("k", P.offset_mask(F.col("starts"), F.col("ends"), F.col("spans"), how).alias("m")).collect()
+    assert {r.k: r.m for r in got} == want
+    tokens = df.select("k", F.posexplode(F.arrays_zip("starts", "ends")).alias("i", "o")).select("k", "i", F.col("o.starts").alias("start"), F.col("o.ends").alias("end"))
+    spans = df.select("k", F.inline("spans"))
+    swept = {(r.k, r.i): r["mask"] for r in P.offset_mask_rows(tokens, spans, ["k"], how).collect()}
+    assert swept == {(k, i): m for k, ms in want.items() for i, m in enumerate(ms)}
+
+
+def test_many_spans_cost_in_proportion(spark):
+    """Ten times as many tokens and spans take far less than a hundred times as long."""
+
+    def seconds(n):
+        at = F.sequence(F.lit(0), F.lit(n - 1))
+        spans = F.transform(at, lambda i: F.struct((3 * i).alias("start"), (3 * i + 2).alias("end")))
+        df = spark.range(4).select(F.transform(at, lambda i: 3 * i).alias("s"), F.transform(at, lambda i: 3 * i + 1).alias("e"), spans.alias("sp")).repartition(2).cache()
+        df.count()
+        mask = P.offset_mask(F.col("s"), F.col("e"), F.col("sp"))
+        begin = time.perf_counter()
+        (total,) = df.select(F.sum(F.aggregate(mask, F.lit(0), lambda a, x: a + x))).first()
+        assert total == 4 * n
+        return time.perf_counter() - begin
+
+    seconds(2000)
+    assert seconds(20_000) < 30 * max(seconds(2000), 0.1)
