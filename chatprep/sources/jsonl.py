@@ -19,12 +19,7 @@ def _kind(value: Column) -> Column:
 
 def _as_text(value: Column) -> Column:
     """Lists and objects as JSON text, scalars as they are, JSON null as null."""
-    nested = _kind(value).isin("ARRAY", "OBJECT")
-    return (
-        F.when(value.isNull() | F.is_variant_null(value), F.lit(None).cast("string"))
-        .when(nested, F.to_json(value))
-        .otherwise(F.try_variant_get(value, "$", "string"))
-    )
+    return F.try_variant_get(value, "$", "string")
 
 
 def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -33,60 +28,58 @@ def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     Columns: ``id, text, conversations, tools, options, reason, line``; ``options`` maps the
     other fields of the line, without nulls, to their text.  Works on batch and streaming
     frames alike.
+
+    A line is taken apart once, as a map of its fields, and so is each message; what is no object
+    gives no map, so that no value's kind needs a look of its own.
     """
     trimmed = strip(F.col("line"))
     parsed = pin(lines.select(F.col(line).alias("line")), v=F.try_parse_json(trimmed), t=trimmed)
-    parsed = parsed.filter(F.col("t") != "")
-    conv = F.try_variant_get("v", "$.conversations", "variant")
+    parsed = pin(parsed.filter(F.col("t") != ""), fields=F.try_variant_get("v", "$", "map<string,variant>"))
+    conv = F.try_element_at("fields", F.lit("conversations"))
     parsed = pin(
         parsed,
-        conv_kind=F.when(F.is_variant_null(conv), F.lit(None)).otherwise(_kind(conv)),
-        tools=F.try_variant_get("v", "$.tools", "variant"),
+        absent=conv.isNull() | F.is_variant_null(conv),
+        items=F.try_variant_get(conv, "$", "array<map<string,variant>>"),
+        tools=F.try_element_at("fields", F.lit("tools")),
     )
-    is_list = F.coalesce(F.col("conv_kind") == "ARRAY", F.lit(False))
-    absent = F.col("conv_kind").isNull()
     reason = (
         F.when(F.col("v").isNull(), "not JSON")
-        .when(_kind(F.col("v")) != "OBJECT", "not an object")
-        .when(~absent & ~is_list, "conversations is not a list")
-    )
-    items = F.filter(
-        F.try_variant_get("v", "$.conversations", "array<variant>"), lambda m: _kind(m) == "OBJECT"
+        .when(F.col("fields").isNull(), "not an object")
+        .when(~F.col("absent") & F.col("items").isNull(), "conversations is not a list")
     )
     messages = F.transform(
-        items,
-        lambda m: F.struct(*[_as_text(F.try_variant_get(m, f"$.{f}", "variant")).alias(f) for f in MESSAGE_FIELDS]),
+        F.filter("items", lambda m: m.isNotNull()),
+        lambda m: F.struct(*[_as_text(F.try_element_at(m, F.lit(f))).alias(f) for f in MESSAGE_FIELDS]),
     )
     empty = F.array().cast(
         "array<struct<role:string,content:string,tool_calls:string,reasoning_content:string>>"
     )
     tools = F.col("tools")
-    text = F.try_variant_get(tools, "$", "string")
-    inner = F.when(_kind(tools) == "STRING", F.try_parse_json(text))
+    text = _as_text(tools)
+    quoted = F.startswith(F.to_json(tools), F.lit('"'))
+    inner = F.when(quoted, F.try_parse_json(text))
     as_json = (
         F.when(tools.isNull(), F.lit(None).cast("string"))
         .when(F.is_variant_null(tools), "[]")
         .when(inner.isNotNull(), F.to_json(inner))
-        .when(_kind(tools) == "STRING", text)
+        .when(quoted, text)
         .otherwise(F.to_json(tools))
     )
     return parsed.select(
-        F.try_variant_get("v", "$.id", "string").alias("id"),
-        F.try_variant_get("v", "$.text", "string").alias("text"),
-        F.coalesce(F.when(is_list, messages), empty).alias("conversations"),
+        _as_text(F.try_element_at("fields", F.lit("id"))).alias("id"),
+        _as_text(F.try_element_at("fields", F.lit("text"))).alias("text"),
+        F.coalesce(messages, empty).alias("conversations"),
         as_json.alias("tools"),
-        _other_fields(F.col("v")).alias("options"),
+        _other_fields(F.col("fields")).alias("options"),
         reason.alias("reason"),
         "line",
     )
 
 
-def _other_fields(value: Column) -> Column:
+def _other_fields(fields: Column) -> Column:
     """The fields of an object that have no column of their own, as text."""
-    fields = F.when(_kind(value) == "OBJECT", F.try_variant_get(value, "$", "map<string,variant>"))
-    other = F.filter(F.map_entries(fields), lambda e: ~e["key"].isin(*LINE_FIELDS) & ~F.is_variant_null(e["value"]))
-    texts = F.transform(other, lambda e: F.struct(e["key"].alias("key"), _as_text(e["value"]).alias("value")))
-    return F.coalesce(F.map_from_entries(texts), F.create_map().cast("map<string,string>"))
+    other = F.map_filter(fields, lambda name, value: ~name.isin(*LINE_FIELDS) & ~F.is_variant_null(value))
+    return F.coalesce(F.transform_values(other, lambda _, value: _as_text(value)), F.create_map().cast("map<string,string>"))
 
 
 def read_conversations(spark: SparkSession, path: str) -> DataFrame:
