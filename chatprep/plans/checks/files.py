@@ -76,3 +76,30 @@ def written_results(t):
     flat = read.select("d.model", F.explode("d.benchmarks").alias("bench", "results"))
     total = F.aggregate("results", F.lit(0).cast("bigint"), lambda a, r: a + r["num_samples"])
     return flat.select("model", "bench", F.size("results").cast("bigint").alias("results"), total.alias("samples"))
+
+
+@query(
+    """WITH runs AS (SELECT unnest([1, 2, 3]) AS run)
+SELECT run, source, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents, runs WHERE run < 3 OR doc_id % 2 = 0 GROUP BY run, source
+UNION ALL SELECT 4, '', 3, 0"""
+)
+def rewritten_stages(t):
+    """The same stage over a table, again, and over the table as it is rewritten; the last row counts the stages made."""
+    folder = scratch_folder(t.spark, "rewritten")
+    rows = t.documents.select("doc_id", "source", F.length("text").cast("bigint").alias("n"))
+
+    def stage(run, limit=None):
+        read = t.spark.read.schema(rows.schema).parquet(f"{folder}/in")
+        counted = read.groupBy("source").agg(F.count("*").alias("n"), F.sum("n").alias("chars"))
+        kept = FI.planned_stage(counted if limit is None else counted.filter(F.col("n") > limit), f"{folder}/stages")
+        return kept.select(F.lit(run).alias("run"), "source", "n", "chars")
+
+    rows.write.parquet(f"{folder}/in")
+    out = [stage(1), stage(2)]
+    rows.filter("doc_id % 2 = 0").write.mode("overwrite").parquet(f"{folder}/in")
+    out.append(stage(3))
+    stage(5, limit=-1)  # another plan over the same files
+    made = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{folder}/stages")
+    stages = made.select(F.regexp_extract("path", "key=([0-9a-f]+)", 1).alias("key")).distinct().agg(F.count("*").alias("n"))
+    last = stages.select(F.lit(4).alias("run"), F.lit("").alias("source"), "n", F.lit(0).cast("bigint").alias("chars"))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(last)

@@ -8,6 +8,7 @@ import re
 from collections.abc import Mapping
 from pathlib import PurePosixPath
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -88,6 +89,28 @@ def keyed_stage(df: DataFrame, root: str, parameters: Mapping[str, Any]) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def plan_key(df: DataFrame) -> str:
+    """md5 over the plan, without the numbers of its columns, and over the path, size and time of
+    every file it reads.
+
+    Rows that were handed over by the driver are not in it; name those in the parameters.
+    """
+    spark = df.sparkSession
+    plan = re.sub(r"#\d+L?|@[0-9a-f]+", "", df._jdf.queryExecution().optimizedPlan().toString())
+    files, seen = df.inputFiles(), None
+    if files:
+        folders = sorted({f.rpartition("/")[0] for f in files})
+        listing = spark.read.format("binaryFile").load([unquote(f) for f in folders])
+        one = F.xxhash64("path", F.unix_micros("modificationTime"), "length")
+        seen = tuple(listing.agg(F.bit_xor(one), F.count("*"), F.sum("length")).first())
+    return hashlib.md5(repr((plan, len(files), seen)).encode()).hexdigest()
+
+
+def planned_stage(df: DataFrame, root: str, parameters: Mapping[str, Any] | None = None) -> DataFrame:
+    """A stage that is made anew when its plan or the files below it have changed."""
+    return keyed_stage(df, root, {**(parameters or {}), "plan": plan_key(df)})
+
+
 def write_by_status(df: DataFrame, path: str, append: bool = False) -> None:
     """Successes and errors in one pass, one directory each."""
     df.write.mode("append" if append else "overwrite").partitionBy("status").json(path)
