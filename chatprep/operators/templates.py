@@ -298,6 +298,9 @@ DEFAULT_EFFORT = "low"
 HARMONY_ROLES = ("system", "assistant_reasoning_effort", "user", *HARMONY_CHANNELS)
 
 
+HARMONY_RESETS = ("system", "assistant_reasoning_effort")  # replace what was before them
+
+
 def harmony_message(role: Column, content: Column) -> Column:
     """One tagged message; an unknown role is an error."""
 
@@ -321,7 +324,7 @@ def harmony_conversation(conversation: Column) -> Column:
     everything before it, so the text starts at the last of those.
     """
     replaces = F.transform(
-        conversation, lambda m: m["role"].isin("system", "assistant_reasoning_effort")
+        conversation, lambda m: m["role"].isin(*HARMONY_RESETS)
     )
     from_end = F.array_position(F.reverse(replaces), F.lit(True))
     start = F.when(from_end > 0, F.size(conversation) - from_end + 1).otherwise(F.lit(1))

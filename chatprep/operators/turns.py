@@ -194,6 +194,86 @@ def walk_turns(
     return out.drop(BLK, TIE, HEAD, "__one", "__prev", "__led", "__bad", "__next", "__ends", *values)
 
 
+def walk_segments(
+    turns: DataFrame,
+    resets: Column,
+    size: Column,
+    state: Column,
+    key: str = "conv_id",
+    order: str = "turn",
+    role: str = "role",
+    text: str = "text",
+    block: int = BLOCK,
+) -> DataFrame:
+    """One pass over messages of which some (``resets``) replace all that was before them.
+
+    Adds ``start``, the sum of ``size`` over the messages since the last reset, that one included,
+    ``kept`` (no later message is a reset), ``own_system`` (a reset was met), ``open``, the last
+    ``state`` since then that is not null (null: none), and ``last`` message of the conversation.
+    A block is kept as its sums, the sum before its last reset, and the states and resets it has.
+    """
+    ties = [role, text]
+    values = {"__size": F.coalesce(size, F.lit(0)).cast("bigint"), "__reset": F.coalesce(resets, F.lit(False)).cast("bigint"), "__state": state}
+    placed = in_blocks(turns, order, ties, block).withColumns(values)
+    n, is_reset = F.col("__n"), F.col("__reset") > 0
+
+    narrow = once(placed.select(key, order, BLK, TIE, *values), [key], order, ties)
+    rows = block_rows([key], order)
+    before = F.coalesce(F.sum("__size").over(rows.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    narrow = narrow.withColumns({"__n": F.row_number().over(rows), "__before": before})
+    blocks, earlier = earlier_blocks([key])
+    whole = blocks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # A reset also forgets the state: what a block hands on is the last state since its last reset.
+    since = F.max(F.when(is_reset, n))
+    heads = narrow.withColumn("__since", since.over(Window.partitionBy(key, BLK)))
+    told = F.col("__state").isNotNull() & (n >= F.coalesce("__since", F.lit(0)))
+    heads = heads.groupBy(key, BLK).agg(
+        F.sum("__size").alias("__total"),
+        F.sum("__reset").alias("__resets"),
+        F.max_by("__before", F.when(is_reset, n)).alias("__cut"),
+        F.max_by("__state", F.when(told, n)).alias("__told"),
+    )
+    heads = heads.withColumn("__size", F.coalesce(F.sum("__total").over(earlier), F.lit(0)))
+    mark = F.when(F.col("__resets") > 0, F.col("__size") + F.col("__cut"))
+    handed = F.when(F.col("__told").isNotNull() | (F.col("__resets") > 0), F.struct(F.col("__told").alias("state")))
+    heads = heads.withColumns(
+        {
+            "__mark": F.last(mark, ignorenulls=True).over(earlier),
+            "__state": F.last(handed, ignorenulls=True).over(earlier)["state"],
+            "__reset": F.coalesce(F.sum("__resets").over(earlier), F.lit(0)),
+            "__all": F.sum("__resets").over(whole),
+            "__next": F.lead(F.lit(True)).over(blocks),
+            "__seen": F.lag(F.lit(True)).over(blocks),
+        }
+    )
+    heads = heads.filter(F.col("__seen") | F.col("__next")).select(key, BLK, *values, "__mark", "__all", "__next")
+
+    rows = block_rows([key], order, heads=True)
+    above, upto = (rows.rowsBetween(Window.unboundedPreceding, end) for end in (-1, 0))
+    out = once(with_heads(placed, heads), [key], order, ties, heads=True)
+    own = F.when(~F.col(HEAD), F.col("__reset"))
+    out = out.withColumns(
+        {
+            "__before": F.coalesce(F.sum("__size").over(above), F.lit(0)),
+            "__resets": F.sum("__reset").over(upto),
+            "__all": F.coalesce(F.first("__all").over(upto), F.sum(own).over(rows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))),
+            "last": F.lead(HEAD).over(rows).isNull() & F.first("__next").over(upto).isNull(),
+        }
+    )
+    mark = F.when(F.col(HEAD), F.col("__mark")).when(is_reset, F.col("__before"))
+    # The state of a row, with that of a reset told even where it is null.
+    handed = F.when(F.col("__state").isNotNull() | (is_reset & ~F.col(HEAD)), F.struct(F.col("__state").alias("state")))
+    out = out.withColumns(
+        {
+            "start": F.col("__before") - F.coalesce(F.last(mark, ignorenulls=True).over(upto), F.lit(0)),
+            "open": F.when(is_reset & ~F.col(HEAD), None).otherwise(F.last(handed, ignorenulls=True).over(above)["state"]),
+            "kept": F.col("__resets") == F.col("__all"),
+            "own_system": F.col("__resets") > 0,
+        }
+    )
+    return out.filter(~F.col(HEAD)).drop(BLK, TIE, HEAD, "__before", "__resets", "__all", "__next", "__mark", *values)
+
+
 def flag_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text", block: int = BLOCK) -> DataFrame:
     """Add ``position`` within the conversation and ``misplaced``."""
     return walk_turns(turns, key, order, role, text, block=block).drop("kept", "own_system", "last")

@@ -8,6 +8,7 @@ from chatprep.operators.common import pin
 from chatprep.plans import standins as S
 from chatprep.plans.catalog import query
 from chatprep.plans.checks.turns import _HARMONY_SQL, harmony_chats, rendered
+from chatprep.plans.draft_vocabulary import supervised_words, training_samples
 from chatprep.session import scratch_folder
 from chatprep.sources.files import keyed_stage
 
@@ -259,6 +260,38 @@ def mask_runs(t):
     return runs.withColumns({c: F.col(c).cast("bigint") for c in ("run", "mask")})
 
 
+# --- messages of channel-tagged conversations ------------------------------------------------------
+
+_TAGGED_ROLE = """CASE WHEN (conv_id * 5 + turn) % 11 = 3 THEN 'system' WHEN (conv_id * 3 + turn) % 13 = 5 THEN 'assistant_reasoning_effort'
+  WHEN role = 'user' THEN 'user' WHEN (conv_id + turn) % 3 = 0 THEN 'assistant_analysis' WHEN (conv_id + turn) % 3 = 1 THEN 'assistant_final'
+  ELSE 'assistant_commentary' END"""
+_TAGGED_SQL = f"""hr AS (SELECT conv_id AS doc_id, turn AS i, text AS content, {_TAGGED_ROLE} AS role FROM conversations),
+{_HARMONY_SQL[_HARMONY_SQL.index("ht AS ("):]}, chat_text AS (SELECT doc_id, text FROM harmony),
+{spans_sql('chat_text', P.HARMONY_ASSISTANT, quote(P.HARMONY_USER), False)}, {S.token_rows_sql('chat_text')}, {mask_sql('containment')}"""
+
+
+def tagged_turns(t):
+    return t.conversations.select("conv_id", "turn", "text", F.expr(_TAGGED_ROLE).alias("role"))
+
+
+@query(
+    f"""WITH {_TAGGED_SQL}
+SELECT c.doc_id AS conv_id, coalesce(string_agg({S.HASH_ID_SQL.format('tok')}::VARCHAR, ',' ORDER BY i), '') AS ids,
+  coalesce(string_agg(m::VARCHAR, '' ORDER BY i), '') AS mask
+FROM chat_text c LEFT JOIN (SELECT * FROM masked WHERE i < 512) USING (doc_id) GROUP BY c.doc_id"""
+)
+def training_samples_gpt_oss(t):
+    out = training_samples(tagged_turns(t), R.get_template("gpt-oss"), 512)
+    return out.select("conv_id", F.array_join("input_ids", ",").alias("ids"), text("loss_mask").alias("mask"))
+
+
+@query(f"WITH {_TAGGED_SQL} SELECT tok AS token, count(*) AS n FROM masked WHERE m = 1 AND i < 512 GROUP BY tok")
+def token_frequency_gpt_oss(t):
+    from chatprep.operators.vocabulary import frequency
+
+    return frequency(supervised_words(tagged_turns(t), R.get_template("gpt-oss"), 512))
+
+
 # --- masks from token offsets ----------------------------------------------------------------------
 
 _OFFSETS = f"""WITH {QWEN_TEXT}, {spans_sql('chat_text', QWEN.assistant_header, quote(QWEN.end_of_turn_token), True)},

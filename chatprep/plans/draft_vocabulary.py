@@ -10,21 +10,23 @@ border, so this gives the tokens and the mask of a search through the whole rend
 text: for replies that hold an end token or a header as text, for templates without an
 end token and with round markers, and with ignore texts as well.  The one exception:
 a message of an unknown role has no header, and leading white space of its text then
-makes a token of its own instead of joining the line break before it.  Channel-tagged
-templates render whole conversations (``templates.harmony_conversation``) and are
-refused here.
+makes a token of its own instead of joining the line break before it.  In channel-tagged
+conversations a system or effort message replaces all before it, so that places count
+from the last one; the turn rule does not hold there, as in ``templates.harmony_conversation``.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatprep.functions.arrays import ones, zeros
 from chatprep.operators.spans import SpanRule, clear_literals, find_spans, span_mask, span_rule
-from chatprep.operators.templates import ChatTemplate, render_message, role_header
+from chatprep.operators.templates import DEFAULT_EFFORT, HARMONY_RESETS, ChatTemplate, harmony_message, render_message
 from chatprep.operators.tokens import hashed_ids, table_ids, token_count, tokens
-from chatprep.operators.turns import walk_turns
+from chatprep.operators.turns import walk_segments, walk_turns
 from chatprep.operators.vocabulary import coverage, frequency
 
 _MORE = "\u0000"  # stands for the text that follows a message
@@ -42,13 +44,16 @@ def place_messages(
     first misplaced one), ``own_system`` (the record leads with a system message, seen
     from this message on), ``start``, the number of tokens before it, and ``mask``, its
     0/1 loss mask."""
-    rule = span_rule(template)
-    if template.parser_type == "openai-harmony":
-        raise ValueError("channel-tagged templates have no message form; render the conversation and use masked_sample")
-    rendered = render_message(F.col(role), F.col(text), template)
-    lasts = {"__open": _fixed_state(rendered, rule)} if rule.carries else {}
+    rule, tagged = span_rule(template), template.parser_type == "openai-harmony"
+    rendered = (harmony_message if tagged else partial(render_message, template=template))(F.col(role), F.col(text))
     counted = turns.withColumn("n_tokens", token_count(rendered))
-    placed = walk_turns(counted, key, order, role, text, sums={"start": F.col("n_tokens")}, lasts=lasts)
+    if tagged:
+        resets = F.col(role).isin(*HARMONY_RESETS)
+        state = F.when(resets, _state_after(rendered, rule, False)).otherwise(_fixed_state(rendered, rule))
+        placed = walk_segments(counted, resets, F.col("n_tokens"), state, key, order, role, text).withColumnRenamed("open", "__open")
+    else:
+        lasts = {"__open": _fixed_state(rendered, rule)} if rule.carries else {}
+        placed = walk_turns(counted, key, order, role, text, sums={"start": F.col("n_tokens")}, lasts=lasts)
     placed = placed.withColumn("rendered", rendered)
     size = F.col("n_tokens")
     if rule.carries:
@@ -60,9 +65,9 @@ def place_messages(
     for literal in template.ignore_token:
         cleared = clear_literals(F.col("mask"), F.col("rendered"), (literal,))
         placed = placed.withColumn("mask", F.when(F.contains("rendered", F.lit(literal)), cleared).otherwise(F.col("mask")))
-    if template.system_prompt:
-        own = token_count(system_text(template))
-        placed = placed.withColumn("start", F.col("start") + F.when(F.col("own_system"), 0).otherwise(own))
+    opening = system_text(template)
+    if opening is not None:
+        placed = placed.withColumn("start", F.col("start") + F.when(F.col("own_system"), 0).otherwise(token_count(opening)))
     return placed.drop("__open", "last", "misplaced", "position")
 
 
@@ -92,12 +97,14 @@ def _fixed_state(rendered: Column, rule: SpanRule) -> Column:
     """Whether a reply is open after a message: true or false where that does not depend
     on what was before it, else null."""
 
-    def after(is_open: bool) -> Column:
-        whole = _open_text(rendered, rule, is_open)
-        ends = F.transform(find_spans(whole, rule), lambda s: s["end"])
-        return F.coalesce(F.array_max(ends) == F.length(whole), F.lit(False))
+    opened, closed = (_state_after(rendered, rule, is_open) for is_open in (True, False))
+    return F.when(opened == closed, opened)
 
-    return F.when(after(True) == after(False), after(True))
+
+def _state_after(rendered: Column, rule: SpanRule, is_open: bool) -> Column:
+    whole = _open_text(rendered, rule, is_open)
+    ends = F.transform(find_spans(whole, rule), lambda s: s["end"])
+    return F.coalesce(F.array_max(ends) == F.length(whole), F.lit(False))
 
 
 def _carried_mask(rendered: Column, size: Column, rule: SpanRule, is_open: Column, last: Column) -> Column:
@@ -115,9 +122,11 @@ def _carried_mask(rendered: Column, size: Column, rule: SpanRule, is_open: Colum
     return span_mask(rendered, spans, size, rule.how)
 
 
-def system_text(template: ChatTemplate) -> Column:
-    """The template's own system message, rendered."""
-    return render_message(F.lit("system"), F.lit(template.system_prompt), template)
+def system_text(template: ChatTemplate) -> Column | None:
+    """What the text opens with where the data have no system message (null: nothing)."""
+    if template.parser_type == "openai-harmony":
+        return harmony_message(F.lit("assistant_reasoning_effort"), F.lit(DEFAULT_EFFORT))
+    return render_message(F.lit("system"), F.lit(template.system_prompt), template) if template.system_prompt else None
 
 
 def placed_messages(turns: DataFrame, template: ChatTemplate, **columns: str) -> DataFrame:
@@ -164,8 +173,9 @@ def training_samples(
     masks = F.flatten(
         F.transform("parts", lambda p: F.when(p["start"] == F.col("reply"), p["mask"]).otherwise(zeros(F.size(p["mask"]))) if last_only else p["mask"])
     )
-    if template.system_prompt:
-        head = F.slice(ids_of(tokens(system_text(template))), 1, max_length)
+    opening = system_text(template)
+    if opening is not None:
+        head = F.slice(ids_of(tokens(opening)), 1, max_length)
         ids = F.when(F.col("own"), ids).otherwise(F.concat(head, ids))
         masks = F.when(F.col("own"), masks).otherwise(F.concat(zeros(F.size(head)), masks))
     samples = grouped.select(key, ids.alias("input_ids"), masks.alias("loss_mask"))

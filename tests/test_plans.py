@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatprep.operators.spans import masked_sample, span_rule
-from chatprep.operators.templates import get_template, render_conversation, template_names
+from chatprep.operators.templates import get_template, harmony_conversation, render_conversation, template_names
 from chatprep.operators.turns import prepare
 from chatprep.operators.vocabulary import frequency
 from chatprep.plans.draft_vocabulary import supervised_words, training_samples
@@ -119,10 +119,21 @@ def test_message_form_equals_the_text_form(spark, name):
         assert got == want
 
 
-def test_channel_tagged_templates_are_refused(spark):
-    turns = spark.createDataFrame([(1, 0, "user", "a")], "conv_id int, turn int, role string, text string")
-    with pytest.raises(ValueError, match="channel"):
-        training_samples(turns, get_template("gpt-oss"))
+@pytest.mark.parametrize("step", [1, 3000])
+def test_channel_tagged_messages(spark, step):
+    """Samples of messages against those of whole texts; a step of 3000 spreads a conversation over blocks."""
+    rng, template = random.Random(step), get_template("gpt-oss")
+    roles = ["user"] * 4 + ["assistant_analysis", "assistant_final", "assistant_commentary"] * 2 + ["system", "assistant_reasoning_effort"]
+    texts = ["a b", "High", "", "x <|start|>assistant y", "q <|start|>user<|message|> r", "end <|end|>"]
+    rows = [(k, i * step, rng.choice(roles[: rng.choice([10, 12])]), rng.choice(texts)) for k in range(60) for i in range(rng.randint(1, 9))]
+    turns = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    message = F.struct("turn", "role", F.col("text").alias("content"))
+    chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(message)).alias("conversations"))
+    whole = chats.select("conv_id", harmony_conversation(F.col("conversations")).alias("text"))
+    for limit in (70, 4000):
+        want = {r.conv_id: (r.input_ids, r.loss_mask) for r in masked_sample(whole, template, max_length=limit).collect()}
+        got = {r.conv_id: (r.input_ids, r.loss_mask) for r in training_samples(turns, template, limit).collect()}
+        assert got == want
 
 
 def test_unseen_reads_the_ledger_and_never_the_sink(spark, tmp_path):
