@@ -168,7 +168,8 @@ def regenerate(
     effort_seed: int | str | None = None,
     endpoints: Sequence[str] = (),
 ) -> DataFrame:
-    """Replay records in parallel: Spark spreads them, threads overlap the waiting.
+    """Replay records in parallel: Spark spreads them, threads overlap the waiting.  Records that
+    cannot be replayed are told by columns and never leave Spark.
 
     ``generate(messages, request)`` returns a text or ``(text, reasoning)``; an
     exception makes an error row.  Arrow batches are small so that a lost executor
@@ -182,9 +183,7 @@ def regenerate(
     )
 
     def one(row: Any) -> dict[str, Any]:
-        keep = [{"role": m["role"], "content": m["content"], "reasoning_content": None} for m in (row.conversations if row.conversations is not None else [])]
-        if row.status == "error":
-            return {"id": row.id, "conversations": keep, "status": "error", "error": row.error}
+        keep = [{"role": m["role"], "content": m["content"], "reasoning_content": None} for m in row.conversations]
         request = sampling.request(row.effort)
         if row.endpoint:
             request["endpoint"] = row.endpoint
@@ -199,7 +198,16 @@ def regenerate(
             for batch in batches:
                 yield pd.DataFrame(list(pool.map(one, batch.itertuples(index=False))), columns=["id", "conversations", "status", "error"])
 
-    return base.mapInPandas(run, REGENERATED)
+    refused = base.filter("status = 'error'").select(
+        "id",
+        F.transform(
+            F.coalesce("conversations", F.array()),
+            lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), F.lit(None).cast("string").alias("reasoning_content")),
+        ).alias("conversations"),
+        "status",
+        "error",
+    )
+    return base.filter("status = 'success'").mapInPandas(run, REGENERATED).unionByName(refused)
 
 
 def request_json(sampling: Sampling, effort: str | None = None) -> str:

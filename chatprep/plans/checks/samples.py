@@ -228,9 +228,9 @@ def strided_shards(t):
     return L.strided_shards(t.documents, ["doc_id"], world=3, batch_size=16)
 
 
-@query(f"WITH {_SHARDS} SELECT doc_id, rank, batch_id FROM dealt JOIN full_batches USING (rank, batch_id) WHERE batch_id >= 5")
+@query(f"WITH {_SHARDS} SELECT doc_id, rank, batch_id FROM dealt JOIN full_batches USING (rank, batch_id) WHERE batch_id >= 2")
 def resume_batches(t):
-    return L.resume_from(L.strided_shards(t.documents.select("doc_id"), ["doc_id"], 3, 16), "batch_id", 5)
+    return L.resume_from(L.strided_shards(t.documents.select("doc_id"), ["doc_id"], 3, 16), "batch_id", 2)
 
 
 @query("SELECT o_orderkey, ntile(7) OVER (ORDER BY o_orderkey) - 1 AS rank FROM orders")

@@ -41,7 +41,12 @@ def local_session(name: str = "chatprep", cpus: int | None = None) -> SparkSessi
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate tables, on storage all executors share.
 
-    It lies below ``spark.checkpoint.dir``, or below the warehouse where that is unset.
+    It lies below ``spark.checkpoint.dir``.  Where that is unset it lies below the warehouse, in a
+    local session only: a cluster must name a folder that all its machines share.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
