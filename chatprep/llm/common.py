@@ -24,9 +24,14 @@ def configure(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables that the driver and all executors share.
 
-    It is ``spark.checkpoint.dir``; where that is unset (as in tests), the warehouse.
+    It is ``spark.checkpoint.dir``.  Where that is unset it is the warehouse, in a local session (as
+    in tests) only: a cluster must name a folder that all its machines share.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/llm-tables"
 
 

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from chatprep.functions.arrays import let
 from chatprep.functions.hashing import hex_number, seeded_key
 from chatprep.llm.common import store
+from chatprep.operators.sampling import rank_keys
 
 SHARE = 1.5
 CAP = 2
@@ -75,18 +76,9 @@ def targets(sources: DataFrame) -> DataFrame:
     order.  Sharing what is above a cap again among the rest raises what one unit of weight gets;
     it ends when no further source reaches its cap.
     """
-    order = [F.col("source").isNull(), F.col("source")]
-    dealt = sources.repartitionByRange(*order).sortWithinPartitions(*order)
-    # The number holds the partition above 33 bits and the place in it below.
-    dealt = store(dealt.withColumn("_at", F.monotonically_increasing_id()), "sources-in-order")
-    part = F.shiftright("_at", 33)
-    sizes = dict(dealt.groupBy(part.alias("part")).count().collect())  # one row per partition
-    first, start = F.lit(None).cast("long"), 0
-    for p in sorted(sizes):
-        first = F.when(part == p, F.lit(start).cast("long")).otherwise(first)
-        start += sizes[p]
-    place = (first + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))) % len(WEIGHTS)
-    weighed = dealt.withColumn("weight", F.get(F.array(*map(F.lit, WEIGHTS)), place.cast("int"))).drop("_at")
+    ranked = rank_keys(sources, [F.col("source").isNull(), F.col("source")], sources.columns, "_place")
+    place = (F.col("_place") % len(WEIGHTS)).cast("int")
+    weighed = ranked.withColumn("weight", F.get(F.array(*map(F.lit, WEIGHTS)), place)).drop("_place")
     weighed = store(weighed, "weighed-sources")
     cap = CAP * F.col("source_size")
     totals = weighed.agg(F.sum("source_size"), F.sum("weight")).first()
