@@ -69,11 +69,6 @@ def truncate(values: Column, max_length: int) -> Column:
     return F.slice(values, 1, max_length)
 
 
-def trim_sample(values: Column, max_length: int) -> Column:
-    """Token ids or features cut to ``max_length``."""
-    return truncate(values, max_length)
-
-
 def trim_mask(mask: Column, max_length: int) -> Column:
     """Loss mask cut to ``max_length`` whose last position is never supervised."""
     cut = truncate(mask, max_length)
@@ -112,8 +107,3 @@ def round_up(n: Column, multiple: int) -> Column:
 def has_nan(values: Column) -> Column:
     """Whether an entry is NaN or null; a NaN that comes from pandas is null."""
     return F.coalesce(F.exists(values, lambda x: x.isNull() | F.isnan(x)), F.lit(False))
-
-
-def argmax(values: Column) -> Column:
-    """Zero-based index of the first largest entry."""
-    return (F.array_position(values, F.array_max(values)) - 1).cast("int")

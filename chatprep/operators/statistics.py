@@ -25,13 +25,6 @@ def context_length(conversation: Column) -> Column:
     )
 
 
-def parts_length(parts: Column) -> Column:
-    """Same for content given as ``array<struct<type, text>>``."""
-    return F.aggregate(
-        parts, F.lit(0).cast("bigint"), lambda acc, p: acc + F.coalesce(word_count(p["text"]), F.lit(0))
-    )
-
-
 def context_length_long(turns: DataFrame, key: str = "conv_id", text: str = "text") -> DataFrame:
     """Words per conversation of a message table."""
     return turns.groupBy(key).agg(F.sum(F.coalesce(word_count(F.col(text)), F.lit(0))).alias("context_length"))

@@ -274,11 +274,6 @@ def walk_segments(
     return out.filter(~F.col(HEAD)).drop(BLK, TIE, HEAD, "__before", "__resets", "__all", "__next", "__mark", *values)
 
 
-def flag_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """Add ``position`` within the conversation and ``misplaced``."""
-    return walk_turns(turns, key, order, role, text, block=block).drop("kept", "own_system", "last")
-
-
 def valid_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text", block: int = BLOCK) -> DataFrame:
     """Messages before the first misplaced one of their conversation."""
     return walk_turns(turns, key, order, role, text, block=block).filter("kept").select(*turns.columns)
