@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from chatprep.functions.text import SPACE_CHARS, WORD_CHARS
 
@@ -41,25 +46,58 @@ def hashed_ids(token_texts: Column) -> Column:
     return F.transform(token_texts, hashed_id)
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def hashed_ids_batch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The same for a column of whole token arrays: each distinct token of a batch is hashed once."""
+    for batch in batches:
+        words = batch.flatten().dictionary_encode()
+        known = [None if w is None else int.from_bytes(md5(w.encode()).digest()[:2], "big") for w in words.dictionary.to_pylist()]
+        ends = np.cumsum(np.concatenate([[0], pc.fill_null(pc.list_value_length(batch), 0).to_numpy()]), dtype=np.int32)
+        ids = pc.take(pa.array(known, pa.int32()), words.indices)
+        yield pa.ListArray.from_arrays(pa.array(ends), ids, mask=batch.is_null())
+
+
 # --- real tokenizers ------------------------------------------------------------
 
 ENCODING = "ids array<int>, starts array<int>, ends array<int>"
 Encoder = Callable[[list[str]], list[tuple[list[int], list[int], list[int]]]]
+SLICE_CHARS = 1 << 18  # texts that are encoded at once; their encodings take many times their size
+
+
+def text_slices(texts: pa.Array, most: int = SLICE_CHARS) -> Iterator[list[str]]:
+    """The texts in order (null: empty), in lists of about ``most`` characters."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text.as_py() or "")
+        size += len(held[-1])
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _lists(rows: list) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    values = np.concatenate([np.asarray(r, np.int32) for r in rows])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
 def tokenizer_udf(load: Callable[[], Encoder]):
     """Column function ``text -> struct<ids, starts, ends>``.
 
     ``load`` runs once per task and returns a batch encoder; offsets are code
-    points.  Rows arrive in Arrow batches.
+    points.  Rows arrive in Arrow batches, which are encoded and sent back slice by
+    slice: a worker holds the encodings of one slice, not of a batch of whole texts.
     """
 
-    @F.pandas_udf(ENCODING)
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(ENCODING)
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = load()
-        for texts in batches:
-            rows = encoder([t if t is not None else "" for t in texts])
-            yield pd.DataFrame(rows, columns=["ids", "starts", "ends"])
+        for batch in batches:
+            for texts in text_slices(batch):
+                parts = [_lists(list(part)) for part in zip(*encoder(texts))]
+                yield pa.StructArray.from_arrays(parts, names=["ids", "starts", "ends"])
 
     return encode
 
@@ -68,16 +106,19 @@ def tokenizer_file(path: str) -> Callable[[], Encoder]:
     """Loader for a ``tokenizers`` JSON file."""
 
     def load() -> Encoder:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
 
         def encode(texts: list[str]):
-            return [
-                (e.ids, [a for a, _ in e.offsets], [b for _, b in e.offsets])
-                for e in tok.encode_batch(texts, add_special_tokens=False)
-            ]
+            found = []
+            for text in texts:
+                e = tok.encode(text, add_special_tokens=False)
+                borders = np.array(e.offsets, np.int32).reshape(-1, 2)
+                found.append((np.array(e.ids, np.int32), borders[:, 0], borders[:, 1]))
+            return found
 
         return encode
 
