@@ -18,16 +18,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 SUM_CHUNK = 256
+SUM_GROUP = 4
 
 
 def prefix_sums(values: Column) -> Column:
     """Totals before each entry and, last, of all of them (bigint).
 
-    An array that grows by one entry is copied each time, so the sums go by chunks: totals
-    of chunks first, then the entries of each chunk from the total before it.
+    An array that grows by one entry is copied each time, so entries are taken in groups of four
+    first: the totals of the groups are summed up alike, and a group's entries follow from the total
+    before it.  What is left after four rounds goes by chunks that grow.
     """
+    zero = F.lit(0).cast("bigint")
 
-    def running(part: Column, base: Column) -> Column:
+    def grown(part: Column, base: Column) -> Column:
         first = F.struct(base.alias("now"), F.array().cast("array<bigint>").alias("all"))
 
         def add(acc: Column, x: Column) -> Column:
@@ -36,22 +39,64 @@ def prefix_sums(values: Column) -> Column:
 
         return F.aggregate(part, first, add, lambda acc: acc["all"])
 
-    def sums(all_: Column) -> Column:
-        zero = F.lit(0).cast("bigint")
+    def by_chunk(all_: Column) -> Column:
+        """Totals before each entry."""
         starts = F.sequence(F.lit(1), F.greatest(F.size(all_), F.lit(1)), F.lit(SUM_CHUNK))
-        parts = F.transform(starts, lambda s: F.slice(all_, s, SUM_CHUNK))
 
-        def by_chunk(ps: Column) -> Column:
+        def chunks(ps: Column) -> Column:
             totals = F.transform(ps, lambda p: F.aggregate(p, zero, lambda a, x: (a + x).cast("bigint")))
-            bases = running(totals, zero)
-            return F.flatten(F.zip_with(ps, bases, running))
+            return F.flatten(F.zip_with(ps, grown(totals, zero), grown))
+
+        return let(F.transform(starts, lambda s: F.slice(all_, s, SUM_CHUNK)), chunks)
+
+    def by_group(all_: Column, rounds: int) -> Column:
+        """Totals before each entry, and some more behind them; ``all_`` is a variable."""
+        if not rounds:
+            return by_chunk(all_)
+        firsts = F.sequence(F.lit(0), F.greatest(F.size(all_) - 1, F.lit(0)), F.lit(SUM_GROUP))
+
+        def inside(first: Column) -> Column:
+            """Totals in the group before each of its entries, and of the whole group."""
+            sums = [zero]
+            for k in range(SUM_GROUP):
+                sums.append(sums[-1] + F.get(all_, first + k))  # null behind the end, where nothing is taken
+            return F.array(*sums)
+
+        def placed(groups: Column) -> Column:
+            totals = F.transform(groups, lambda g: F.get(g, F.lit(SUM_GROUP)))
+            bases = let(totals, lambda ts: by_group(ts, rounds - 1))
+            return let(bases, lambda bs: F.flatten(F.transform(groups, lambda g, i: added(g, F.get(bs, i)))))
+
+        def added(group: Column, base: Column) -> Column:
+            return F.array(*[F.get(group, F.lit(k)) + base for k in range(SUM_GROUP)])
+
+        return let(F.transform(firsts, inside), placed)
 
+    def sums(all_: Column) -> Column:
         whole = F.aggregate(all_, zero, lambda a, x: (a + x).cast("bigint"))
-        return F.concat(let(parts, by_chunk), F.array(whole))
+        return F.concat(F.slice(by_group(all_, 4), F.lit(1), F.size(all_)), F.array(whole))
 
     return let(values, sums)
 
 
+def zero_ranges(values: Column, ranges: Column) -> Column:
+    """The values with zeros in index ranges ``array<struct<start, end>>``, which are in order and disjoint."""
+
+    def cleared(vs: Column, rs: Column) -> Column:
+        n = F.size(vs)
+
+        def part(r: Column, i: Column) -> Column:
+            done = F.least(F.coalesce(F.when(i > 0, F.get(rs, i - 1)["end"]), F.lit(0)), n)
+            lo = F.least(F.greatest(r["start"], done), n)
+            hi = F.least(F.greatest(r["end"], lo), n)
+            return F.concat(F.slice(vs, done + 1, lo - done), zeros(hi - lo))
+
+        end = F.least(F.greatest(F.element_at(rs, -1)["end"], F.element_at(rs, -1)["start"]), n)
+        return F.concat(F.flatten(F.transform(rs, part)), F.slice(vs, end + 1, n - end))
+
+    return let(values, lambda vs: let(ranges, lambda rs: F.when(F.size(rs) > 0, cleared(vs, rs)).otherwise(vs)))
+
+
 def zeros(n: Column) -> Column:
     return F.array_repeat(F.lit(0), F.greatest(n, F.lit(0)).cast("int"))
 
