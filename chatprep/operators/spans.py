@@ -16,12 +16,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatprep.functions.arrays import let, ones, prefix_sums, zeros
+from chatprep.functions.arrays import let, ones, prefix_sums, zero_ranges, zeros
 from chatprep.functions.text import quote_regex
 from chatprep.operators.common import pin
-from chatprep.operators.ordered import scan_groups
+from chatprep.operators.packs import masked_rows
 from chatprep.operators.templates import ChatTemplate
-from chatprep.operators.tokens import hashed_ids, joins_at, token_count, tokens
+from chatprep.operators.tokens import hashed_ids_batch, joins_at, token_count, tokens
 
 CHUNK = 1024  # characters
 
@@ -248,11 +248,21 @@ def masked_sample(
     source = F.col(text)
     spans = find_spans(source, rule)
     out = pin(df, __tokens=tokens(source), __spans=last_span(spans) if last_only else spans)
-    mask = span_mask(source, F.col("__spans"), F.size("__tokens"), rule.how)
-    mask = clear_literals(mask, source, template.ignore_token)
-    ids = hashed_ids(F.col("__tokens") if max_length is None else F.slice("__tokens", 1, max_length))
-    out = pin(out, input_ids=ids, loss_mask=mask if max_length is None else F.slice(mask, 1, max_length))
-    return out.withColumn("attention_mask", ones(F.size("input_ids"))).drop("__tokens", "__spans")
+    # The text is tokenised once: borders of tokens are running totals of their lengths.
+    out = pin(out, __borders=prefix_sums(F.transform("__tokens", F.char_length)))
+    n = F.size("__tokens")
+    starts, ends = F.slice("__borders", F.lit(1), n), F.slice("__borders", F.lit(2), n)
+
+    def build(first: Column, last: Column) -> Column:
+        mask = ranges_to_mask(offset_ranges(first, last, F.col("__spans"), rule.how), n)
+        for literal in template.ignore_token:
+            mask = zero_ranges(mask, offset_ranges(first, last, literal_spans(source, literal), "prefix"))
+        return mask
+
+    mask = let(starts, lambda first: let(ends, lambda last: build(first, last)))
+    out = pin(out, loss_mask=mask if max_length is None else F.slice(mask, 1, max_length))
+    out = out.withColumn("input_ids", hashed_ids_batch(F.col("__tokens") if max_length is None else F.slice("__tokens", 1, max_length)))
+    return out.withColumn("attention_mask", ones(F.size("input_ids"))).drop("__tokens", "__spans", "__borders")
 
 
 # --- masks with a real tokenizer ---------------------------------------------------
@@ -279,40 +289,78 @@ def _meets(how: str, start: Column, end: Column, span_end: Column) -> Column:
     return F.coalesce(hit, F.lit(False)).cast("int")
 
 
+def offset_ranges(starts: Column, ends: Column, spans: Column, how: str = "containment") -> Column:
+    """Token index ranges ``array<struct<start, end>>`` of spans; starts and ends of tokens ascend.
+
+    A span's tokens stand side by side: halving over the tokens finds the first and the last, so
+    the cost goes with the number of spans.  A token that could meet two spans goes to the later one.
+    """
+    if how not in ("prefix", "containment", "overlap"):
+        raise ValueError(f"unknown mapping {how!r}")
+
+    def upto(values: Column, limit: Column) -> Column:
+        return last_upto(values, limit) + 1
+
+    def rng(s: Column, first: Column, last: Column) -> Column:
+        lo = upto(last, s["start"]) if how == "overlap" else upto(first, s["start"] - 1)
+        hi = {
+            "prefix": lambda: upto(first, s["end"] - 1),
+            "containment": lambda: upto(last, s["end"]),
+            "overlap": lambda: upto(first, s["end"]),
+        }[how]()
+        return F.struct(lo.cast("int").alias("start"), hi.cast("int").alias("end"))
+
+    def cut(found: Column) -> Column:
+        """Each range ends before the next one starts."""
+
+        def one(r: Column, i: Column) -> Column:
+            following = F.coalesce(F.get(found, i + 1)["start"], r["end"])
+            return F.struct(r["start"].alias("start"), F.greatest(F.least(r["end"], following), r["start"]).alias("end"))
+
+        return F.transform(found, one)
+
+    return let(starts, lambda first: let(ends, lambda last: let(F.transform(spans, lambda s: rng(s, first, last)), cut)))
+
+
+def _ascends(values: Column) -> Column:
+    """Whether an array without nulls ascends."""
+    ordered = (F.sort_array(values) == values) & (F.get(values, F.lit(0)).isNotNull() | (F.size(values) == 0))
+    return F.coalesce(ordered, F.lit(False))
+
+
 def offset_mask(starts: Column, ends: Column, spans: Column, how: str = "containment") -> Column:
     """Loss mask from token offsets and spans, both inside one row; spans are in order and disjoint.
 
     A token counts with ``prefix`` once it starts inside a span, with ``containment`` when it lies in
     one, with ``overlap`` when it does not end before one or start after one.  Only the last span that
-    starts in time can hold a token, and halving finds it.
+    starts in time can hold a token.  Where offsets ascend, as those of tokenizers do, the spans are
+    sought among the tokens, else every token among the spans, both by halving.
     """
-    begins, closes = F.transform(spans, lambda s: s["start"]), F.transform(spans, lambda s: s["end"])
 
-    def mask(first: Column, last: Column) -> Column:
-        def one(a: Column, b: Column) -> Column:
-            found = last_upto(first, b - 1 if how == "overlap" else a)
-            return _meets(how, a, b, F.get(last, found))
+    def each(first: Column, last: Column, sp: Column) -> Column:
+        begins, closes = F.transform(sp, lambda s: s["start"]), F.transform(sp, lambda s: s["end"])
+
+        def one(a: Column, b: Column, bs: Column, cs: Column) -> Column:
+            found = last_upto(bs, b - 1 if how == "overlap" else a)
+            return _meets(how, a, b, F.get(cs, found))
+
+        return let(begins, lambda bs: let(closes, lambda cs: F.zip_with(first, last, lambda a, b: one(a, b, bs, cs))))
 
-        return F.zip_with(starts, ends, one)
+    def mask(first: Column, last: Column, sp: Column) -> Column:
+        fast = _ascends(first) & _ascends(last) & (F.size(first) == F.size(last)) & sp.isNotNull()
+        return F.when(fast, ranges_to_mask(offset_ranges(first, last, sp, how), F.size(first))).otherwise(each(first, last, sp))
 
-    return let(begins, lambda first: let(closes, lambda last: mask(first, last)))
+    return let(starts, lambda first: let(ends, lambda last: let(spans, lambda sp: mask(first, last, sp))))
 
 
 def offset_mask_rows(token_rows: DataFrame, span_rows: DataFrame, keys: Sequence[str], how: str = "containment") -> DataFrame:
-    """The same as a sweep over rows: ``keys, i, start, end`` of tokens and ``keys, start, end`` of spans.
+    """The same over rows: ``keys, i, start, end`` of tokens and ``keys, start, end`` of spans.
 
-    Both are put in one order per key, and one ordered scan brings to each token the last span that
-    starts in time: an interval join in the time of a sort, whatever the number of spans.
+    Tokens move once, in packs of a few bytes a token, to the spans of their block of positions (see
+    ``packs``): an interval join without a sort of rows, whatever the number of spans.  Rows equal in
+    key, place and offset are repeats and count once.
     """
-    late = how == "overlap"
-    token = [*[F.col(k) for k in keys], F.col("i"), F.col("start"), F.col("end"), F.lit(None).cast("bigint").alias("span_end")]
-    at = F.col("end") if late else F.col("start")
-    tokens_ = token_rows.select(*token, (2 * at.cast("bigint") + (0 if late else 1)).alias("__order"))
-    none = F.lit(None)
-    span = [*[F.col(k) for k in keys], none.cast("int").alias("i"), none.cast("int").alias("start"), none.cast("int").alias("end")]
-    spans_ = span_rows.select(*span, F.col("end").cast("bigint").alias("span_end"), (2 * F.col("start").cast("bigint") + (1 if late else 0)).alias("__order"))
-    swept = scan_groups(tokens_.unionByName(spans_), keys, "__order", lasts={"__last": "span_end"}, ties=["i", "span_end"])
-    return swept.filter("i IS NOT NULL").select(*keys, "i", _meets(how, F.col("start"), F.col("end"), F.col("__last")).alias("mask"))
+    return masked_rows(token_rows, span_rows, keys, how)
 
 
 # --- reading masks ------------------------------------------------------------------

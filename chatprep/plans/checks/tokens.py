@@ -298,10 +298,14 @@ _OFFSETS = f"""WITH {QWEN_TEXT}, {spans_sql('chat_text', QWEN.assistant_header,
 {S.token_rows_sql('chat_text')}"""
 
 
+def spans_of(t):
+    """Rendered texts with their spans."""
+    return pin(rendered(t, QWEN), sp=P.find_spans(F.col("text"), P.span_rule(QWEN)))
+
+
 def offsets(t):
     """Rendered texts with the offsets of their tokens and their spans."""
-    df = rendered(t, QWEN)
-    df = pin(df, sp=P.find_spans(F.col("text"), P.span_rule(QWEN)), ends=A.prefix_sums(F.transform(T.tokens(F.col("text")), F.char_length)))
+    df = pin(spans_of(t), ends=A.prefix_sums(F.transform(T.tokens(F.col("text")), F.char_length)))
     n = F.size("ends") - 1
     return df.select("doc_id", "sp", F.slice("ends", F.lit(1), n).alias("starts"), F.slice("ends", F.lit(2), n).alias("ends"))
 
@@ -315,7 +319,7 @@ for _how in HOW:
         df = offsets(t)
         tokens = df.select("doc_id", F.posexplode(F.arrays_zip("starts", "ends")).alias("i", "o")).select("doc_id", "i", "o.starts", "o.ends")
         tokens = tokens.toDF("doc_id", "i", "start", "end").withColumns({c: F.col(c).cast("int") for c in ("start", "end")})
-        spans = df.select("doc_id", F.inline("sp")).select("doc_id", "start", "end")
+        spans = spans_of(t).select("doc_id", F.inline("sp")).select("doc_id", "start", "end")
         masked = P.offset_mask_rows(tokens, spans, ["doc_id"], how)
         sums = [F.count("*").alias("n"), F.sum("mask").cast("bigint").alias("supervised"), F.sum(F.col("i").cast("bigint") * F.col("mask")).cast("bigint").alias("places")]
         return masked.groupBy("doc_id").agg(*sums)
@@ -351,8 +355,7 @@ def byte_pair_samples(t):
     import public_tokenizers
 
     encode = T.tokenizer_udf(T.tokenizer_file(public_tokenizers.path("byte_bpe_50k.json")))
-    df = rendered(t, QWEN).withColumn("e", encode("text"))
-    df = df.withColumn("sp", P.find_spans(F.col("text"), P.span_rule(QWEN)))
+    df = spans_of(t).withColumn("e", encode("text"))
     mask = P.offset_mask(F.col("e.starts"), F.col("e.ends"), F.col("sp"), "prefix")
     return df.select(
         "doc_id",
