@@ -201,13 +201,16 @@ positions AS (
 
 def samples(t) -> DataFrame:
     """``documents`` as token samples; the mask changes every eight tokens."""
-    from chatprep.operators.tokens import hashed_ids, tokens
+    from chatprep.operators.tokens import hashed_ids_batch, tokens
 
     tk = tokens(F.col("text"))
     base = pin(t.documents.select("doc_id", "text"), tk=tk).drop("text")
-    mask = F.transform("tk", lambda x, i: ((F.floor(i / 8) + F.col("doc_id")) % 2).cast("int"))
-    return pin(base, input_ids=hashed_ids(F.col("tk")), loss_mask=mask).drop("tk")
+    eights = F.transform(F.sequence(F.lit(0), F.shiftright(F.size("tk"), 3)), lambda k: F.array_repeat(((k + F.col("doc_id")) % 2).cast("int"), 8))
+    mask = F.slice(F.flatten(eights), F.lit(1), F.size("tk"))
+    return base.select("doc_id", hashed_ids_batch("tk").alias("input_ids"), mask.alias("loss_mask"))
 
 
 def joined(column, sep: str = ",") -> Column:
-    return F.array_join(column, sep)
+    """Whole numbers, none of them null, as one text: as JSON, which makes no text of each."""
+    plain = F.btrim(F.to_json(column), F.lit("[]"))
+    return plain if sep == "," else F.replace(plain, F.lit(","), F.lit(sep))
