@@ -1,6 +1,6 @@
 """Which characters, and then which tokens, of a rendered text are supervised.
 
-All but ``offset_mask_rows`` is row-local.  One pattern cuts the text into consecutive pieces
+All but ``offset_mask_rows`` is row-local (``masked_sample`` hashes ids by Arrow batches).  One pattern cuts the text into consecutive pieces
 
     gap, header, reply, terminator
 
