@@ -17,8 +17,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-SUM_CHUNK = 256
+SUM_CHUNK = 64
 SUM_GROUP = 4
+SUM_ROUNDS = 2
 
 
 def prefix_sums(values: Column) -> Column:
@@ -26,7 +27,9 @@ def prefix_sums(values: Column) -> Column:
 
     An array that grows by one entry is copied each time, so entries are taken in groups of four
     first: the totals of the groups are summed up alike, and a group's entries follow from the total
-    before it.  What is left after four rounds goes by chunks that grow.
+    before it.  What is left after two rounds goes by chunks that grow.  More rounds would nest deeper:
+    the analyzer takes a pass for each lambda inside another and for each type it has to adapt, and
+    gives up after 100 for the whole expression.  Hence also the plain casts.
     """
     zero = F.lit(0).cast("bigint")
 
@@ -59,13 +62,13 @@ def prefix_sums(values: Column) -> Column:
             """Totals in the group before each of its entries, and of the whole group."""
             sums = [zero]
             for k in range(SUM_GROUP):
-                sums.append(sums[-1] + F.get(all_, first + k))  # null behind the end, where nothing is taken
+                sums.append(sums[-1] + F.get(all_, first + k).cast("bigint"))  # null behind the end, where nothing is taken
             return F.array(*sums)
 
         def placed(groups: Column) -> Column:
             totals = F.transform(groups, lambda g: F.get(g, F.lit(SUM_GROUP)))
             bases = let(totals, lambda ts: by_group(ts, rounds - 1))
-            return let(bases, lambda bs: F.flatten(F.transform(groups, lambda g, i: added(g, F.get(bs, i)))))
+            return F.flatten(F.zip_with(groups, F.slice(bases, F.lit(1), F.size(groups)), added))
 
         def added(group: Column, base: Column) -> Column:
             return F.array(*[F.get(group, F.lit(k)) + base for k in range(SUM_GROUP)])
@@ -73,8 +76,8 @@ def prefix_sums(values: Column) -> Column:
         return let(F.transform(firsts, inside), placed)
 
     def sums(all_: Column) -> Column:
-        whole = F.aggregate(all_, zero, lambda a, x: (a + x).cast("bigint"))
-        return F.concat(F.slice(by_group(all_, 4), F.lit(1), F.size(all_)), F.array(whole))
+        whole = F.aggregate(all_, zero, lambda a, x: a + x.cast("bigint"))
+        return F.concat(F.slice(by_group(all_, SUM_ROUNDS), F.lit(1), F.size(all_)), F.array(whole))
 
     return let(values, sums)
 
