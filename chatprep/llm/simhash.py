@@ -152,10 +152,10 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.append(batch)
         if sum(map(len, held)) >= SLAB:
             table = _arrays(held)
-            last = _starts(table)[-1]  # the last pair may go on in the next batch
+            last = int(_starts(table)[-1])  # the last pair may go on in the next batch
             if last:
                 yield from _walk_slab({k: v[:last] for k, v in table.items()})
-                held = [pa.RecordBatch.from_pydict({k: v[last:] for k, v in table.items()})]
+                held = pa.Table.from_batches(held).slice(last).to_batches()  # with the types of the batches to come
     if held:
         yield from _walk_slab(_arrays(held))
 
