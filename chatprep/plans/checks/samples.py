@@ -81,6 +81,7 @@ SELECT doc_id, shard, chunk,
 )
 def sequence_shards(t):
     out = P.sequence_shards(S.samples(t), shards=4, overlap=7, max_length=1000, ring=2)
+    none = F.col("chunk") == 0  # an empty text has no positions: from 0 to -1
     return out.select(
         "doc_id",
         F.col("shard").cast("bigint").alias("shard"),
@@ -88,8 +89,8 @@ def sequence_shards(t):
         J("shard_ids").alias("ids"),
         J("shard_mask", "").alias("mask"),
         J("shard_attention", "").alias("attention"),
-        F.get("position_ids", F.lit(0)).cast("bigint").alias("first_position"),
-        F.element_at("position_ids", -1).cast("bigint").alias("last_position"),
+        F.coalesce(F.get("position_ids", F.lit(0)), F.when(none, 0)).cast("bigint").alias("first_position"),
+        F.coalesce(F.try_element_at("position_ids", F.lit(-1)), F.when(none, -1)).cast("bigint").alias("last_position"),
     )
 
 
